@@ -41,7 +41,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, spread: Column, n: i
     ``spread``, and each row of ``right`` is repeated for each of them."""
     salt = "_salt"
     left = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(n)))
-    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    right = right.withColumn(salt, F.explode(F.expr(f"sequence(0L, {n - 1}L)")))
     return left.join(right, [on, salt], how).drop(salt)
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mpeg_audio, sharding, topk
+from . import chat_format, mpeg_audio, near_dedup, sharding, topk
 from .common import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     media = docs.select("doc_id", mpeg_audio.store(F.col("text")).alias("media"))
@@ -73,7 +77,7 @@ ranked as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
-_QUERIES = [op4_media_mpeg, op6_exact_topk, op7_lpt_sharding, op10_chat_format]
+_QUERIES = [op2_near_dedup, op4_media_mpeg, op6_exact_topk, op7_lpt_sharding, op10_chat_format]
 
 
 def queries() -> dict:
