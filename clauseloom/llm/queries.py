@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mpeg_audio, near_dedup, sharding, topk
+from . import bpe, chat_format, mpeg_audio, near_dedup, sharding, topk
 from .common import table
 
 
@@ -32,6 +33,21 @@ def op4_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id with the digests of its ids and of the decoded bytes."""
+    coded = bpe.encode(docs.select("doc_id", "text"), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), path)
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -77,7 +93,7 @@ ranked as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
-_QUERIES = [op2_near_dedup, op4_media_mpeg, op6_exact_topk, op7_lpt_sharding, op10_chat_format]
+_QUERIES = [op2_near_dedup, op4_media_mpeg, op5_byte_bpe, op6_exact_topk, op7_lpt_sharding, op10_chat_format]
 
 
 def queries() -> dict:
