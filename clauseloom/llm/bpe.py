@@ -21,6 +21,7 @@ import base64
 import heapq
 import json
 import re
+import uuid
 from array import array
 from collections import Counter
 from functools import lru_cache
@@ -41,8 +42,10 @@ FOLD_BYTES = 96
 TABLE_WORDS, OFTEN = 200_000, 4
 #: Documents and characters of a block, about.
 BLOCK_DOCS, BLOCK_CHARS = 2000, 6_000_000
-#: Words and chunks that a task remembers at most.
-HELD = 300_000
+#: Chunks that a task counts, and that a worker remembers, at most.
+HELD = 600_000
+#: Chunks of table words and tokens that this worker has met, by table.
+_MET: dict[int, dict[str, list[int]]] = {}
 
 #: Blanks at which no plain split is sound: those beside other white space, or at an end.
 _ODD_BLANK = re.compile(r"(?:^|\s) | (?:\s|$)")
@@ -67,33 +70,45 @@ def pair_ranks(path: str) -> dict[tuple[int, int], int]:
     return out
 
 
-SHIFT, SLOTS, GROUPS = 1 << 17, 1 << 18, 1 << 16
+SHIFT, BUCKETS = 1 << 17, 1 << 17
 
 
-def perfect_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """(displacements, slots) of a collision-free hash table: pair (a, b) lies in slot
-    (7919 a + 104729 b + d) mod SLOTS, with d the displacement of its group, as
-    (a * 2^17 + b) * 2^17 + rank; empty slots hold -1."""
-    groups: dict[int, list[tuple[int, int]]] = {}
-    for a, b in pairs:
-        groups.setdefault((31 * a + 17 * b) % GROUPS, []).append((a, b))
-    moves, slots = [0] * GROUPS, [-1] * SLOTS
-    for g, members in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
-        bases = [7919 * a + 104729 * b for a, b in members]
-        if len({x % SLOTS for x in bases}) < len(bases):
-            raise ValueError("two pairs of a group always collide; change the hash")
-        d = 0
-        while any(slots[(x + d) % SLOTS] != -1 for x in bases):
-            d += 1
-        moves[g] = d
-        for (a, b), x in zip(members, bases, strict=True):
-            slots[(x + d) % SLOTS] = (a * SHIFT + b) * SHIFT + pairs[a, b]
-    return moves, slots
+@lru_cache(maxsize=2)
+def _rank_map_json(path: str) -> str:
+    """The rank map: pair (a, b) lies in bucket (31 a + b) mod BUCKETS as b * 2^17 + rank.
+    31 is odd and ids are below BUCKETS, so no two pairs with one b share a bucket."""
+    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for (a, b), rank in pair_ranks(path).items():
+        buckets[(31 * a + b) % BUCKETS].append(b * SHIFT + rank)
+    return json.dumps(buckets)
 
 
-@lru_cache(maxsize=2)
-def _table_json(path: str) -> tuple[str, str]:
-    return tuple(json.dumps(x) for x in perfect_table(pair_ranks(path)))
+@lru_cache(maxsize=4)
+def library_pattern(pattern: str) -> str:
+    """``pattern`` for the regex module, with \\p{L} and \\p{N} as the tokenizer
+    library's own Unicode version has them: where the two versions differ, the
+    code points are taken out of the class or added to it."""
+    import tiktoken
+
+    points = "".join(chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF)
+    single = {bytes([i]): i for i in range(256)}
+    for name in (r"\p{L}", r"\p{N}"):
+        theirs = set(bytes(tiktoken.Encoding("points", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(points)).decode())
+        ours = set(regex.findall(name, points))
+        body = name + "".join(f"--{_ranges(ours - theirs)}" for _ in [0] if ours - theirs)
+        body = f"[{body}]" + (f"||{_ranges(theirs - ours)}" if theirs - ours else "")
+        pattern = pattern.replace(name, f"[{body}]")
+    return "(?V1)" + pattern
+
+
+def _ranges(points: set[str]) -> str:
+    runs: list[list[int]] = []
+    for x in sorted(map(ord, points)):
+        if runs and runs[-1][1] == x - 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]"
 
 
 def _long(x: int) -> Column:
@@ -101,31 +116,39 @@ def _long(x: int) -> Column:
 
 
 def fold_merges(word: Column, path: str) -> Column:
-    """Token ids (array of bigint) of a word given as an array of byte ids."""
-    moves, slots = (F.from_json(F.lit(t), T.ArrayType(T.LongType())) for t in _table_json(path))
-
-    def found(a, b):
-        move = F.get(moves, ((31 * a + 17 * b) % _long(GROUPS)).cast("int"))
-        return F.get(slots, ((7919 * a + 104729 * b + move) % _long(SLOTS)).cast("int"))
+    """Token ids (array of bigint) of a word given as an array of byte ids.
+
+    Parts are packed as rank * 2^17 + id, where rank is that of the pair the part
+    forms with the next one (NONE if it forms none). The least part is the
+    lowest-ranked pair; equal parts are equal pairs, and the first is merged.
+    A part that pairs with nothing stands in front while the fold runs.
+    """
+    buckets = F.from_json(F.lit(_rank_map_json(path)), T.ArrayType(T.ArrayType(T.LongType())))
+    none = mask = _long(SHIFT - 1)
+    rest = F.lit(1 << 30)  # to the end
+    front = _long((SHIFT - 1) * SHIFT + SHIFT - 1)
+
+    def packed(a, b):
+        bucket = F.get(buckets, (31 * a + b).bitwiseAND(_long(BUCKETS - 1)).cast("int"))
+        rank = F.get(F.filter(bucket, lambda x: F.shiftright(x, 17) == b), F.lit(0)).bitwiseAND(mask)
+        return F.shiftleft(F.coalesce(rank, none), 17).bitwiseOR(a)
 
     def step(parts, _):
-        left = lambda i: F.get(parts, i)
-        seen = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda y, i: found(left(i), y))
-        # rank * 2^20 + place where the slot holds this very pair
-        ranked = F.transform(seen, lambda v, i: F.when(F.shiftright(v, 17) == left(i) * _long(SHIFT) + left(i + 1), v % _long(SHIFT) * _long(1 << 20) + i))
-        best = F.filter(F.array(F.array_min(ranked)), lambda m: m.isNotNull())
-        merged = F.transform(
-            best,
-            lambda m: F.concat(
-                F.slice(parts, F.lit(1), (m % _long(1 << 20)).cast("int")),
-                F.array(F.shiftright(m, 20)),
-                F.slice(parts, (m % _long(1 << 20)).cast("int") + 3, F.size(parts)),
-            ),
-        )
-        return F.coalesce(F.get(merged, F.lit(0)), parts)
+        at = lambda i: F.get(parts, i).bitwiseAND(mask)
+
+        def merged(m):
+            new = F.shiftright(m, 17)
+            place = F.array(F.array_position(parts, m).cast("int"))  # from 1, and never 1
+            joined = lambda p: F.concat(F.slice(parts, F.lit(1), p - 2), F.array(packed(at(p - 2), new), packed(new, at(p + 1))), F.slice(parts, p + 2, rest))
+            return F.get(F.transform(place, joined), F.lit(0))
+
+        best = F.filter(F.array(F.array_min(parts)), lambda m: m < _long((SHIFT - 1) * SHIFT))
+        return F.coalesce(F.get(F.transform(best, merged), F.lit(0)), parts)
 
     word = word.cast("array<bigint>")
-    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, step)
+    pairs = F.transform(word, lambda a, i: packed(a, F.get(word, i + 1)))
+    merged = F.aggregate(F.slice(word, F.lit(2), rest), F.concat(F.array(front), pairs), step)
+    return F.transform(F.slice(merged, F.lit(2), rest), lambda v: v.bitwiseAND(mask))
 
 
 def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -149,6 +172,13 @@ def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x is not None]
 
 
+def _met(name: int) -> dict[str, list[int]]:
+    """What this worker remembers for a table; another table's chunks are let go."""
+    if name not in _MET:
+        _MET.clear()
+    return _MET.setdefault(name, {})
+
+
 def chunks_of(text: str) -> list[str]:
     """Pieces of a text that no word crosses: cut before each lone blank."""
     first, *rest = _SAFE_BLANK.split(text) if _ODD_BLANK.search(text) else text.split(" ")
@@ -176,8 +206,9 @@ def _counts(path: str, pattern: str):
         def flush():
             words = Counter()
             for chunk, n in seen.items():
-                for w in cutter.words(chunk):
-                    words[w] += n
+                if n > 1:  # the table only saves work: a word seen once here does not earn a place here
+                    for w in cutter.words(chunk):
+                        words[w] += n
             seen.clear()
             kept = [(w, n) for w, n in words.items() if w.encode() not in cutter.ranks and len(w) <= FOLD_BYTES]
             return pa.record_batch([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
@@ -221,15 +252,22 @@ def word_table(texts: DataFrame, path: str, pattern: str) -> dict[str, tuple[int
     return dict(zip(got["word"].to_pylist(), map(tuple, got["ids"].to_pylist()), strict=True))
 
 
+class _Table:
+    """The broadcast words, with a name that no other table has."""
+
+    def __init__(self, words):
+        self.words, self.id = words, uuid.uuid4().int
+
+
 _BLOCK = "rows binary, refs array<array<int>>, words array<array<int>>"
 
 
-def _blocks(path: str, pattern: str, table):
+def _blocks(path: str, pattern: str, table: _Table):
     """Blocks of documents: each document's ids, where -i stands for the block's word i - 1."""
 
     def run(batches):
-        cutter, known = _Cutter(path, pattern), table.value
-        ranks, pairs, fixed = cutter.ranks, None, {}
+        cutter, known = _Cutter(path, pattern), table.words.value
+        ranks, pairs, fixed = cutter.ranks, None, _met(table.id)
         ids, refs, local, places, words, chars = [], [], {}, {}, [], 0
 
         def refs_of(chunk):
@@ -320,8 +358,9 @@ def _documents(batches):
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` but with ``ids``: its token ids, array<int>."""
+    pattern = library_pattern(pattern)
     texts = docs.select(F.col(text).alias("_text"))
-    table = docs.sparkSession.sparkContext.broadcast(word_table(texts, path, pattern))
+    table = _Table(docs.sparkSession.sparkContext.broadcast(word_table(texts, path, pattern)))
     rest = docs.drop(text)
     blocks = docs.select(F.col(text).alias("_text"), *rest.columns).mapInArrow(_blocks(path, pattern, table), _BLOCK)
     folded = blocks.withColumn("words", F.transform("words", lambda w: fold_merges(w, path).cast("array<int>")))

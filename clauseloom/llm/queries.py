@@ -6,14 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mpeg_audio, near_dedup, sharding, topk
+from . import bpe, chat_format, mixing, mpeg_audio, near_dedup, quality, secret_scan, sharding, topk, toxicity
 from .common import table
 
 
+def op1_secret_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    verdict = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
+    return found.select(
+        "doc_id",
+        kind("assign").alias("n_assign"), kind("access").alias("n_access"), kind("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "live")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        verdict("live").alias("n_owner_specific"), verdict("example").alias("n_widely_copied"),
+    )
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     media = docs.select("doc_id", mpeg_audio.store(F.col("text")).alias("media"))
@@ -58,6 +76,14 @@ def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -93,7 +119,10 @@ ranked as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
-_QUERIES = [op2_near_dedup, op4_media_mpeg, op5_byte_bpe, op6_exact_topk, op7_lpt_sharding, op10_chat_format]
+_QUERIES = [
+    op1_secret_frequency, op2_near_dedup, op3_toxicity, op4_media_mpeg, op5_byte_bpe, op6_exact_topk,
+    op7_lpt_sharding, op8_source_mix, op9_site_quality, op10_chat_format,
+]
 
 
 def queries() -> dict:
