@@ -37,6 +37,10 @@ SIDE = 8
 AGREE = 5
 #: Buckets up to this size are compared row by row in the last round.
 SMALL = 64
+#: Shingles in more of the compared documents than this are hot.
+RARE = 64
+#: Most document ids that are broadcast to filter the texts; beyond, the join shuffles.
+BROADCAST_IDS = 500_000
 WORDS_HELD = 500_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"minhash", seed=i) for i in range(2 * SIDE)], dtype=np.uint64)
@@ -131,7 +135,8 @@ class _Corpus:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(rep, shingles) of the given representatives, from their texts."""
-        texts = self.docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        ids = written(ids.select(F.col("rep").alias("doc_id")), "dedup-ids")
+        texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
         made = texts.mapInArrow(_full_sets, _SETS + ", shingles array<long>")
         true = made.join(self.reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
         return written(true.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "dedup-sets")
@@ -152,20 +157,24 @@ class _Corpus:
 
 def _by_prefix(corpus: _Corpus, rows: DataFrame) -> DataFrame:
     """Pairs (lo, hi) of an open row with any row of ``rows`` (rep, comp, open)
-    that share one of their rarest shingles. Two sets with a Jaccard index of
-    0.75 must share one among the first n - ceil(0.75 n) + 1 of each in any
-    common order, so no link is lost; ordering by rarity keeps common passages out."""
+    that can be similar. Two sets with a Jaccard index of 0.75 share one of the
+    first n - ceil(0.75 n) + 1 shingles of each in any common order; the order
+    is by rarity. If their first common shingle is hot, all common ones are, so
+    the hot shingles of each must suffice for the overlap: this keeps documents
+    apart that share a passage and little else. No link is lost."""
     ids = written(rows.groupBy("rep").agg(F.max("open").alias("open"), F.max("comp").alias("comp")), "dedup-open")
-    sets = corpus.sets(ids)
+    sets = corpus.sets(ids.select("rep"))
     each = sets.select("rep", F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("f"))
     ranked = each.join(often, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("t"))  # a document's own set
     keep = F.size("t") - F.ceil(F.size("t") * F.lit(0.75)) + 1
-    heads = ranked.join(ids, "rep").select("rep", "open", "comp", F.explode(F.slice("t", F.lit(1), keep.cast("int"))).alias("t"))
-    heads = written(heads.filter("t.f > 1").select("rep", "open", "comp", F.col("t.s").alias("s")), "dedup-heads")
-    a = heads.filter("open").select("s", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    b = heads.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    return _pairs(a.join(b, "s").filter("ca <> cb"), "a", "b")
+    ranked = ranked.withColumn("n", F.size("t")).withColumn("h", F.size(F.filter("t", lambda x: x["f"] > RARE)))
+    heads = ranked.join(ids, "rep").select("rep", "open", "comp", "n", "h", F.explode(F.slice("t", F.lit(1), keep.cast("int"))).alias("t"))
+    heads = written(heads.filter("t.f > 1").select("rep", "open", "comp", "n", "h", F.col("t.s").alias("s"), (F.col("t.f") > RARE).alias("hot")), "dedup-heads")
+    a = heads.filter("open").select("s", "hot", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("h").alias("ha"))
+    b = heads.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    near = "100 * least(na, nb) >= 75 * greatest(na, nb) and (not hot or 175 * least(ha, hb) >= 75 * (na + nb))"
+    return _pairs(a.join(b, "s").filter(f"ca <> cb and {near}"), "a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,15 +199,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         full.join(same_id.select("doc_id", F.col("digest").alias("least")), "doc_id").join(ids.withColumnRenamed("rep", "u"), "digest")
         .join(ids.select(F.col("digest").alias("least"), F.col("rep").alias("v")), "least").select("u", "v")
     )
+    tested = members.select(F.col("pivot").alias("node")).distinct()
     edges = corpus.confirmed(_pairs(members, "rep", "pivot")).unionByName(same_id)
     labels = components(edges)
 
-    for last in (False, True):
-        rows, found = _apart(members, labels)
+    for turn in (1, 2, 3):
+        rows, found = _apart(members, _nodes(edges, labels, tested), turn)
         if rows.isEmpty():
             break
-        if not last:
+        if turn < 3:
             pairs = _pairs(rows, "rep", "pivot")
+            tested = tested.unionByName(rows.select(F.col("pivot").alias("node"))).distinct()
         else:
             near = rows.filter(F.col("size") <= SMALL)
             pairs = _pairs(near.select("key", "rep", "comp").join(found.select("key", F.col("rep").alias("other"), F.col("comp").alias("theirs")), "key").filter("comp <> theirs"), "rep", "other")
@@ -209,9 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 pairs = pairs.unionByName(_by_prefix(corpus, everyone.unionByName(wide.select("rep", "comp", F.lit(True).alias("open"))))).distinct()
         more = corpus.confirmed(pairs)
         if not more.isEmpty():
-            relabel = labels.select("node", "comp")
-            edges = relabel.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more)
-            labels = components(edges)
+            edges = edges.unionByName(more)
+            labels = components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more))
 
     groups = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rows", "rep", F.coalesce("comp", "rep").alias("component_id"))
     groups = written(groups.filter("rows > 1 or component_id <> rep").select("digest", "component_id"), "dedup-groups")
@@ -221,13 +231,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _nodes(edges: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """(node, comp, fresh, links): fresh where it was no pivot yet; links so far.
+    A fresh node with many links lies in the middle of its family: it was
+    similar to most pivots."""
+    links = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    old = tested.withColumn("old", F.lit(True))
+    return labels.join(links, "node", "left").join(old, "node", "left").select("node", "comp", F.col("old").isNull().alias("fresh"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _apart(members: DataFrame, nodes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Rows outside the largest component of their bucket, with a pivot inside it;
     and the rows of all buckets that hold more than one component."""
-    rows = members.select("key", "rep", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mask = F.xxhash64(F.pmod(F.col("key"), F.lit(8)) + 8)
-    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(mask)).alias("first"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "comp", "first")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    main = main.select("key", F.col("m.comp").alias("main"), F.col("m.first").bitwiseXOR(mask).alias("pivot"))
-    found = written(rows.join(main, "key"), "dedup-apart")
+    rows = members.select("key", "rep", "size").join(nodes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mask = F.xxhash64(F.pmod(F.col("key"), F.lit(4)) + 8 * turn)
+    best = F.struct(F.coalesce("fresh", F.lit(True)), F.coalesce("links", F.lit(0)), F.col("rep").bitwiseXOR(mask), F.col("rep").alias("pivot"))
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(best).alias("best"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "comp", "best")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    main = main.select("key", F.col("m.comp").alias("main"), F.col("m.best.pivot").alias("pivot"))
+    found = written(rows.select("key", "rep", "size", "comp").join(main, "key"), "dedup-apart")
     return found.filter("comp <> main"), found
