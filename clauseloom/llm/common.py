@@ -45,6 +45,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, spread: Column, n: i
     return left.join(right, [on, salt], how).drop(salt)
 
 
+#: Most rows of a key table that are broadcast; beyond, joins with it shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table of short rows, marked for broadcast if it is small enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def prefix_offsets(counts: DataFrame, within: list[str], bucket: str, size: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``size`` over the earlier buckets of the same
     ``within``. The table has one row per bucket, so the window is small."""

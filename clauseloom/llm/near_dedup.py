@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import checked_broadcast, salted_join, written
 from .graph import components
 
 SIDE = 8
@@ -39,8 +39,6 @@ AGREE = 5
 SMALL = 64
 #: Shingles in more of the compared documents than this are hot.
 RARE = 64
-#: Most document ids that are broadcast to filter the texts; beyond, the join shuffles.
-BROADCAST_IDS = 500_000
 WORDS_HELD = 500_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"minhash", seed=i) for i in range(2 * SIDE)], dtype=np.uint64)
@@ -136,7 +134,7 @@ class _Corpus:
     def sets(self, ids: DataFrame) -> DataFrame:
         """(rep, shingles) of the given representatives, from their texts."""
         ids = written(ids.select(F.col("rep").alias("doc_id")), "dedup-ids")
-        texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        texts = self.docs.join(checked_broadcast(ids), "doc_id", "left_semi")
         made = texts.mapInArrow(_full_sets, _SETS + ", shingles array<long>")
         true = made.join(self.reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
         return written(true.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "dedup-sets")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import checked_broadcast, salted_join, written
 
 #: Most labelled rows the classifier is fitted on.
 TRAIN = 20_000
@@ -140,6 +140,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    good = classify(docs, labels).filter("keep").select(F.col("doc_id").alias("_d"), F.col("text_md5").alias("_m")).distinct()
+    bad = classify(docs, labels).filter("not keep").select(F.col("doc_id").alias("_d"), F.col("text_md5").alias("_m")).distinct()
     same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col("_m"))
-    return docs.join(good, same, "left_semi")
+    return docs.join(checked_broadcast(written(bad, "quality-bad")), same, "left_anti")

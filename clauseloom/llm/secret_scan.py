@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import checked_broadcast, salted_join, written
 
 #: Owners from which on a value counts as an example.
 SPREAD = 3
@@ -111,6 +111,7 @@ def redacted(docs: DataFrame, verdicts: tuple[str, ...] = ("live", "shared")) ->
     bad = F.filter("spans", lambda s: s["verdict"].isin(*verdicts))
     marks = found.select("doc_id", "text_md5", F.transform(bad, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_marks")).filter(F.size("_marks") > 0)
     marks = marks.dropDuplicates(["doc_id", "text_md5"]).select(F.col("doc_id").alias("_d"), F.col("text_md5").alias("_m"), "_marks")
+    marks = checked_broadcast(written(marks, "secret-marks"))
     text = F.pandas_udf(_redact, "string")(F.col("text"), F.col("_marks"))
     both = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.md5("text") == F.col("_m")), "left")
     new = F.when(F.col("_marks").isNotNull(), text).otherwise(F.col("text"))
