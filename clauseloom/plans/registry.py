@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def _modules():
-    return []
+MODULES = ["q_functions", "q_matching"]
+
+
+def _books():
+    return [import_module(f"{__package__}.{m}").book for m in MODULES]
 
 
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for b in _books() for k, f in b.queries.items()}
 
 
-def oracle_sql() -> dict:
-    return {k: s for m in _modules() for k, s in m.ORACLE.items()}
+def oracle_sql() -> dict[str, str]:
+    return {k: s for b in _books() for k, s in b.oracles.items()}
