@@ -17,7 +17,9 @@ those of a fixed prior on an empty lexicon.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 from math import log1p
 
 import numpy as np
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .quality import bounded, fit_logistic
 
 #: Most labelled rows that are learned from, and most terms of the lexicon.
@@ -56,7 +59,7 @@ def allowed(term: str) -> int:
 
 
 class Automaton:
-    """Levenshtein automata of all terms of a trie, as one lazily built table.
+    """Levenshtein automata of all terms of a trie, as one table of states built as met.
 
     A state is a set of (trie node, edits). ``heads`` are terms that match the
     beginning of a word exactly; ``words`` match within their allowed edits.
@@ -79,8 +82,10 @@ class Automaton:
                 at = self.children[at][c]
                 self.reach[at] = max(self.reach[at], allowed(term))
             self.ends[at] = term
-        self.start = self._close({0: 0})
-        self.table: dict[tuple, tuple] = {}
+        #: States by number; the moves of each, filled in as they are met.
+        self.states: list[tuple] = [(), self._close({0: 0})]
+        self.numbers = {state: i for i, state in enumerate(self.states)}
+        self.moves: list[dict[str, int]] = [{}, {}]
         self.seen: dict[str, tuple | None] = {}
 
     def _close(self, nodes: dict[int, int]) -> tuple:
@@ -106,6 +111,16 @@ class Automaton:
                     out[to] = cost
         return self._close(out)
 
+    def _move(self, at: int, c: str) -> int:
+        state = self._step(self.states[at], c)
+        to = self.numbers.get(state)
+        if to is None:
+            to = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        self.moves[at][c] = to
+        return to
+
     def match(self, word: str) -> tuple[str, int, float] | None:
         """(kind, edits, weight) of the best term for a word, or None."""
         if word in self.seen:
@@ -118,21 +133,16 @@ class Automaton:
     def _match(self, word: str):
         if word in self.words:
             return "exact", 0, self.words[word]
-        state = self.start
-        for c in word:
-            key = (state, c)
-            to = self.table.get(key)
-            if to is None:
-                to = self._step(state, c)
-                if len(self.table) < HELD:
-                    self.table[key] = to
-            state = to
-            if not state:
-                break
-        ends = [(e, t) for at, e in state if (t := self.ends[at]) and e <= allowed(t)]
         heads = [h for n in HEADS if (h := word[:n]) in self.heads and len(word) > n]
         if heads:
             return "head", 0, max(self.heads[h] for h in heads)
+        at = 1
+        for c in word:
+            to = self.moves[at].get(c)
+            at = self._move(at, c) if to is None else to
+            if not at:
+                break
+        ends = [(e, t) for node, e in self.states[at] if (t := self.ends[node]) and e <= allowed(t)]
         if ends:
             e, t = min(ends)
             return "near", e, self.words[t] / (1 + e)
@@ -189,19 +199,31 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]
     best = counts.filter("pos >= 3").select("term", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("ratio") >= LEAST) & (F.col("odds") > 0)).orderBy(F.desc("ratio"), "term").limit(TERMS)
     rows = best.collect()
     heads = {r["term"][:-1]: r["odds"] for r in rows if r["term"].endswith("*")}
-    return {r["term"]: r["odds"] for r in rows if not r["term"].endswith("*")}, heads
+    plain = {r["term"]: r["odds"] for r in rows if not r["term"].endswith("*")}
+    return {t: w for t, w in plain.items() if not any(t[:n] in heads for n in HEADS if len(t) > n)}, heads
+
+
+#: This worker's automaton, by model: what it has met serves later tasks.
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, model) -> Automaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(*model.value)
+    return _BUILT[name]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     marks = F.broadcast(bounded(marks, "doc_id", TRAIN))
-    train = docs.select("doc_id", "text").join(marks, "doc_id")
+    train = written(docs.select("doc_id", "text").join(marks, "doc_id").select("text", "y"), "toxic-train")
     words, heads = learn_lexicon(train)
-    model = docs.sparkSession.sparkContext.broadcast((words, heads))  # at most TERMS terms
+    model, name = docs.sparkSession.sparkContext.broadcast((words, heads)), uuid.uuid4().hex  # at most TERMS terms
 
     def vectors(texts: pd.Series) -> pd.Series:
-        automaton = Automaton(*model.value)
+        automaton = _automaton(name, model)
         return texts.map(lambda t: features(t, automaton))
 
     x = F.pandas_udf(vectors, "array<double>")
@@ -213,13 +235,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         mean, scale, w = np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.array([1.0] * len(FEATURES) + [-3.0])
 
     def scores(batches):
-        automaton = Automaton(*model.value)
+        automaton = _automaton(name, model)
         for texts in batches:
             x = np.array([features(t, automaton) for t in texts]).reshape(len(texts), len(FEATURES))
             yield pd.Series(1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30))))
 
-    from collections.abc import Iterator
-
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     p = F.pandas_udf(scores, "double")(F.coalesce("text", F.lit("")))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
