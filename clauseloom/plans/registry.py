@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_functions", "q_matching", "q_search"]
+MODULES = ["q_functions", "q_matching", "q_search", "q_tables"]
 
 
 def _books():

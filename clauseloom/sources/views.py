@@ -73,10 +73,10 @@ select o_custkey % 20 as table_id, 0 as row_no, 0 as col_no, 'Standards' as cell
 union all select o_custkey % 20, 0, 1, case when o_custkey % 20 % 5 = 4 then 'Year' else 'Issued Year' end from orders group by 1, 4
 union all select o_custkey % 20, 0, 2, 'EU Harmonised Standards (YES/NO)' from orders group by 1
 union all select o_custkey % 20, 0, 3, case when o_custkey % 20 % 7 = 6 then 'Remarks' else 'Title' end from orders group by 1, 4
-union all select o_custkey % 20, o_orderkey, 0, case when o_orderkey % 10 = 0 then 'Category ' || cast(o_orderkey as string) else 'ISO ' || cast(10000 + o_orderkey % 60 as string) end from orders
-union all select o_custkey % 20, o_orderkey, 1, cast(1995 + o_orderkey % 30 as string) from orders where o_orderkey % 10 <> 0
-union all select o_custkey % 20, o_orderkey, 2, case when o_orderkey % 3 = 0 then 'Yes' else 'NO' end from orders where o_orderkey % 10 <> 0
-union all select o_custkey % 20, o_orderkey, 3, o_orderpriority from orders where o_orderkey % 10 <> 0""",
+union all select o_custkey % 20, o_orderkey + 1, 0, case when o_orderkey % 10 = 0 then 'Category ' || cast(o_orderkey as string) else 'ISO ' || cast(10000 + o_orderkey % 60 as string) end from orders
+union all select o_custkey % 20, o_orderkey + 1, 1, cast(1995 + o_orderkey % 30 as string) from orders where o_orderkey % 10 <> 0
+union all select o_custkey % 20, o_orderkey + 1, 2, case when o_orderkey % 3 = 0 then 'Yes' else 'NO' end from orders where o_orderkey % 10 <> 0
+union all select o_custkey % 20, o_orderkey + 1, 3, o_orderpriority from orders where o_orderkey % 10 <> 0""",
     "step_view": """
 select l_orderkey as run_id, l_linenumber as step_no, l_partkey % 15 as source_no,
   'dir' || cast(l_partkey % 4 as string) || '/sub' || cast(l_partkey % 3 as string) || '/file' || cast(l_partkey % 15 as string) || '.docx' as source_path,
