@@ -64,55 +64,56 @@ def regulation_key(x):
 
 
 def q(name, view_name, keys, columns, oracle_columns, base=False):
-    """Registers a projection of a view: keys as they are, named columns by both engines."""
+    """Registers a projection of a view: keys as they are, named columns by both engines.
+    ``columns`` is a function, so that registering needs no session."""
     sql = f"select {', '.join([*keys, *(f'{e} as {n}' for n, e in oracle_columns.items())])} from {view_name}"
 
     def run(spark, sf_dir):
-        return view(spark, sf_dir, view_name).select(*keys, *[c.alias(n) for n, c in columns.items()])
+        return view(spark, sf_dir, view_name).select(*keys, *[c.alias(n) for n, c in columns().items()])
 
     book.add(name, sql, *([] if base else [view_name]))(run)
 
 
-q("fn_norm_text", "documents", ["doc_id"], {"norm": T.norm_text("text")}, {"norm": norm("text")}, base=True)
-q("fn_norm_identifier", "catalog_view", ["row_no"], {"ident": S.identifier("standard_no")}, {"ident": ident("standard_no")})
-q("fn_norm_search_key", "catalog_view", ["row_no"], {"skey": S.search_key("standard_no"), "compact": S.compact_key("standard_no")}, {"skey": key("standard_no"), "compact": f"regexp_replace({key('standard_no')}, '[^A-Z0-9]+', '', 'g')"})
-q("fn_yes_no", "requirement_view", ["row_no"], {"yn": S.yes_no("harmonised")}, {"yn": f"case when upper({norm('harmonised')}) in ('Y','YES') then 'YES' when upper({norm('harmonised')}) in ('N','NO') then 'NO' else upper({norm('harmonised')}) end"})
-q("fn_year_coerce", "requirement_view", ["row_no"], {"y": T.year_coerce("issued_year"), "none": T.year_coerce("standards")}, {"y": f"case when regexp_matches({norm('issued_year')}, '^(19|20)[0-9]{{2}}$') then {norm('issued_year')}::int end", "none": "null::int"})
-q("fn_family", "catalog_view", ["row_no"], {"family": S.family("standard_no")}, {"family": family("standard_no")})
-q("fn_level", "catalog_view", ["row_no"], {"level": S.level("standard_no")["name"], "rank": S.level("standard_no")["rank"]}, dict(zip(("level", "rank"), level("standard_no"), strict=True)))
-q("fn_sheet_route", "catalog_view", ["row_no"], {"sheets": F.array_join(S.sheets("standard_no"), ",")}, {"sheets": f"case {family('standard_no')} when 'ISO_FAMILY' then 'ISO,EN' when 'IEC_FAMILY' then 'IEC' when 'ASTM' then 'ASTM' end"})
-q("fn_match_key", "catalog_view", ["row_no"], {"mkey": S.match_key("standard_no")}, {"mkey": match_key("standard_no")})
-q("fn_display_no", "catalog_view", ["row_no"], {"display": S.display_no("standard_no")}, {"display": f"case {family('standard_no')} when 'ASTM' then {cut(norm('standard_no'), '-[0-9]{2}[A-Z]?$')} else {cut(norm('standard_no'), YEAR_TAIL)} end"})
-q("fn_latest_year", "catalog_view", ["row_no"], {"year": S.latest_year("standard_no")}, {"year": latest_year("standard_no")})
-q("fn_amend_title", "catalog_view", ["row_no"], {"n": S.amendment("standard_no"), "t": S.title_with_amendment("title", "standard_no")}, {"n": "regexp_extract(standard_no, '/A([0-9]+)', 1)", "t": f"case when regexp_extract(standard_no, '/A([0-9]+)', 1) = '' then {norm('title')} else {norm('title')} || ' - Amendment ' || regexp_extract(standard_no, '/A([0-9]+)', 1) end"})
-q("fn_reg_key", "register_view", ["row_no"], {"rkey": S.regulation_key("key_text"), "target": S.is_regulation("key_text"), "year": T.years_max("date_text")}, {"rkey": regulation_key("key_text"), "target": f"regexp_matches({regulation_key('key_text')}, '^(MEDDEV|MDCG)')", "year": "list_max(list_transform(list_filter(regexp_split_to_array(date_text, '[^0-9]+'), lambda y: length(y) = 4), lambda y: y::int))"})
-q("fn_accepted_form", "catalog_view", ["row_no"], {"accepted": S.accepted_form("standard_no")}, {"accepted": f"regexp_matches({key('standard_no')}, '^(BS\\s+EN\\s+ISO|EN\\s+ISO|EN\\s+IEC)\\b')"})
-q("fn_number_parts", "toc_view", ["doc_id", "pos"], {"parts": F.array_join(T.number_parts("line"), "."), "rest": T.number_rest("line")}, {"parts": f"nullif(regexp_extract({norm('line')}, '^([0-9]+([.][0-9]+)*)', 1), '')", "rest": f"trim(regexp_replace({norm('line')}, '^[0-9]+([.][0-9]+)*[.):]*\\s*', ''))"})
+q("fn_norm_text", "documents", ["doc_id"], lambda: {"norm": T.norm_text("text")}, {"norm": norm("text")}, base=True)
+q("fn_norm_identifier", "catalog_view", ["row_no"], lambda: {"ident": S.identifier("standard_no")}, {"ident": ident("standard_no")})
+q("fn_norm_search_key", "catalog_view", ["row_no"], lambda: {"skey": S.search_key("standard_no"), "compact": S.compact_key("standard_no")}, {"skey": key("standard_no"), "compact": f"regexp_replace({key('standard_no')}, '[^A-Z0-9]+', '', 'g')"})
+q("fn_yes_no", "requirement_view", ["row_no"], lambda: {"yn": S.yes_no("harmonised")}, {"yn": f"case when upper({norm('harmonised')}) in ('Y','YES') then 'YES' when upper({norm('harmonised')}) in ('N','NO') then 'NO' else upper({norm('harmonised')}) end"})
+q("fn_year_coerce", "requirement_view", ["row_no"], lambda: {"y": T.year_coerce("issued_year"), "none": T.year_coerce("standards")}, {"y": f"case when regexp_matches({norm('issued_year')}, '^(19|20)[0-9]{{2}}$') then {norm('issued_year')}::int end", "none": "null::int"})
+q("fn_family", "catalog_view", ["row_no"], lambda: {"family": S.family("standard_no")}, {"family": family("standard_no")})
+q("fn_level", "catalog_view", ["row_no"], lambda: {"level": S.level("standard_no")["name"], "rank": S.level("standard_no")["rank"]}, dict(zip(("level", "rank"), level("standard_no"), strict=True)))
+q("fn_sheet_route", "catalog_view", ["row_no"], lambda: {"sheets": F.array_join(S.sheets("standard_no"), ",")}, {"sheets": f"case {family('standard_no')} when 'ISO_FAMILY' then 'ISO,EN' when 'IEC_FAMILY' then 'IEC' when 'ASTM' then 'ASTM' end"})
+q("fn_match_key", "catalog_view", ["row_no"], lambda: {"mkey": S.match_key("standard_no")}, {"mkey": match_key("standard_no")})
+q("fn_display_no", "catalog_view", ["row_no"], lambda: {"display": S.display_no("standard_no")}, {"display": f"case {family('standard_no')} when 'ASTM' then {cut(norm('standard_no'), '-[0-9]{2}[A-Z]?$')} else {cut(norm('standard_no'), YEAR_TAIL)} end"})
+q("fn_latest_year", "catalog_view", ["row_no"], lambda: {"year": S.latest_year("standard_no")}, {"year": latest_year("standard_no")})
+q("fn_amend_title", "catalog_view", ["row_no"], lambda: {"n": S.amendment("standard_no"), "t": S.title_with_amendment("title", "standard_no")}, {"n": "regexp_extract(standard_no, '/A([0-9]+)', 1)", "t": f"case when regexp_extract(standard_no, '/A([0-9]+)', 1) = '' then {norm('title')} else {norm('title')} || ' - Amendment ' || regexp_extract(standard_no, '/A([0-9]+)', 1) end"})
+q("fn_reg_key", "register_view", ["row_no"], lambda: {"rkey": S.regulation_key("key_text"), "target": S.is_regulation("key_text"), "year": T.years_max("date_text")}, {"rkey": regulation_key("key_text"), "target": f"regexp_matches({regulation_key('key_text')}, '^(MEDDEV|MDCG)')", "year": "list_max(list_transform(list_filter(regexp_split_to_array(date_text, '[^0-9]+'), lambda y: length(y) = 4), lambda y: y::int))"})
+q("fn_accepted_form", "catalog_view", ["row_no"], lambda: {"accepted": S.accepted_form("standard_no")}, {"accepted": f"regexp_matches({key('standard_no')}, '^(BS\\s+EN\\s+ISO|EN\\s+ISO|EN\\s+IEC)\\b')"})
+q("fn_number_parts", "toc_view", ["doc_id", "pos"], lambda: {"parts": F.array_join(T.number_parts("line"), "."), "rest": T.number_rest("line")}, {"parts": f"nullif(regexp_extract({norm('line')}, '^([0-9]+([.][0-9]+)*)', 1), '')", "rest": f"trim(regexp_replace({norm('line')}, '^[0-9]+([.][0-9]+)*[.):]*\\s*', ''))"})
 _t = norm("line")
 _n = f"(case when {_t} = '' then 0 else len(string_split({_t}, ' ')) end)"
 _ends = f"regexp_matches({_t}, '[.!?;]$')"
 _bound = f"({_t} <> '' and {_n} <= 28 and not regexp_matches({_t}, '(?i)^(figure|fig[.]|table)\\s*[0-9]') and not ({_ends} and {_n} > 6))"
 _numbered = f"regexp_matches({_t}, '^[0-9]+')"
-q("fn_heading_tests", "toc_view", ["doc_id", "pos"], {k: T.heading_tests("line")[k] for k in ("boundary", "plain", "unstructured", "sentence")}, {"boundary": _bound, "plain": f"({_bound} and ({_numbered} or ({_n} <= 12 and not {_ends} and regexp_matches({_t}, '^\\p{{Lu}}'))))", "unstructured": f"({_bound} and not {_numbered} and {_n} <= 12 and not {_ends})", "sentence": f"({_n} >= 8 and ({_ends} or contains({_t}, ', ')))"})
-q("fn_number_boundary", "toc_view", ["doc_id", "pos"], {"ends": T.number_boundary(F.array(F.lit(1), F.lit(1)), T.number_parts("line")), "cross": T.number_boundary(F.array(F.lit(2)), T.number_parts("line"), True)}, {"ends": f"(regexp_matches({_t}, '^[0-9]+ ') or (regexp_matches({_t}, '^1[.][0-9]+ ') and not regexp_matches({_t}, '^1[.]1 ')))", "cross": f"(regexp_matches({_t}, '^[0-9]+ ') and not regexp_matches({_t}, '^2 '))"})
-q("fn_heading_match", "toc_view", ["doc_id", "pos"], {"hit": T.heading_match("line", F.lit("2"), F.lit("heading")), "strict": T.heading_match("line", F.lit("2.1"), F.lit("Heading"), True)}, {"hit": f"((starts_with(lower({_t}), '2') and not regexp_matches(lower({_t}), '^2[0-9]') and contains(lower({_t}), 'heading')) or ends_with(lower({_t}), 'heading'))", "strict": f"(starts_with(lower({_t}), '2.1') and not regexp_matches(lower({_t}), '^2[.]1[0-9]') and contains(lower({_t}), 'heading'))"})
-q("fn_section_expr", "toc_view", ["doc_id", "pos"], {k: T.section_expr("line")[k] for k in ("first", "last", "title")}, {"first": f"nullif(regexp_extract({_t}, '^([0-9]+([.][0-9]+)*)', 1), '')", "last": f"nullif(regexp_extract({_t}, '^([0-9]+([.][0-9]+)*)', 1), '')", "title": f"case when {_numbered} then nullif(trim(regexp_replace({_t}, '^[0-9]+([.][0-9]+)*\\s*', '')), '') else {_t} end"})
+q("fn_heading_tests", "toc_view", ["doc_id", "pos"], lambda: {k: T.heading_tests("line")[k] for k in ("boundary", "plain", "unstructured", "sentence")}, {"boundary": _bound, "plain": f"({_bound} and ({_numbered} or ({_n} <= 12 and not {_ends} and regexp_matches({_t}, '^\\p{{Lu}}'))))", "unstructured": f"({_bound} and not {_numbered} and {_n} <= 12 and not {_ends})", "sentence": f"({_n} >= 8 and ({_ends} or contains({_t}, ', ')))"})
+q("fn_number_boundary", "toc_view", ["doc_id", "pos"], lambda: {"ends": T.number_boundary(F.array(F.lit(1), F.lit(1)), T.number_parts("line")), "cross": T.number_boundary(F.array(F.lit(2)), T.number_parts("line"), True)}, {"ends": f"(regexp_matches({_t}, '^[0-9]+ ') or (regexp_matches({_t}, '^1[.][0-9]+ ') and not regexp_matches({_t}, '^1[.]1 ')))", "cross": f"(regexp_matches({_t}, '^[0-9]+ ') and not regexp_matches({_t}, '^2 '))"})
+q("fn_heading_match", "toc_view", ["doc_id", "pos"], lambda: {"hit": T.heading_match("line", F.lit("2"), F.lit("heading")), "strict": T.heading_match("line", F.lit("2.1"), F.lit("Heading"), True)}, {"hit": f"((starts_with(lower({_t}), '2') and not regexp_matches(lower({_t}), '^2[0-9]') and contains(lower({_t}), 'heading')) or ends_with(lower({_t}), 'heading'))", "strict": f"(starts_with(lower({_t}), '2.1') and not regexp_matches(lower({_t}), '^2[.]1[0-9]') and contains(lower({_t}), 'heading'))"})
+q("fn_section_expr", "toc_view", ["doc_id", "pos"], lambda: {k: T.section_expr("line")[k] for k in ("first", "last", "title")}, {"first": f"nullif(regexp_extract({_t}, '^([0-9]+([.][0-9]+)*)', 1), '')", "last": f"nullif(regexp_extract({_t}, '^([0-9]+([.][0-9]+)*)', 1), '')", "title": f"case when {_numbered} then nullif(trim(regexp_replace({_t}, '^[0-9]+([.][0-9]+)*\\s*', '')), '') else {_t} end"})
 _pre = f"list_filter([case when length({norm('text')}) <= 180 then {norm('text')} end, trim(substring({norm('text')}, 1, 180)), trim(substring({norm('text')}, 1, 120)), trim(substring({norm('text')}, 1, 80)), trim(substring({norm('text')}, 1, 48))], lambda x: length(x) >= 12)"
-q("fn_probe_prefixes", "documents", ["doc_id"], {"n": F.size(T.probe_prefixes("text")).cast("long"), "longest": F.array_max(F.transform(T.probe_prefixes("text"), F.length)).cast("long")}, {"n": f"len(list_distinct({_pre}))", "longest": f"list_max(list_transform({_pre}, lambda x: length(x)))"}, base=True)
+q("fn_probe_prefixes", "documents", ["doc_id"], lambda: {"n": F.size(T.probe_prefixes("text")).cast("long"), "longest": F.array_max(F.transform(T.probe_prefixes("text"), F.length)).cast("long")}, {"n": f"len(list_distinct({_pre}))", "longest": f"list_max(list_transform({_pre}, lambda x: length(x)))"}, base=True)
 _cap = "'(?i)^(figure|fig|table)[.]?\\s*([0-9]+([-.][0-9]+)*)\\s*[.:]?\\s*(.*)$'"
-q("fn_caption_label", "caption_view", ["doc_id", "pos"], {k: T.caption_label("line")[k] for k in ("kind", "number", "rest")}, {"kind": f"case when lower(regexp_extract({_t}, {_cap}, 1)) in ('figure','fig') then 'figure' when lower(regexp_extract({_t}, {_cap}, 1)) = 'table' then 'table' end", "number": f"nullif(regexp_extract({_t}, {_cap}, 2), '')", "rest": f"case when regexp_matches({_t}, {_cap}) then regexp_extract({_t}, {_cap}, 4) end"})
-q("fn_path_norm", "pages", ["page_id"], {"p": T.path_norm("url"), "safe": T.safe_name("url")}, {"p": "array_to_string(list_filter(list_transform(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x)), lambda x: x not in ('', '.')), '/')", "safe": "regexp_replace(trim(url), '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')"}, base=True)
-q("fn_name_tokens", "pages", ["page_id"], {"tokens": F.array_join(F.array_sort(T.name_tokens("url", ("http", "https", "www", "com"))), " "), "slug": T.slug("url")}, {"tokens": "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(url), '[^a-z0-9]+'), lambda x: x <> '' and not regexp_matches(x, '^[0-9]+$') and x not in ('http','https','www','com')))), ' ')", "slug": "case when length(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) <= 60 then regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') else substring(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 51) || '_' || substring(md5(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 8) end"}, base=True)
+q("fn_caption_label", "caption_view", ["doc_id", "pos"], lambda: {k: T.caption_label("line")[k] for k in ("kind", "number", "rest")}, {"kind": f"case when lower(regexp_extract({_t}, {_cap}, 1)) in ('figure','fig') then 'figure' when lower(regexp_extract({_t}, {_cap}, 1)) = 'table' then 'table' end", "number": f"nullif(regexp_extract({_t}, {_cap}, 2), '')", "rest": f"case when regexp_matches({_t}, {_cap}) then regexp_extract({_t}, {_cap}, 4) end"})
+q("fn_path_norm", "pages", ["page_id"], lambda: {"p": T.path_norm("url"), "safe": T.safe_name("url")}, {"p": "array_to_string(list_filter(list_transform(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x)), lambda x: x not in ('', '.')), '/')", "safe": "regexp_replace(trim(url), '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')"}, base=True)
+q("fn_name_tokens", "pages", ["page_id"], lambda: {"tokens": F.array_join(F.array_sort(T.name_tokens("url", ("http", "https", "www", "com"))), " "), "slug": T.slug("url")}, {"tokens": "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(url), '[^a-z0-9]+'), lambda x: x <> '' and not regexp_matches(x, '^[0-9]+$') and x not in ('http','https','www','com')))), ' ')", "slug": "case when length(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) <= 60 then regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') else substring(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 51) || '_' || substring(md5(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 8) end"}, base=True)
 
 _LEVELS = "case event_id % 7 when 0 then 'debug' when 1 then 'Info' when 2 then 'WARN' when 3 then 'warning' when 4 then 'critical' when 5 then 'odd' else 'ERROR' end"
 _VALUE = f"case upper({_LEVELS}) when 'DEBUG' then 10 when 'INFO' then 20 when 'WARN' then 30 when 'WARNING' then 30 when 'CRITICAL' then 50 else 40 end"
-q("fn_severity", "events", ["event_id"], {"v": T.severity(F.expr(_LEVELS))}, {"v": _VALUE}, base=True)
+q("fn_severity", "events", ["event_id"], lambda: {"v": T.severity(F.expr(_LEVELS))}, {"v": _VALUE}, base=True)
 _ERR = "case event_id % 6 when 0 then 'SQL Server gone' when 1 then 'LDAP bind failed' when 2 then 'smtp refused' when 3 then 'URLError x' when 4 then 'Permission denied' else event_type end"
-q("fn_error_class", "events", ["event_id"], {"c": T.error_class(F.expr(_ERR))}, {"c": "case event_id % 6 when 0 then 'database' when 1 then 'ldap' when 2 then 'smtp' when 3 then 'download' when 4 then 'storage' else 'unknown' end"}, base=True)
-q("fn_content_hash", "orders", ["o_orderkey"], {"h": T.content_hash("o_orderkey", "o_custkey", "o_orderstatus")}, {"h": """sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}')"""}, base=True)
+q("fn_error_class", "events", ["event_id"], lambda: {"c": T.error_class(F.expr(_ERR))}, {"c": "case event_id % 6 when 0 then 'database' when 1 then 'ldap' when 2 then 'smtp' when 3 then 'download' when 4 then 'storage' else 'unknown' end"}, base=True)
+q("fn_content_hash", "orders", ["o_orderkey"], lambda: {"h": T.content_hash("o_orderkey", "o_custkey", "o_orderstatus")}, {"h": """sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}')"""}, base=True)
 _DATE = "case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') when 1 then strftime(o_orderdate, '%Y/%m/%d') when 2 then strftime(o_orderdate, '%Y-%m-%d') else 'n/a' end"
 _SDATE = "case o_orderkey % 4 when 0 then date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') when 1 then date_format(o_orderdate, 'yyyy/MM/dd') when 2 then date_format(o_orderdate, 'yyyy-MM-dd') else 'n/a' end"
-q("fn_datetime_parse", "orders", ["o_orderkey"], {"t": T.parse_time(F.expr(_SDATE)), "until": T.end_of_day(F.expr(_SDATE))}, {"t": "case when o_orderkey % 4 = 0 then date_trunc('second', o_orderdate) when o_orderkey % 4 in (1, 2) then date_trunc('day', o_orderdate)::timestamp end", "until": "case when o_orderkey % 4 <> 3 then date_trunc('day', o_orderdate)::timestamp + interval 1 day end"}, base=True)
+q("fn_datetime_parse", "orders", ["o_orderkey"], lambda: {"t": T.parse_time(F.expr(_SDATE)), "until": T.end_of_day(F.expr(_SDATE))}, {"t": "case when o_orderkey % 4 = 0 then date_trunc('second', o_orderdate) when o_orderkey % 4 in (1, 2) then date_trunc('day', o_orderdate)::timestamp end", "until": "case when o_orderkey % 4 <> 3 then date_trunc('day', o_orderdate)::timestamp + interval 1 day end"}, base=True)
 
 #: Item types by words of a type cell; fixed values.
 TYPES = (("chapter", ("chapter", "section", "章節")), ("figure", ("figure", "圖")), ("table", ("table", "表")), ("all", ("all", "全文")))
@@ -130,7 +131,7 @@ def item_type(x):
 
 
 _kind = "case when regexp_matches(lower(trim(operation)), '^[0-9]') then 'chapter' when starts_with(lower(operation), 'figure') then 'figure' when starts_with(lower(operation), 'table') then 'table' when lower(operation) = 'all' then 'all' when operation = '' then 'missing' else 'other' end"
-q("fn_item_type", "mapping_view", ["row_no"], dict(zip(("kind", "action"), item_type("operation"), strict=True)), {"kind": _kind, "action": f"case when {_kind} in ('chapter','figure','table','all') then 'extract ' || {_kind} when operation = '' then 'none' else 'insert text' end"})
+q("fn_item_type", "mapping_view", ["row_no"], lambda: dict(zip(("kind", "action"), item_type("operation"), strict=True)), {"kind": _kind, "action": f"case when {_kind} in ('chapter','figure','table','all') then 'extract ' || {_kind} when operation = '' then 'none' else 'insert text' end"})
 
 
 def option_tail(x):
