@@ -145,6 +145,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_nth", F.lit(1)) if repeats.isEmpty() else rows.withColumn("_nth", F.row_number().over(nth.orderBy("_size")))
     both = rows.join(runs.withColumnRenamed("doc_id", "_d"), (F.col("doc_id").eqNullSafe(F.col("_d"))) & (rows["_tie"] == runs["_tie"]) & (rows["_nth"] == runs["_nth"]))
     words = F.regexp_extract_all("text", F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    text = F.rtrim(F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice("_words", (r["_from"] + 1).cast("int"), (r["_to"] - r["_from"]).cast("int")))), ""))
-    made = both.withColumn("_words", words).withColumn("text", text)
+    cut = lambda w: F.transform("_runs", lambda r: F.slice(w, (r["_from"] + 1).cast("int"), (r["_to"] - r["_from"]).cast("int")))
+    pieces = F.get(F.transform(F.array(words), cut), F.lit(0))  # the array binds the words once
+    made = both.withColumn("text", F.rtrim(F.array_join(F.flatten(pieces), "")))
     return made.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) if c == "text" else rows[c] for c in docs.columns])

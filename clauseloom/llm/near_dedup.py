@@ -159,7 +159,8 @@ def _by_prefix(corpus: _Corpus, rows: DataFrame) -> DataFrame:
     first n - ceil(0.75 n) + 1 shingles of each in any common order; the order
     is by rarity. If their first common shingle is hot, all common ones are, so
     the hot shingles of each must suffice for the overlap: this keeps documents
-    apart that share a passage and little else. No link is lost."""
+    apart that share a passage and little else. And what either has left from
+    that shingle on must suffice for the overlap. No link is lost."""
     ids = written(rows.groupBy("rep").agg(F.max("open").alias("open"), F.max("comp").alias("comp")), "dedup-open")
     sets = corpus.sets(ids.select("rep"))
     each = sets.select("rep", F.explode("shingles").alias("s"))
@@ -167,11 +168,11 @@ def _by_prefix(corpus: _Corpus, rows: DataFrame) -> DataFrame:
     ranked = each.join(often, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("t"))  # a document's own set
     keep = F.size("t") - F.ceil(F.size("t") * F.lit(0.75)) + 1
     ranked = ranked.withColumn("n", F.size("t")).withColumn("h", F.size(F.filter("t", lambda x: x["f"] > RARE)))
-    heads = ranked.join(ids, "rep").select("rep", "open", "comp", "n", "h", F.explode(F.slice("t", F.lit(1), keep.cast("int"))).alias("t"))
-    heads = written(heads.filter("t.f > 1").select("rep", "open", "comp", "n", "h", F.col("t.s").alias("s"), (F.col("t.f") > RARE).alias("hot")), "dedup-heads")
-    a = heads.filter("open").select("s", "hot", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("h").alias("ha"))
-    b = heads.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-    near = "100 * least(na, nb) >= 75 * greatest(na, nb) and (not hot or 175 * least(ha, hb) >= 75 * (na + nb))"
+    heads = ranked.join(ids, "rep").select("rep", "open", "comp", "n", "h", F.posexplode(F.slice("t", F.lit(1), keep.cast("int"))).alias("i", "t"))
+    heads = written(heads.filter("t.f > 1").select("rep", "open", "comp", "n", "h", "i", F.col("t.s").alias("s"), (F.col("t.f") > RARE).alias("hot")), "dedup-heads")
+    a = heads.filter("open").select("s", "hot", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("h").alias("ha"), (F.col("n") - F.col("i")).alias("la"))
+    b = heads.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("h").alias("hb"), (F.col("n") - F.col("i")).alias("lb"))
+    near = "100 * least(na, nb) >= 75 * greatest(na, nb) and 7 * least(la, lb) >= 3 * (na + nb) and (not hot or 175 * least(ha, hb) >= 75 * (na + nb))"
     return _pairs(a.join(b, "s").filter(f"ca <> cb and {near}"), "a", "b")
 
 
