@@ -185,19 +185,26 @@ def chunks_of(text: str) -> list[str]:
     return [first, *(" " + x for x in rest)] if text else []
 
 
+#: Below this code point the two Unicode versions agree for certain, and the plain pattern serves.
+AGREED = "\u0500"
+
+
 class _Cutter:
     """Words of texts; the byte ids of a word."""
 
-    def __init__(self, path: str, pattern: str):
-        self.words = regex.compile(pattern).findall
+    def __init__(self, path: str, patterns: tuple[str, str]):
+        self.plain, self.exact = (regex.compile(p).findall for p in patterns)
         self.ranks = ranks_of(path)
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
 
+    def words(self, chunk: str) -> list[str]:
+        return self.plain(chunk) if chunk.isascii() or max(chunk) < AGREED else self.exact(chunk)
+
     def byte_ids(self, word: str) -> list[int]:
         return [self.bytes[b] for b in word.encode()]
 
 
-def _counts(path: str, pattern: str):
+def _counts(path: str, pattern: tuple[str, str]):
     """Words that are no tokens, with their occurrences in a part of the texts."""
 
     def run(batches):
@@ -223,7 +230,7 @@ def _counts(path: str, pattern: str):
     return run
 
 
-def _byte_rows(path: str, pattern: str):
+def _byte_rows(path: str, pattern: tuple[str, str]):
     def run(batches):
         cutter = _Cutter(path, pattern)
         for batch in batches:
@@ -233,7 +240,7 @@ def _byte_rows(path: str, pattern: str):
     return run
 
 
-def word_table(texts: DataFrame, path: str, pattern: str) -> dict[str, tuple[int, ...]]:
+def word_table(texts: DataFrame, path: str, pattern: tuple[str, str]) -> dict[str, tuple[int, ...]]:
     """Ids of the corpus's most frequent words, at most ``TABLE_WORDS`` of them."""
     counts = texts.mapInArrow(_counts(path, pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     counts = written(counts, "bpe-words")
@@ -262,7 +269,7 @@ class _Table:
 _BLOCK = "rows binary, refs array<array<int>>, words array<array<int>>"
 
 
-def _blocks(path: str, pattern: str, table: _Table):
+def _blocks(path: str, pattern: tuple[str, str], table: _Table):
     """Blocks of documents: each document's ids, where -i stands for the block's word i - 1."""
 
     def run(batches):
@@ -358,7 +365,7 @@ def _documents(batches):
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` but with ``ids``: its token ids, array<int>."""
-    pattern = library_pattern(pattern)
+    pattern = (pattern, library_pattern(pattern))
     texts = docs.select(F.col(text).alias("_text"))
     table = _Table(docs.sparkSession.sparkContext.broadcast(word_table(texts, path, pattern)))
     rest = docs.drop(text)

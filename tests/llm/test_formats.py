@@ -80,7 +80,7 @@ def test_bpe_documents(spark):
 def test_heap_equals_fold(spark):
     random.seed(2)
     words = ["".join(random.choice("theindaoré ") for _ in range(random.randint(1, 60))) for _ in range(300)]
-    cutter = bpe._Cutter(RANKS, public_tokenizers.PATTERN)
+    cutter = bpe._Cutter(RANKS, (public_tokenizers.PATTERN,) * 2)
     rows = [(w, cutter.byte_ids(w)) for w in words]
     got = spark.createDataFrame(rows, "w string, b array<int>").select("w", bpe.fold_merges(F.col("b"), RANKS).alias("ids")).collect()
     assert all(r.ids == bpe.heap_merges(cutter.byte_ids(r.w), bpe.pair_ranks(RANKS)) for r in got)
