@@ -80,7 +80,7 @@ def _rank_map_json(path: str) -> str:
     buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
     for (a, b), rank in pair_ranks(path).items():
         buckets[(31 * a + b) % BUCKETS].append(b * SHIFT + rank)
-    return json.dumps(buckets)
+    return json.dumps(buckets, separators=(",", ":"))
 
 
 @lru_cache(maxsize=4)
@@ -90,14 +90,17 @@ def library_pattern(pattern: str) -> str:
     code points are taken out of the class or added to it."""
     import tiktoken
 
-    points = "".join(chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF)
     single = {bytes([i]): i for i in range(256)}
     for name in (r"\p{L}", r"\p{N}"):
-        theirs = set(bytes(tiktoken.Encoding("points", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(points)).decode())
-        ours = set(regex.findall(name, points))
-        body = name + "".join(f"--{_ranges(ours - theirs)}" for _ in [0] if ours - theirs)
-        body = f"[{body}]" + (f"||{_ranges(theirs - ours)}" if theirs - ours else "")
-        pattern = pattern.replace(name, f"[{body}]")
+        library = tiktoken.Encoding("points", pat_str=name, mergeable_ranks=single, special_tokens={})
+        find, less, more = regex.compile(name).findall, set(), set()
+        for at in range(0, 0x110000, 1 << 14):
+            points = "".join(chr(i) for i in range(at, at + (1 << 14)) if not 0xD800 <= i <= 0xDFFF)
+            theirs, ours = set(bytes(library.encode_ordinary(points)).decode()), set(find(points))
+            less |= ours - theirs
+            more |= theirs - ours
+        body = f"[{name}--{_ranges(less)}]" if less else name
+        pattern = pattern.replace(name, f"[{body}||{_ranges(more)}]" if more else f"[{body}]")
     return "(?V1)" + pattern
 
 
@@ -128,27 +131,37 @@ def fold_merges(word: Column, path: str) -> Column:
     rest = F.lit(1 << 30)  # to the end
     front = _long((SHIFT - 1) * SHIFT + SHIFT - 1)
 
-    def packed(a, b):
-        bucket = F.get(buckets, (31 * a + b).bitwiseAND(_long(BUCKETS - 1)).cast("int"))
-        rank = F.get(F.filter(bucket, lambda x: F.shiftright(x, 17) == b), F.lit(0)).bitwiseAND(mask)
-        return F.shiftleft(F.coalesce(rank, none), 17).bitwiseOR(a)
+    def packer(buckets):
+        def packed(a, b):
+            bucket = F.get(buckets, (31 * a + b).bitwiseAND(_long(BUCKETS - 1)).cast("int"))
+            rank = F.get(F.filter(bucket, lambda x: F.shiftright(x, 17) == b), F.lit(0)).bitwiseAND(mask)
+            return F.shiftleft(F.coalesce(rank, none), 17).bitwiseOR(a)
 
-    def step(parts, _):
-        at = lambda i: F.get(parts, i).bitwiseAND(mask)
+        return packed
 
-        def merged(m):
-            new = F.shiftright(m, 17)
-            place = F.array(F.array_position(parts, m).cast("int"))  # from 1, and never 1
-            joined = lambda p: F.concat(F.slice(parts, F.lit(1), p - 2), F.array(packed(at(p - 2), new), packed(new, at(p + 1))), F.slice(parts, p + 2, rest))
-            return F.get(F.transform(place, joined), F.lit(0))
+    def stepper(packed):
+        def step(parts, _):
+            at = lambda i: F.get(parts, i).bitwiseAND(mask)
 
-        best = F.filter(F.array(F.array_min(parts)), lambda m: m < _long((SHIFT - 1) * SHIFT))
-        return F.coalesce(F.get(F.transform(best, merged), F.lit(0)), parts)
+            def merged(m):
+                new = F.shiftright(m, 17)
+                place = F.array(F.array_position(parts, m).cast("int"))  # from 1, and never 1
+                joined = lambda p: F.concat(F.slice(parts, F.lit(1), p - 2), F.array(packed(at(p - 2), new), packed(new, at(p + 1))), F.slice(parts, p + 2, rest))
+                return F.get(F.transform(place, joined), F.lit(0))
+
+            best = F.filter(F.array(F.array_min(parts)), lambda m: m < _long((SHIFT - 1) * SHIFT))
+            return F.coalesce(F.get(F.transform(best, merged), F.lit(0)), parts)
+
+        return step
+
+    def folded(buckets):
+        packed = packer(buckets)
+        pairs = F.transform(word, lambda a, i: packed(a, F.get(word, i + 1)))
+        merged = F.aggregate(F.slice(word, F.lit(2), rest), F.concat(F.array(front), pairs), stepper(packed))
+        return F.transform(F.slice(merged, F.lit(2), rest), lambda v: v.bitwiseAND(mask))
 
     word = word.cast("array<bigint>")
-    pairs = F.transform(word, lambda a, i: packed(a, F.get(word, i + 1)))
-    merged = F.aggregate(F.slice(word, F.lit(2), rest), F.concat(F.array(front), pairs), step)
-    return F.transform(F.slice(merged, F.lit(2), rest), lambda v: v.bitwiseAND(mask))
+    return F.get(F.transform(F.array(buckets), folded), F.lit(0))  # the array binds the map once
 
 
 def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
