@@ -41,9 +41,9 @@ FOLD_BYTES = 96
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
 TABLE_WORDS, OFTEN = 200_000, 4
 #: Documents and characters of a block, about.
-BLOCK_DOCS, BLOCK_CHARS = 2000, 6_000_000
+BLOCK_DOCS, BLOCK_CHARS = 1500, 4_000_000
 #: Chunks that a task counts, and that a worker remembers, at most.
-HELD = 600_000
+HELD = 200_000
 #: Chunks of table words and tokens that this worker has met, by table.
 _MET: dict[int, dict[str, list[int]]] = {}
 
