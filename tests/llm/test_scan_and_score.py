@@ -97,6 +97,19 @@ def test_toxicity_held_out(spark):
     assert auc > 0.75 and sum(n >= 0.5 for n in neg) <= 0.01 * len(neg)
 
 
+def test_toxicity_words_under_heads_stay_fuzzy(spark):
+    toxic = ["you worthless lot", "a worthless man", "worthlessly said no one", "worthlessness all over"]
+    rows = [(i, toxic[i // 2 % 4] if i % 2 else f"fine day number {i}", "en", "s") for i in range(400)]
+    train = spark.createDataFrame([(r[1], r[0] % 2) for r in rows], "text string, y int")
+    words, heads = toxicity.learn_lexicon(train)
+    assert "wort" in heads and {"worthless", "worthlessly", "worthlessness"} <= set(words)
+    assert toxicity.Automaton(words, heads).match("vorthless")[:2] == ("near", 1)
+    labels = spark.createDataFrame([(r[0], 1, r[0] % 2) for r in rows], "doc_id long, quality int, toxic int")
+    odd = [(1001, "a vorthless man", "en", "s"), (1002, "a owrthless man", "en", "s"), (1003, "a different man", "en", "s")]
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, rows + odd), labels).collect()}
+    assert got[1001] > got[1003] and got[1002] > got[1003]
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, 1, 1), (77, None, None)], "doc_id long, quality int, toxic int")
     rows = [(i, "you scum" if i % 2 else "fine day", "en", "s") for i in range(40)] + [(None, None, None, None), (50, "", "en", "s"), (50, "", "en", "s"), (51, "scum " * 30_000, "en", "s")]
