@@ -168,18 +168,30 @@ def join_probe_contains(spark, d):
     return probe_scores(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+#: Most short probes' keys that are broadcast.
+BROADCAST_KEYS = 500_000
+
+
 def probe_scores(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Score of each item for each document: the lengths (at most 120) of its probes
     that the text contains. Probes of five or more words are found by the words two
-    to four, which are whole in any text that contains them; containment is then exact."""
-    probes = items.select("item_id", F.explode(T.probe_prefixes("text")).alias("probe")).withColumn("w", F.split("probe", " ")).filter(F.size("w") >= 5)
-    probes = probes.select("item_id", "probe", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.lit(3)), " ")).alias("k"))
+    to four, which are whole in any text that contains them; shorter ones by their
+    first 12 characters, which may stand anywhere. Containment is then exact."""
+    probes = items.select("item_id", F.explode(T.probe_prefixes("text")).alias("probe")).withColumn("w", F.split("probe", " "))
+    short = F.size("w") < 5
+    key = F.when(short, F.xxhash64(F.substring("probe", 1, 12))).otherwise(F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.lit(3)), " ")))
+    probes = probes.select("item_id", "probe", short.alias("short"), key.alias("k"))
     texts = docs.select("doc_id", T.norm_text("text").alias("t"))
     shingled = lambda w: F.transform(w, lambda x, i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(3)), " ")))
     grams = F.array_distinct(F.get(F.transform(F.array(F.split("t", " ")), shingled), F.lit(0)))  # the array binds the split once
-    keys = probes.select("k").distinct()
-    hits = texts.select("doc_id", F.explode(grams).alias("k")).join(keys, "k", "left_semi").distinct()
-    pairs = hits.join(probes, "k").select("doc_id", "item_id", "probe").distinct()
+    keys = probes.filter("not short").select("k").distinct()
+    hits = texts.select("doc_id", F.explode(grams).alias("k")).join(keys, "k", "left_semi").select("doc_id", "k")
+    keys = probes.filter("short").select("k").distinct()
+    if n := keys.count():
+        grams = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit("(?s)(?=(.{12}))"), F.lit(1)), lambda x: F.xxhash64(x)))
+        keys = F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+        hits = hits.union(texts.select("doc_id", F.explode(grams).alias("k")).join(keys, "k", "left_semi").select("doc_id", "k"))
+    pairs = hits.distinct().join(probes, "k").select("doc_id", "item_id", "probe").distinct()
     found = pairs.join(texts, "doc_id").filter(F.contains("t", "probe"))
     return found.groupBy("doc_id", "item_id").agg(F.sum(F.least(F.length("probe"), F.lit(120))).alias("score"))
 

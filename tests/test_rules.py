@@ -144,3 +144,24 @@ def test_stream_in_many_batches(spark, tmp_path):
     for i, _, j, s in events:
         want[j] = Q.fold_status([s], want.get(j))
     assert got == want
+
+
+def test_short_probes_are_found(spark):
+    rng = random.Random(5)
+    chars = "医疗器械生物学评价第一部分风险管理过程中的与试验😀é"
+    run = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    items = [(1, run(300)), (2, "Figure 3 Cross section"), (3, "internationalisation " * 20), (4, "elevenchars"), (5, "a b c d e f g h i j k"), (6, run(20) + " " + run(90)), (7, None)]
+    texts = [None, "", "x" + items[0][1] + "y", run(40) + items[0][1][:100], "see  theFigure 3\nCross sections", "re" + items[2][1], items[5][1][:60], "elevenchars", "Figure 3 Cross", "z b c d e f ga b c d e f g h i j k", run(30_000) + items[5][1]]
+    norm = lambda t: " ".join((t or "").split())
+    want = {}
+    for item, text in items:
+        text = norm(text)
+        probes = {text} if len(text) <= 180 else set()
+        probes |= {text[:n].strip() for n in (180, 120, 80, 48) if len(text) > n}
+        for doc, t in enumerate(texts):
+            found = sum(min(len(p), 120) for p in probes if len(p) >= 12 and p in norm(t))
+            if found:
+                want[doc, item] = found
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = q_structure.probe_scores(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and {i for _, i in want} == {1, 2, 3, 5, 6}
