@@ -45,7 +45,9 @@ HELD = 500_000
 FEATURES = ("exact", "exact_quoted", "near", "near_quoted", "head", "head_quoted", "weight", "share")
 
 _WORD = re.compile(r"\w+")
-_QUOTED = re.compile(r'"[^"\n]{0,400}"|“[^”\n]{0,400}”|«[^»\n]{0,400}»')
+#: Quotation marks, and the blank lines between paragraphs.
+_MARKS = re.compile(r'["“”«»]|\n\s*\n')
+_CLOSES = {'"': '"', "”": "“", "»": "«"}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -149,6 +151,20 @@ class Automaton:
         return None
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans from an opening mark to its closing one; each kind is paired by itself, within a paragraph."""
+    spans, opened = [], {}
+    for m in _MARKS.finditer(text):
+        mark = m[0]
+        if mark.isspace():
+            opened.clear()
+        elif (begin := opened.pop(_CLOSES.get(mark), None)) is not None:
+            spans.append((begin, m.end()))
+        elif mark in '"“«':
+            opened.setdefault(mark, m.start())
+    return spans
+
+
 def features(text: str | None, automaton: Automaton) -> list[float]:
     """Counts of hits by kind and context, the summed weight and the share of words."""
     lower = (text or "").lower()
@@ -156,12 +172,12 @@ def features(text: str | None, automaton: Automaton) -> list[float]:
     match = automaton.match
     if not words or not any(map(match, set(words))):
         return [0.0] * len(FEATURES)
-    quotes = [m.span() for m in _QUOTED.finditer(lower)]
+    quotes = quotations(lower)
     count, weight, hits = Counter(), 0.0, 0
     for i, m in enumerate(_WORD.finditer(lower)):
         if (got := match(m[0])) is None:
             continue
-        near = words[max(0, i - WINDOW) : i]
+        near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
         quoted = any(a < m.start() and m.end() < b for a, b in quotes) or not REPORTING.isdisjoint(near)
         count[got[0], quoted] += 1
         weight += got[2] * (0.3 if quoted else 1.0)

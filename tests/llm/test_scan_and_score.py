@@ -88,6 +88,15 @@ def test_toxicity_quotation_is_weaker():
     assert toxicity.features("you morom loweischaft", machine)[2] > 0
 
 
+def test_toxicity_context_on_both_sides():
+    machine = toxicity.Automaton({"moron": 3.0}, {})
+    quoted = ["moron, he said", "a moron b c d e said", '"' + "fine day\n" * 100 + 'you moron" he went', "«you\nmoron» go", "“a “b moron” go"]
+    plain = ["moron a b c d e said", 'a " b\n \nyou moron " go', 'a "b" moron "c" d', "” moron “ go", '"you moron']
+    for text, at in [*((t, 1) for t in quoted), *((t, 0) for t in plain)]:
+        got = toxicity.features(text, machine)
+        assert got[at] > 0 and got[1 - at] == 0, text
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
