@@ -65,6 +65,11 @@ def test_missing_sheet(spark):
         M.load_catalog(spark.createDataFrame([("ISO", 1, "ISO 1", "t", "是")], CATALOG))
 
 
+def test_required_sheets_among_many(spark):
+    names = [f"S{i}" for i in range(2000)] + list(M.REQUIRED_SHEETS)
+    assert M.load_catalog(spark.createDataFrame([(n, i, "ISO 1", "t", "是") for i, n in enumerate(names)], CATALOG)).count() == len(names)
+
+
 def test_rollback(spark):
     asked = spark.createDataFrame([(0, 0, "EN ISO 1:2000", "2000", "YES", "t"), (0, 1, "EN ISO 1:2000", "2000", "NO", "t"), (0, 2, "ISO 5", "", "", "")], "table_id int, row_no int, standards string, issued_year string, harmonised string, title string")
     picked = spark.createDataFrame([(0, r, "EN ISO 1", "t", 2020, "NO", False, "EN") for r in (0, 1)], "table_id int, row_no int, display string, cat_title string, year int, adopted string, fallback boolean, sheet string")
