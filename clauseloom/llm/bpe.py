@@ -1,18 +1,21 @@
 """Byte-level BPE as Spark higher-order functions over distinct words.
 
-Texts are cut into words by the public pattern. Each distinct word becomes an
-array of byte ids, and a fold merges its lowest-ranked pair again and again,
-looking pairs up in a literal rank map (a perfect hash table of longs, built
-from the rank file). Python cuts texts and puts words' ids in their places; it
-merges nothing but words beyond ``FOLD_BYTES`` bytes, where a heap takes the
-place of the fold's squared cost. Decoding concatenates the tokens' pieces.
+Texts are cut into words by the public pattern, as Spark's own regular
+expressions. Each distinct word becomes an array of byte ids, and a fold merges
+its lowest-ranked pair again and again, looking pairs up in a literal rank map
+(a hash table of longs, built from the rank file). Python numbers words and
+puts their ids in their places; it merges nothing but words beyond
+``FOLD_BYTES`` bytes, where a heap takes the place of the fold's squared cost.
+Decoding concatenates the tokens' binary pieces.
 
 Frequent words (at most ``TABLE_WORDS`` of them, which bounds what is
 broadcast; counted over all texts) are folded once; the other words once for
 each block of documents they occur in, so texts are never shuffled.
 
 Null text is empty and gives no ids. Special tokens are ordinary text. Rows
-that repeat are encoded alike; a row is one document whatever its doc_id.
+that repeat are encoded alike; a row is one document whatever its doc_id. An
+empty table gives an empty result. Other columns are kept, whatever their
+names; only a column that has the name of the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,36 +23,26 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
-import uuid
-from array import array
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
 
 #: Longest word, in bytes, that the fold merges.
-FOLD_BYTES = 96
+FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
-TABLE_WORDS, OFTEN = 200_000, 4
-#: Documents and characters of a block, about.
-BLOCK_DOCS, BLOCK_CHARS = 1500, 4_000_000
-#: Chunks that a task counts, and that a worker remembers, at most.
-HELD = 200_000
-#: Chunks of table words and tokens that this worker has met, by table.
-_MET: dict[int, dict[str, list[int]]] = {}
-
-#: Blanks at which no plain split is sound: those beside other white space, or at an end.
-_ODD_BLANK = re.compile(r"(?:^|\s) | (?:\s|$)")
-_SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+TABLE_WORDS, OFTEN = 700_000, 3
+#: Words of a block (about), and words that a task counts before it passes them on.
+BLOCK_WORDS, HELD = 6_000_000, 1_000_000
+#: Rows that Python works on at once.
+ROWS = 500
 
 
 @lru_cache(maxsize=4)
@@ -58,7 +51,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def pair_ranks(path: str) -> dict[tuple[int, int], int]:
     """Every pair of tokens whose joined bytes are a token, to that token's rank."""
     ranks, out = ranks_of(path), {}
@@ -83,85 +76,130 @@ def _rank_map_json(path: str) -> str:
     return json.dumps(buckets, separators=(",", ":"))
 
 
-@lru_cache(maxsize=4)
-def library_pattern(pattern: str) -> str:
-    """``pattern`` for the regex module, with \\p{L} and \\p{N} as the tokenizer
-    library's own Unicode version has them: where the two versions differ, the
-    code points are taken out of the class or added to it."""
-    import tiktoken
+#: Classes of the pattern whose members hang on the Unicode version.
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
 
-    single = {bytes([i]): i for i in range(256)}
-    for name in (r"\p{L}", r"\p{N}"):
-        library = tiktoken.Encoding("points", pat_str=name, mergeable_ranks=single, special_tokens={})
-        find, less, more = regex.compile(name).findall, set(), set()
-        for at in range(0, 0x110000, 1 << 14):
-            points = "".join(chr(i) for i in range(at, at + (1 << 14)) if not 0xD800 <= i <= 0xDFFF)
-            theirs, ours = set(bytes(library.encode_ordinary(points)).decode()), set(find(points))
-            less |= ours - theirs
-            more |= theirs - ours
-        body = f"[{name}--{_ranges(less)}]" if less else name
-        pattern = pattern.replace(name, f"[{body}||{_ranges(more)}]" if more else f"[{body}]")
-    return "(?V1)" + pattern
-
-
-def _ranges(points: set[str]) -> str:
+def _ranges(points) -> str:
     runs: list[list[int]] = []
-    for x in sorted(map(ord, points)):
+    for x in sorted(points):
         if runs and runs[-1][1] == x - 1:
             runs[-1][1] = x
         else:
             runs.append([x, x])
-    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "]"
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
+def _spark_classes(spark: SparkSession) -> dict[str, set[int]]:
+    """The code points of each class as the executors' regular expressions have them."""
+    point = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    points = spark.range(0, 0x110000, 1, 4).filter("id < 55296 or id > 57343").select(F.col("id").cast("int"), *[point.rlike(f"^{c}$").alias(f"c{i}") for i, c in enumerate(CLASSES)])
+    got = points.filter("c0 or c1 or c2").toArrow()  # the letters and digits of Unicode, whatever the input
+    return {c: set(got.filter(got[f"c{i}"])["id"].to_pylist()) for i, c in enumerate(CLASSES)}
+
+
+def _library_classes() -> dict[str, set[int]]:
+    """The same as the tokenizer library has them."""
+    import tiktoken
+
+    single, out = {bytes([i]): i for i in range(256)}, {}
+    points = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF)
+    for c in CLASSES:
+        library = tiktoken.Encoding("points", pat_str=c, mergeable_ranks=single, special_tokens={})
+        out[c] = {ord(x) for at in range(0, len(points), 1 << 14) for x in bytes(library.encode_ordinary(points[at : at + (1 << 14)])).decode()}
+    return out
+
+
+def _rewritten(pattern: str, bodies: dict[str, str]) -> str:
+    """``pattern`` with its classes spelled as ``bodies``, inside and outside brackets."""
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        name = next((c for c in CLASSES if pattern.startswith(c, at)), None)
+        if name:
+            out, at = out + (bodies[name] if inside else f"[{bodies[name]}]"), at + len(name)
+        elif pattern.startswith(r"\S", at):
+            out, at = out + rf"[^{bodies[chr(92) + 's']}]", at + 2
+        else:
+            step = 2 if pattern[at] == "\\" else 1
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out, at = out + pattern[at : at + step], at + step
+    return out
+
+
+_PATTERNS: dict[str, tuple[str, str, int]] = {}
+
+
+def spark_pattern(spark: SparkSession, pattern: str) -> tuple[str, str, int]:
+    """``pattern`` for Spark as (plain, exact, agreed): where the Unicode versions
+    differ, code points are taken out of a class or added to it in ``exact``;
+    for texts below the code point ``agreed``, ``plain`` does the same."""
+    if pattern not in _PATTERNS:
+        ours, theirs = _spark_classes(spark), _library_classes()
+        white = _ranges(theirs[r"\s"])
+        plain, exact, agreed = {r"\s": white}, {r"\s": white}, 0x110000
+        for c in CLASSES[:2]:
+            less, more = ours[c] - theirs[c], theirs[c] - ours[c]
+            agreed = min([agreed, *less, *more])
+            plain[c] = c
+            exact[c] = (f"[{c}&&[^{_ranges(less)}]]" if less else c) + _ranges(more)
+        _PATTERNS[pattern] = _rewritten(pattern, plain), _rewritten(pattern, exact), agreed
+    return _PATTERNS[pattern]
+
+
+def words_of(text: Column, patterns: tuple[str, str, int]) -> Column:
+    """The words of a text, array<string>."""
+    plain, exact, agreed = patterns
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    cut = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return cut(plain) if agreed > 0x10FFFF else F.when(text.rlike(rf"[\x{{{agreed:X}}}-\x{{10FFFF}}]"), cut(exact)).otherwise(cut(plain))
 
 
 def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_merges(word: Column, path: str) -> Column:
     """Token ids (array of bigint) of a word given as an array of byte ids.
 
     Parts are packed as rank * 2^17 + id, where rank is that of the pair the part
     forms with the next one (NONE if it forms none). The least part is the
-    lowest-ranked pair; equal parts are equal pairs, and the first is merged.
-    A part that pairs with nothing stands in front while the fold runs.
+    lowest-ranked pair; equal parts are equal pairs, and the first is merged: its
+    part takes the pair's rank as its id, the part before it is packed anew and
+    the part behind it goes.
     """
     buckets = F.from_json(F.lit(_rank_map_json(path)), T.ArrayType(T.ArrayType(T.LongType())))
     none = mask = _long(SHIFT - 1)
-    rest = F.lit(1 << 30)  # to the end
-    front = _long((SHIFT - 1) * SHIFT + SHIFT - 1)
+    gone, rest = _long(-1), F.lit(1 << 30)  # to the end
+    ident = lambda x: x.bitwiseAND(mask)
 
-    def packer(buckets):
+    def folded(buckets, word):
         def packed(a, b):
             bucket = F.get(buckets, (31 * a + b).bitwiseAND(_long(BUCKETS - 1)).cast("int"))
-            rank = F.get(F.filter(bucket, lambda x: F.shiftright(x, 17) == b), F.lit(0)).bitwiseAND(mask)
-            return F.shiftleft(F.coalesce(rank, none), 17).bitwiseOR(a)
-
-        return packed
+            # b * 2^17 taken from the pair's entry leaves its rank, from others more than a rank
+            rank = F.aggregate(bucket, none, lambda least, x: F.least(least, x.bitwiseXOR(F.shiftleft(b, 17))))
+            return F.shiftleft(F.least(rank, none), 17).bitwiseOR(a)
 
-    def stepper(packed):
         def step(parts, _):
-            at = lambda i: F.get(parts, i).bitwiseAND(mask)
+            def merged(p):  # the place of the least part, from 1
+                def part(x, i):
+                    first = packed(F.shiftright(x, 17), ident(F.get(parts, p + 1)))
+                    before = packed(ident(x), F.shiftright(F.get(parts, p - 1), 17))
+                    return F.when((i < p - 2) | (i > p), x).when(i == p - 1, first).when(i == p, gone).otherwise(before)
 
-            def merged(m):
-                new = F.shiftright(m, 17)
-                place = F.array(F.array_position(parts, m).cast("int"))  # from 1, and never 1
-                joined = lambda p: F.concat(F.slice(parts, F.lit(1), p - 2), F.array(packed(at(p - 2), new), packed(new, at(p + 1))), F.slice(parts, p + 2, rest))
-                return F.get(F.transform(place, joined), F.lit(0))
+                return F.array_remove(F.transform(parts, part), gone)
 
-            best = F.filter(F.array(F.array_min(parts)), lambda m: m < _long((SHIFT - 1) * SHIFT))
-            return F.coalesce(F.get(F.transform(best, merged), F.lit(0)), parts)
+            place = F.array_position(parts, F.array_min(parts)).cast("int")
+            return F.when(F.array_min(parts) < _long((SHIFT - 1) * SHIFT), _bound(place, merged)).otherwise(parts)
 
-        return step
-
-    def folded(buckets):
-        packed = packer(buckets)
         pairs = F.transform(word, lambda a, i: packed(a, F.get(word, i + 1)))
-        merged = F.aggregate(F.slice(word, F.lit(2), rest), F.concat(F.array(front), pairs), stepper(packed))
-        return F.transform(F.slice(merged, F.lit(2), rest), lambda v: v.bitwiseAND(mask))
+        return F.transform(F.aggregate(F.slice(word, F.lit(2), rest), pairs, step), ident)
 
-    word = word.cast("array<bigint>")
-    return F.get(F.transform(F.array(buckets), folded), F.lit(0))  # the array binds the map once
+    return _bound(buckets, lambda b: _bound(word.cast("array<bigint>"), lambda w: folded(b, w)))
 
 
 def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -185,212 +223,231 @@ def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x is not None]
 
 
-def _met(name: int) -> dict[str, list[int]]:
-    """What this worker remembers for a table; another table's chunks are let go."""
-    if name not in _MET:
-        _MET.clear()
-    return _MET.setdefault(name, {})
-
-
-def chunks_of(text: str) -> list[str]:
-    """Pieces of a text that no word crosses: cut before each lone blank."""
-    first, *rest = _SAFE_BLANK.split(text) if _ODD_BLANK.search(text) else text.split(" ")
-    return [first, *(" " + x for x in rest)] if text else []
-
-
-#: Below this code point the two Unicode versions agree for certain, and the plain pattern serves.
-AGREED = "\u0500"
+class _Vocabulary:
+    """Tokens as columns: their bytes, their ranks, and the ids of single bytes."""
 
+    def __init__(self, path: str):
+        ranks = ranks_of(path)
+        self.path, self.pieces, self.ranks = path, pa.array(list(ranks), pa.binary()), np.fromiter(ranks.values(), np.int32, len(ranks))
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
-class _Cutter:
-    """Words of texts; the byte ids of a word."""
+    def tokens(self, words: pa.Array) -> np.ndarray:
+        """The rank of each word that is a token, -1 for others."""
+        at = pc.index_in(words.cast(pa.binary()), value_set=self.pieces).fill_null(-1).to_numpy()
+        return np.where(at >= 0, self.ranks[at], -1)
 
-    def __init__(self, path: str, patterns: tuple[str, str]):
-        self.plain, self.exact = (regex.compile(p).findall for p in patterns)
-        self.ranks = ranks_of(path)
-        self.bytes = [self.ranks[bytes([i])] for i in range(256)]
+    def byte_ids(self, words: pa.Array) -> pa.ListArray:
+        """The byte ids of each word."""
+        raw = pa.concat_arrays([words.cast(pa.binary())])
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(self.single[data]))
 
-    def words(self, chunk: str) -> list[str]:
-        return self.plain(chunk) if chunk.isascii() or max(chunk) < AGREED else self.exact(chunk)
 
-    def byte_ids(self, word: str) -> list[int]:
-        return [self.bytes[b] for b in word.encode()]
+def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of a list column, and where each row's begin and end."""
+    ends = column.offsets.to_numpy()
+    return column.values.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
 
 
-def _counts(path: str, pattern: tuple[str, str]):
+def _counts(path: str):
     """Words that are no tokens, with their occurrences in a part of the texts."""
 
     def run(batches):
-        cutter, seen = _Cutter(path, pattern), Counter()
+        vocabulary, parts = _Vocabulary(path), []
+
+        def gathered():
+            table = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
+            parts[:] = [table.select(["word", "n_sum"]).rename_columns(["word", "n"])]
+            return parts[0]
 
         def flush():
-            words = Counter()
-            for chunk, n in seen.items():
-                if n > 1:  # the table only saves work: a word seen once here does not earn a place here
-                    for w in cutter.words(chunk):
-                        words[w] += n
-            seen.clear()
-            kept = [(w, n) for w, n in words.items() if w.encode() not in cutter.ranks and len(w) <= FOLD_BYTES]
-            return pa.record_batch([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+            table = gathered()
+            parts.clear()
+            # the table only saves work: a word seen once here does not earn a place here
+            table = table.filter(pc.and_(pc.greater(table["n"], 1), pc.less_equal(pc.binary_length(table["word"]), FOLD_BYTES)))
+            words = table["word"].combine_chunks()
+            return table.filter(pa.array(vocabulary.tokens(words) < 0)).to_batches() if len(words) else []
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(chunks_of(text or ""))
-                if len(seen) > HELD:
-                    yield flush()
-        yield flush()
+            for at in range(0, batch.num_rows, ROWS):
+                values, _ = _lists(batch.column(0).slice(at, ROWS))
+                seen = values.value_counts()
+                parts.append(pa.table({"word": seen.field(0), "n": seen.field(1)}))
+                if len(parts) >= 16 and len(gathered()) > HELD:
+                    yield from flush()
+        if parts:
+            yield from flush()
 
     return run
 
 
-def _byte_rows(path: str, pattern: tuple[str, str]):
+def _byte_rows(path: str):
     def run(batches):
-        cutter = _Cutter(path, pattern)
+        vocabulary = _Vocabulary(path)
         for batch in batches:
             words = batch.column(0)
-            yield pa.record_batch([words, pa.array([cutter.byte_ids(w) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.record_batch([words, vocabulary.byte_ids(words)], ["word", "ids"])
 
     return run
 
 
-def word_table(texts: DataFrame, path: str, pattern: tuple[str, str]) -> dict[str, tuple[int, ...]]:
-    """Ids of the corpus's most frequent words, at most ``TABLE_WORDS`` of them."""
-    counts = texts.mapInArrow(_counts(path, pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+def word_table(words: DataFrame, path: str) -> pa.Table:
+    """(word, ids) of the corpus's most frequent words, at most ``TABLE_WORDS`` of them."""
+    counts = words.mapInArrow(_counts(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     counts = written(counts, "bpe-words")
     level = F.floor(F.log2("n") * 8)
     steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()  # a few hundred at most
-    least, room = None, TABLE_WORDS
+    least, room = 1 << 20, TABLE_WORDS
     for row in sorted(steps, key=lambda r: -r["level"]):
         room -= row["words"]
         if room < 0:
             break
         least = row["level"]
-    if least is None:
-        return {}
-    often = counts.filter(level >= least).select("word").mapInArrow(_byte_rows(path, pattern), "word string, ids array<int>")
-    got = often.repartition("word").select("word", fold_merges(F.col("ids"), path).cast("array<int>").alias("ids")).toArrow()
-    return dict(zip(got["word"].to_pylist(), map(tuple, got["ids"].to_pylist()), strict=True))
-
+    often = counts.filter(level >= least).select("word").mapInArrow(_byte_rows(path), "word string, ids array<int>")
+    return often.repartition("word").select("word", fold_merges(F.col("ids"), path).cast("array<int>").alias("ids")).toArrow()
 
-class _Table:
-    """The broadcast words, with a name that no other table has."""
 
-    def __init__(self, words):
-        self.words, self.id = words, uuid.uuid4().int
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-_BLOCK = "rows binary, refs array<array<int>>, words array<array<int>>"
+#: Kinds of rows that a block is made of: words to fold, words with ids, documents.
+FOLD, DONE, DOCUMENT = 0, 1, 2
 
 
-def _blocks(path: str, pattern: tuple[str, str], table: _Table):
-    """Blocks of documents: each document's ids, where -i stands for the block's word i - 1."""
+def _blocks(path: str, table, block_words: int):
+    """Blocks: a row for each distinct word that is no token, then the documents,
+    where -i stands for the block's word i - 1."""
 
     def run(batches):
-        cutter, known = _Cutter(path, pattern), table.words.value
-        ranks, pairs, fixed = cutter.ranks, None, _met(table.id)
-        ids, refs, local, places, words, chars = [], [], {}, {}, [], 0
+        vocabulary, known, pairs = _Vocabulary(path), pa.ipc.open_stream(table.value).read_all().combine_chunks(), None
+        rows, texts, sizes, held = [], [], [], 0
 
-        def refs_of(chunk):
-            nonlocal pairs
-            out, plain = [], True
-            for w in cutter.words(chunk):
-                raw = w.encode()
-                if (rank := ranks.get(raw)) is not None:
-                    out.append(rank)
-                elif (got := known.get(w)) is not None:
-                    out += got
-                elif len(raw) > FOLD_BYTES:
-                    pairs = pairs or pair_ranks(path)
-                    out += heap_merges([cutter.bytes[b] for b in raw], pairs)
-                else:
-                    plain = False
-                    if w not in places:
-                        places[w] = len(places) + 1
-                        words.append([cutter.bytes[b] for b in raw])
-                    out.append(-places[w])
-            if plain and len(fixed) < HELD and len(chunk) <= FOLD_BYTES:
-                fixed[chunk] = out
-            local[chunk] = out
-            return out
+        def word_rows(kind: int, ids: pa.Array):
+            for at in range(0, len(ids), 20_000):
+                part = ids.slice(at, 20_000)
+                yield pa.record_batch([pa.array(np.full(len(part), kind, np.int32)), part, pa.nulls(len(part), rows[0].type)], ["_kind", "_ids", "_row"])
 
         def block():
-            rows = pa.record_batch([pa.concat_arrays(ids)], ["row"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as w:
-                w.write_batch(rows)
-            ends = np.cumsum([0, *map(len, refs)])
-            flat = np.concatenate([np.frombuffer(r, np.int32) for r in refs]) if refs else np.empty(0, np.int32)
-            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            outer = pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
-            found = pa.array([words], pa.list_(pa.list_(pa.int32())))
-            for x in (ids, refs, words):
+            nonlocal pairs
+            one = pa.chunked_array(texts).unify_dictionaries()
+            words = one.chunk(0).dictionary
+            refs = vocabulary.tokens(words)
+            others = np.flatnonzero(refs < 0)
+            rare = words.take(pa.array(others))
+            found = pc.index_in(rare, value_set=known["word"].combine_chunks()) if known.num_rows else pa.nulls(len(rare), pa.int32())
+            long = pc.greater(pc.binary_length(rare), FOLD_BYTES)
+            fold = np.flatnonzero(pc.and_(found.is_null(), pc.invert(long)).to_numpy(zero_copy_only=False))
+            heap = np.flatnonzero(pc.and_(found.is_null(), long).to_numpy(zero_copy_only=False))
+            done = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            yield from word_rows(FOLD, vocabulary.byte_ids(rare.take(pa.array(fold))))
+            if len(done):
+                yield from word_rows(DONE, known["ids"].combine_chunks().take(found.take(pa.array(done))))
+            if len(heap):
+                pairs = pairs or pair_ranks(path)
+                yield from word_rows(DONE, pa.array([heap_merges(x, pairs) for x in vocabulary.byte_ids(rare.take(pa.array(heap))).to_pylist()], pa.list_(pa.int32())))
+            refs[others[np.concatenate([fold, done, heap])]] = -1 - np.arange(len(others), dtype=np.int32)
+            for part, own, ends in zip(one.chunks, rows, sizes, strict=True):
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(refs[part.indices.to_numpy()]))
+                yield pa.record_batch([pa.array(np.full(len(own), DOCUMENT, np.int32)), ids, own], ["_kind", "_ids", "_row"])
+            for x in (rows, texts, sizes):
                 x.clear()
-            local.clear()
-            places.clear()
-            return pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary()), outer, found], ["rows", "refs", "words"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                ids.append(pa.StructArray.from_arrays([part.column(i) for i in range(1, part.num_columns)], part.schema.names[1:]))
-                for text in part.column(0).to_pylist():
-                    out, text = array("i"), text or ""
-                    for chunk in chunks_of(text):
-                        got = fixed.get(chunk) or local.get(chunk)
-                        out.extend(got if got is not None else refs_of(chunk))
-                    refs.append(out)
-                    chars += len(text)
-                if len(refs) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
-                    yield block()
-                    chars = 0
-        if refs:
-            yield block()
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                values, ends = _lists(part.column(0))
+                texts.append(values.dictionary_encode())
+                sizes.append(ends)
+                rows.append(pa.concat_arrays([part.column(1)]))
+                held += len(values)
+                if held >= block_words:
+                    yield from block()
+                    held = 0
+        if rows:
+            yield from block()
 
     return run
 
 
 def _documents(batches):
     """Rows with their ids: the block's words put in place of their references."""
+    pool, starts, words = np.empty(0, np.int32), np.zeros(1, np.int64), []
     for batch in batches:
-        for i in range(batch.num_rows):
-            with pa.ipc.open_stream(batch.column(0)[i].as_py()) as s:
-                rows = s.read_all().combine_chunks().to_batches()[0].column(0)
-            refs, words = batch.column(1)[i].values, batch.column(2)[i].values
-            flat = refs.values.to_numpy(zero_copy_only=False)[refs.offsets[0].as_py() : refs.offsets[-1].as_py()]
-            ends = refs.offsets.to_numpy() - refs.offsets[0].as_py()
-            starts = words.offsets.to_numpy() if words is not None and len(words) else np.zeros(1, np.int32)
-            pool = words.values.to_numpy(zero_copy_only=False) if words is not None and len(words) else np.empty(0, np.int32)
-            sizes = np.ones(len(flat), np.int64)
-            hits = np.flatnonzero(flat < 0)
-            which = -flat[hits] - 1
-            sizes[hits] = np.diff(starts)[which] if len(hits) else 0
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            out = np.empty(at[-1], np.int32)
-            out[at[:-1][flat >= 0]] = flat[flat >= 0]
-            if len(hits):
-                n = sizes[hits]
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out[np.repeat(at[:-1][hits], n) + within] = pool[np.repeat(starts[:-1][which], n) + within]
-            done = pa.ListArray.from_arrays(pa.array(at[ends], pa.int32()), pa.array(out))
-            for k in range(0, len(done), 500):
-                yield pa.record_batch([*rows.slice(k, 500).flatten(), done.slice(k, 500)], [*rows.type.names, "ids"])
-
-
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` but with ``ids``: its token ids, array<int>."""
-    pattern = (pattern, library_pattern(pattern))
-    texts = docs.select(F.col(text).alias("_text"))
-    table = _Table(docs.sparkSession.sparkContext.broadcast(word_table(texts, path, pattern)))
-    rest = docs.drop(text)
-    blocks = docs.select(F.col(text).alias("_text"), *rest.columns).mapInArrow(_blocks(path, pattern, table), _BLOCK)
-    folded = blocks.withColumn("words", F.transform("words", lambda w: fold_merges(w, path).cast("array<int>")))
-    return folded.mapInArrow(_documents, T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-
-
-def decode(ids: Column, path: str) -> Column:
-    """The bytes that token ids stand for: their pieces, concatenated."""
-    pieces = [b""] * (max(ranks_of(path).values()) + 1)
-    for piece, rank in ranks_of(path).items():
-        pieces[rank] = piece
-    literal = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+        kinds = batch.column(0).to_numpy() == DOCUMENT
+        cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if not kinds[a]:
+                values, ends = _lists(batch.column(1).slice(a, b - a))
+                words.append((values.to_numpy(), np.diff(ends)))
+                continue
+            if words:
+                pool, starts = np.concatenate([x for x, _ in words]), np.cumsum([0, *np.concatenate([n for _, n in words])])
+                words = []
+            for at in range(a, b, ROWS):
+                values, ends = _lists(batch.column(1).slice(at, min(ROWS, b - at)))
+                yield _placed(values.to_numpy(), ends, pool, starts, batch.column(2).slice(at, min(ROWS, b - at)))
+
+
+def _placed(flat: np.ndarray, ends: np.ndarray, pool: np.ndarray, starts: np.ndarray, rows: pa.StructArray) -> pa.RecordBatch:
+    hits = np.flatnonzero(flat < 0)
+    which = -1 - flat[hits]
+    n = starts[which + 1] - starts[which]
+    sizes = np.ones(len(flat), np.int64)
+    sizes[hits] = n
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(at[-1], np.int32)
+    out[at[:-1][flat >= 0]] = flat[flat >= 0]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(at[:-1][hits], n) + within] = pool[np.repeat(starts[which], n) + within]
+    ids = pa.ListArray.from_arrays(pa.array(at[ends], pa.int32()), pa.array(out))
+    return pa.record_batch([*rows.flatten(), ids], [*[f.name for f in rows.type], "_ids"])
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without ``text`` but with ``out``: its token ids, array<int>."""
+    spark = docs.sparkSession
+    cut = words_of(F.col(text), spark_pattern(spark, pattern))
+    table = spark.sparkContext.broadcast(_packed(word_table(docs.select(cut.alias("_words")), path)))
+    kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in (text, out)])
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.names]) if len(kept) else F.struct(F.lit(0).alias("_none"))
+    inner = kept if len(kept) else T.StructType([T.StructField("_none", T.IntegerType())])
+    schema = T.StructType([T.StructField("_kind", T.IntegerType()), T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_row", inner)])
+    blocks = docs.select(cut.alias("_words"), row.alias("_row")).mapInArrow(_blocks(path, table, block_words), schema)
+    folded = F.when(F.col("_kind") == FOLD, fold_merges(F.col("_ids"), path).cast("array<int>")).otherwise(F.col("_ids"))
+    made = blocks.select("_kind", folded.alias("_ids"), "_row").mapInArrow(_documents, T.StructType([*inner.fields, schema["_ids"]]))
+    return made.select(*[F.col(f"`{c}`") for c in kept.names], F.col("_ids").alias(out))
+
+
+def _pieces(path: str, ids_at: int):
+    def run(batches):
+        ranks = ranks_of(path)
+        pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        column = pa.array(pieces, pa.binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids, ends = _lists(part.column(ids_at).fill_null([]) if part.column(ids_at).null_count else part.column(ids_at))
+                raw = column.take(ids)
+                starts = np.frombuffer(raw.buffers()[1], np.int32) if len(raw) else np.zeros(1, np.int32)
+                joined = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts[ends], np.int32)), raw.buffers()[2] if len(raw) else pa.py_buffer(b"")])
+                yield pa.record_batch([*part.columns, joined], [*part.schema.names, "_bytes"])
+
+    return run
+
+
+def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
+    """``coded`` with ``out``: the bytes that the ids stand for, their pieces
+    concatenated. Null ids give no bytes."""
+    names = [c for c in coded.columns if c != out]
+    rows = coded.select([F.col(f"`{c}`") for c in names])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in rows.schema.fields], T.StructField("_bytes", T.BinaryType())])
+    return rows.mapInArrow(_pieces(path, names.index(ids)), schema).withColumnRenamed("_bytes", out)

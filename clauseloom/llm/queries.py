@@ -53,12 +53,12 @@ def op4_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id with the digests of its ids and of the decoded bytes."""
-    coded = bpe.encode(docs.select("doc_id", "text"), path)
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
 
 

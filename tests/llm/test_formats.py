@@ -52,38 +52,62 @@ def test_mpeg_columns(spark):
     assert spark.range(1).select(mpeg_audio.read(F.lit(None).cast("binary")).alias("r")).first().r.payload is None
 
 
+def library():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(RANKS), special_tokens={})
+
+
 def check_bpe(spark, docs):
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(RANKS), special_tokens={})
-    want = collections.Counter()
-    for r in docs.select("doc_id", "text").collect():
+    enc, want = library(), collections.Counter()
+    for r in docs.collect():
         ids = enc.encode_ordinary(r.text or "")
         want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
     assert collections.Counter(map(tuple, queries.bpe_digests(docs, RANKS).collect())) == want
 
 
-def test_bpe_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_DOCS", 100)
+def odd_texts():
     random.seed(5)
-    odd = [None, "", " ", "  a  b ", "\n \n x", "a" * 500, "ab" * 3000, "' 's''t", "\x1c\x1d a\x1f b\x85c  d  e", "é" * 300, "<|endoftext|> x", "🤷🏽‍♀️ ﷽ ١٢٣ Ⅷ½ ǅ ͏a", " " * 700 + "x", "don't I'll we'VE"]
-    odd += ["".join(random.choice("ab \n\t'st1.,é😀　\x1fè漢") for _ in range(random.randint(1, 60))) for _ in range(200)]
+    odd = [None, "", " ", "  a  b ", "\n \n x", "a" * 500, "ab" * 3000, "' 's''t", "\x1c\x1d a\x1f b\x85c  d\u2003 e", "é" * 300, "<|endoftext|> x", "🤷🏽\u200d♀️ ﷽ ١٢٣ Ⅷ½ ǅ ͏a", " " * 700 + "x", "don't I'll we'VE", "x " * 50_000]
+    odd += ["".join(random.choice("ab \n\t'st1.,é😀\u3000\x1fè漢") for _ in range(random.randint(1, 60))) for _ in range(200)]
     odd += ["".join(chr(random.choice([random.randint(1, 0xD7FF), random.randint(0xE000, 0x10FFFF)])) for _ in range(40)) for _ in range(100)]
-    rows = [(i, x, "clash") for i, x in enumerate(odd)] + [(3, odd[3], "clash"), (None, "thing", "clash")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    check_bpe(spark, docs.select("doc_id", "text"))
+    return [(i, x, "clash") for i, x in enumerate(odd)] + [(3, odd[3], "clash"), (None, "thing", "clash")]
+
+
+def test_bpe_odd_texts(spark):
+    docs = spark.createDataFrame(odd_texts(), "doc_id long, text string, ids string")
+    check_bpe(spark, docs)
     assert queries.bpe_digests(docs.limit(0), RANKS).count() == 0
 
 
+def test_bpe_every_code_point(spark):
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    rows = [(at, "a".join(points[at : at + 2000]) + " " + " ".join(points[at : at + 2000])) for at in range(0, len(points), 2000)]
+    check_bpe(spark, spark.createDataFrame(rows, "doc_id long, text string").filter("doc_id < 240000 or doc_id >= 900000"))
+
+
+def test_bpe_small_blocks_and_clashes(spark):
+    """Several blocks in a task; a column with the result's name is replaced, others stay as they are."""
+    rows = [(i, t, x, {"_kind": i}) for i, t, x in odd_texts()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, _row map<string,int>").withColumn("bytes", F.lit(1)).repartition(2)
+    coded = bpe.decode(bpe.encode(docs, RANKS, block_words=700), RANKS)
+    assert coded.columns == ["doc_id", "_row", "ids", "bytes"]
+    enc = library()
+    want = collections.Counter((i, str(m), tuple(enc.encode_ordinary(t or "")), (t or "").encode()) for i, t, _, m in rows)
+    assert collections.Counter((r.doc_id, str(r._row), tuple(r.ids), bytes(r.bytes)) for r in coded.collect()) == want
+    only = bpe.encode(docs.select("text"), RANKS)
+    assert only.columns == ["ids"] and only.count() == len(rows)
+
+
 def test_bpe_documents(spark):
     check_bpe(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
 
 def test_heap_equals_fold(spark):
     random.seed(2)
-    words = ["".join(random.choice("theindaoré ") for _ in range(random.randint(1, 60))) for _ in range(300)]
-    cutter = bpe._Cutter(RANKS, (public_tokenizers.PATTERN,) * 2)
-    rows = [(w, cutter.byte_ids(w)) for w in words]
-    got = spark.createDataFrame(rows, "w string, b array<int>").select("w", bpe.fold_merges(F.col("b"), RANKS).alias("ids")).collect()
-    assert all(r.ids == bpe.heap_merges(cutter.byte_ids(r.w), bpe.pair_ranks(RANKS)) for r in got)
+    words = ["".join(random.choice("theindaoré ") for _ in range(random.randint(1, 60))) for _ in range(300)] + ["na" * 200, "e" * 300]
+    single = bpe._Vocabulary(RANKS).single.tolist()
+    rows = [(w, [single[b] for b in w.encode()]) for w in words]
+    got = spark.createDataFrame(rows, "w string, b array<int>").select("b", bpe.fold_merges(F.col("b"), RANKS).alias("ids")).collect()
+    assert all(r.ids == bpe.heap_merges(r.b, bpe.pair_ranks(RANKS)) for r in got)
 
 
 def turns_of(text):
