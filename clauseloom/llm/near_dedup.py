@@ -153,23 +153,35 @@ class _Corpus:
         )
 
 
+def _candidates_left(sets: DataFrame) -> DataFrame:
+    """``sets`` (rep, shingles, ...) without those that have more than a quarter of
+    their shingles to themselves: no other set can hold three quarters of them.
+    Counted without a join, so a shingle that all share costs partial sums only."""
+    each = sets.select("rep", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    left = sets.join(alone, "rep", "left").filter(4 * F.coalesce("own", F.lit(0)) <= F.size("shingles")).select(sets.columns)
+    return written(left, "dedup-left")
+
+
 def _by_prefix(corpus: _Corpus, rows: DataFrame) -> DataFrame:
     """Pairs (lo, hi) of an open row with any row of ``rows`` (rep, comp, open)
     that can be similar. Two sets with a Jaccard index of 0.75 share one of the
-    first n - ceil(0.75 n) + 1 shingles of each in any common order; the order
-    is by rarity. If their first common shingle is hot, all common ones are, so
-    the hot shingles of each must suffice for the overlap: this keeps documents
-    apart that share a passage and little else. And what either has left from
-    that shingle on must suffice for the overlap. No link is lost."""
+    first n - ceil(0.75 n) + 1 shingles of each in any common order. The order
+    puts shingles in front that no open set shares with another, then goes by
+    rarity. If their first common shingle is hot, all common ones are, so the hot
+    shingles of each must suffice for the overlap: this keeps documents apart
+    that share a passage and little else. And what either has left from that
+    shingle on must suffice for the overlap. No link is lost."""
     ids = written(rows.groupBy("rep").agg(F.max("open").alias("open"), F.max("comp").alias("comp")), "dedup-open")
-    sets = corpus.sets(ids.select("rep"))
-    each = sets.select("rep", F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = each.join(often, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("t"))  # a document's own set
-    keep = F.size("t") - F.ceil(F.size("t") * F.lit(0.75)) + 1
-    ranked = ranked.withColumn("n", F.size("t")).withColumn("h", F.size(F.filter("t", lambda x: x["f"] > RARE)))
-    heads = ranked.join(ids, "rep").select("rep", "open", "comp", "n", "h", F.posexplode(F.slice("t", F.lit(1), keep.cast("int"))).alias("i", "t"))
-    heads = written(heads.filter("t.f > 1").select("rep", "open", "comp", "n", "h", "i", F.col("t.s").alias("s"), (F.col("t.f") > RARE).alias("hot")), "dedup-heads")
+    sets = _candidates_left(_candidates_left(corpus.sets(ids.select("rep")).join(ids, "rep")))
+    each = sets.select("rep", "open", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("f"), F.max("open").alias("any")).filter("f > 1 and any").select("s", "f")
+    found = each.select("rep", "s").join(shared, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("t"))  # a document's own set
+    ranked = sets.select("rep", "open", "comp", F.size("shingles").alias("n")).join(found, "rep").filter(4 * F.size("t") >= 3 * F.col("n"))
+    keep = F.size("t") - F.ceil(F.col("n") * F.lit(0.75)) + 1  # of the prefix, behind what is shared with none
+    ranked = ranked.withColumn("h", F.size(F.filter("t", lambda x: x["f"] > RARE)))
+    heads = ranked.select("rep", "open", "comp", "n", "h", (F.col("n") - F.size("t")).alias("before"), F.posexplode(F.slice("t", F.lit(1), keep.cast("int"))).alias("i", "t"))
+    heads = written(heads.select("rep", "open", "comp", "n", "h", (F.col("before") + F.col("i")).alias("i"), F.col("t.s").alias("s"), (F.col("t.f") > RARE).alias("hot")), "dedup-heads")
     a = heads.filter("open").select("s", "hot", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("h").alias("ha"), (F.col("n") - F.col("i")).alias("la"))
     b = heads.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("h").alias("hb"), (F.col("n") - F.col("i")).alias("lb"))
     near = "100 * least(na, nb) >= 75 * greatest(na, nb) and 7 * least(la, lb) >= 3 * (na + nb) and (not hot or 175 * least(ha, hb) >= 75 * (na + nb))"
