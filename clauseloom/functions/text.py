@@ -46,14 +46,14 @@ def number_rest(x) -> Column:
 
 
 def number_boundary(start, cand, cross: bool = False) -> Column:
-    """Whether a numbered candidate ends the section that ``start`` opens: no deeper,
-    not the same; at equal depth under another parent only if ``cross``."""
+    """Whether a numbered candidate ends the section that ``start`` opens: no deeper and
+    not the same; its last part must differ and the parts before it agree. With
+    ``cross`` any other number of the same depth will do."""
     s, c = col(start), col(cand)
-    parent = lambda a, n: F.slice(a, F.lit(1), F.greatest(n, F.lit(0)))
-    same_depth = F.lit(cross) | (parent(s, F.size(s) - 1) == parent(c, F.size(c) - 1))
-    shorter = parent(s, F.size(c) - 1) == parent(c, F.size(c) - 1)
-    ok = F.when(F.size(c) == F.size(s), same_depth).otherwise(shorter | F.lit(cross))
-    return F.coalesce((F.size(c) <= F.size(s)) & (c != s) & ok, F.lit(False))
+    n = F.size(c)
+    parents = F.slice(c, F.lit(1), F.greatest(n - 1, F.lit(0))) == F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    ok = parents & (F.get(c, n - 1) != F.get(s, n - 1))
+    return F.coalesce((n > 0) & (n <= F.size(s)) & (c != s) & (F.lit(cross) & (n == F.size(s)) | ok), F.lit(False))
 
 
 def words(x) -> Column:
@@ -61,38 +61,56 @@ def words(x) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
 
 
+CAPTION_LIKE = r"(?i)^(?:figure|table)\s+\d+(?:[.:]\d+)*[.:]?(?:\s|$)"
+CJK = r"[\x{3400}-\x{9fff}]"
+
+
 def heading_tests(x) -> Column:
-    """Struct of heading-like tests on a line."""
+    """Struct of heading-like tests on a line: ``boundary`` (at most 28 words, no
+    caption, no sentence end beyond six words), ``plain`` (a boundary with a leading
+    number), ``unstructured`` (at most 20 words, no closing mark, two words that
+    start with a capital, or CJK), ``sentence`` (long, or ended, or with a comma)."""
     t = norm_text(x)
     n = words(x)
-    caption = t.rlike(r"(?i)^(figure|fig\.|table|圖|表)\s*\d")
-    ends = t.rlike(r"[.!?;。！？；]$")
-    boundary = (t != "") & (n <= 28) & ~caption & ~(ends & (n > 6))
-    numbered = number_parts(t).isNotNull()
-    plain = boundary & (numbered | ((n <= 12) & ~ends & t.rlike(r"^\p{Lu}")))
+    closed = lambda marks: t.rlike(f"[{marks}]$")
+    short = lambda most: (t != "") & ~t.rlike(CAPTION_LIKE) & (n <= most) & ~((n > 6) & closed(".。;；"))
+    rest = F.trim(F.regexp_replace(t, r"^\d+(?:[.．]\d+)*", ""))
+    capital = lambda line: line.rlike(r"^\p{Lu}") | (F.upper(F.split(line, " ")[0]) == F.split(line, " ")[0]) & F.split(line, " ")[0].rlike(r"\p{Lu}")
+    named = (rest == "") | rest.contains(" ") | capital(rest) | rest.rlike(CJK)
     return F.struct(
-        boundary.alias("boundary"), plain.alias("plain"), (boundary & ~numbered & (n <= 12) & ~ends).alias("unstructured"),
-        ((n >= 8) & (ends | t.contains(", "))).alias("sentence"),
+        short(28).alias("boundary"), (short(28) & number_parts(t).isNotNull() & named).alias("plain"),
+        (short(20) & ~closed(".。;；:") & (t.rlike(CJK) | ((n >= 2) & capital(t)))).alias("unstructured"),
+        ((n >= 14) | ((n >= 5) & closed(".。;；")) | ((n >= 6) & t.rlike("[,，]"))).alias("sentence"),
     )
 
 
 def heading_match(x, number, title, require: bool = False) -> Column:
-    """Whether a line is the heading asked for: its number stands in front and the
-    title is contained, or (unless numbers are required) the title is all or the end of it."""
-    t, num, name = F.lower(norm_text(x)), F.lower(norm_text(number)), F.lower(norm_text(title))
-    after = F.substr(t, F.length(num) + 1, F.lit(1))
-    by_number = (num != "") & t.startswith(num) & ~after.rlike(r"^[\d]$") & t.contains(name)
-    by_title = (name != "") & t.endswith(name)
-    return by_number if require else by_number | by_title
+    """Whether a line is the heading asked for. With a number, that stands in front
+    (no digit behind it) and the title is contained; where it does not, the title
+    must be the line or its end, unless numbers are required. Without a number the
+    title is contained. Case counts."""
+    t, num, name = norm_text(x), F.regexp_replace(norm_text(number), r"\.+$", ""), norm_text(title)
+    as_dots = F.when(t.rlike(r"^\d"), F.translate(t, "．", ".")).otherwise(t)
+    digits = F.translate(F.regexp_replace(num, "[.．]+$", ""), "．", ".")
+    after = F.substr(as_dots, F.length(digits) + 1, F.lit(1))
+    in_front = (digits != "") & as_dots.startswith(digits) & ~after.rlike(r"^\d")
+    by_number = F.when(in_front, (name == "") | t.contains(name)).when(F.lit(require), False).otherwise((name != "") & t.endswith(name))
+    return F.when(num != "", by_number).otherwise((name != "") & t.contains(name))
 
 
 def section_expr(x) -> Column:
-    """Struct (first, last, title) of a section request such as ``1.1 - 1.3 title``."""
-    t = norm_text(x)
-    pattern = r"^(\d+(?:\.\d+)*)(?:\s*(?:-|–|~|～|至|到)\s*(\d+(?:\.\d+)*))?\s*(.*)$"
-    g = lambda i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
-    inline = F.nullif(F.regexp_extract(t, r"(?:^|\s)(\d+(?:\.\d+)+)(?:\s|$)", 1), F.lit(""))
-    return F.struct(F.coalesce(g(1), inline).alias("first"), F.coalesce(g(2), g(1), inline).alias("last"), F.coalesce(g(3), F.when(g(1).isNull(), t)).alias("title"))
+    """Struct (first, last, title) of a section request such as ``1.1 - 1.3 title``;
+    empty where there is none. A number inside the text opens a section whose title
+    is the whole text."""
+    t = F.trim(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    pattern = r"(?U)^(\d+(?:\.\d+)*\.?)(?:\s*[-~～至到]\s*(\d+(?:\.\d+)*\.?))?(?:\s+(.+))?$"
+    inline = F.regexp_extract(t, r"(?U)\b(\d+(?:\.\d+)*)\b", 1)
+    fits, bare = t.rlike(pattern), lambda c: F.regexp_replace(c, r"\.+$", "")
+    part = lambda i: F.regexp_extract(t, pattern, i)
+    return F.struct(
+        F.when(fits, bare(part(1))).otherwise(inline).alias("first"), F.when(fits, bare(part(2))).otherwise("").alias("last"),
+        F.when(fits, F.trim(part(3))).when(inline != "", t).otherwise("").alias("title"),
+    )
 
 
 def probe_prefixes(x, sizes: Iterable[int] = (180, 120, 80, 48), least: int = 12) -> Column:
@@ -126,17 +144,29 @@ def safe_name(x) -> Column:
     return F.when(n == "", "_").when(reserved, F.concat(F.lit("_"), n)).otherwise(n)
 
 
-def name_tokens(x, drop: Iterable[str] = ()) -> Column:
-    """Lower-case word tokens, without digits and the dropped words, in order."""
-    tokens = F.split(F.lower(F.coalesce(col(x), F.lit(""))), r"[^a-z0-9一-鿿]+")
-    kept = F.filter(tokens, lambda t: (t != "") & ~t.rlike(r"^\d+$"))
-    return F.array_distinct(F.array_except(kept, F.array(*map(F.lit, drop))) if tuple(drop) else kept)
+#: Words of file names that say nothing; fixed values.
+GENERIC_WORDS = (
+    "a", "an", "and", "by", "for", "from", "ii", "iii", "information", "input", "inputs", "manufacturer", "of",
+    "path", "section", "supplied", "system", "task", "td", "test", "the", "to", "ustar",
+)
+
+
+def name_tokens(x, folder=None, drop: Iterable[str] = GENERIC_WORDS) -> Column:
+    """Lower-case word tokens in order, repeats kept, without digits, dropped words and
+    the folder name's own tokens."""
+    cut = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^0-9A-Za-z]+"), lambda t: t != "")
+    kept = F.filter(cut(col(x)), lambda t: ~t.rlike(r"^\d+$") & ~t.isin(*drop))
+    return kept if folder is None else F.filter(kept, lambda t: ~F.array_contains(cut(col(folder)), t))
 
 
-def slug(x, most: int = 60) -> Column:
-    """A variable name: word characters only; long ones end in a hash."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(norm_text(x)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most - 9), F.lit("_"), F.substring(F.md5(t), 1, 8)))
+def slug(display, text="", most: int = 60) -> Column:
+    """A variable name of a heading's number and text: word characters only, ``section``
+    if nothing is left, ``sec_`` before a digit; a long one is cut and ends in a hash."""
+    t = norm_text(F.concat_ws(" ", col(display), F.lit(text) if isinstance(text, str) else text))
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[^0-9A-Za-z_ ]+", "_"), " ", "_"), "_+", "_")
+    t = F.regexp_replace(t, "^_+|_+$", "")
+    t = F.when(t == "", "section").when(t.rlike("^[0-9]"), F.concat(F.lit("sec_"), t)).otherwise(t)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most), F.lit("_"), F.substring(F.md5(t), 1, 8)))
 
 
 def severity(x) -> Column:

@@ -32,17 +32,17 @@ ADOPTED = f"""acand as (select c.*, case when regexp_matches({key('standard_no')
   exists (select 1 from adopt a where a.y = c.year and a.akey in ({ident('standard_no')}, c.mkey)) then 'YES' else 'NO' end as adopted from cand c)"""
 
 
-def rank_sql(source, out, best=True):
+def rank_sql(source, out, best=True, levels=None):
     pool = f"""{out}_b as (select *, first_value(sheet_order * 1000000000 + cat_row) over (partition by table_id, row_no, level order by sheet_order, cat_row) as seen,
       row_number() over (partition by table_id, row_no, level order by coalesce(year, 0) desc, sheet_order, cat_row) as rn from {source})""" if best else f"""{out}_b as (select *, sheet_order * 1000000000 + cat_row as seen, 1 as rn from {source})"""
     keep = "and (fam = 'ASTM' or case when checked then by_year and known when anyknown then known else true end)" if best else ""
-    return f"""{pool}, {out}_e as (select table_id, row_no, bool_or(by_year and known) as checked, bool_or(known) as anyknown from {source} group by 1, 2),
+    return f"""{pool}, {out}_e as (select table_id, row_no, bool_or(by_year and known) as checked, bool_or(known) as anyknown from {levels or source} group by 1, 2),
     {out} as (select b.*, row_number() over (partition by b.table_id, b.row_no order by case when fam = 'ASTM' or checked then coalesce(year, 0) else prio end desc,
       case when fam = 'ASTM' then 0 when checked then prio else coalesce(year, 0) end desc, seen) as final_rank
       from {out}_b b join {out}_e e on b.table_id = e.table_id and b.row_no = e.row_no where rn = 1 {keep})"""
 
 
-PICK = f"""{rank_sql('acand', 'rk')}, ycand as (select * from acand where adopted = 'YES'), {rank_sql('ycand', 'yk', False)},
+PICK = f"""{rank_sql('acand', 'rk')}, ycand as (select * from acand where adopted = 'YES'), {rank_sql('ycand', 'yk', False, 'acand')},
 pick as (select d.table_id, d.row_no, coalesce(y.candidate_id, d.candidate_id) as candidate_id, d.candidate_id as default_id,
   y.candidate_id is not null and y.candidate_id <> d.candidate_id as fallback, coalesce(y.display, d.display) as display, coalesce(y.cat_title, d.cat_title) as cat_title,
   case when y.candidate_id is not null then y.year else d.year end as year, coalesce(y.adopted, d.adopted) as adopted, coalesce(y.cat_row, d.cat_row) as cat_row
@@ -60,23 +60,33 @@ cls as (select table_id, row_no, case when display is null then 'NOT_FOUND' when
 
 
 def catalog(spark, d) -> DataFrame:
-    return M.load_catalog(view(spark, d, "catalog_view"), ("EN", "ASTM"))  # the smallest test table has no ISO rows
+    return M.load_catalog(view(spark, d, "catalog_view"))
+
+
+def requirements(spark, d) -> DataFrame:
+    return view(spark, d, "requirement_view")
 
 
 def cands(spark, d) -> DataFrame:
-    return M.candidates(view(spark, d, "requirement_view"), catalog(spark, d))
+    """Candidates per search."""
+    return M.key_candidates(requirements(spark, d), catalog(spark, d))
 
 
 def adopted(spark, d) -> DataFrame:
-    return M.with_adoption(cands(spark, d), M.adoption_keys(view(spark, d, "adoption_view")))
+    flagged = M.with_adoption(catalog(spark, d), M.adoption_keys(view(spark, d, "adoption_view")))
+    return M.key_candidates(requirements(spark, d), flagged)
+
+
+def for_rows(spark, d, per_key) -> DataFrame:
+    return M.for_rows(requirements(spark, d), per_key)
 
 
 def picked(spark, d) -> DataFrame:
-    return M.picks(adopted(spark, d))
+    return for_rows(spark, d, M.picks(adopted(spark, d)))
 
 
 def changes(spark, d) -> DataFrame:
-    return M.classified(view(spark, d, "requirement_view"), picked(spark, d))
+    return M.classified(requirements(spark, d), picked(spark, d))
 
 
 @book.add("src_catalog", f"with {CAT} select sheet, cat_row as row_no, standard_no, mkey, display, level, level_rank, year from cat", V[0])
@@ -96,22 +106,22 @@ def src_regulation_register(spark, d):
 
 @book.add("join_candidates", f"with {CAT}, {REQ}, {CAND} select table_id, row_no, candidate_id, year, level, by_year from cand", *V[:2])
 def join_candidates(spark, d):
-    return cands(spark, d).select("table_id", "row_no", "candidate_id", "year", "level", "by_year")
+    return for_rows(spark, d, cands(spark, d).select("skey", "candidate_id", "year", "level", "by_year"))
 
 
 @book.add("join_adoption_flag", f"with {CAT}, {REQ}, {CAND}, {ADOPT}, {ADOPTED} select table_id, row_no, candidate_id, adopted from acand", *V)
 def join_adoption_flag(spark, d):
-    return adopted(spark, d).select("table_id", "row_no", "candidate_id", "adopted")
+    return for_rows(spark, d, adopted(spark, d).select("skey", "candidate_id", "adopted"))
 
 
 @book.add("win_best_per_level", f"with {CAT}, {REQ}, {CAND}, {rank_sql('cand', 'rk')} select table_id, row_no, level, candidate_id from rk_b where rn = 1", *V[:2])
 def win_best_per_level(spark, d):
-    return M.best_per_level(cands(spark, d)).select("table_id", "row_no", "level", "candidate_id")
+    return for_rows(spark, d, M.best_per_level(cands(spark, d)).select("skey", "level", "candidate_id"))
 
 
 @book.add("win_final_rank", f"with {CAT}, {REQ}, {CAND}, {rank_sql('cand', 'rk')} select table_id, row_no, candidate_id, final_rank from rk", *V[:2])
 def win_final_rank(spark, d):
-    return M.ranked(cands(spark, d)).select("table_id", "row_no", "candidate_id", "final_rank")
+    return for_rows(spark, d, M.ranked(cands(spark, d)).select("skey", "candidate_id", "final_rank"))
 
 
 @book.add("win_adopted_first", f"with {CAT}, {REQ}, {CAND}, {ADOPT}, {ADOPTED}, {PICK} select table_id, row_no, candidate_id, fallback from pick", *V)
@@ -124,12 +134,7 @@ select c.table_id, c.row_no, candidate_id, row_number() over (partition by c.tab
   case when fam = 'ASTM' or checked then coalesce(year, 0) else prio end desc, case when fam = 'ASTM' then 0 when checked then prio else coalesce(year, 0) end desc, sheet_order, cat_row) as shown
 from cand c join e on c.table_id = e.table_id and c.row_no = e.row_no""", *V[:2])
 def win_display_rank(spark, d):
-    rows = cands(spark, d)
-    leveled, known, year, rank = F.col("want_family") != "ASTM", F.col("level").isin(*S.LEVELS), F.coalesce("year", F.lit(0)), M._priority(S.LEVELS)
-    checked = F.max(F.col("by_year") & known).over(Window.partitionBy("table_id", "row_no"))
-    rows = rows.withColumn("checked", checked)
-    w = Window.partitionBy("table_id", "row_no").orderBy(F.desc("by_year"), F.when(~leveled | known, 1).otherwise(0).desc(), F.when(~leveled | F.col("checked"), year).otherwise(rank).desc(), F.when(~leveled, 0).when(F.col("checked"), rank).otherwise(year).desc(), "sheet_order", "cat_row")
-    return rows.select("table_id", "row_no", "candidate_id", F.row_number().over(w).alias("shown"))
+    return for_rows(spark, d, M.shown(cands(spark, d)).select("skey", "candidate_id", "shown"))
 
 
 _OVER = "select table_id, row_no, case when row_no % 3 = 0 then 'none' else max(candidate_id) end as candidate_id from cand where row_no % 5 = 0 group by table_id, row_no"
@@ -139,7 +144,8 @@ _OVER = "select table_id, row_no, case when row_no % 3 = 0 then 'none' else max(
 select p.table_id, p.row_no, coalesce(g.candidate_id, p.candidate_id) as candidate_id, p.candidate_id as automatic_id, g.candidate_id is not null as overridden from pick p left join good g on p.table_id = g.table_id and p.row_no = g.row_no""", *V)
 def join_override(spark, d):
     c = adopted(spark, d)
-    return M.overridden(c, M.picks(c), sql(spark, d, _OVER, cand=c))
+    wanted = sql(spark, d, _OVER, cand=for_rows(spark, d, c.groupBy("skey").agg(F.max("candidate_id").alias("candidate_id"))))
+    return M.overridden(requirements(spark, d), c, M.picks(c), wanted)
 
 
 _EDITS = "select table_id, row_no, case row_no % 3 when 0 then 'title' when 1 then 'issued_year' else 'colour' end as field, 'edit ' || cast(row_no as string) as value from requirement_view where row_no % 4 = 0"

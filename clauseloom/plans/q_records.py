@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import records as R
 from ..sources.views import sql, table, view
 from .book import Book
 
@@ -53,8 +54,22 @@ def agg_cleanup_counts(spark, d):
     return jobs.unionByName(items)
 
 
-book.sql("join_active_job", "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events where event_id % 5 in (1, 2, 3)) e where rn = 1")
-book.sql("join_actor_fallback", "select o_orderkey, coalesce(nullif(case when o_orderkey % 3 = 0 then '' when o_orderkey % 3 = 1 then o_orderpriority end, ''), c_name) as actor from orders left join customer on c_custkey = o_custkey")
+@book.add("join_active_job", "select user_id, kind, event_id from (select *, row_number() over (partition by user_id, kind order by ts desc, event_id desc) as rn from (select *, event_id % 2 as kind from events where event_type in ('view', 'click', 'signup') and value > 20) x) e where rn = 1")
+def join_active_job(spark, d):
+    states = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "claimed").when(F.col("event_type") == "signup", "running").otherwise("completed")
+    jobs = table(spark, d, "events").select("user_id", (F.col("event_id") % 2).alias("kind"), "event_id", "ts", "value", states.alias("status"))
+    return R.active_job(jobs, ["user_id", "kind"], [F.desc("ts"), F.desc("event_id")], accept=F.col("value") > 20).select("user_id", "kind", "event_id")
+
+
+@book.add("join_actor_fallback", "select o_orderkey, case when o_orderkey % 3 = 1 then o_orderpriority when o_orderkey % 3 = 0 and o_clerk_id is not null then o_clerk_id else c_name end as actor from (select *, case when o_orderkey % 2 = 0 then 'w' || o_custkey end as o_clerk_id from orders) o left join customer on c_custkey = o_custkey")
+def join_actor_fallback(spark, d):
+    """The batch's label, else its work id, else the job's actor."""
+    label = F.when(F.col("o_orderkey") % 3 == 0, " ").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority"))
+    work = F.when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("w"), F.col("o_custkey").cast("string"))))
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return rows.select("o_orderkey", R.said(label, work, F.col("c_name")).alias("actor"))
+
+
 
 
 @book.add("join_recipient", """select c_custkey, count_if(o_orderstatus = 'F') as ok, count_if(o_orderstatus <> 'F') as failed, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as lines
@@ -105,8 +120,18 @@ def join_scheme_revision(spark, d):
     return orders.join(current, "o_custkey", "left").select("o_orderkey", state.alias("status"))
 
 
-book.sql("agg_batch_counts", "select o_custkey, count_if(l_returnflag = 'R') as ok, count_if(l_returnflag <> 'R') as failed, count(*) as items, max(o_orderdate) as newest from orders join lineitem on l_orderkey = o_orderkey group by o_custkey order by newest desc, o_custkey limit 40")
-book.sql("agg_tab_counts", "select case when event_type in ('view', 'click') then 'flow' when event_type = 'purchase' then 'mapping' else 'running' end as kind, count(*) as n from events group by 1")
+@book.add("agg_batch_counts", "select o_custkey, count_if(l_returnflag = 'R') as ok, count_if(l_returnflag <> 'R') as failed, count(*) as items, max(o_orderdate) as newest from orders join lineitem on l_orderkey = o_orderkey group by o_custkey order by newest desc, o_custkey limit 40")
+def agg_batch_counts(spark, d):
+    items = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return R.batch_summary(items, "o_custkey", F.col("l_returnflag") == "R", "o_orderdate", 40)
+
+
+@book.add("agg_tab_counts", "select case when event_type in ('view', 'click') then 'flow' when event_type = 'purchase' then 'mapping' else 'running' end as kind, count(*) as n from events group by 1")
+def agg_tab_counts(spark, d):
+    kind = F.when(F.col("event_type").isin("view", "click"), "flow").when(F.col("event_type") == "purchase", "mapping").otherwise("running")
+    return R.kind_totals(table(spark, d, "events"), kind)
+
+
 
 
 @book.add("agg_duplicate_names", "select lower(trim(p_name)) as name, count(*) as n from part group by 1 having count(*) > 1")
@@ -114,13 +139,45 @@ def agg_duplicate_names(spark, d):
     return table(spark, d, "part").groupBy(F.lower(T.norm_text("p_name")).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-book.sql("agg_latest_mtime", "select o_custkey, max(o_orderdate) as latest, max(o_orderdate) > timestamp '1997-01-01 00:00:00' as needs_review from orders group by 1")
-book.sql("agg_version_counts", "select o_custkey, count_if(o_orderstatus = 'O') as manual from orders group by 1")
-book.sql("agg_role_count", "select count(*) as holders from customer join nation on n_nationkey = c_nationkey where n_nationkey = 3")
-book.sql("win_active_release", "select o_custkey, o_orderkey, o_orderdate from (select *, row_number() over (partition by o_custkey order by case when o_orderstatus = 'O' then 0 else 1 end, o_orderdate desc, o_orderkey desc) as rn from orders) x where rn = 1")
-book.sql("win_version_change", "select o_orderkey, coalesce(o_orderpriority <> lag(o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey), true) as is_new from orders")
-_KEEP = "with v as (select *, case o_orderstatus when 'O' then 'manual' when 'F' then 'before_restore' else 'other' end as origin from orders) select o_custkey, o_orderkey, origin from (select *, row_number() over (partition by o_custkey, origin order by o_orderdate desc, o_orderkey desc) as rn from v) x where origin = 'other' or (origin = 'manual' and rn <= 3) or (origin = 'before_restore' and rn = 1)"
-book.sql("win_version_prune", _KEEP)
+@book.add("agg_latest_mtime", "select f.o_custkey, latest, coalesce(latest > saved, true) as needs_review from (select o_custkey, max(o_orderdate) as latest from orders group by 1) f left join (select o_custkey, arg_max(o_orderdate, o_orderkey) as saved from orders where o_custkey % 5 <> 0 group by 1) s on f.o_custkey = s.o_custkey")
+def agg_latest_mtime(spark, d):
+    """The saved time is that of the task's last registered file; a task that saved none needs a review."""
+    orders = table(spark, d, "orders")
+    saved = orders.filter("o_custkey % 5 <> 0").groupBy("o_custkey").agg(F.max_by("o_orderdate", "o_orderkey").alias("saved"))
+    return R.latest_change(orders, saved, "o_custkey", "o_orderdate")
+
+
+@book.add("agg_version_counts", "select o_custkey, sum(case o_orderstatus when 'O' then 1 else 0 end)::bigint as manual from orders group by 1")
+def agg_version_counts(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("manual"))
+
+
+@book.add("agg_role_count", "select count(*) as holders from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 3)")
+def agg_role_count(spark, d):
+    roles = table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    return R.holders(table(spark, d, "customer"), roles, "c_nationkey", F.col("n_regionkey") == 3)
+
+
+@book.add("win_active_release", "select o_custkey, coalesce(arg_max(o_orderkey, (o_orderdate, o_orderkey)) filter (where o_orderstatus = 'O'), arg_max(o_orderkey, (o_orderdate, o_orderkey))) as o_orderkey from orders group by 1")
+def win_active_release(spark, d):
+    return R.active_release(table(spark, d, "orders"), "o_custkey", F.col("o_orderstatus") == "O", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@book.add("win_version_change", """with v as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders)
+select a.o_orderkey, b.o_orderkey is null or a.o_orderpriority <> b.o_orderpriority or a.o_orderkey % 10 = 0 as is_new from v a left join v b on a.o_custkey = b.o_custkey and b.n = a.n - 1""")
+def win_version_change(spark, d):
+    rows = R.version_changes(table(spark, d, "orders"), "o_custkey", "o_orderpriority", [F.asc("o_orderdate"), F.asc("o_orderkey")], F.col("o_orderkey") % 10 == 0)
+    return rows.select("o_orderkey", "is_new")
+
+
+@book.add("win_version_prune", """with v as (select *, case o_orderstatus when 'O' then 'manual' when 'F' then 'before_restore' else 'other' end as origin from orders)
+select o_custkey, o_orderkey, origin from v where origin = 'other' or (select count(*) from v w where w.o_custkey = v.o_custkey and w.origin = v.origin and (w.o_orderdate > v.o_orderdate or (w.o_orderdate = v.o_orderdate and w.o_orderkey > v.o_orderkey))) < case origin when 'manual' then 3 else 1 end""")
+def win_version_prune(spark, d):
+    origin = F.when(F.col("o_orderstatus") == "O", "manual").when(F.col("o_orderstatus") == "F", "before_restore").otherwise("other")
+    rows = table(spark, d, "orders").withColumn("origin", origin)
+    return R.pruned(rows, "o_custkey", "origin", [F.desc("o_orderdate"), F.desc("o_orderkey")], {"manual": 3, "before_restore": 1}).select("o_custkey", "o_orderkey", "origin")
+
+
 
 
 @book.add("win_version_current", "with live as (select o_custkey, arg_max(o_orderpriority, lpad(cast(epoch_us(o_orderdate) as varchar), 20, '0') || lpad(cast(o_orderkey as varchar), 12, '0')) as h from orders group by 1) select o_orderkey, o_orderpriority = h as is_current from orders join live using (o_custkey) where o_orderstatus = 'O'")
@@ -145,24 +202,31 @@ def win_dedup_names(spark, d):
     return both.select("p_partkey", F.when(clash, again).otherwise(F.col("final")).alias("final"))
 
 
-book.sql("win_reusable_check", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_orderkey desc) as rn from orders where o_orderkey % 3 <> 0 and o_orderkey % 4 <> 0) x where rn = 1")
+@book.add("win_reusable_check", "select o_custkey, o_orderpriority, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey from orders where o_orderkey % 3 <> 0 and o_orderkey % 4 <> 0 group by 1, 2")
+def win_reusable_check(spark, d):
+    """The newest workspace of an owner for a file with both checks passed."""
+    both = table(spark, d, "orders").filter((F.col("o_orderkey") % 3 != 0) & (F.col("o_orderkey") % 4 != 0))
+    return R.first_per(both, ["o_custkey", "o_orderpriority"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey")
+
 
-_OLD = "select page_id % 50 as source_key, max(url) as filename, min(url) as uuid from pages where page_id % 3 = 0 group by 1"
-_NEW = "select page_id % 60 as source_key, max(url) as filename, min(url) as uuid from pages where page_id % 2 = 0 group by 1"
 
+_OLD = "select page_id % 50 as source_key, max(url) as filename, min(url) as uuid, case when min(page_id) % 4 = 0 then null else max(url) end as url from pages where page_id % 3 = 0 group by 1"
+_NEW = "select page_id % 60 as source_key, max(url) as filename, min(url) as uuid, case when min(page_id) % 8 = 0 then null else max(url) end as url from pages where page_id % 2 = 0 group by 1"
 
-@book.add("chg_source_decision", f"""select n.source_key, o.source_key is null or n.filename is distinct from o.filename or n.uuid is distinct from o.uuid as download,
-case when o.source_key is null then 'no state' else concat_ws(',', case when n.filename is distinct from o.filename then 'filename' end, case when n.uuid is distinct from o.uuid then 'uuid' end) end as reasons from ({_NEW}) n left join ({_OLD}) o on n.source_key = o.source_key""")
+
+@book.add("chg_source_decision", f"""select n.source_key, o.source_key is null or n.filename is distinct from o.filename or n.uuid is distinct from o.uuid or n.url is distinct from o.url as download,
+case when o.source_key is null then 'no state' else concat_ws(',', case when n.filename is distinct from o.filename then 'filename' end, case when n.uuid is distinct from o.uuid then 'uuid' end, case when n.url is distinct from o.url then 'url' end) end as reasons from ({_NEW}) n left join ({_OLD}) o on n.source_key = o.source_key""")
 def chg_source_decision(spark, d):
     return source_decision(sql(spark, d, _NEW), sql(spark, d, _OLD))
 
 
 def source_decision(new: DataFrame, old: DataFrame, force: bool = False) -> DataFrame:
-    """Whether a source needs a download, and why: compared null-safely with the last state."""
-    last = old.select("source_key", F.struct("filename", "uuid").alias("o"))
+    """Whether a source needs a download, and why: filename, uuid and url are compared null-safely with the last state."""
+    fields = ("filename", "uuid", "url")
+    last = old.select("source_key", F.struct(*fields).alias("o"))
     both = new.join(last, "source_key", "left")
-    why = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"o.{c}")), F.lit(c)) for c in ("filename", "uuid")]))
-    reasons = F.when(F.col("o").isNull(), "no state").otherwise(F.array_join(why, ","))
+    why = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"o.{c}")), F.lit(c)) for c in fields]))
+    reasons = F.when(F.lit(force), F.lit("forced")).when(F.col("o").isNull(), "no state").otherwise(F.array_join(why, ","))
     return both.select("source_key", (F.lit(force) | F.col("o").isNull() | (F.size(why) > 0)).alias("download"), reasons.alias("reasons"))
 
 
@@ -204,7 +268,33 @@ def chg_registry(spark, d):
     return kept.select(F.regexp_replace("path", r"^out/3(?=/|$)", "moved/3").alias("path"), "page_id")
 
 
-book.sql("chg_ready_status", "select o_orderkey, case when o_orderstatus = 'P' then 'failed' when o_totalprice > 1000 and o_orderpriority is not null and (o_orderkey % 2 = 0 or o_custkey % 3 = 0) then 'ready' else 'draft' end as status from orders")
-_ALLOWED = "((prev = 'queued' and status in ('claimed', 'failed')) or (prev = 'claimed' and status in ('running', 'queued', 'failed')) or (prev = 'running' and status in ('completed', 'failed', 'queued')))"
-book.sql("chg_status_transitions", f"with l as (select event_id, status, lag(status) over (partition by job_id order by ts, event_id) as prev from job_event_view) select event_id, prev is null or prev = status or {_ALLOWED} as allowed from l", "job_event_view")
-book.sql("chg_stale_jobs", "with h as (select job_id, max(ts) as beat, max_by(status, ts) as status from job_event_view group by 1) select job_id, 'queued' as status from h where status in ('claimed', 'running') and beat < timestamp '2024-01-30 12:00:00'", "job_event_view")
+@book.add("chg_ready_status", """select o_orderkey, case when o_totalprice > 1000 and o_orderkey % 5 <> 0 and (o_custkey % 2 = 1 or o_orderkey % 3 = 0) then 'ready' when o_orderstatus = 'P' then 'failed' else 'draft' end as status from orders""")
+def chg_ready_status(spark, d):
+    """Inputs: a file, a template; a list only where the mode is system."""
+    rows = table(spark, d, "orders")
+    given = [F.col("o_totalprice") > 1000, F.col("o_orderkey") % 5 != 0]
+    status = R.ready_status(rows, given, F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 2 == 0, F.col("o_orderstatus") == "P")
+    return rows.select("o_orderkey", status.alias("status"))
+
+
+def _ok(s: str, x: str) -> str:
+    steps = {"queued": "'claimed', 'canceled'", "claimed": "'running', 'canceled', 'queued'", "running": "'completed', 'failed', 'canceled', 'timeout', 'queued'"}
+    return f"({s} is null or {s} = {x} or " + " or ".join(f"({s} = '{k}' and {x} in ({to}))" for k, to in steps.items()) + ")"
+
+
+_STATES = "case event_type when 'signup' then 'queued' when 'view' then 'claimed' when 'click' then 'running' when 'purchase' then case event_id % 3 when 0 then 'completed' when 1 then 'failed' else 'timeout' end else case event_id % 2 when 0 then 'canceled' else 'queued' end end"
+
+
+@book.add("chg_status_transitions", f"""with recursive e as (select event_id, user_id as job, {_STATES} as x, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (select job, n, event_id, null::varchar as before, true as allowed, x as after from e where n = 1
+  union all select e.job, e.n, e.event_id, f.after, {_ok('f.after', 'e.x')}, case when {_ok('f.after', 'e.x')} then e.x else f.after end from f join e on e.job = f.job and e.n = f.n + 1)
+select event_id, before, allowed, after, after in ('queued', 'claimed', 'running', 'canceled') as can_cancel, after in ('failed', 'canceled', 'timeout') as can_retry from f""")
+def chg_status_transitions(spark, d):
+    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("job"), "ts", F.expr(_STATES).alias("status"))
+    return R.folded_log(events, "job", ["ts", "event_id"], "status", ["event_id"]).drop("job")
+
+
+@book.add("chg_stale_jobs", "select job_id, 'queued' as status from (select job_id, ts, status, row_number() over (partition by job_id order by ts desc) as rn from job_event_view) where rn = 1 and status in ('claimed', 'running') and ts < timestamp '2024-01-30 12:00:00'", "job_event_view")
+def chg_stale_jobs(spark, d):
+    beats = view(spark, d, "job_event_view").groupBy("job_id").agg(F.max("ts").alias("beat"), F.max_by("status", "ts").alias("status"))
+    return R.requeued(beats, "status", "beat", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("job_id", "status")

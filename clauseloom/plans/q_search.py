@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import records as R
 from ..sources.views import sql, table, view
 from .book import Book
 
@@ -106,7 +107,12 @@ def flt_toc(spark, d):
     return view(spark, d, "toc_view").filter(~(F.col("level").isNotNull() | F.col("line").rlike(r"\.{4,}\s*\d+$"))).select("doc_id", "pos")
 
 
-book.sql("flt_active_roots", "select s_suppkey, s_name from supplier where s_nationkey % 2 = 0 and coalesce(case when s_suppkey % 3 = 0 then null when s_suppkey % 3 = 1 then true else false end, true)")
+@book.add("flt_active_roots", "select s_suppkey, s_name from supplier where s_nationkey % 2 = 0 and s_suppkey % 3 <> 2")
+def flt_active_roots(spark, d):
+    rows = table(spark, d, "supplier").withColumn("active", F.when(F.col("s_suppkey") % 3 == 1, True).when(F.col("s_suppkey") % 3 == 2, False))
+    return R.active_roots(rows, F.col("s_nationkey") % 2 == 0, "active").select("s_suppkey", "s_name")
+
+
 
 
 @book.add("flt_payload_action", f"with j as ({_DPAY}) select job_id from j where status = 'failed' and (case when json_valid(payload) then payload end)->>'$.action' in ('check', 'check_extract')")
@@ -120,7 +126,12 @@ def srt_page(spark, d):
     return page(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 10**6, 20).drop("o_orderdate")
 
 
-book.sql("srt_queue_top", "select o_orderkey, o_orderpriority, o_orderdate from orders where o_orderstatus = 'P' and o_custkey % 3 in (0, 1) order by o_orderpriority desc, o_orderdate, o_orderkey limit 20")
+@book.add("srt_queue_top", "select o_orderkey, o_orderpriority, o_orderdate from orders where o_orderstatus = 'P' and o_custkey % 3 in (0, 1) order by o_orderpriority desc, o_orderdate, o_orderkey limit 20")
+def srt_queue_top(spark, d):
+    fits = (F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 3).isin(0, 1)
+    return R.queue_head(table(spark, d, "orders"), fits, "o_orderpriority", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderpriority", "o_orderdate")
+
+
 
 
 @book.add("srt_pinned", "select c_custkey, row_number() over (order by case c_custkey when 40 then 1 when 7 then 2 when 99 then 3 else 9 end, c_custkey) as place from customer")
@@ -137,10 +148,24 @@ def srt_pinned(spark, d):
     return rows.join(starts, ["pin", "part"]).select("c_custkey", (F.col("start") + F.row_number().over(w)).alias("place"))
 
 
-book.sql("srt_input_history", "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, case when o_orderstatus = 'O' then 0 else 1 end, o_orderkey) as place from orders")
-book.sql("srt_ci_list", "select name from (select lower(p_brand) as k, p_brand as name from part union select lower(p_type), p_type from part) u")
-_ACTIVE = "select event_id, 'run' as kind, event_type as state from events where event_type in ('view', 'click') and event_id % 2 = 0 union all select event_id, 'scheme' as kind, event_type as state from events where event_type = 'signup' and event_id % 2 = 1"
-book.sql("set_active_union", _ACTIVE)
+@book.add("srt_input_history", "select a.o_custkey, a.o_orderkey, (select count(*) from orders b where b.o_custkey = a.o_custkey and (b.o_orderdate > a.o_orderdate or (b.o_orderdate = a.o_orderdate and (b.o_orderstatus <> 'O', b.o_orderkey) <= (a.o_orderstatus <> 'O', a.o_orderkey)))) as place from orders a")
+def srt_input_history(spark, d):
+    return R.input_history(table(spark, d, "orders"), "o_custkey", "o_orderdate", F.col("o_orderstatus") == "O", "o_orderkey").select("o_custkey", "o_orderkey", "place")
+
+
+@book.add("srt_ci_list", "select distinct name from (select p_brand as name from part union all select p_type from part) u")
+def srt_ci_list(spark, d):
+    part = table(spark, d, "part")
+    return R.names_ignoring_case(part.select("p_brand"), part.select("p_type"))
+
+
+
+
+@book.add("set_active_union", "select event_id, case event_type when 'signup' then 'scheme' else 'run' end as kind, event_type as state from events where event_type in ('view', 'click') and event_id % 2 = 0 or event_type = 'signup' and event_id % 2 = 1")
+def set_active_union(spark, d):
+    events = table(spark, d, "events")
+    runs = events.filter(F.col("event_type").isin("view", "click") & (F.col("event_id") % 2 == 0))
+    return R.active_union(runs, events.filter("event_type = 'signup' and event_id % 2 = 1"), "event_id", "event_type")
 
 
 @book.add("set_history_union", "select event_id, 'flow' as kind, value, null::varchar as props from events where event_type = 'purchase' union all select event_id, 'mapping', null, props from events where event_type = 'view'")

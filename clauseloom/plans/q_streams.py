@@ -47,7 +47,7 @@ def str_error_stream(spark, d):
     return J.drained(J.error_stream(rows, "ERROR", T.severity).select("event_id"), "errors").drop("batch")
 
 
-@book.add("str_source_changes", f"""with c as (select n.source_key, o.source_key is null or n.filename is distinct from o.filename or n.uuid is distinct from o.uuid as download from ({_NEW}) n left join ({_OLD}) o on n.source_key = o.source_key) select source_key from c where download""")
+@book.add("str_source_changes", f"""with c as (select n.source_key, o.source_key is null or n.filename is distinct from o.filename or n.uuid is distinct from o.uuid or n.url is distinct from o.url as download from ({_NEW}) n left join ({_OLD}) o on n.source_key = o.source_key) select source_key from c where download""")
 def str_source_changes(spark, d):
     """Snapshots arriving in drops: each batch is compared with the last state, and only changes come out."""
     drop = shared_path(spark, "snapshots")
@@ -72,7 +72,7 @@ def str_match_rows(spark, d):
     drop = shared_path(spark, "requirements")
     view(spark, d, "requirement_view").write.parquet(drop)
     known = catalog(spark, d)
-    pick = lambda rows, n: M.picks(M.candidates(rows, known)).select("table_id", "row_no", "candidate_id")
+    pick = lambda rows, n: M.for_rows(rows, M.picks(M.key_candidates(rows, known)).select("skey", "candidate_id"))
     return J.drained(J.read_stream(spark, drop), "match-rows", batch=pick).drop("batch")
 
 

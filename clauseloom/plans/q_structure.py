@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import sequences as Q
+from ..operators import structure as B
 from ..sources.views import sql, table, view
 from .book import Book
 from .q_functions import norm
@@ -49,39 +50,79 @@ def win_caption_numbers(spark, d):
     return per_group(view(spark, d, "caption_view").select("doc_id", "pos", "line", "is_heading"), ["doc_id"], ["pos"], f, "doc_id long, pos long, line string")
 
 
-book.sql("win_orphan_captions", """with c as (select *, case when line like 'Figure %' then 'Figure' when line like 'Table %' then 'Table' end as kind, coalesce(lag(has_drawing) over (partition by doc_id order by pos), false) as prev, coalesce(lead(has_drawing) over (partition by doc_id order by pos), false) as nxt from caption_view),
-k as (select * from c where kind is null or has_drawing or prev or nxt)
-select doc_id, pos, kind, case when kind is not null then row_number() over (partition by doc_id, kind order by pos) end as number from k""", "caption_view")
+@book.add("win_orphan_captions", """with c as (select *, case when line like 'Figure %' then 'Figure' when line like 'Table %' then 'Table' end as kind from caption_view),
+k as (select * from c where kind is null or exists (select 1 from c n where n.doc_id = c.doc_id and n.has_drawing and n.pos between c.pos - 1 and c.pos + 1))
+select doc_id, pos, kind, case when kind is not null then (select count(*) from k m where m.doc_id = k.doc_id and m.kind = k.kind and m.pos <= k.pos) end as number from k""", "caption_view")
+def win_orphan_captions(spark, d):
+    kind = F.nullif(F.regexp_extract("line", "^(Figure|Table) ", 1), F.lit(""))
+    return B.without_orphans(view(spark, d, "caption_view"), kind).select("doc_id", "pos", "kind", "number")
 
 
-def section_ends(rows: DataFrame, levels: int = 3) -> DataFrame:
-    """Headings with ``until``: the next heading of the same or a higher level, else null."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.min(F.when(F.col("level") <= n, F.col("pos"))).over(w) for n in range(1, levels + 1)]
-    return rows.withColumn("until", F.get(F.array(*nexts), F.col("level") - 1)).filter("level is not null")
+_ASKED = "select distinct doc_id, n.number, n.title, n.last from toc_view cross join (values ('2', 'Heading', ''), ('1.1', 'Heading', '3'), ('', 'is described here', ''), ('9', 'full.', ''), ('3', 'Heading', '3.1')) n(number, title, last)"
 
 
-@book.add("win_section_range", "select h.doc_id, h.pos, h.line, (select min(n.pos) from toc_view n where n.doc_id = h.doc_id and n.pos > h.pos and n.level <= h.level) as until from toc_view h where h.level is not null and starts_with(h.line, '2')", "toc_view")
+@book.add("win_section_range", f"""with asked as ({_ASKED}), t as (select *, regexp_extract(line, '^([0-9]+([.][0-9]+)*)', 1) as num from toc_view),
+hit as (select a.*, t.pos, t.level from asked a join t on a.doc_id = t.doc_id and case when number = '' then contains(line, title) when t.num = number or starts_with(t.num, number || '.') then contains(line, title) else ends_with(line, title) end),
+st as (select doc_id, number, title, last, arg_min(pos, (level is null, pos)) as start, arg_min(coalesce(level, 0), (level is null, pos)) as depth from hit group by all),
+op as (select st.*, coalesce(l.pos, start) as opens, coalesce(l.level, depth) as d from st left join t l on l.doc_id = st.doc_id and l.num = st.last and l.num <> '' and l.pos > st.start)
+select op.doc_id, number, title, last, start, min(t.pos) as until from op left join t on t.doc_id = op.doc_id and t.pos > opens and t.level <= d group by all""", "toc_view")
 def win_section_range(spark, d):
-    """Sections numbered 2: from their heading to before the next of the same or a higher level."""
-    return section_ends(view(spark, d, "toc_view")).filter(F.col("line").startswith("2")).select("doc_id", "pos", "line", "until")
+    asked = sql(spark, d, _ASKED)
+    return B.section_ranges(view(spark, d, "toc_view"), asked)
 
 
-book.sql("win_subsection", """with n as (select *, lead(level) over (partition by doc_id order by pos) is null as body_follows from toc_view where line <> ''),
-s as (select doc_id, pos, min(case when level = 2 and body_follows then pos end) over (partition by doc_id order by pos rows between 1 following and unbounded following) as until, level from n)
-select doc_id, pos, until from s where level = 2""", "toc_view")
+@book.add("win_subsection", """with n as (select *, row_number() over (partition by doc_id order by pos) as k from block_view where line <> ''),
+b as (select n.*, m.k is not null and m.subheading is null as body from n left join n m on m.doc_id = n.doc_id and m.k = n.k + 1)
+select a.doc_id, a.pos, a.subheading, min(z.pos) as until from b a left join b z on z.doc_id = a.doc_id and z.pos > a.pos and z.subheading = a.subheading and z.body where a.subheading is not null group by all""", "block_view")
+def win_subsection(spark, d):
+    return B.subsections(view(spark, d, "block_view"), "subheading")
 
-_SCORE = """case when level is not null then 6 else 0 end + case when level = 1 then 3 else 0 end + case when line like '1%' or line like '2%' or line like '3%' or line like '4%' or line like '5%' then 4 else 0 end
- + case when length(line) <= 40 then 2 else 0 end + case when has_drawing then -3 else 0 end + case when coalesce(b, 0) > 0 then 5 else 0 end"""
-_BOUND = f"""with f as (select *, sum(case when level is null then 1 else 0 end) over (partition by doc_id order by pos rows between 1 following and 6 following) as b from toc_view), s as (select doc_id, pos, {_SCORE} as score from f)"""
-book.sql("win_boundary_score", _BOUND + " select doc_id, max_by(pos, score * 1000 - pos) as pos, max(score) as score from s where score >= 6 group by 1", "toc_view")
-book.sql("win_boundary_candidates", _BOUND + " select doc_id, pos, score, place from (select *, row_number() over (partition by doc_id order by pos) as place from s where score >= 6 and pos <= 48) x where place <= 18", "toc_view")
-_PAGES = "select doc_id, pos as page, length(line) * 7 % 23 as score from toc_view"
-book.sql("win_page_cluster", f"""with p as ({_PAGES}), m as (select doc_id, max(score) as top, min(page) as best from (select *, max(score) over (partition by doc_id) as t from p) x where score = t group by 1),
-k as (select p.*, m.best, page - row_number() over (partition by p.doc_id order by page) as island from p join m on p.doc_id = m.doc_id where score * 3 >= m.top)
-select k.doc_id, k.page from k join (select doc_id, island from k where page = best) b on k.doc_id = b.doc_id and k.island = b.island""", "toc_view")
-book.sql("win_merge_separator", """with f as (select doc_id, floor(pos / 10) as fragment, min_by(has_drawing, pos) as first_table, max_by(has_drawing, pos) as last_table from toc_view group by 1, 2)
-select doc_id, fragment, last_table and coalesce(lead(first_table) over (partition by doc_id order by fragment), false) as separator from f""", "toc_view")
+
+_STARTS = "select doc_id, min(pos) as pos from block_view where level is not null and pos >= doc_id % 3 * 4 group by doc_id"
+_LW = "list_filter(string_split(line, ' '), lambda w: w <> '')"
+_CAP = "regexp_matches(line, '^(Figure|Table) [0-9]+:? ')"
+_FINAL = "right(line, 1) = '.'"
+_SIGN = f"""w as (select *, len({_LW}) as n, list_transform(string_split(nullif(regexp_extract(line, '^([0-9]+([.][0-9]+)*)', 1), ''), '.'), lambda x: x::int) as parts, {_CAP} as caption from block_view),
+h as (select *, n between 1 and 28 and not caption and (n <= 6 or not {_FINAL}) as boundary, n between 2 and 20 and not caption and not {_FINAL} and regexp_matches(line, '^[A-Z]') as unstr, n >= 14 or (n >= 5 and {_FINAL}) or (n >= 6 and contains(line, ',')) as sent from w),
+nx as (select a.doc_id, a.pos, min(b.pos) as at from h a join h b on b.doc_id = a.doc_id and b.pos between a.pos + 1 and a.pos + 6 and b.line <> '' group by all),
+f as (select h.*, coalesce(m.subheading is null and not m.unstr and (m.sent or not m.bold), false) as body from h left join nx on nx.doc_id = h.doc_id and nx.pos = h.pos left join h m on m.doc_id = h.doc_id and m.pos = nx.at where h.line <> ''),
+st as ({_STARTS}), r as (select st.doc_id, st.pos as start, level as rd, style as rs, ilvl as ri, parts as rp from st join h on h.doc_id = st.doc_id and h.pos = st.pos),
+x as (select f.*, r.* exclude (doc_id) from f join r on f.doc_id = r.doc_id and f.pos > r.start)"""
+_ENDS = "coalesce(len(parts) <= len(rp) and parts <> rp and (len(parts) = len(rp) or (parts[len(parts)] <> rp[len(parts)] and (len(parts) = 1 or parts[1] = rp[1]))), false)"
+_POINTS = f"""case when level is null then 0 when level <= rd and boundary then 6 else 3 end + case when style = rs then 4 else 0 end + case when ilvl = ri then 4 when ilvl < ri then 2 else 0 end
+ + case when parts is null then 0 when {_ENDS} then 6 else 1 end + case when subheading = 'inline' then 5 when subheading = 'styled_bold' then 4 when bold then 2 else 0 end
+ + case when unstr then 2 else 0 end + case when n <= 8 then 1 else 0 end + case when body then 3 when subheading is null and parts is null and level is null then -3 else 0 end"""
+_SC = f"""s as (select doc_id, pos, {_POINTS} as score from x where not in_table and not caption and not sent and not (level is null and style is null and ilvl is null and parts is null and subheading is null and (not unstr or (rs is null and ri is null))))"""
+
+
+@book.add("win_boundary_score", f"with {_SIGN}, {_SC} select doc_id, arg_min(pos, (-score, pos)) as pos, max(score) as score from s where score >= 6 group by 1", "block_view")
+def win_boundary_score(spark, d):
+    return B.best_boundary(B.boundary_scores(view(spark, d, "block_view"), sql(spark, d, _STARTS)))
+
+
+@book.add("win_boundary_candidates", f"""with {_SIGN}, c as (select *, row_number() over (partition by doc_id order by pos) as place from x where not in_table and pos <= start + 30 and (level is not null or bold or ilvl is not null or parts is not null or coalesce(style = rs, false) or (boundary and unstr)))
+select doc_id, pos, place, level as heading_depth, style, ilvl, bold, boundary as looks_heading_like from c where place <= 12""", "block_view")
+def win_boundary_candidates(spark, d):
+    return B.boundary_candidates(view(spark, d, "block_view"), sql(spark, d, _STARTS), 30, 12)
+
+
+_PAGES = "select doc_id, pos as page, doc_id % 3 as start, case when doc_id % 5 < 2 then 0 else length(line) * 7 % 23 end as primary_score, case when doc_id % 5 = 0 then 0 else pos % 4 end as fallback from toc_view"
+
+
+@book.add("win_page_cluster", f"""with recursive p as (select * from ({_PAGES}) where page >= start), m as (select doc_id, min(start) as start, max(primary_score) as a, max(fallback) as b from p group by 1),
+k as (select p.doc_id, page, case when a > 0 then primary_score else fallback end as score, greatest(a, case when a > 0 then 0 else b end) as top from p join m on p.doc_id = m.doc_id),
+best as (select doc_id, min(page) as page from k where score = top and top > 0 group by 1),
+up as (select * from best union all select k.doc_id, k.page from up join k on k.doc_id = up.doc_id and k.page = up.page + 1 and k.score * 3 >= k.top and k.score > 0),
+down as (select * from best union all select k.doc_id, k.page from down join k on k.doc_id = down.doc_id and k.page = down.page - 1 and k.score * 3 >= k.top and k.score > 0)
+select * from up union select * from down union select doc_id, start from m where a = 0 and b = 0""", "toc_view")
+def win_page_cluster(spark, d):
+    return B.page_clusters(sql(spark, d, _PAGES).withColumnRenamed("primary_score", "primary"))
+
+
+@book.add("win_merge_separator", """with f as (select distinct doc_id, floor(pos / 10) as fragment from toc_view), t as (select *, floor(pos / 10) as fragment from toc_view)
+select doc_id, fragment, (select has_drawing from t where t.doc_id = f.doc_id and t.fragment = f.fragment order by pos desc limit 1) and coalesce((select has_drawing from t where t.doc_id = f.doc_id and t.fragment > f.fragment order by pos limit 1), false) as separator from f""", "toc_view")
+def win_merge_separator(spark, d):
+    return B.separators(view(spark, d, "toc_view").select("doc_id", F.floor(F.col("pos") / 10).alias("fragment"), "pos", F.col("has_drawing").alias("is_table")))
 
 
 @book.add("win_conflict_suffix")
@@ -89,7 +130,7 @@ def win_conflict_suffix(spark, d):
     """Suffix of a file name two sources share: the last path part in which they differ and that has a meaningful token."""
     paths = table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^https?://|[?#].*$", "").alias("path")).withColumn("k", F.floor(F.col("page_id") / 2))
     a, b = paths.filter("page_id % 2 = 0"), paths.filter("page_id % 2 = 1").select("k", F.col("path").alias("other"))
-    words = lambda p: T.name_tokens(p, ("http", "https", "www", "com", "net", "org", "example", "m"))
+    words = lambda p: F.array_distinct(T.name_tokens(p, drop=("http", "https", "www", "com", "net", "org", "example", "m")))
     pairs = F.zip_with(F.reverse(F.split("path", "/")), F.reverse(F.split("other", "/")), lambda x, y: F.struct(x.alias("x"), (x.isNotNull() & ~x.eqNullSafe(y)).alias("d")))
     found = F.filter(pairs, lambda p: p["d"] & (F.size(words(p["x"])) > 0))
     return a.join(b, "k").select("page_id", F.array_join(words(F.get(found, F.lit(0))["x"]), "_").alias("suffix"))
@@ -118,9 +159,19 @@ def txt_block_trace(spark, d):
     return blocks.join(found, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("unknown")).alias("source"))
 
 
-book.sql("agg_page_sources", """with b as (select doc_id, floor(pos / 8) as page, coalesce(level, 0) + pos % 3 as source, pos from toc_view where not has_drawing), g as (select doc_id, page, source, count(*) as n, min(pos) as first from b group by 1, 2, 3)
-select doc_id, page, source, n, row_number() over (partition by doc_id, page order by first) as shown, row_number() over (partition by doc_id, page order by n desc, source) = 1 as dominant from g""", "toc_view")
-book.sql("join_toc_request", "select t.doc_id, t.pos from toc_view t where exists (select 1 from (select p_partkey, trim(p_name) as title from part where p_partkey % 8 = 0) r where lower(t.line) = lower(cast(1 + cast(floor((r.p_partkey % 40) / 8) as bigint) as string) || ' Heading ' || r.title))", "toc_view")
+@book.add("agg_page_sources", """with b as (select doc_id, floor(pos / 8) as page, coalesce(level, 0) + pos % 3 as source, pos from toc_view where not has_drawing), g as (select doc_id, page, source, count(*) as n, min(pos) as first from b group by all)
+select doc_id, page, source, n, (select count(*) from g o where o.doc_id = g.doc_id and o.page = g.page and o.first <= g.first) as shown, not exists (select 1 from g o where o.doc_id = g.doc_id and o.page = g.page and (o.n > g.n or (o.n = g.n and o.source < g.source))) as dominant from g""", "toc_view")
+def agg_page_sources(spark, d):
+    source = F.coalesce("level", F.lit(0)) + F.col("pos") % 3
+    return B.page_sources(view(spark, d, "toc_view").select("doc_id", F.floor(F.col("pos") / 8).alias("page"), source.alias("source"), "pos", F.col("has_drawing").alias("context")))
+
+
+@book.add("join_toc_request", """select doc_id, pos from toc_view where level is not null and (regexp_extract(line, '^([0-9.]+)', 1), lower(trim(regexp_replace(line, '^[0-9.]+', '')))) in (select case when p_partkey % 16 = 0 then '1' else '2' end, lower('heading ' || p_name) from part)""", "toc_view")
+def join_toc_request(spark, d):
+    rows = view(spark, d, "toc_view").filter("level is not null")
+    toc = rows.select("doc_id", "pos", F.regexp_extract("line", r"^([\d.]+)", 1).alias("number"), F.regexp_replace("line", r"^[\d.]+", "").alias("title"))
+    asked = table(spark, d, "part").select(F.when(F.col("p_partkey") % 16 == 0, "1.").otherwise("2").alias("number"), F.concat(F.lit(" HEADING  "), F.upper("p_name")).alias("title"))
+    return B.in_contents(toc, asked).select("doc_id", "pos")
 
 
 @book.add("join_template_anchor", """with k as (select doc_id, lower(replace(line, ' ', '')) as k, min(pos) as pos from toc_view group by 1, 2), l as (select doc_id, max(pos) as last from toc_view group by 1),
@@ -259,13 +310,32 @@ def txt_affix_diff(spark, d):
     return table(spark, d, "part").select("p_partkey", marked(affix_diff("p_name", new)).alias("diff"))
 
 
-@book.add("txt_year_diff", """with p as (select p_partkey, cast(1995 + p_size % 30 as varchar) as o, cast(1996 + p_partkey % 28 as varchar) as n from part)
-select p_partkey, case when o = n then n when left(o, 2) = left(n, 2) then left(n, 2) || '[' || right(n, 2) || ']' else 'other' end as year_diff, case when o = n then n else '[' || n || ']' end as plain, case when o = n then n else o || ' [' || n || ']' end as kept from p""")
+def year_diff(old, new):
+    """Segments of a year change: in one century only the last two digits are marked; else as any text."""
+    o, n = T.norm_text(old), T.norm_text(new)
+    year = r"^(19|20)\d{2}$"
+    seg = lambda t, m: F.struct(t.alias("text"), F.lit(m).alias("marked"))
+    near = o.rlike(year) & n.rlike(year) & (o != n) & (F.left(o, F.lit(2)) == F.left(n, F.lit(2)))
+    return F.when(near, F.array(seg(F.left(n, F.lit(2)), False), seg(F.substr(n, F.lit(3)), True))).otherwise(affix_diff(o, n))
+
+
+def replaced(old, new, keep: bool = False):
+    """Segments of a plain replacement, or (with ``keep``) of the old text with the new one behind it."""
+    o, n = T.norm_text(old), T.norm_text(new)
+    seg = lambda t, m: F.struct(t.alias("text"), F.lit(m).alias("marked"))
+    both = F.when((o != "") & (n != ""), F.array(seg(F.concat(o, F.lit(" ")), False), seg(n, True))).when(n != "", F.array(seg(n, True))).otherwise(F.array(seg(o, False)))
+    return F.when(o == n, F.array(seg(n, False))).otherwise(both if keep else F.array(seg(n, True)))
+
+
+_OLD_YEAR = "case when p_size % 17 = 0 then '' else cast(1985 + p_size % 40 as string) end"
+
+
+@book.add("txt_year_diff", f"""with p as (select p_partkey, {_OLD_YEAR} as o, cast(1996 + p_partkey % 28 as varchar) as n from part), x as (select *, case when o = '' then 0 when right(o, 3) = right(n, 3) then 3 when right(o, 2) = right(n, 2) then 2 when right(o, 1) = right(n, 1) then 1 else 0 end as k from p)
+select p_partkey, case when o = n then n when left(o, 2) = left(n, 2) then left(n, 2) || '[' || right(n, 2) || ']' else '[' || left(n, 4 - k) || ']' || case when k = 0 then '' else right(n, k) end end as year_diff,
+case when o = n then n else '[' || n || ']' end as plain, case when o = n then n when o = '' then '[' || n || ']' else o || ' [' || n || ']' end as kept from x""")
 def txt_year_diff(spark, d):
-    o, n = F.expr("cast(1995 + p_size % 30 as string)"), F.expr("cast(1996 + p_partkey % 28 as string)")
-    boxed = lambda t: F.concat(F.lit("["), t, F.lit("]"))
-    year = F.when(o == n, n).when(F.left(o, F.lit(2)) == F.left(n, F.lit(2)), F.concat(F.left(n, F.lit(2)), boxed(F.right(n, F.lit(2))))).otherwise("other")
-    return table(spark, d, "part").select("p_partkey", year.alias("year_diff"), F.when(o == n, n).otherwise(boxed(n)).alias("plain"), F.when(o == n, n).otherwise(F.concat(o, F.lit(" "), boxed(n))).alias("kept"))
+    o, n = F.expr(_OLD_YEAR), F.expr("cast(1996 + p_partkey % 28 as string)")
+    return table(spark, d, "part").select("p_partkey", marked(year_diff(o, n)).alias("year_diff"), marked(replaced(o, n)).alias("plain"), marked(replaced(o, n, True)).alias("kept"))
 
 
 @book.add("txt_token_diff")
@@ -275,5 +345,11 @@ def txt_token_diff(spark, d):
     return table(spark, d, "part").select("p_partkey", marked(diff("p_name", new)).alias("diff"))
 
 
-book.sql("txt_block_score", """select a.doc_id, a.pos, case when a.line = b.line then 200 + least(length(a.line), 120) when length(a.line) >= 18 and length(b.line) >= 18 and (contains(a.line, b.line) or contains(b.line, a.line)) then 80 + least(length(a.line), length(b.line), 80)
-when a.has_drawing and b.has_drawing then 40 else 0 end as score from toc_view a join toc_view b on a.doc_id = b.doc_id and b.pos = a.pos + 4""", "toc_view")
+@book.add("txt_block_score", """with p as (select a.doc_id, a.pos, b.pos as other, a.kind as ka, b.kind as kb, a.line as s, b.line as t, a.has_drawing and b.has_drawing as drawn, a.probes as pa, b.probes as pb from block_view a join block_view b on a.doc_id = b.doc_id and b.pos between a.pos - 3 and a.pos + 5)
+select doc_id, pos, other, cast(case when ka = 'table' and kb = 'table' then coalesce(list_sum(list_transform(list_filter(pa[1:12], lambda x: list_contains(pb, x)), lambda x: least(length(x), 80))), 0) when ka = 'table' or kb = 'table' then 0
+when s = t and s <> '' then 200 + least(length(s), 120) when length(s) >= 18 and t <> '' and (contains(s, t) or contains(t, s)) then 80 + least(length(s), length(t), 80)
+when drawn then 40 + coalesce(list_sum(list_transform(list_filter(pa, lambda x: contains(t, x)), lambda x: least(length(x), 80))), 0) else 0 end as int) as score from p""", "block_view")
+def txt_block_score(spark, d):
+    blocks = view(spark, d, "block_view").select("doc_id", "pos", F.struct("kind", "line", "has_drawing", "probes").alias("a"))
+    others = blocks.select("doc_id", F.explode(F.sequence(F.col("pos") - 5, F.col("pos") + 3)).alias("pos"), F.col("pos").alias("other"), F.col("a").alias("b"))
+    return blocks.join(others, ["doc_id", "pos"]).select("doc_id", "pos", "other", B.block_score("a", "b").alias("score"))

@@ -11,10 +11,10 @@ VIEWS = {
 select p_partkey as row_no, p_name as title,
   case when p_size % 7 = 0 then 'no' else '是' end as relevance,
   case when p_partkey % 10 = 8 then 'ASTM' when p_partkey % 10 = 9 then 'IEC'
-       when cast(floor(p_partkey / 50) as bigint) % 8 = 5 then 'ISO' else 'EN' end as sheet,
+       when cast(floor(p_partkey / 20) as bigint) % 8 = 5 then 'ISO' else 'EN' end as sheet,
   case when p_partkey % 10 = 8 then 'ASTM F' || cast(1000 + p_partkey % 50 as string) || '-' || cast(10 + p_size % 15 as string)
        when p_partkey % 10 = 9 then 'IEC ' || cast(10000 + p_partkey % 50 as string) || ':' || cast(1995 + p_size % 30 as string)
-       else case cast(floor(p_partkey / 50) as bigint) % 8 when 0 then 'BS EN ISO ' when 1 then 'BS EN ' when 2 then 'EN ' when 3 then 'EN ISO '
+       else case cast(floor(p_partkey / 20) as bigint) % 8 when 0 then 'BS EN ISO ' when 1 then 'BS EN ' when 2 then 'EN ' when 3 then 'EN ISO '
               when 4 then 'BS ISO ' when 5 then 'ISO ' when 6 then 'BS ' else 'DIN EN ' end
             || cast(10000 + p_partkey % 50 as string) || ':' || cast(1995 + p_size % 30 as string)
             || case when p_size % 11 = 0 then '/A1:2021' else '' end end as standard_no
@@ -49,6 +49,25 @@ select cast(floor(p_partkey / 40) as bigint) as doc_id, p_partkey % 40 as pos,
        else p_name || ', as delivered, is described here in full.' end as line,
   case when p_partkey % 8 = 0 then 1 when p_partkey % 8 = 4 then 2 else null end as level,
   p_size % 6 = 0 as has_drawing
+from part""",
+    "heading_view": """
+select cast(floor(p_partkey / 40) as bigint) as doc_id, p_partkey % 40 as pos,
+  case p_partkey % 13 when 0 then '1 Heading ' || p_name when 1 then '2.1 Heading' when 2 then '2.' || cast(p_size % 5 as string) || '.' || cast(p_size % 4 as string) || ' ' || p_name
+    when 3 then cast(p_size % 4 as string) || '.1 scope' when 4 then 'Figure ' || cast(p_size as string) || ': ' || p_name when 5 then 'Scope of ' || p_name
+    when 6 then p_name || ', as delivered, is described here.' when 7 then upper(p_name) when 8 then '範圍 ' || p_name when 9 then 'Heading'
+    when 10 then cast(p_size as string) when 11 then p_name || ' ' || p_name || ' ' || p_name || ' ' || p_name else 'Note that it is so.' end as line
+from part""",
+    "block_view": """
+select cast(floor(p_partkey / 40) as bigint) as doc_id, p_partkey % 40 as pos,
+  case when p_partkey % 4 = 0 then cast(1 + cast(floor((p_partkey % 40) / 8) as bigint) as string) || case when p_partkey % 8 = 4 then '.1' else '' end || ' Heading ' || p_name
+    when p_partkey % 9 = 1 then 'Scope of ' || p_name when p_partkey % 9 = 2 then 'Table ' || cast(p_size as string) || ': ' || p_name when p_partkey % 9 = 3 then ''
+    when p_partkey % 9 = 4 then p_name when p_partkey % 9 = 5 then cast(p_size % 6 as string) || '.2 ' || p_brand
+    else p_name || ', as delivered, is described here in full.' end as line,
+  case when p_partkey % 8 = 0 then 1 when p_partkey % 8 = 4 then 2 else null end as level,
+  case when p_partkey % 4 = 0 then 'Heading' when p_partkey % 5 = 1 then 'Body' else null end as style,
+  case when p_partkey % 4 = 0 then 1 when p_partkey % 7 = 1 then 0 when p_partkey % 7 = 2 then 2 else null end as ilvl,
+  p_size % 5 = 0 as bold, case when p_partkey % 4 = 0 then null when p_size % 11 = 0 then 'inline' when p_size % 7 = 0 then 'styled_bold' else null end as subheading,
+  p_size % 13 = 0 as in_table, p_size % 6 = 0 as has_drawing, case when p_size % 9 = 0 then 'table' else 'paragraph' end as kind, split(p_name, ' ') as probes
 from part""",
     "caption_view": """
 select cast(floor(p_partkey / 20) as bigint) as doc_id, p_partkey % 20 as pos,
@@ -122,4 +141,5 @@ def oracle(text: str, *views: str) -> str:
     text = text.strip()
     if not ctes:
         return text
-    return f"with {ctes}, {text[5:]}" if text.lower().startswith("with ") else f"with {ctes} {text}"
+    head = next((h for h in ("with recursive ", "with ") if text.lower().startswith(h)), None)
+    return f"{head}{ctes}, {text[len(head):]}" if head else f"with {ctes} {text}"

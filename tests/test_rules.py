@@ -51,7 +51,16 @@ def pick(spark, numbers, want):
     rows = [("ISO" if n.startswith("ISO") else "EN", i, n, "t", "是") for i, n in enumerate(numbers)] + [("ASTM", 90, "ASTM F1", "t", "是"), ("EN", 91, "EN 9", "t", "是"), ("ISO", 92, "ISO 9", "t", "是")]
     catalog = M.load_catalog(spark.createDataFrame(rows, CATALOG))
     asked = spark.createDataFrame([(0, 0, want)], "table_id int, row_no int, standards string")
-    return M.ranked(M.candidates(asked, catalog)).filter("final_rank = 1").first().standard_no
+    return M.ranked(M.key_candidates(asked, catalog)).filter("final_rank = 1").first().standard_no
+
+
+def test_adopted_pick_goes_by_the_levels_of_all_candidates(spark):
+    """A level compared by year is present, though not among the adopted ones: the newest adopted wins."""
+    rows = [("s", "ISO_FAMILY", 0, 1, "BS EN 5", 2020, "BS EN", True, "NO"), ("s", "ISO_FAMILY", 0, 2, "BS ISO 5", 2001, "BS ISO", False, "YES"), ("s", "ISO_FAMILY", 0, 3, "ISO 5", 2010, "ISO", False, "YES")]
+    cands = spark.createDataFrame(rows, "skey string, want_family string, sheet_order int, cat_row int, candidate_id string, year int, level string, by_year boolean, adopted string")
+    got = M.picks(cands).first()
+    assert (got.candidate_id, got.fallback) == ("ISO 5", True)
+    assert M.picks(cands.filter("cat_row > 1")).first().candidate_id == "BS ISO 5"
 
 
 def test_picks(spark):
