@@ -21,8 +21,10 @@ names; only a column that has the name of the result is replaced by it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +42,7 @@ FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
 TABLE_WORDS, OFTEN = 700_000, 3
 #: Words of a block (about), and words that a task counts before it passes them on.
-BLOCK_WORDS, HELD = 6_000_000, 1_000_000
+BLOCK_WORDS, HELD = 4_000_000, 500_000
 #: Rows that Python works on at once.
 ROWS = 500
 
@@ -63,19 +65,30 @@ def pair_ranks(path: str) -> dict[tuple[int, int], int]:
     return out
 
 
-SHIFT, BUCKETS = 1 << 17, 1 << 17
+#: Ids and ranks take 17 bits.
+SHIFT = 1 << 17
+NONE = SHIFT - 1
 
 
 @lru_cache(maxsize=2)
 def _rank_map_json(path: str) -> str:
-    """The rank map: pair (a, b) lies in bucket (31 a + b) mod BUCKETS as b * 2^17 + rank.
-    31 is odd and ids are below BUCKETS, so no two pairs with one b share a bucket."""
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    """The rank map: pair (a, b) lies in bucket (1021 a + b) mod 2^17 as b * 2^17 + rank.
+    1021 is odd, so no two pairs with one b share a bucket."""
+    buckets: list[list[int]] = [[] for _ in range(SHIFT)]
     for (a, b), rank in pair_ranks(path).items():
-        buckets[(31 * a + b) % BUCKETS].append(b * SHIFT + rank)
+        buckets[1021 * a + b & NONE].append(b * SHIFT + rank)
     return json.dumps(buckets, separators=(",", ":"))
 
 
+@lru_cache(maxsize=2)
+def _byte_map_json(path: str) -> str:
+    """The parts that words start with: at 512 a + b, for byte a before byte b (256: before
+    nothing), the pair's rank (NONE if it has none) * 2^17 + the id of a."""
+    ranks, pairs = ranks_of(path), pair_ranks(path)
+    single = [ranks[bytes([i])] for i in range(256)]
+    return json.dumps([pairs.get((single[a], single[b]) if b < 256 else None, NONE) * SHIFT + single[a] if b <= 256 else 0 for a in range(256) for b in range(512)], separators=(",", ":"))
+
+
 #: Classes of the pattern whose members hang on the Unicode version.
 CLASSES = (r"\p{L}", r"\p{N}", r"\s")
 
@@ -126,6 +139,18 @@ def _rewritten(pattern: str, bodies: dict[str, str]) -> str:
     return out
 
 
+def _apostrophes_last(pattern: str) -> str:
+    """Leading alternatives that begin with an apostrophe, moved behind the next one
+    where that begins with a blank or a letter: no text fits both, and most fit that."""
+    heads = 0
+    parts = pattern.split("|")
+    while heads < len(parts) and re.fullmatch(r"'\w+", parts[heads]):
+        heads += 1
+    if heads < len(parts) and re.fullmatch(r" \?\\p\{L\}\+", parts[heads]):
+        parts = [parts[heads], *parts[:heads], *parts[heads + 1 :]]
+    return "|".join(parts)
+
+
 _PATTERNS: dict[str, tuple[str, str, int]] = {}
 
 
@@ -142,16 +167,38 @@ def spark_pattern(spark: SparkSession, pattern: str) -> tuple[str, str, int]:
             agreed = min([agreed, *less, *more])
             plain[c] = c
             exact[c] = (f"[{c}&&[^{_ranges(less)}]]" if less else c) + _ranges(more)
-        _PATTERNS[pattern] = _rewritten(pattern, plain), _rewritten(pattern, exact), agreed
+        quick = _apostrophes_last(pattern)
+        _PATTERNS[pattern] = _rewritten(quick, plain), _rewritten(quick, exact), agreed
     return _PATTERNS[pattern]
 
 
-def words_of(text: Column, patterns: tuple[str, str, int]) -> Column:
-    """The words of a text, array<string>."""
+#: Stands behind each word of a cut text: a noncharacter, but any text may hold it.
+MARK = "\uffff"
+
+
+def cut_words(text: Column, patterns: tuple[str, str, int]) -> Column:
+    """The words of a text as struct (marked, listed): the text with ``MARK`` behind
+    each word, or, where it holds that itself, its words as a list. The pattern
+    must cover every text, as tokenizers' patterns do."""
     plain, exact, agreed = patterns
     text = F.coalesce(text.cast("string"), F.lit(""))
-    cut = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    return cut(plain) if agreed > 0x10FFFF else F.when(text.rlike(rf"[\x{{{agreed:X}}}-\x{{10FFFF}}]"), cut(exact)).otherwise(cut(plain))
+    by = lambda f: f(plain) if agreed > 0x10FFFF else F.when(text.rlike(rf"[\x{{{agreed:X}}}-\x{{10FFFF}}]"), f(exact)).otherwise(f(plain))
+    taken = F.contains(text, F.lit(MARK))
+    marked = by(lambda p: F.regexp_replace(text, F.lit(p), F.lit("$0" + MARK)))
+    listed = by(lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    return F.struct(F.when(~taken, marked).alias("marked"), F.when(taken, listed).alias("listed"))
+
+
+def _words(cut: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts, one after the other, and where each text's begin and end."""
+    marked, listed = cut.field("marked"), cut.field("listed")
+    if marked.null_count:
+        rows = [x if x is not None else m.split(MARK)[:-1] for m, x in zip(marked.to_pylist(), listed.to_pylist(), strict=True)]
+        return _lists(pa.array(rows, pa.list_(pa.string())))
+    values, ends = _lists(pc.split_pattern(marked, MARK))
+    keep = np.ones(len(values), bool)
+    keep[ends[1:] - 1] = False  # what stands behind a text's last mark
+    return values.filter(pa.array(keep)), ends - np.arange(len(ends))
 
 
 def _long(x: int) -> Column:
@@ -164,7 +211,7 @@ def _bound(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, path: str) -> Column:
-    """Token ids (array of bigint) of a word given as an array of byte ids.
+    """Token ids (array of bigint) of a word given as an array of its bytes.
 
     Parts are packed as rank * 2^17 + id, where rank is that of the pair the part
     forms with the next one (NONE if it forms none). The least part is the
@@ -172,14 +219,15 @@ def fold_merges(word: Column, path: str) -> Column:
     part takes the pair's rank as its id, the part before it is packed anew and
     the part behind it goes.
     """
-    buckets = F.from_json(F.lit(_rank_map_json(path)), T.ArrayType(T.ArrayType(T.LongType())))
-    none = mask = _long(SHIFT - 1)
+    ranks = F.from_json(F.lit(_rank_map_json(path)), T.ArrayType(T.ArrayType(T.LongType())))
+    starts = F.from_json(F.lit(_byte_map_json(path)), T.ArrayType(T.LongType()))
+    none = mask = _long(NONE)
     gone, rest = _long(-1), F.lit(1 << 30)  # to the end
     ident = lambda x: x.bitwiseAND(mask)
 
-    def folded(buckets, word):
+    def folded(ranks, starts, word):
         def packed(a, b):
-            bucket = F.get(buckets, (31 * a + b).bitwiseAND(_long(BUCKETS - 1)).cast("int"))
+            bucket = F.get(ranks, (1021 * a + b).bitwiseAND(mask).cast("int"))
             # b * 2^17 taken from the pair's entry leaves its rank, from others more than a rank
             rank = F.aggregate(bucket, none, lambda least, x: F.least(least, x.bitwiseXOR(F.shiftleft(b, 17))))
             return F.shiftleft(F.least(rank, none), 17).bitwiseOR(a)
@@ -194,12 +242,12 @@ def fold_merges(word: Column, path: str) -> Column:
                 return F.array_remove(F.transform(parts, part), gone)
 
             place = F.array_position(parts, F.array_min(parts)).cast("int")
-            return F.when(F.array_min(parts) < _long((SHIFT - 1) * SHIFT), _bound(place, merged)).otherwise(parts)
+            return F.when(F.array_min(parts) < _long(NONE * SHIFT), _bound(place, merged)).otherwise(parts)
 
-        pairs = F.transform(word, lambda a, i: packed(a, F.get(word, i + 1)))
-        return F.transform(F.aggregate(F.slice(word, F.lit(2), rest), pairs, step), ident)
+        parts = F.transform(word, lambda a, i: F.get(starts, F.shiftleft(a, 9).bitwiseOR(F.coalesce(F.get(word, i + 1), F.lit(256)))))
+        return F.transform(F.aggregate(F.slice(word, F.lit(2), rest), parts, step), ident)
 
-    return _bound(buckets, lambda b: _bound(word.cast("array<bigint>"), lambda w: folded(b, w)))
+    return _bound(ranks, lambda r: _bound(starts, lambda s: _bound(word.cast("array<int>"), lambda w: folded(r, s, w))))
 
 
 def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -224,24 +272,24 @@ def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 
 class _Vocabulary:
-    """Tokens as columns: their bytes, their ranks, and the ids of single bytes."""
+    """Tokens as columns: their bytes and ranks."""
 
     def __init__(self, path: str):
         ranks = ranks_of(path)
         self.path, self.pieces, self.ranks = path, pa.array(list(ranks), pa.binary()), np.fromiter(ranks.values(), np.int32, len(ranks))
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def tokens(self, words: pa.Array) -> np.ndarray:
         """The rank of each word that is a token, -1 for others."""
         at = pc.index_in(words.cast(pa.binary()), value_set=self.pieces).fill_null(-1).to_numpy()
         return np.where(at >= 0, self.ranks[at], -1)
 
-    def byte_ids(self, words: pa.Array) -> pa.ListArray:
-        """The byte ids of each word."""
+    @staticmethod
+    def bytes_of(words: pa.Array) -> pa.ListArray:
+        """The bytes of each word, as numbers."""
         raw = pa.concat_arrays([words.cast(pa.binary())])
         ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(self.single[data]))
+        return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(data.astype(np.int32)))
 
 
 def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -271,7 +319,7 @@ def _counts(path: str):
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                values, _ = _lists(batch.column(0).slice(at, ROWS))
+                values, _ = _words(batch.column(0).slice(at, ROWS))
                 seen = values.value_counts()
                 parts.append(pa.table({"word": seen.field(0), "n": seen.field(1)}))
                 if len(parts) >= 16 and len(gathered()) > HELD:
@@ -282,12 +330,11 @@ def _counts(path: str):
     return run
 
 
-def _byte_rows(path: str):
+def _byte_rows():
     def run(batches):
-        vocabulary = _Vocabulary(path)
         for batch in batches:
             words = batch.column(0)
-            yield pa.record_batch([words, vocabulary.byte_ids(words)], ["word", "ids"])
+            yield pa.record_batch([words, _Vocabulary.bytes_of(words)], ["word", "ids"])
 
     return run
 
@@ -304,7 +351,7 @@ def word_table(words: DataFrame, path: str) -> pa.Table:
         if room < 0:
             break
         least = row["level"]
-    often = counts.filter(level >= least).select("word").mapInArrow(_byte_rows(path), "word string, ids array<int>")
+    often = counts.filter(level >= least).select("word").mapInArrow(_byte_rows(), "word string, ids array<int>")
     return often.repartition("word").select("word", fold_merges(F.col("ids"), path).cast("array<int>").alias("ids")).toArrow()
 
 
@@ -344,12 +391,12 @@ def _blocks(path: str, table, block_words: int):
             fold = np.flatnonzero(pc.and_(found.is_null(), pc.invert(long)).to_numpy(zero_copy_only=False))
             heap = np.flatnonzero(pc.and_(found.is_null(), long).to_numpy(zero_copy_only=False))
             done = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            yield from word_rows(FOLD, vocabulary.byte_ids(rare.take(pa.array(fold))))
+            yield from word_rows(FOLD, vocabulary.bytes_of(rare.take(pa.array(fold))))
             if len(done):
                 yield from word_rows(DONE, known["ids"].combine_chunks().take(found.take(pa.array(done))))
             if len(heap):
-                pairs = pairs or pair_ranks(path)
-                yield from word_rows(DONE, pa.array([heap_merges(x, pairs) for x in vocabulary.byte_ids(rare.take(pa.array(heap))).to_pylist()], pa.list_(pa.int32())))
+                pairs, ranks = pairs or pair_ranks(path), ranks_of(path)
+                yield from word_rows(DONE, pa.array([heap_merges([ranks[bytes([b])] for b in x.encode()], pairs) for x in rare.take(pa.array(heap)).to_pylist()], pa.list_(pa.int32())))
             refs[others[np.concatenate([fold, done, heap])]] = -1 - np.arange(len(others), dtype=np.int32)
             for part, own, ends in zip(one.chunks, rows, sizes, strict=True):
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(refs[part.indices.to_numpy()]))
@@ -360,7 +407,7 @@ def _blocks(path: str, table, block_words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                values, ends = _lists(part.column(0))
+                values, ends = _words(part.column(0))
                 texts.append(values.dictionary_encode())
                 sizes.append(ends)
                 rows.append(pa.concat_arrays([part.column(1)]))
@@ -374,25 +421,30 @@ def _blocks(path: str, table, block_words: int):
     return run
 
 
-def _documents(batches):
+def _documents(finish):
     """Rows with their ids: the block's words put in place of their references."""
-    pool, starts, words = np.empty(0, np.int32), np.zeros(1, np.int64), []
-    for batch in batches:
-        kinds = batch.column(0).to_numpy() == DOCUMENT
-        cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if not kinds[a]:
-                values, ends = _lists(batch.column(1).slice(a, b - a))
-                words.append((values.to_numpy(), np.diff(ends)))
-                continue
-            if words:
-                pool, starts = np.concatenate([x for x, _ in words]), np.cumsum([0, *np.concatenate([n for _, n in words])])
-                words = []
-            for at in range(a, b, ROWS):
-                values, ends = _lists(batch.column(1).slice(at, min(ROWS, b - at)))
-                yield _placed(values.to_numpy(), ends, pool, starts, batch.column(2).slice(at, min(ROWS, b - at)))
+
+    def run(batches):
+        pool, starts, words = np.empty(0, np.int32), np.zeros(1, np.int64), []
+        for batch in batches:
+            kinds = batch.column(0).to_numpy() == DOCUMENT
+            cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if not kinds[a]:
+                    values, ends = _lists(batch.column(1).slice(a, b - a))
+                    words.append((values.to_numpy(), np.diff(ends)))
+                    continue
+                if words:
+                    pool, starts = np.concatenate([x for x, _ in words]), np.cumsum([0, *np.concatenate([n for _, n in words])])
+                    words = []
+                for at in range(a, b, ROWS):
+                    values, ends = _lists(batch.column(1).slice(at, min(ROWS, b - at)))
+                    made = _placed(values.to_numpy(), ends, pool, starts, batch.column(2).slice(at, min(ROWS, b - at)))
+                    yield finish(made) if finish else made
+
+    return run
 
 
 def _placed(flat: np.ndarray, ends: np.ndarray, pool: np.ndarray, starts: np.ndarray, rows: pa.StructArray) -> pa.RecordBatch:
@@ -410,36 +462,49 @@ def _placed(flat: np.ndarray, ends: np.ndarray, pool: np.ndarray, starts: np.nda
     return pa.record_batch([*rows.flatten(), ids], [*[f.name for f in rows.type], "_ids"])
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without ``text`` but with ``out``: its token ids, array<int>."""
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", block_words: int = BLOCK_WORDS, finish=None, schema: str | None = None) -> DataFrame:
+    """``docs`` without ``text`` but with ``out``: its token ids, array<int>.
+
+    With ``finish``, a function of a record batch (the other columns and ``_ids``)
+    whose results have the given ``schema``, those come back instead: it runs
+    where the ids are put together, which saves sending them on.
+    """
     spark = docs.sparkSession
-    cut = words_of(F.col(text), spark_pattern(spark, pattern))
-    table = spark.sparkContext.broadcast(_packed(word_table(docs.select(cut.alias("_words")), path)))
+    cut = cut_words(F.col(text), spark_pattern(spark, pattern))
+    table = spark.sparkContext.broadcast(_packed(word_table(docs.select(cut.alias("_cut")), path)))
     kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in (text, out)])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.names]) if len(kept) else F.struct(F.lit(0).alias("_none"))
     inner = kept if len(kept) else T.StructType([T.StructField("_none", T.IntegerType())])
-    schema = T.StructType([T.StructField("_kind", T.IntegerType()), T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_row", inner)])
-    blocks = docs.select(cut.alias("_words"), row.alias("_row")).mapInArrow(_blocks(path, table, block_words), schema)
+    rows = T.StructType([T.StructField("_kind", T.IntegerType()), T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_row", inner)])
+    blocks = docs.select(cut.alias("_cut"), row.alias("_row")).mapInArrow(_blocks(path, table, block_words), rows)
     folded = F.when(F.col("_kind") == FOLD, fold_merges(F.col("_ids"), path).cast("array<int>")).otherwise(F.col("_ids"))
-    made = blocks.select("_kind", folded.alias("_ids"), "_row").mapInArrow(_documents, T.StructType([*inner.fields, schema["_ids"]]))
-    return made.select(*[F.col(f"`{c}`") for c in kept.names], F.col("_ids").alias(out))
+    made = blocks.select("_kind", folded.alias("_ids"), "_row").mapInArrow(_documents(finish), schema if finish else T.StructType([*inner.fields, rows["_ids"]]))
+    return made if finish else made.select(*[F.col(f"`{c}`") for c in kept.names], F.col("_ids").alias(out))
 
 
-def _pieces(path: str, ids_at: int):
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> pa.Array:
+    """The tokens' bytes, by id."""
+    pieces: list[bytes] = [b""] * (max(ranks_of(path).values()) + 1)
+    for piece, rank in ranks_of(path).items():
+        pieces[rank] = piece
+    return pa.array(pieces, pa.binary())
+
+
+def joined(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """For each list of ids its pieces, concatenated."""
+    values, ends = _lists(ids.fill_null([]) if ids.null_count else ids)
+    raw = pieces.take(values)
+    starts = np.frombuffer(raw.buffers()[1], np.int32) if len(raw) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts[ends], np.int32)), raw.buffers()[2] if len(raw) else pa.py_buffer(b"")])
+
+
+def _decoded(path: str, at: int):
     def run(batches):
-        ranks = ranks_of(path)
-        pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
-        column = pa.array(pieces, pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids, ends = _lists(part.column(ids_at).fill_null([]) if part.column(ids_at).null_count else part.column(ids_at))
-                raw = column.take(ids)
-                starts = np.frombuffer(raw.buffers()[1], np.int32) if len(raw) else np.zeros(1, np.int32)
-                joined = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts[ends], np.int32)), raw.buffers()[2] if len(raw) else pa.py_buffer(b"")])
-                yield pa.record_batch([*part.columns, joined], [*part.schema.names, "_bytes"])
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                yield pa.record_batch([*part.columns, joined(part.column(at), pieces_of(path))], [*part.schema.names, "_bytes"])
 
     return run
 
@@ -450,4 +515,23 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "bytes") ->
     names = [c for c in coded.columns if c != out]
     rows = coded.select([F.col(f"`{c}`") for c in names])
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in rows.schema.fields], T.StructField("_bytes", T.BinaryType())])
-    return rows.mapInArrow(_pieces(path, names.index(ids)), schema).withColumnRenamed("_bytes", out)
+    return rows.mapInArrow(_decoded(path, names.index(ids)), schema).withColumnRenamed("_bytes", out)
+
+
+@lru_cache(maxsize=2)
+def _decimals(n: int) -> pa.Array:
+    return pa.array([b"%d," % i for i in range(n)], pa.binary())
+
+
+def digests(path: str):
+    """A ``finish`` for rows of doc_id: the number of ids, and the digests of the
+    decimal ids and of the bytes that they decode to."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("_ids")
+        numbers = joined(ids, _decimals(len(pieces_of(path))))
+        sha = lambda column, end: pa.array([hashlib.sha256(memoryview(x.as_buffer())[: len(x.as_buffer()) - end] if x.as_buffer().size else b"").hexdigest() for x in column])
+        sizes = pc.list_value_length(ids).cast(pa.int64())
+        return pa.record_batch([batch.column("doc_id"), sizes, sha(numbers, 1), sha(joined(ids, pieces_of(path)), 0)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
