@@ -102,15 +102,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 with base as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v
   from embeddings where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id as vec_id,
+  select q.n, q.vec_id as query_id, c.vec_id as vec_id,
     cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
   from base q join base c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
 ranked as (
-  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from scored)
+  select *, cast(row_number() over (partition by n order by score desc, vec_id) as int) as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
