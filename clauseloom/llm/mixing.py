@@ -6,9 +6,10 @@ goes to the others by weight. Documents of a source, in a pseudorandom order,
 are packed into blocks of ``BLOCK`` words. A source's slots are its whole
 passes and the rest of its target; each output shard draws its count of slots
 of every source (a multinomial draw given the totals), numbers them on from the
-shard before it, and slot numbers go through the source's index permutation to
-blocks, which are joined by index. A pass uses every block once, so no document
-is taken more than twice, and a source is taken to its rounded target exactly.
+shard before it, and slot numbers go through the source's index permutation (its
+blocks by a keyed hash, anew for each pass) to blocks, which are joined by index.
+A pass uses every block once, so no document is taken more than twice, and a
+source is taken to its rounded target exactly.
 
 A word is a run of characters other than blank and U+0009 to U+000D. Null text
 has no words; such documents are kept with ``taken`` 0. Equal rows are
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, prefix_offsets, salted_join, written
 
-#: Words of a block. A source may have up to 2^31 blocks.
+#: Words of a block.
 BLOCK = 128
 #: Output shards that draw their counts.
 SHARDS = 64
@@ -30,8 +31,8 @@ SHARDS = 64
 CHUNK = 4096
 #: Documents that one task numbers at most, about.
 PACK_ROWS = 20_000
-#: Multipliers of the index permutations: primes, so coprime to every block count below them.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
+#: Blocks that one task ranks at once, about.
+RANKED = 8192
 
 
 def _l(x: int) -> Column:
@@ -48,21 +49,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def weighted(sizes: DataFrame, weights=(5, 2, 1)) -> DataFrame:
+    """Adds ``_w``: the weights, repeating, by the source's place in code point order.
+    Sources are ranked in ranges, so there may be any number of them."""
+    rows = written(sizes.repartitionByRange(32, "_s").withColumn("_p", F.spark_partition_id()), "mix-sources")
+    starts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), _l(0))  # 32 ranges at most
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_s")) - 1
+    rows = rows.join(F.broadcast(starts.select("_p", before.alias("_before"))), "_p")
+    return rows.withColumn("_w", F.get(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int")).cast("double")).select(*sizes.columns, "_w")
+
+
 def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(_s, source_size) with ``target``: the level that water-filling by weight
-    reaches, capped sources first by their cap per weight. One row per source."""
-    n = Window.orderBy("_s")
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(n) - 1) % len(weights) + 1).cast("double")
-    caps = sizes.withColumn("_w", w).withColumn("_cap", most * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), "_s")
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = share * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    level = left / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    levels = caps.withColumn("_level", level)
-    capped = F.col("_level") * F.col("_w") >= F.col("_cap")
-    levels = levels.withColumn("_capped", F.min(capped).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    final = F.min(F.when(~F.col("_capped"), F.struct(F.col("_cap") / F.col("_w"), F.col("_s"), F.col("_level").alias("level")))).over(whole)["level"]
-    return levels.withColumn("target", F.when(F.col("_capped"), F.col("_cap")).otherwise(final * F.col("_w"))).select("_s", "source_size", "target")
+    """(_s, source_size) with ``target``: weight times the level that water-filling
+    reaches, ``most`` times the source's size at the most. The level is found by
+    sums over all sources: it rises with each round that caps some more of them."""
+    caps = written(weighted(sizes, weights).withColumn("_cap", most * F.col("source_size")), "mix-caps")
+    level, capped = 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("_w") >= F.col("_cap")
+        row = caps.agg(F.sum("source_size"), F.count_if(full), F.sum(F.when(full, F.col("_cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_w")))).first()
+        if row[0] is None or row[1] == capped or not row[3]:
+            break
+        capped, level = row[1], (share * row[0] - row[2]) / row[3]
+    return caps.select("_s", "source_size", F.least(F.col("_cap"), F.lit(level) * F.col("_w")).alias("target"))
 
 
 def _plan(goals: DataFrame) -> DataFrame:
@@ -74,10 +84,10 @@ def _plan(goals: DataFrame) -> DataFrame:
     return out.withColumn("_slots", F.col("_passes") * F.col("_blocks") + F.ceil(F.col("_rest") / BLOCK)).select("_s", "_full", "_blocks", "_passes", "_rest", "_slots")
 
 
-def _expand(df: DataFrame, count: str, out: str) -> DataFrame:
+def _expand(df: DataFrame, count: str, out: str, *keys: str) -> DataFrame:
     """A row for each number below ``count``, through chunks dealt over all tasks."""
     last = F.floor((F.col(count) - 1) / CHUNK)
-    chunks = df.withColumn("_c", F.explode(F.sequence(_l(0), last))).repartition("_s", "_c")
+    chunks = df.withColumn("_c", F.explode(F.sequence(_l(0), last))).repartition("_s", *keys, "_c")
     top = F.least((F.col("_c") + 1) * CHUNK, F.col(count)) - 1
     return chunks.withColumn(out, F.explode(F.sequence(F.col("_c") * CHUNK, top))).drop("_c")
 
@@ -89,15 +99,26 @@ def draws(plan: DataFrame) -> DataFrame:
     return prefix_offsets(counts, ["_s"], "_shard", "_n", "_at")
 
 
+def permutations(plan: DataFrame) -> DataFrame:
+    """(_s, _pass, _i, _block): the whole blocks of each source in the order of a keyed
+    hash, another for each pass. Ranks are prefix sums over hash buckets, so a
+    source of any size is spread over all tasks."""
+    passes = plan.filter("_full > 0").withColumn("_pass", F.explode(F.sequence(_l(0), F.when(F.col("_rest") > 0, F.col("_passes")).otherwise(F.col("_passes") - 1))))
+    rows = _expand(passes.select("_s", "_pass", "_full"), "_full", "_block", "_pass")
+    key = F.xxhash64(F.lit("order"), "_s", "_pass", "_block")
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.greatest(_l(1), F.ceil(F.col("_full") / RANKED)))).withColumn("_key", key)
+    starts = prefix_offsets(rows.groupBy("_s", "_pass", "_b").agg(F.count("*").alias("_n")), ["_s", "_pass"], "_b", "_n", "_before").drop("_n")
+    w = Window.partitionBy("_s", "_pass", "_b").orderBy("_key", "_block")
+    return rows.withColumn("_rn", F.row_number().over(w) - 1).join(starts, ["_s", "_pass", "_b"]).select("_s", "_pass", (F.col("_before") + F.col("_rn")).alias("_i"), "_block")
+
+
 def slots(plan: DataFrame) -> DataFrame:
-    """(_s, _block, _pass, _limit): the block that each slot takes, and how many of its first words."""
+    """(_s, _block, _shard, _pass, _limit): the block that each slot takes, and how many of its first words."""
     own = _expand(draws(plan), "_n", "_k").withColumn("_j", F.col("_at") + F.col("_k")).drop("_at", "_k", "_n")
-    rows = own.join(plan, "_s")
-    i, full, e = F.col("_j") % F.col("_blocks"), F.col("_full"), F.floor(F.col("_j") / F.col("_blocks"))
-    prime = F.element_at(F.array(*map(_l, PRIMES)), (F.pmod(F.xxhash64(F.lit("prime"), "_s", e), _l(len(PRIMES))) + 1).cast("int"))
-    moved = (prime * i + F.pmod(F.xxhash64(F.lit("shift"), "_s", e), F.greatest(full, _l(1)))) % F.greatest(full, _l(1))
-    last = (e == F.col("_passes")) & (i == F.ceil(F.col("_rest") / BLOCK) - 1)
-    return rows.select("_s", "_shard", F.when(i < full, moved).otherwise(full).alias("_block"), e.alias("_pass"), F.when(last, F.col("_rest") - i * BLOCK).otherwise(_l(BLOCK)).alias("_limit"))
+    rows = own.join(plan, "_s").withColumn("_i", F.col("_j") % F.col("_blocks")).withColumn("_pass", F.floor(F.col("_j") / F.col("_blocks")))
+    rows = rows.join(permutations(plan), ["_s", "_pass", "_i"], "left")  # the last block, if it is not whole, keeps its place
+    last = (F.col("_pass") == F.col("_passes")) & (F.col("_i") == F.ceil(F.col("_rest") / BLOCK) - 1)
+    return rows.select("_s", "_shard", F.coalesce("_block", "_full").alias("_block"), "_pass", F.when(last, F.col("_rest") - F.col("_i") * BLOCK).otherwise(_l(BLOCK)).alias("_limit"))
 
 
 def packed(rows: DataFrame, n: int) -> DataFrame:
@@ -126,26 +147,36 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def taken_words(pieces: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
-    return pieces.groupBy("doc_id", "_tie", "_s", "_start", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(F.col("_to") - F.col("_from")), F.lit(0)).alias("taken")
-    ).select("doc_id", "size", "source_size", "target", "taken")
+    """One row per document: doc_id, size, source_size, target, taken and ``shards``,
+    the words of it that each output shard takes."""
+    one = ["doc_id", "_tie", "_s", "_start", "size", "source_size", "target"]
+    words = F.coalesce(F.sum(F.col("_to") - F.col("_from")), _l(0))
+    per = pieces.groupBy(*one, F.when(F.col("_to").isNotNull(), F.col("_shard")).alias("_shard")).agg(words.alias("_words"))
+    took = F.sort_array(F.collect_list(F.when(F.col("_words") > 0, F.struct(F.col("_shard").alias("shard"), F.col("_words").alias("words")))))
+    return per.groupBy(*one).agg(F.sum("_words").alias("taken"), took.alias("shards")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
-    """The mix as documents: one row for each document and pass that is taken,
-    with the text cut to the words taken; the columns are those of ``docs``."""
-    pieces = mix(docs).filter("_to is not null")
-    runs = pieces.groupBy("doc_id", "_tie", "_start", "_pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_runs"))
+    """The mix as documents: one row for each document and pass that is taken; the
+    columns are those of ``docs``. A text of which a pass takes every word stays as
+    it is, another is cut to the words taken, without white space round them. A
+    document without words has nothing to take and stays, once."""
+    pieces = mix(docs).filter("_to is not null or size = 0")
+    runs = pieces.groupBy("doc_id", "_tie", "_start", "size", "_pass").agg(F.sort_array(F.collect_list(F.when(F.col("_to").isNotNull(), F.struct("_from", "_to")))).alias("_runs"))
     # rows with equal texts are interchangeable: the nth place goes to the nth such row
     nth = Window.partitionBy("doc_id", "_tie")
-    runs = runs.withColumn("_nth", F.dense_rank().over(nth.orderBy("_start")))
     rows = keyed(docs)
     repeats = rows.groupBy("doc_id", "_tie").agg(F.count("*").alias("_c")).filter("_c > 1").limit(1)
-    rows = rows.withColumn("_nth", F.lit(1)) if repeats.isEmpty() else rows.withColumn("_nth", F.row_number().over(nth.orderBy("_size")))
-    both = rows.join(runs.withColumnRenamed("doc_id", "_d"), (F.col("doc_id").eqNullSafe(F.col("_d"))) & (rows["_tie"] == runs["_tie"]) & (rows["_nth"] == runs["_nth"]))
+    if repeats.isEmpty():
+        runs, rows = runs.withColumn("_nth", F.lit(1)), rows.withColumn("_nth", F.lit(1))
+    else:  # rows without words share their start, so they are numbered one by one
+        runs = runs.withColumn("_nth", F.when(F.col("size") > 0, F.dense_rank().over(nth.orderBy("_start"))).otherwise(1))
+        rows = rows.withColumn("_nth", F.when(F.col("_size") > 0, F.row_number().over(nth.orderBy("_size"))).otherwise(1))
+    runs = runs.select(F.col("doc_id").alias("_d"), F.col("_tie").alias("_t"), F.col("_nth").alias("_m"), "size", "_runs").withColumnRenamed("size", "_n")
+    both = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & (F.col("_nth") == F.col("_m")))
     words = F.regexp_extract_all("text", F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
     cut = lambda w: F.transform("_runs", lambda r: F.slice(w, (r["_from"] + 1).cast("int"), (r["_to"] - r["_from"]).cast("int")))
-    pieces = F.get(F.transform(F.array(words), cut), F.lit(0))  # the array binds the words once
-    made = both.withColumn("text", F.rtrim(F.array_join(F.flatten(pieces), "")))
-    return made.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) if c == "text" else rows[c] for c in docs.columns])
+    parts = F.get(F.transform(F.array(words), cut), F.lit(0))  # the array binds the words once
+    whole = F.aggregate("_runs", _l(0), lambda n, r: n + r["_to"] - r["_from"]) == F.col("_n")
+    made = both.withColumn("_text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(F.array_join(F.flatten(parts), ""), "[\\x20\\x09-\\x0D]+$", "")))
+    return made.select(*[F.length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col("_text").alias(c) if c == "text" else rows[c] for c in docs.columns])

@@ -48,10 +48,10 @@ def test_mix(spark, odd):
     for _, n, s in words:
         sizes[s] += n
     want = brute_targets(sizes)
-    assert {(n, round(t, 6)) for _, _, n, t, _ in got} == {(sizes[s], round(want[s], 6)) for s in sizes}
+    assert {(n, round(t, 6)) for _, _, n, t, *_ in got} == {(sizes[s], round(want[s], 6)) for s in sizes}
     taken = defaultdict(int)
-    for _, size, source_size, target, took in got:
-        assert 0 <= took <= 2 * size
+    for _, size, source_size, target, took, shards in got:
+        assert 0 <= took <= 2 * size and sum(x.words for x in shards) == took
         taken[source_size, target] += took
     groups = Counter((sizes[s], want[s]) for s in sizes)
     for (n, target), took in taken.items():
@@ -59,18 +59,63 @@ def test_mix(spark, odd):
         assert abs(took - k * target) <= k
 
 
+def test_draws_are_multinomial_and_reach_the_shards(spark):
+    """Each source's slots fall on the shards like independent even draws, and the words taken by a shard are those of its slots."""
+    plan = spark.createDataFrame([("0a", 0, 0, 0, 0, 64_000), ("0b", 0, 0, 0, 0, 6_400), ("0c", 0, 0, 0, 0, 1)], "_s string, _full long, _blocks long, _passes long, _rest long, _slots long")
+    rows = mixing.draws(plan).collect()
+    counts = {s: [r["_n"] for r in rows if r["_s"] == s] for s in ("0a", "0b", "0c")}
+    assert [sum(counts[s]) for s in counts] == [64_000, 6_400, 1]
+    for s, n in (("0a", 64_000), ("0b", 6_400)):
+        each = n / mixing.SHARDS
+        chi = sum((c - each) ** 2 / each for c in counts[s])
+        assert 30 < chi < 110  # 63 degrees of freedom
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = mixing.mix(docs).filter("_to is not null").cache()
+    by_shard = {r["_shard"]: r.n for r in pieces.groupBy("_shard").agg(F.sum(F.col("_to") - F.col("_from")).alias("n")).collect()}
+    out = Counter()
+    for r in mixing.taken_words(mixing.mix(docs)).select(F.explode("shards").alias("x")).select("x.*").collect():
+        out[r.shard] += r.words
+    assert out == by_shard and len(out) == mixing.SHARDS
+
+
+def test_permutations_are_bijections(spark):
+    sizes = {"0a": (1, 2), "0b": (7, 1), "0c": (20_000, 1), "1": (3, 0)}
+    plan = spark.createDataFrame([(s, n, n, p, 1, 0) for s, (n, p) in sizes.items()], "_s string, _full long, _blocks long, _passes long, _rest long, _slots long")
+    rows = mixing.permutations(plan).collect()
+    for s, (n, passes) in sizes.items():
+        orders = [sorted((r["_i"], r["_block"]) for r in rows if r["_s"] == s and r["_pass"] == e) for e in range(passes + 1)]
+        for o in orders:
+            assert [i for i, _ in o] == list(range(n)) and sorted(b for _, b in o) == list(range(n))
+        if n > 100:
+            steps = {b - a for (_, a), (_, b) in zip(orders[0], orders[0][1:], strict=False)}
+            assert len(steps) > n / 3 and orders[0] != orders[1]
+
+
+def test_targets_with_many_sources(spark):
+    sizes = {f"s{i:04d}": (i * 37) % 101 + (5000 if i == 7 else 0) for i in range(700)} | {None: 40}
+    rows = [((("0" + s) if s is not None else "1"), n) for s, n in sizes.items()]
+    got = {r["_s"]: r.target for r in mixing.targets(spark.createDataFrame(rows, "_s string, source_size long")).collect()}
+    want = brute_targets(sizes)
+    assert all(abs(got["1" if s is None else "0" + s] - want[s]) < 1e-6 for s in sizes)
+
+
 def test_mixed_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = mixing.mixed_texts(docs).cache()
     assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
-    want = {r.doc_id: r.taken for r in mixing.taken_words(mixing.mix(docs)).collect() if r.taken}
-    got = Counter()
+    taken = {r.doc_id: (r.taken, r["size"]) for r in mixing.taken_words(mixing.mix(docs)).collect()}
+    texts, got, whole = {r.doc_id: r.text for r in docs.collect()}, Counter(), Counter()
     for r in out.collect():
         got[r.doc_id] += len(r.text.split())
-        assert r.n_chars == len(r.text)
-    assert got == want
-    odd = docs_of(spark, ODD).drop("size", "shard")
-    assert mixing.mixed_texts(odd).filter("length(trim(text)) = 0").count() == 0
+        whole[r.doc_id] += r.text == texts[r.doc_id]
+        assert r.n_chars == len(r.text) and r.text == r.text.strip()
+    assert got == {d: n for d, (n, _) in taken.items() if n}
+    assert all(whole[d] == n // size for d, (n, size) in taken.items() if n % size == 0)
+    odd = docs_of(spark, ODD + [(8, " \n", "a"), (8, " \n", "a"), (9, "  p q \n", "zz")]).drop("size", "shard")
+    rows = mixing.mixed_texts(odd).collect()
+    blank = Counter((r.doc_id, r.text) for r in rows if not (r.text or "").split())
+    assert blank == {(1, None): 1, (2, ""): 1, (8, " \n"): 2}
+    assert {r.text for r in rows if r.doc_id == 9} <= {"  p q \n", "p", "q", "p q"}
     assert mixing.mixed_texts(odd.limit(0)).count() == 0
 
 
@@ -119,15 +164,12 @@ def longest(sizes, shards):
 
 
 def brute_top(rows, k=5):
-    use = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(256 * float(x))) for x in v]
-            use[i] = min(use.get(i, w), w)
+    """Every row is a candidate, and every query row has its own results."""
+    use = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in use.items():
+    for q, v in use:
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in use.items() if i != q and len(w) == len(v))[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in use if i != q and len(w) == len(v))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -135,9 +177,23 @@ def brute_top(rows, k=5):
 def test_topk(spark, monkeypatch):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
-    monkeypatch.setattr(topk, "CANDIDATES", 100)
-    monkeypatch.setattr(topk, "QUERIES", 4)
     assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0).collect())) == brute_top(rows)
+    monkeypatch.setattr(topk, "QUERY_CELLS", 300)  # several batches of queries
+    again = table.repartition(7).unionByName(table.filter("vec_id % 25 = 0"))  # repeated rows
+    assert sorted(map(tuple, topk.top_k(again, F.col("vec_id") % 50 == 0).collect())) == brute_top(rows + [x for x in rows if x[0] % 25 == 0])
+
+
+def test_threshold_stops_early_and_keeps_ties():
+    rng = np.random.default_rng(3)
+    block = rng.integers(-4, 5, (400, 6)).astype(float)
+    ids = rng.permutation(400)
+    lists = np.argsort(block, axis=0, kind="stable").T
+    for _ in range(50):
+        query, own = rng.integers(-3, 4, 6).astype(float), int(rng.integers(0, 400))
+        want = sorted((-int(s), int(i)) for s, i in zip(block @ query, ids, strict=True) if i != own)[:5]
+        assert [tuple(map(int, x)) for x in topk.threshold_top(block, ids, lists, query, own, 5)] == want
+        assert [tuple(map(int, x)) for x in topk.threshold_top(block, ids, lists, query, own, 5, (), -want[-1][0])] == want
+        assert topk.threshold_top(block, ids, lists, query, own, 5, (), 10**9) == []
 
 
 def test_topk_odd_rows(spark):
