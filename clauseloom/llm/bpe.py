@@ -42,7 +42,7 @@ FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
 TABLE_WORDS, OFTEN = 700_000, 3
 #: Words of a block (about), and words that a task counts before it passes them on.
-BLOCK_WORDS, HELD = 4_000_000, 500_000
+BLOCK_WORDS, HELD = 2_500_000, 300_000
 #: Rows that Python works on at once.
 ROWS = 500
 
