@@ -6,11 +6,13 @@ paths (host and language here; any two columns) get posteriors by shrinking:
 a host's mean towards the global mean, a path's mean towards its host's, each
 with the weight that the variance between groups supports, so sparse sites stay
 near their priors. A document's log-odds are then moved from the global prior
-to its path's posterior.
+to its path's posterior, in which its own evidence does not count.
 
 Null texts count as empty; a null host or path is a group of its own. Labels of
-documents that are absent are ignored; without any usable labels every document
-is kept. Repeated rows are scored alike.
+documents that are absent are ignored; of a doc_id with several texts, the one of
+the smallest digest is fitted, and of several labels the larger one. Without any
+usable labels every document is kept. Repeated rows are scored alike, rows with
+one doc_id and other texts each by their own text.
 """
 
 from __future__ import annotations
@@ -86,22 +88,26 @@ def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1_000_000)) < int(1e6 * most / n))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_mean, path_mean, prior): means of p shrunk to the level above.
-
-    The strength k of a level's prior is the mean variance within groups over
-    the variance between their means, by moments.
-    """
+def site_sums(scored: DataFrame) -> DataFrame:
+    """(host, path) with the counts and sums of p of both (n, s and hn, hs), the global
+    ``prior``, and the strengths kh and kp of the priors that hosts and paths are
+    shrunk to: the mean variance within groups over that between them, by moments."""
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"))
     top = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     prior = min(max((top["s"] or 0) / (top["n"] or 1), 1e-3), 1 - 1e-3)
-    k = _strength(hosts, F.col("hn"), F.col("hs"), F.col("hq"), F.lit(prior))
-    hosts = hosts.withColumn("host_mean", (F.col("hs") + k * prior) / (F.col("hn") + k))
-    both = paths.join(hosts.select("host", "host_mean"), "host")
-    k = _strength(both, F.col("n"), F.col("s"), F.col("q"), F.col("host_mean"))
-    mean = (F.col("s") + k * F.col("host_mean")) / (F.col("n") + k)
-    return both.select("host", "path", "host_mean", mean.alias("path_mean"), F.lit(prior).alias("prior"))
+    kh = _strength(hosts, F.col("hn"), F.col("hs"), F.col("hq"), F.lit(prior))
+    hosts = hosts.withColumn("host_mean", (F.col("hs") + kh * prior) / (F.col("hn") + kh))
+    both = paths.join(hosts.select("host", "hn", "hs", "host_mean"), "host")
+    kp = _strength(both, F.col("n"), F.col("s"), F.col("q"), F.col("host_mean"))
+    return both.select("host", "path", "n", "s", "hn", "hs", F.lit(prior).alias("prior"), F.lit(kh).alias("kh"), F.lit(kp).alias("kp"))
+
+
+def posteriors(p: Column) -> tuple[Column, Column]:
+    """The host's and the path's mean for a document of probability ``p``, without it."""
+    c = F.col
+    host = (c("hs") - p + c("kh") * c("prior")) / (c("hn") - 1 + c("kh"))
+    return host, (c("s") - p + c("kp") * host) / (c("n") - 1 + c("kp"))
 
 
 def _strength(groups: DataFrame, n: Column, s: Column, q: Column, centre: Column) -> float:
@@ -120,7 +126,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), part(host).alias("host"), part(path).alias("path"), text_statistics(F.col("text")).alias("x"))
     rows = written(rows, "quality-rows")
     marks = bounded(labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id", TRAIN)
-    train = rows.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).select("x", "y").toArrow()  # at most TRAIN labels
+    one = rows.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text_md5", "x")).alias("r"), F.max("y").alias("y"))
+    train = one.orderBy("doc_id").select("r.x", "y").toArrow()  # at most TRAIN labels
     y = train["y"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         mean, scale, w = fit_logistic(np.array(train["x"].to_pylist()), y)
@@ -129,8 +136,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     terms = [(F.get("x", F.lit(i)) - float(mean[i])) * float(w[i] / scale[i]) for i in range(len(STATISTICS))]
     evidence = sum(terms, F.lit(float(w[-1])))
     scored = rows.withColumn("evidence", F.greatest(F.least(evidence, F.lit(15.0)), F.lit(-15.0))).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
-    sites = written(site_posteriors(scored).withColumn("site", F.concat_ws("\1", "host", "path")).drop("host", "path"), "quality-sites")
+    sites = written(site_sums(scored).withColumn("site", F.concat_ws("\1", "host", "path")).drop("host", "path"), "quality-sites")
     out = salted_join(scored.withColumn("site", F.concat_ws("\1", "host", "path")), sites, "site", F.col("text_md5"))
+    host_mean, path_mean = posteriors(F.col("p"))
+    out = out.withColumn("host_mean", host_mean).withColumn("path_mean", path_mean)
     odds = lambda c: F.log(c / (1 - c))
     clamp = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-3)), F.lit(1e-3))
     final = F.col("evidence") - odds(F.col("prior")) + odds(clamp(F.col("path_mean")))

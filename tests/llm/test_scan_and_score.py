@@ -1,5 +1,7 @@
 """Secrets, toxicity and quality: brute force, held-out accuracy and odd rows."""
 
+import collections
+import math
 import re
 import zlib
 
@@ -59,6 +61,48 @@ def test_secret_ownership_separates_examples(spark):
     assert red[0] == text and red[9] == "[SECRET]"
 
 
+def brute_strength(groups, centres):
+    """Variance within groups over the variance between their means, by moments."""
+    n = sum(len(g) for g in groups)
+    within = sum(sum(p * p for p in g) - sum(g) ** 2 / len(g) for g in groups) / n
+    between = max(0.0, (sum(len(g) * (sum(g) / len(g) - c) ** 2 for g, c in zip(groups, centres, strict=True)) - len(groups) * within) / n)
+    return min(max(within / between if between > 0 else 1e6, 1.0), 1e6)
+
+
+def test_quality_posteriors_equal_brute_force(spark):
+    """Means of host and path without the document itself, from the evidence of all others."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("lang")))
+    rows = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    where = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+    odds = lambda p: math.log(p / (1 - p))
+    p = {d: 1 / (1 + math.exp(-r.evidence)) for d, r in rows.items()}
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for d, (h, x) in where.items():
+        hosts[h].append(d)
+        paths[h, x].append(d)
+    total = lambda ids, but=None: sum(p[i] for i in ids if i != but)
+    prior = min(max(total(p) / len(p), 1e-3), 1 - 1e-3)
+    kh = brute_strength([[p[i] for i in g] for g in hosts.values()], [prior] * len(hosts))
+    mean = {h: (total(g) + kh * prior) / (len(g) + kh) for h, g in hosts.items()}
+    kp = brute_strength([[p[i] for i in g] for g in paths.values()], [mean[h] for h, _ in paths])
+    for d, r in rows.items():
+        h, x = where[d]
+        host = (total(hosts[h], d) + kh * prior) / (len(hosts[h]) - 1 + kh)
+        path = (total(paths[h, x], d) + kp * host) / (len(paths[h, x]) - 1 + kp)
+        want = 1 / (1 + math.exp(-(r.evidence - odds(prior) + odds(min(max(path, 1e-3), 1 - 1e-3)))))
+        assert abs(r.host_mean - host) < 1e-6 and abs(r.path_mean - path) < 1e-6 and abs(r.quality - want) < 1e-6 and r.keep == (r.quality >= 0.5)
+
+
+def test_quality_repeated_ids_are_fitted_alike(spark):
+    """Several texts of one doc_id: reruns and other partitions give the same scores."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("$$ %% ## "), "text")))
+    one = {(r.doc_id, r.text_md5): r.evidence for r in quality.classify(docs, labels).collect()}
+    two = {(r.doc_id, r.text_md5): r.evidence for r in quality.classify(docs.repartition(5, "text"), labels.repartition(3)).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -136,11 +180,13 @@ def test_quality_accuracy_and_shrinkage(spark):
     assert sum(good) >= 0.98 * len(good) and sum(junk) <= 0.2 * len(junk)
 
 
-def test_site_posteriors_shrink_to_parents(spark):
-    rows = [("h", "a", 0.9)] * 50 + [("h", "b", 0.1)] + [("g", "a", 0.2)] * 50
-    got = {(r.host, r.path): r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+def test_posteriors_shrink_to_parents(spark):
+    rows = [("h", "a", 0.9)] * 50 + [("h", "b", 0.1), ("h", "b", 0.1)] + [("g", "a", 0.2)] * 50
+    scored = spark.createDataFrame(rows, "host string, path string, p double")
+    host, path = quality.posteriors(F.col("p"))
+    got = {(r.host, r.path): r for r in scored.join(quality.site_sums(scored), ["host", "path"]).select("host", "path", host.alias("up"), path.alias("own")).collect()}
     sparse = got["h", "b"]
-    assert 0.1 < sparse.path_mean <= sparse.host_mean and got["h", "a"].path_mean > got["g", "a"].path_mean
+    assert 0.1 < sparse.own <= sparse.up and got["h", "a"].own > got["g", "a"].own
 
 
 def test_quality_odd_rows(spark):
