@@ -2,12 +2,15 @@
 
 ``store`` writes each payload into the ancillary bytes of silent, checksummed
 frames behind an ID3v2 tag and a Xing variable-bitrate frame. ``read`` parses
-any MPEG 1/2/2.5 layer I-III stream: tags, frame headers (resynchronising over
-junk), CRC-16 checksums, the variable-bitrate table, the exact duration as
-samples over rate, and the byte offset of every frame.
+any MPEG 1/2/2.5 layer I-III stream: ID3v2 and ID3v1 tags, frame headers
+(resynchronising over junk), CRC-16 checksums of all layers, Xing, Info and VBRI
+tables (counts and seek points are held against the frames found), the exact
+duration as samples over rate, and the byte offset of every frame.
 
 Null text counts as empty; the payload is padded with zero bytes to a positive
-multiple of 64. Null media give nulls. Equal texts give equal media.
+multiple of 64. Null media give nulls. Equal texts give equal media. Media of
+other makers are parsed alike; their tags never fail a row, and without the own
+tags they hold no payload.
 """
 
 from __future__ import annotations
@@ -35,23 +38,73 @@ SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (F
 
 READ = (
     "payload binary, n_bytes bigint, frames bigint, samples bigint, rate int, tags map<string,string>, "
-    "vbr_frames bigint, vbr_bytes bigint, vbr_ok boolean, crc_checked bigint, crc_bad bigint, "
+    "vbr_frames bigint, vbr_bytes bigint, vbr_ok boolean, seek_ok boolean, crc_checked bigint, crc_bad bigint, "
     "payload_crc_ok boolean, resyncs bigint, min_kbps int, max_kbps int, offsets array<bigint>"
 )
 
 
+#: Layer II: (subbands, bits of their allocations by first subband); fixed values of the same standards.
+ALLOCATIONS = {
+    "a": (27, ((0, 4), (11, 3), (23, 2))),
+    "b": (30, ((0, 4), (11, 3), (23, 2))),
+    "c": (8, ((0, 4), (2, 3))),
+    "d": (12, ((0, 4), (2, 3))),
+    "low": (30, ((0, 4), (4, 3), (11, 2))),
+}
+
+
 @lru_cache(maxsize=4096)
-def crc16(data: bytes) -> int:
-    """CRC-16 of the MPEG audio standard (polynomial 0x8005, start 0xFFFF)."""
-    crc = 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 of the MPEG audio standard (polynomial 0x8005, start 0xFFFF) over the first ``bits``."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1) ^ 0x8005 if crc & 0x8000 else crc << 1
-        crc &= 0xFFFF
+        for k in range(7, 7 - min(8, left), -1):
+            top = (crc >> 15) ^ (byte >> k & 1)
+            crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+        left -= 8
+        if left <= 0:
+            break
     return crc
 
 
+class _Bits:
+    def __init__(self, data: bytes):
+        self.value, self.size, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
+
+    def take(self, n: int) -> int:
+        self.at += n
+        return self.value >> max(0, self.size - self.at) & (1 << n) - 1
+
+
+def protected_bits(four: bytes, body: bytes) -> int:
+    """How many bits behind the checksum it covers: side information in layer III, bit
+    allocations in layer I, and in layer II also the scale factor selections."""
+    size, samples, hz, kbps, _, side, (version, layer, _) = header(four)
+    if layer == 3:
+        return 8 * side
+    mode, extension = four[3] >> 6, four[3] >> 4 & 3
+    channels = 1 if mode == 3 else 2
+    joined = 4 * (extension + 1) if mode == 1 else 32
+    if layer == 1:
+        return 4 * 32 if channels == 1 else 4 * (2 * joined + 32 - joined)
+    each = kbps // channels
+    if version != 3:
+        name = "low"
+    elif each < 56:
+        name = "d" if hz == 32000 else "c"
+    else:
+        name = "a" if each <= 80 or hz == 48000 else "b"
+    limit, widths = ALLOCATIONS[name]
+    bits, selections = _Bits(body[:64]), 0
+    for band in range(limit):
+        width = next(w for start, w in reversed(widths) if band >= start)
+        if channels == 1 or band < joined:
+            selections += sum(bits.take(width) > 0 for _ in range(channels))
+        else:
+            selections += 2 * (bits.take(width) > 0)
+    return bits.at + 2 * selections
+
+
 @lru_cache(maxsize=65536)
 def header(four: bytes) -> tuple | None:
     """(frame bytes, samples, rate, kbit/s, has CRC, side info bytes, kind), or None if invalid."""
@@ -109,28 +162,95 @@ def store_bytes(raw: bytes) -> bytes:
     return tag + _frame(1, xing) + b"".join(frames)
 
 
+_CODECS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _text(data: bytes) -> tuple[str, str]:
+    """An encoded text frame's (first, second) part; bytes that do not fit are replaced."""
+    codec = _CODECS.get(data[0], "latin-1") if data else "latin-1"
+    first, _, second = data[1:].decode(codec, "replace").partition("\0")
+    return first, second.lstrip("\ufeff").rstrip("\0")
+
+
 def _tags(media: bytes) -> tuple[dict[str, str], int]:
-    """The TXXX values of a leading ID3v2.3/2.4 tag and the place behind it."""
+    """The text frames of a leading ID3v2.3/2.4 tag (TXXX under their own names) and the place behind it."""
     if media[:3] != b"ID3" or len(media) < 10:
         return {}, 0
-    safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at, out = min(len(media), 10 + safe(media[6:10])), 10, {}
-    while at + 10 <= end and media[at]:
-        n = safe(media[at + 4 : at + 8]) if media[3] == 4 else int.from_bytes(media[at + 4 : at + 8], "big")
-        if media[at : at + 4] == b"TXXX":
-            key, _, value = media[at + 11 : at + 10 + n].partition(b"\0")
-            out[key.decode("latin-1")] = value.decode("latin-1")
+    safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3] if len(b) == 4 else 0
+    version, flags, end, out = media[3], media[5], min(len(media), 10 + safe(media[6:10])), {}
+    body = media[10:end]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40:  # an extended header; its size counts itself in 2.4 only
+        at = safe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    while at + 10 <= len(body) and body[at]:
+        name, n = body[at : at + 4].decode("latin-1"), safe(body[at + 4 : at + 8]) if version == 4 else int.from_bytes(body[at + 4 : at + 8], "big")
+        data, marks = body[at + 10 : at + 10 + n], body[at + 9]
+        if version == 4 and (marks & 2 or flags & 0x80):
+            data = data.replace(b"\xff\0", b"\xff")
+        if version == 4 and marks & 1:
+            data = data[4:]  # a length indicator
+        if name[0] == "T" and not marks & 0x0C:  # neither compressed nor encrypted
+            first, second = _text(data)
+            out[first if name == "TXXX" else name] = second if name == "TXXX" else first
         at += 10 + n
+    if flags & 0x10 and version == 4:
+        end = min(len(media), end + 10)  # a footer
     return out, end
 
 
+def _old_tag(media: bytes) -> dict[str, str]:
+    """Title, artist, album and year of an ID3v1 tag."""
+    last = media[-128:]
+    field = lambda a, b: last[a:b].split(b"\0")[0].decode("latin-1").rstrip()
+    return {k: v for k, v in (("TIT2", field(3, 33)), ("TPE1", field(33, 63)), ("TALB", field(63, 93)), ("TYER", field(93, 97))) if v}
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def _table(frame: bytes, start: int) -> tuple | None:
+    """(kind, frames, bytes, seek points as a list, their unit) of a Xing, Info or VBRI frame."""
+    big = lambda a, n: int.from_bytes(frame[a : a + n], "big")
+    if frame[start : start + 4] in (b"Xing", b"Info"):
+        flags, at = big(start + 4, 4), start + 8
+        frames, at = (big(at, 4), at + 4) if flags & 1 else (None, at)
+        size, at = (big(at, 4), at + 4) if flags & 2 else (None, at)
+        return "Xing", frames, size, list(frame[at : at + 100]) if flags & 4 else None, 1
+    if frame[36:40] == b"VBRI":
+        size, frames, n, scale, width, per = big(46, 4), big(50, 4), big(54, 2), big(56, 2), big(58, 2), big(60, 2)
+        return "VBRI", frames, size, [scale * big(62 + i * width, width) for i in range(n)], per
+    return None
+
+
+def _seek_ok(table: tuple, offsets: list[int], first: int, end: int) -> bool | None:
+    """Whether the seek points lie on the frames they stand for, as nearly as they can say."""
+    kind, _, _, points, per = table
+    if points is None or not offsets:
+        return None
+    if kind == "Xing":
+        total, n = end - first, len(offsets)
+        places = [offsets[min(n - 1, p * n // 100)] - first for p in range(len(points))]
+        return all(abs(x * total / 256 - place) <= total / 256 or x == 255 for x, place in zip(points, places, strict=True))
+    at = 0
+    for i, step in enumerate(points[:-1], 1):
+        at += step
+        if i * per < len(offsets) and at != offsets[i * per] - offsets[0]:
+            return False
+    return True
+
+
 def read_bytes(media: bytes) -> tuple:
     """Parses a stream; the fields of ``READ`` in order."""
     tags, at = _tags(media)
-    end = len(media) - 128 if media[-128:-125] == b"TAG" else len(media)
+    end = len(media)
+    if media[-128:-125] == b"TAG" and len(media) - 128 >= at:
+        end, tags = len(media) - 128, _old_tag(media) | tags
     body, offsets, kbps = [], [], set()
     samples = rate = checked = bad = resyncs = 0
-    vbr, kind, first, lost = None, None, at, False
+    table, kind, first, lost = None, None, at, False
     while at + 4 <= end:
         h = header(media[at : at + 4])
         if h and (kind is None or h[6] == kind) and at + h[0] <= end:
@@ -147,26 +267,26 @@ def read_bytes(media: bytes) -> tuple:
         resyncs, lost, kind = resyncs + lost, False, h[6]
         start = at + 4
         if h[4]:
+            bits = protected_bits(media[at : at + 4], media[at + 6 : at + h[0]])
+            covered = media[at + 2 : at + 4] + media[at + 6 : at + 6 + (bits + 7) // 8]
             checked += 1
-            bad += crc16(media[at + 2 : at + 4] + media[at + 6 : at + 6 + h[5]]) != int.from_bytes(media[at + 4 : at + 6], "big")
+            bad += crc16(covered, 16 + bits) != int.from_bytes(media[at + 4 : at + 6], "big")
             start += 2
         start += h[5]
-        if vbr is None and not offsets and media[start : start + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(media[start + 4 : start + 8], "big")
-            fields = [int.from_bytes(media[start + 8 + 4 * i : start + 12 + 4 * i], "big") for i in range((flags & 1) + (flags >> 1 & 1))]
-            vbr = (fields[0] if flags & 1 else None, fields[-1] if flags & 2 else None)
+        if table is None and not offsets and (table := _table(media[at : at + h[0]], start - at)):
+            first = at
         else:
             offsets.append(at)
             kbps.add(h[3])
             samples += h[1]
             body.append(media[start : at + h[0]])
         rate, at = h[2], at + h[0]
-    n = int(tags.get("payload_bytes", 0))
-    payload = _cut(body, n)
-    crc_ok = zlib.crc32(payload) == int(tags["payload_crc32"]) if "payload_crc32" in tags else None
-    vbr_ok = None if vbr is None else vbr[0] in (None, len(offsets)) and vbr[1] in (None, end - first)
-    return (payload, int(tags.get("n_bytes", 0)), len(offsets), samples, rate, tags, *(vbr or (None, None)), vbr_ok,
-            checked, bad, crc_ok, resyncs, min(kbps, default=0), max(kbps, default=0), offsets)
+    payload = _cut(body, _number(tags.get("payload_bytes")) or 0)
+    crc = _number(tags.get("payload_crc32"))
+    counts = (None, None) if table is None else table[1:3]
+    vbr_ok = None if table is None else counts[0] in (None, len(offsets)) and counts[1] in (None, end - first)
+    return (payload, _number(tags.get("n_bytes")) or 0, len(offsets), samples, rate, tags, *counts, vbr_ok, table and _seek_ok(table, offsets, first, end),
+            checked, bad, None if crc is None else zlib.crc32(payload) == crc, resyncs, min(kbps, default=0), max(kbps, default=0), offsets)
 
 
 def _cut(body: list[bytes], n: int) -> bytes:
@@ -196,7 +316,7 @@ def read(media: Column) -> Column:
 def feature(parsed: Column) -> Column:
     """One line of the parsed properties: exact duration, rates, checks."""
     return F.format_string(
-        "frames=%d;samples=%d;rate=%d;kbps=%d-%d;crc_bad=%d/%d;resyncs=%d;vbr_ok=%s;last_offset=%d",
+        "frames=%d;samples=%d;rate=%d;kbps=%d-%d;crc_bad=%d/%d;resyncs=%d;vbr_ok=%s;seek_ok=%s;last_offset=%d",
         parsed["frames"], parsed["samples"], parsed["rate"], parsed["min_kbps"], parsed["max_kbps"], parsed["crc_bad"],
-        parsed["crc_checked"], parsed["resyncs"], parsed["vbr_ok"].cast("string"), F.try_element_at(parsed["offsets"], F.lit(-1)),
+        parsed["crc_checked"], parsed["resyncs"], parsed["vbr_ok"].cast("string"), parsed["seek_ok"].cast("string"), F.try_element_at(parsed["offsets"], F.lit(-1)),
     )

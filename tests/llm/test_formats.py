@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import public_tokenizers
 import tiktoken
@@ -16,14 +17,18 @@ SF = "/root/testdata/sf0.01"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def parsed(media):
+    return dict(zip([x.split()[0] for x in re.sub("<[^>]*>", "", mpeg_audio.READ).split(", ")], mpeg_audio.read_bytes(media), strict=True))
+
+
 def test_mpeg_round_trip():
     random.seed(1)
     for n in [0, 1, 63, 64, 65, 1416, 1417, 1418, 5000, 100_000]:
         raw = bytes(random.randrange(256) for _ in range(n))
         media = mpeg_audio.store_bytes(raw)
-        got = dict(zip([x.split()[0] for x in re.sub("<[^>]*>", "", mpeg_audio.READ).split(", ")], mpeg_audio.read_bytes(media), strict=True))
+        got = parsed(media)
         padded = raw + bytes(-n % 64 or (0 if n else 64))
-        assert got["payload"] == padded and got["n_bytes"] == n and got["payload_crc_ok"] and got["vbr_ok"]
+        assert got["payload"] == padded and got["n_bytes"] == n and got["payload_crc_ok"] and got["vbr_ok"] and got["seek_ok"]
         assert got["crc_bad"] == 0 and got["crc_checked"] == got["frames"] + 1 and got["samples"] == 1152 * got["frames"]
         assert all(mpeg_audio.header(media[o : o + 4]) for o in got["offsets"])
 
@@ -31,14 +36,105 @@ def test_mpeg_round_trip():
 def test_mpeg_damage():
     raw = bytes(range(256)) * 40
     media = mpeg_audio.store_bytes(raw)
-    offsets = mpeg_audio.read_bytes(media)[-1]
+    offsets = parsed(media)["offsets"]
     junk = media[: offsets[2]] + b"\xff\x00junk\xff\xe0" + media[offsets[2] :]
-    got = mpeg_audio.read_bytes(junk)
-    assert got[0] == mpeg_audio.read_bytes(media)[0] and got[12] >= 1
+    got = parsed(junk)
+    assert got["payload"] == parsed(media)["payload"] and got["resyncs"] >= 1 and not got["vbr_ok"]
     hurt = bytearray(media)
     hurt[offsets[1] + 8] ^= 1
-    assert mpeg_audio.read_bytes(bytes(hurt))[10] == 1
-    assert mpeg_audio.read_bytes(b"")[2] == 0 and mpeg_audio.read_bytes(b"\xff" * 50)[2] == 0
+    assert parsed(bytes(hurt))["crc_bad"] == 1
+    assert parsed(b"")["frames"] == 0 and parsed(b"\xff" * 50)["frames"] == 0
+    at = media.index(b"Xing")
+    table = bytearray(media)
+    table[at + 16 + 60] ^= 128  # one seek point
+    assert parsed(bytes(table))["seek_ok"] is False and parsed(bytes(table))["vbr_ok"]
+
+
+def crc_of_bits(bits):
+    """The checksum as polynomial division, bit by bit."""
+    rest = [1] * 16
+    for bit in bits:
+        top = rest[0] ^ int(bit)
+        rest = rest[1:] + [0]
+        if top:
+            rest = [x ^ y for x, y in zip(rest, map(int, f"{0x8005:016b}"), strict=True)]
+    return int("".join(map(str, rest)), 2)
+
+
+def protected_frame(head, bits):
+    size = mpeg_audio.header(head)[0]
+    crc = crc_of_bits(f"{head[2]:08b}{head[3]:08b}" + bits)
+    body = bits + "01" * (8 * size)
+    return head + crc.to_bytes(2, "big") + int(body[: 8 * (size - 6)], 2).to_bytes(size - 6, "big")
+
+
+def test_mpeg_checksums_of_layers_one_and_two():
+    random.seed(4)
+    rand = lambda n: "".join(random.choice("01") for _ in range(n))
+    one = lambda mode: bytes((0xFF, 0xFE, 8 << 4, mode))  # noqa: E731  44.1 kHz, 256 kbit/s
+    frames = [protected_frame(one(0xC0), rand(128)), protected_frame(one(0x00), rand(256)), protected_frame(one(0x40), rand(4 * (2 * 4 + 28)))]
+    # layer II, 44.1 kHz: 128 kbit/s stereo (64 a channel: 27 bands), 192 mono (30), 32 mono (8), joint stereo from band 8 on
+    for index, mode, bands, widths in ((8, 0x00, 27, lambda b: 4 if b < 11 else 3 if b < 23 else 2), (10, 0xC0, 30, lambda b: 4 if b < 11 else 3 if b < 23 else 2), (1, 0xC0, 8, lambda b: 4 if b < 2 else 3), (8, 0x50, 27, lambda b: 4 if b < 11 else 3 if b < 23 else 2)):
+        bits, chosen = "", 0
+        for b in range(bands):
+            for _ in range(1 if mode == 0xC0 or (mode == 0x50 and b >= 8) else 2):
+                value = random.choice(["0" * widths(b), rand(widths(b))])
+                bits += value
+                chosen += (int(value, 2) > 0) * (2 if mode == 0x50 and b >= 8 else 1)
+        frames.append(protected_frame(bytes((0xFF, 0xFC, index << 4, mode)), bits + rand(2 * chosen)))
+    for f in frames:
+        good, hurt = parsed(f * 3), bytearray(f * 3)
+        hurt[len(f) + 7] ^= 16
+        assert (good["frames"], good["crc_checked"], good["crc_bad"]) == (3, 3, 0)
+        assert parsed(bytes(hurt))["crc_bad"] == 1
+
+
+def test_mpeg_foreign_tags():
+    frame = mpeg_audio.store_bytes(b"x")[-144:]
+    sync = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+
+    def tag(version, flags, frames, extended=b""):
+        body = extended + b"".join(name + (sync(len(d)) if version == 4 else len(d).to_bytes(4, "big")) + b"\0\0" + d for name, d in frames)
+        if flags & 0x80:
+            body = body.replace(b"\xff", b"\xff\0")
+        return b"ID3" + bytes((version, 0, flags)) + sync(len(body)) + body
+
+    texts = [(b"TIT2", b"\1" + "é漢".encode("utf-16")), (b"TPE1", b"\3" + "né".encode()), (b"TALB", b"\2" + "ab".encode("utf-16-be")), (b"TXXX", b"\0payload_bytes\0many"), (b"TXXX", b"\0n_bytes\0-"), (b"TXXX", b"\0payload_crc32\0x"), (b"APIC", b"\0\xff\xe0")]
+    for version, flags, extended in ((3, 0, b""), (4, 0, b""), (3, 0x80, b""), (3, 0x40, b"\0\0\0\6" + bytes(6)), (4, 0x40, b"\0\0\0\6" + bytes(2))):
+        got = parsed(tag(version, flags, texts, extended) + frame * 2 + b"TAG" + b"Old".ljust(30, b"\0") + bytes(95))
+        assert (got["tags"]["TIT2"], got["tags"]["TPE1"], got["tags"]["TALB"]) == ("é漢", "né", "ab")
+        assert got["payload"] == b"" and got["n_bytes"] == 0 and got["payload_crc_ok"] is None and got["frames"] == 2 and got["resyncs"] == 0
+    assert parsed(frame * 2 + b"TAG" + b"Old".ljust(30, b"\0") + bytes(95))["tags"] == {"TIT2": "Old"}
+    for cut in range(0, 200, 7):
+        parsed(tag(4, 0x40, texts)[:cut])
+
+
+def test_mpeg_vbri():
+    frames = [mpeg_audio._frame(i, b"") for i in (3, 5, 9, 2, 7)]
+    steps = b"".join(len(f).to_bytes(2, "big") for f in frames)
+    head = bytearray(mpeg_audio._frame(9, b""))
+    size = len(head) + sum(map(len, frames))
+    head[36:62] = b"VBRI" + bytes(6) + size.to_bytes(4, "big") + (5).to_bytes(4, "big") + (5).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big")
+    head[62 : 62 + len(steps)] = steps
+    got = parsed(bytes(head) + b"".join(frames))
+    assert (got["vbr_frames"], got["vbr_bytes"], got["vbr_ok"], got["seek_ok"], got["frames"]) == (5, size, True, True, 5)
+    head[63] += 1
+    assert parsed(bytes(head) + b"".join(frames))["seek_ok"] is False
+
+
+def test_mpeg_query_equals_brute_force(spark, tmp_path):
+    texts = [None, "", "plain", "é漢😀 " * 900, "plain", "z" * 64]
+    spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op4_media_mpeg(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media, r = mpeg_audio.store_bytes(raw), got[i]
+        frames = -(-len(padded) // mpeg_audio._room(14))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256, len(r.frame_offsets)) == (len(media), hashlib.sha256(media).hexdigest(), frames)
+        assert abs(r.duration_s - frames * 1152 / 32000) < 1e-12 and r.feature.startswith(f"frames={frames};samples={1152 * frames};rate=32000;") and "vbr_ok=true;seek_ok=true" in r.feature
+    assert got[2].feature == got[4].feature and got[2].media_sha256 == got[4].media_sha256
 
 
 def test_mpeg_columns(spark):
