@@ -1,13 +1,17 @@
 """Chat formatting by schema fingerprints.
 
-A record is one JSON object in any known layout. The set of its nested field
-paths is hashed; the hash selects a declarative mapping, which yields canonical
-turns (role, text). Turns are written in a bracketed instruction template, with
-control characters inside texts escaped so that no text can hold a marker, and
-read back from the formatted text alone.
-
-Null or malformed JSON, and layouts without a mapping, give no turns and name
-the problem; a null role or text counts as empty. Nothing is dropped.
+A record is one JSON object in any known layout. Those of its nested field paths
+that any layout knows are hashed; the hash selects a declarative mapping, which
+yields canonical turns (role, text). Other fields (ids, names, scores) do not
+count. A content may be a text or a list of parts, whose texts are joined; a
+part without a text stays as JSON. Turns are written in a bracketed instruction
+template, with control characters inside texts escaped so that no text can hold
+a marker, and read back from the formatted text alone.
+
+Nothing is dropped: malformed JSON and layouts without a mapping give one turn of
+the role ``raw`` with the record's text, and name the problem. A null record
+gives no turns; a null role or text counts as empty. An empty table gives an
+empty result, and equal records give equal values.
 """
 
 from __future__ import annotations
@@ -21,18 +25,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Layouts: the field paths of a record, and the turns they map to. A turn is
-#: (role, path of the text), or a list's path with the fields of its items.
+#: (role, path of the text), or a list's path with the fields of its items;
+#: what stands under ``then`` comes behind the list.
 LAYOUTS = [
-    {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
-    {"paths": ["prompt", "completion"], "turns": [("user", "prompt"), ("assistant", "completion")]},
-    {"paths": ["instruction", "output"], "turns": [("user", "instruction"), ("assistant", "output")]},
+    *[{"paths": [*system, user, answer], "turns": [*[("system", x) for x in system], ("user", user), ("assistant", answer)]} for system in ((), ("system",)) for user in ("prompt", "instruction", "question") for answer in ("response", "completion", "output", "answer", "chosen")],
+    {"paths": ["prompt.text", "response.text"], "turns": [("user", "prompt.text"), ("assistant", "response.text")]},
+    {"paths": ["prompt.text", "completion.text"], "turns": [("user", "prompt.text"), ("assistant", "completion.text")]},
     {"paths": ["instruction", "input", "output"], "turns": [("system", "instruction"), ("user", "input"), ("assistant", "output")]},
     {"paths": ["messages[].role", "messages[].content"], "each": ("messages", "role", "content")},
     {"paths": ["conversations[].from", "conversations[].value"], "each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
     {"paths": ["system", "messages[].role", "messages[].content"], "turns": [("system", "system")], "each": ("messages", "role", "content")},
+    {"paths": ["system", "conversations[].from", "conversations[].value"], "turns": [("system", "system")], "each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
+    *[{"paths": ["prompt[].role", "prompt[].content", answer], "each": ("prompt", "role", "content"), "then": [("assistant", answer)]} for answer in ("response", "completion")],
+    {"paths": ["data.messages[].role", "data.messages[].content"], "each": ("data.messages", "role", "content")},
     {"paths": ["messages[]"], "turns": []},
     {"paths": ["conversations[]"], "turns": []},
+    {"paths": ["system", "messages[]"], "turns": [("system", "system")]},
 ]
+#: A part's fields count as the content that they belong to.
+PART = re.compile(r"(\[\]\.(?:content|value))\[\].*$")
 
 # The template's fixed marks.
 SYSTEM, USER, ASSISTANT, OTHER = ("<<SYS>>\n", "\n<</SYS>>\n"), ("<s>[INST] ", " [/INST]"), (" ", " </s>"), ("[ROLE {}] ", " [/ROLE]")
@@ -57,16 +68,35 @@ def fingerprint(paths) -> str:
 
 
 MAPPINGS = {fingerprint(x["paths"]): x for x in LAYOUTS}
+KNOWN = {p for x in LAYOUTS for p in x["paths"]}
+
+
+def known_paths(record: dict) -> set[str]:
+    """A record's field paths that some layout knows."""
+    return {PART.sub(r"\1", p) for p in field_paths(record)} & KNOWN
+
+
+def _said(x) -> str:
+    if isinstance(x, list):
+        return "".join(p["text"] if isinstance(p, dict) and isinstance(p.get("text"), str) else _said(p) for p in x)
+    return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+
+def _at(record, path: str):
+    for name in path.split("."):
+        record = record.get(name) if isinstance(record, dict) else None
+    return record
 
 
 def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
-    text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    turns = [(role, text(record[path])) for role, path in mapping.get("turns", ())]
+    turns = [(role, _said(_at(record, path))) for role, path in mapping.get("turns", ())]
     if "each" in mapping:
         items, role, content = mapping["each"]
         names = mapping.get("roles", {})
-        turns += [(names.get(text(x.get(role)), text(x.get(role))), text(x.get(content))) for x in record[items]]
-    return turns
+        for x in _at(record, items):
+            x = x if isinstance(x, dict) else {content: x}
+            turns.append((names.get(_said(x.get(role)), _said(x.get(role))), _said(x.get(content))))
+    return turns + [(role, _said(_at(record, path))) for role, path in mapping.get("then", ())]
 
 
 def escape(text: str) -> str:
@@ -107,18 +137,21 @@ def parse_turns(formatted: str) -> tuple[list[tuple[str, str]], bool]:
 
 
 def _one(payload):
+    def raw(key, problem):
+        turns = [("raw", payload)] if payload is not None else []
+        return key, turns, *format_turns(turns), problem
+
     try:
         record = json.loads(payload)
-    except (TypeError, ValueError):
-        return None, [], "", [], "not JSON"
+    except (TypeError, ValueError, RecursionError):
+        return raw(None, "not JSON")
     if not isinstance(record, dict):
-        return None, [], "", [], "not an object"
-    key = fingerprint(field_paths(record))
+        return raw(None, "not an object")
+    key = fingerprint(known_paths(record))
     if key not in MAPPINGS:
-        return key, [], "", [], "unknown layout"
+        return raw(key, "unknown layout")
     turns = canonical_turns(record, MAPPINGS[key])
-    formatted, spans = format_turns(turns)
-    return key, turns, formatted, spans, None
+    return key, turns, *format_turns(turns), None
 
 
 def _format(payloads: pd.Series) -> pd.DataFrame:

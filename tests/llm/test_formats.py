@@ -220,10 +220,29 @@ def test_chat_escapes_and_unknown_roles():
 def test_chat_layouts():
     layouts = ['{"prompt":"a","response":"b"}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', '{"completion":"b","prompt":"a"}', '{"output":"b","instruction":"a"}']
     assert all(chat_format._one(x)[1] == [("user", "a"), ("assistant", "b")] for x in layouts)
-    assert chat_format._one('{"x":{"y":[1]}}')[4] == "unknown layout" and chat_format._one(None)[4] == "not JSON" and chat_format._one("[1]")[4] == "not an object"
+    unknown = '{"x":{"y":["a [b] <c>"]}}'
+    key, turns, text, spans, problem = chat_format._one(unknown)
+    assert (turns, spans, problem) == ([("raw", unknown)], [], "unknown layout") and chat_format.parse_turns(text) == (turns, True)
+    assert chat_format._one(None)[4] == "not JSON" and chat_format._one("[1]")[4] == "not an object"
     assert chat_format.field_paths({"a": [{"b": 1}, {"c": None}], "d": []}) == {"a[].b", "a[].c", "d[]"}
 
 
+def test_chat_extra_fields_and_nested_contents():
+    ab = [("user", "a"), ("assistant", "b")]
+    same = [
+        '{"id":7,"prompt":"a","response":"b","score":{"x":1}}', '{"prompt":{"text":"a","lang":"en"},"response":{"text":"b"}}', '{"question":"a","answer":"b","name":null}',
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"a"}],"name":"x"},{"role":"assistant","content":"b"}],"id":"z"}',
+        '{"data":{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]},"meta":[1]}',
+        '{"prompt":[{"role":"user","content":"a"}],"completion":"b"}', '{"conversations":[{"from":"human","value":"a","weight":0},{"from":"gpt","value":"b"}],"source":"s"}', '{"prompt":"a","chosen":"b","rejected":"c"}',
+    ]
+    assert [chat_format._one(x)[1] for x in same] == [ab] * len(same)
+    assert chat_format._one(same[0])[0] == chat_format._one('{"response":"b","prompt":"a"}')[0]
+    assert chat_format._one('{"system":"s","prompt":"a","response":null}')[1] == [("system", "s"), ("user", "a"), ("assistant", "")]
+    parts = '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image_url","image_url":{"url":"u"}},"c"]}]}'
+    assert chat_format._one(parts)[1] == [("user", 'a{"type": "image_url", "image_url": {"url": "u"}}c')]
+    assert chat_format._one('{"messages":[]}')[1] == [] and chat_format._one("[" * 100_000)[4] == "not JSON"
+
+
 def test_chat_query(spark, tmp_path):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 1, "assistant", "b<[]&"), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, 0, None, "x"), (4, None, "system", ""), (None, 0, "user", "n"), (5, 0, "system", "s"), (5, 1, "user", "u" * 100_000), (5, 2, "assistant", "v"), (6, 0, "assistant", "only")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("f", F.lit(1)).write.parquet(str(tmp_path / "conversations.parquet"))
