@@ -7,20 +7,24 @@ document is one group, whose size is that of a document's block list.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import pandas as pd
 
+from .records import TRANSITIONS
+
 
 def number_headings(levels: list[int | None], fill: bool = True) -> list[str | None]:
     """Hierarchical numbers. A heading counts its level up and resets deeper ones;
     with ``fill`` missing parents become 1, else they stay 0."""
-    counters, out = [0] * 10, []
+    counters, out = [], []
     for level in levels:
         if level is None or level != level:
             out.append(None)
             continue
         level = int(level)
+        counters += [0] * (level - len(counters))
         if fill:
             counters[: level - 1] = [c or 1 for c in counters[: level - 1]]
         counters[level - 1] += 1
@@ -88,26 +92,38 @@ def renumber_captions(lines: list[str], headings: list[bool]) -> list[str]:
     return out
 
 
+def _places(texts: list[str]) -> dict[str, list[int]]:
+    places: dict[str, list[int]] = {}
+    for i, text in enumerate(texts):
+        places.setdefault(text, []).append(i)
+    return places
+
+
+def _next(places: dict[str, list[int]], text: str, at: int) -> int | None:
+    """The first place of a text at or behind ``at``."""
+    own = places.get(text, [])
+    k = bisect_left(own, at)
+    return own[k] if k < len(own) else None
+
+
 def match_in_order(merged: list[str], source: list[str]) -> list[int | None]:
     """For each merged paragraph the next equal source paragraph behind the pointer; misses leave the pointer."""
-    places, at, out = {}, -1, []
-    for i, text in enumerate(source):
-        places.setdefault(text, []).append(i)
+    places, at, out = _places(source), 0, []
     for text in merged:
-        hit = next((i for i in places.get(text, ()) if i > at), None)
+        hit = _next(places, text, at)
         out.append(hit)
-        at = at if hit is None else hit
+        at = at if hit is None else hit + 1
     return out
 
 
 def place_fragments(blocks: list[str], fragments: list[list[str]]) -> list[tuple[int, int] | None]:
     """Fragments in order: every block of one must match, in order, at or behind the
     cursor, else the fragment is skipped; the range runs from the first to the last match."""
-    cursor, out = 0, []
+    places, cursor, out = _places(blocks), 0, []
     for fragment in fragments:
         at, hits = cursor, []
         for text in fragment:
-            hit = next((i for i in range(at, len(blocks)) if blocks[i] == text), None)
+            hit = _next(places, text, at)
             if hit is None:
                 break
             hits.append(hit)
@@ -139,15 +155,11 @@ def token_diffs(old: pd.Series, new: pd.Series) -> pd.Series:
 def fold_status(events: list[str], now: str | None = None) -> str | None:
     """The state after allowed transitions; forbidden ones are skipped."""
     for to in events:
-        if now is None or to == now or to in ALLOWED.get(now, ()):
+        if now is None or to == now or to in TRANSITIONS.get(now, ()):
             now = to
     return now
 
 
-#: Allowed status transitions; fixed values.
-ALLOWED = {"queued": ("claimed", "failed"), "claimed": ("running", "queued", "failed"), "running": ("completed", "failed", "queued")}
-
-
 def grant_leases(times: pd.Series, owners: list[int], hold: float) -> list[str]:
     """Outcome of each request in time order: granted, extended or denied, with a lease of ``hold`` seconds."""
     owner, until, out = None, None, []

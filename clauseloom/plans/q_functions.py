@@ -23,12 +23,14 @@ def ident(x):
     return f"trim(regexp_replace(upper(translate({norm(x)}, '：／＋', ':/+')), '\\s*([:/+()-])\\s*', '\\1', 'g'))"
 
 
+def publishers(x):
+    """The publishers in front, each once, with a blank behind."""
+    return f"array_to_string(regexp_extract_all(regexp_extract({key(x)}, '^((BS|DIN|EN|ISO|IEC)( |[0-9]))+', 0), '[A-Z]+'), ' ') || ' '"
+
+
 def family(x):
-    k = key(x)
-    return (
-        f"case when contains({k}, 'ASTM') then 'ASTM' when regexp_matches({k}, '^IEC\\b') then 'IEC_FAMILY' when regexp_matches({k}, "
-        "'^(?:BS\\s*EN\\s*ISO|DIN\\s*EN\\s*ISO|EN\\s*ISO|BS\\s*ISO|ISO|BS\\s*EN|DIN\\s*EN|EN|BS)(\\s|\\d|\\b)') then 'ISO_FAMILY' end"
-    )
+    p = publishers(x)
+    return f"case when contains({key(x)}, 'ASTM') then 'ASTM' when starts_with({p}, 'IEC ') then 'IEC_FAMILY' when starts_with({p}, 'DIN EN ') or starts_with({p}, 'BS ') or starts_with({p}, 'EN ') or starts_with({p}, 'ISO ') then 'ISO_FAMILY' end"
 
 
 def cut(x, pattern):
@@ -40,8 +42,8 @@ YEAR_TAIL = ":\\s*(19\\d{2}|20\\d{2}).*$"
 
 def match_key(x):
     k = key(x)
-    iso = cut(cut(cut(k, "/A\\d+(:\\s*(19\\d{2}|20\\d{2}))?.*$"), YEAR_TAIL), "^(BS\\s*EN\\s*ISO|DIN\\s*EN\\s*ISO|EN\\s*ISO|BS\\s*EN|DIN\\s*EN|EN|BS\\s*ISO|ISO|BS|IEC)\\s*")
-    iec = cut(cut(k, "^IEC\\s*"), YEAR_TAIL)
+    iso = f"regexp_extract({k}, '^((BS|DIN|EN|ISO) )*([^:/]+)', 3)"
+    iec = f"regexp_extract({k}, '^IEC ([^:]+)', 1)"
     astm = cut(k, "\\s*-\\s*\\d{2}[A-Z]?$")
     return f"case {family(x)} when 'IEC_FAMILY' then {iec} when 'ISO_FAMILY' then {iso} when 'ASTM' then {astm} else {cut(k, YEAR_TAIL)} end"
 
@@ -54,10 +56,10 @@ def latest_year(x):
 
 
 def level(x):
-    k = key(x)
-    rules = [("BS\\s*EN\\s*ISO", "BS EN ISO", 7), ("(DIN\\s*EN\\s*ISO|EN\\s*ISO)", "EN ISO", 4), ("(BS\\s*EN|DIN\\s*EN)", "BS EN", 6), ("EN", "EN", 5), ("BS\\s*ISO", "BS ISO", 3), ("ISO", "ISO", 2), ("BS", "BS", 1), ("IEC", "IEC", 1)]
-    chain = lambda i: "case " + " ".join(f"when regexp_matches({k}, '^{r[0]}(\\s|\\d|\\b)') then {r[i]!r}" for r in rules)
-    return chain(1) + " else 'OTHER' end", chain(2) + " else 0 end"
+    known = (("BS EN ISO", "BS EN ISO", 7), ("DIN EN ISO", "EN ISO", 4), ("EN ISO", "EN ISO", 4), ("BS EN", "BS EN", 6), ("DIN EN", "BS EN", 6), ("EN", "EN", 5), ("BS ISO", "BS ISO", 3), ("ISO", "ISO", 2), ("BS", "BS", 1), ("IEC", "IEC", 1))
+    p = publishers(x)
+    name = "case " + " ".join(f"when starts_with({p}, '{words} ') then '{to}'" for words, to, _ in known) + " else 'OTHER' end"
+    return name, f"coalesce(map {{{', '.join(f'{k!r}: {v}' for k, v in dict((to, r) for _, to, r in known).items())}}}[{name}], 0)"
 
 
 def regulation_key(x):

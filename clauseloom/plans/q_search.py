@@ -249,15 +249,37 @@ def src_url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", F.element_at(F.split(path, "/"), -1).alias("uuid"), F.coalesce(F.expr("try_url_decode(try_parse_url(url, 'QUERY', 'page'))"), F.lit("download.xlsx")).alias("filename"))
 
 
-@book.add("src_page_links", """with a as (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as texts from pages),
-x as (select page_id, url, unnest(hrefs) as href, unnest(texts) as t, unnest(range(len(hrefs))) as pos from a)
-select page_id, min_by(regexp_extract(url, '^(https?://[^/?#]+)', 1) || href, pos) as link from x where contains(lower(t), 'th') and starts_with(href, '/') group by page_id""")
+_ANCHOR = r"(?is)<a\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(.*?)</a\s*>"
+
+
+def absolute(link, base):
+    """A link on a page as a full address: other hosts, the page's host, its folder, or the page itself."""
+    link, base = F.trim(T.col(link)), F.regexp_replace(T.col(base), "[?#].*$", "")
+    host, scheme = F.regexp_extract(base, r"^(\w+://[^/]*)", 1), F.regexp_extract(base, r"^(\w+:)", 1)
+    folder = F.when(F.regexp_replace(base, r"^\w+://[^/]*", "").contains("/"), F.regexp_replace(base, "[^/]*$", "")).otherwise(F.concat(host, F.lit("/")))
+    joined = F.concat(folder, F.regexp_replace(link, r"^(?:\./)+", ""))
+    up = F.regexp_replace(F.regexp_replace(joined, r"/(?!\.\./)[^/?#]+/\.\./", "/"), r"/\./", "/")
+    return F.when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(host, link)).when(link.rlike("^[?#]"), F.concat(base, link)).when(link == "", T.col(base)).otherwise(up)
+
+
+def page_links(pages: DataFrame, wanted: str) -> DataFrame:
+    """The first anchor of every page whose text (tags taken out) holds the wanted one, in
+    any case: page_id, link and found (a page without one is an error to its caller)."""
+    groups = [F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(i)) for i in (1, 2, 3, 4)]
+    found = F.zip_with(F.zip_with(F.zip_with(groups[0], groups[1], lambda a, b: F.concat(a, b)), groups[2], lambda a, b: F.concat(a, b)), groups[3], lambda href, text: F.struct(href.alias("href"), T.norm_text(F.regexp_replace(text, "<[^>]*>", " ")).alias("text")))
+    first = F.get(F.filter(found, lambda a: F.lower(a["text"]).contains(wanted.lower())), F.lit(0))["href"]
+    return pages.select("page_id", absolute(F.regexp_replace(first, "&amp;", "&"), F.col("url")).alias("link"), first.isNotNull().alias("found"))
+
+
+_HTML = "case page_id % 5 when 0 then replace(html, '<a href=\"', '<A class=\"x > y\" HREF = \"') when 1 then replace(html, 'href=\"/', 'rel=nofollow href=\"https://other.example/') when 2 then replace(html, 'href=\"/', 'href=\"') when 3 then replace(html, 'href=\"/', 'href=\"//cdn.example/') else html end"
+
+
+@book.add("src_page_links", f"""with p as (select page_id, regexp_replace(url, '[?#].*$', '') as url, replace(replace({_HTML}, '<A class="x > y" HREF = "', '<a href="'), 'rel=nofollow ', '') as html from pages),
+a as (select *, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as texts from p),
+x as (select page_id, url, unnest(hrefs) as href, unnest(texts) as t, unnest(range(len(hrefs))) as pos from a), f as (select page_id, arg_min(href, pos) as href from x where contains(lower(t), 'th') group by 1)
+select p.page_id, f.href is not null as found, case when contains(href, ':') then href when starts_with(href, '//') then regexp_extract(url, '^(https?:)', 1) || href when starts_with(href, '/') then regexp_extract(url, '^(https?://[^/]*)', 1) || href else regexp_replace(url, '[^/]*$', '') || href end as link from p left join f on p.page_id = f.page_id""")
 def src_page_links(spark, d):
-    """The first anchor of a page whose text holds the wanted one; relative links on the page's host."""
-    anchor = r'<a href="([^"]*)">([^<]*)</a>'
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("text"))
-    rows = table(spark, d, "pages").select("page_id", "url", F.posexplode(pairs).alias("pos", "a")).filter(F.lower("a.text").contains("th") & F.col("a.href").startswith("/"))
-    return rows.groupBy("page_id").agg(F.min_by(F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.col("a.href")), "pos").alias("link"))
+    return page_links(table(spark, d, "pages").withColumn("html", F.expr(_HTML)), "th")
 
 
 @book.add("src_nested_batch", "select o_custkey as batch, 'T' || o_orderkey as task, l_linenumber as flow, coalesce(case when l_linenumber % 2 = 0 then null else 'p' || l_linenumber end, 'T' || o_orderkey || '/' || l_linenumber) as path from orders join lineitem on l_orderkey = o_orderkey")

@@ -1,7 +1,6 @@
 """Queries of the streaming jobs and of user functions."""
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -60,10 +59,12 @@ def str_source_changes(spark, d):
 def str_file_arrivals(spark, d):
     """Files of a release folder that arrive on the stream (lock files skipped), by name and size; content is not read."""
     drop = shared_path(spark, "arrivals")
-    table(spark, d, "region").repartition(3).write.parquet(drop)
+    table(spark, d, "pages").select("page_id", "url").write.option("maxRecordsPerFile", 40).parquet(drop)
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.parquet").schema("path string, modificationTime timestamp, length long, content binary").load(drop)
     rows = J.drained(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "modificationTime", "length"), "arrivals-out")
-    return rows.filter(~F.col("name").startswith("~$")).select("name", "length", (F.row_number().over(Window.orderBy(F.desc("modificationTime"), F.desc("name"))) == 1).alias("newest"))
+    rows = rows.filter(~F.col("name").startswith("~$"))
+    newest = rows.agg(F.max(F.struct("modificationTime", "name")).alias("last")).select("last.name", F.lit(True).alias("newest"))
+    return rows.join(F.broadcast(newest), "name", "left").select("name", "length", F.coalesce("newest", F.lit(False)).alias("newest"))
 
 
 @book.add("str_match_rows", f"with {CAT}, {REQ}, {CAND}, {ADOPT}, {ADOPTED}, {PICK} select table_id, row_no, default_id as candidate_id from pick", *V)
@@ -100,5 +101,5 @@ def udf_chunk_map(spark, d):
 @book.add("chg_lock_state")
 def chg_lock_state(spark, d):
     """Outcome of each lease request in the order of its target's log: every grant depends on the ones before."""
-    rows = table(spark, d, "events").select((F.col("event_id") % 200).alias("target"), "event_id", "ts", "user_id")
+    rows = table(spark, d, "events").select((F.floor(F.col("event_id") / 200)).alias("target"), "event_id", "ts", "user_id")
     return rows.groupBy("target").applyInPandas(U.lease_outcomes, "target long, event_id long, outcome string")

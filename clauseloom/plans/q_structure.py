@@ -195,13 +195,10 @@ select doc_id, lab as label, cast(place as bigint) as place from s where idx < n
 def join_label_hits(spark, d):
     """All positions of every label in a text, from the lengths of the pieces between them."""
     rows = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, LABELS))).alias("label")).filter(F.contains("text", "label"))
-    def places(sizes):
-        before = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * F.length("label"))
-        return F.slice(before, F.lit(1), F.size(sizes) - 1)
-
-    sizes = F.array(F.transform(F.split("text", F.col("label")), lambda x: F.length(x)))  # a one-element array binds it once
-    rows = rows.select("doc_id", "label", F.explode(F.get(F.transform(sizes, places), F.lit(0))).alias("place"))
-    return rows.select("doc_id", "label", F.col("place").cast("long").alias("place"))
+    parts = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "label", F.posexplode(F.transform(F.split("text", F.col("label")), lambda x: F.length(x))).alias("i", "n"))
+    text = Window.partitionBy("_row").orderBy("i")
+    placed = parts.withColumn("place", F.sum("n").over(text) + F.col("i") * F.length("label")).withColumn("more", F.lead("i").over(text).isNotNull())
+    return placed.filter("more").select("doc_id", "label", F.col("place").cast("long").alias("place"))
 
 
 @book.add("join_label_fill", """with p as (select page_id, case when page_id % 3 = 0 then null else 'src' || (page_id % 7) end as source from pages), l as (select doc_id as page_id, min('lab' || (doc_id % 4)) as label from documents where contains(text, 'the') group by 1)

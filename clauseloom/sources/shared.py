@@ -1,5 +1,6 @@
 """Paths in the folder that driver and executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, which is set to a temporary folder where it is unset."""
+    """A new path under ``spark.checkpoint.dir``, which is set to a temporary folder where
+    it is unset on one machine; a cluster must name a folder that all machines share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="clauseloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

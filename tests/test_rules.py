@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from clauseloom.functions import mapping as P
 from clauseloom.functions import standards as S
 from clauseloom.functions import text as T
 from clauseloom.operators import matching as M
@@ -39,7 +40,6 @@ def test_structs(spark):
     assert one(spark, T.number_boundary(F.array(F.lit(2), F.lit(1)), F.array(F.lit(3), F.lit(1)), True)) is True
     got = one(spark, q_structure.affix_diff(F.lit("ISO 1"), F.lit("EN ISO 1")))
     assert [tuple(s) for s in got] == [("EN", True), (" ISO 1", False)]
-    from clauseloom.plans.q_functions import option_tail
 
     assert one(spark, option_tail(F.lit('core|a=1|B="x|y"|odd'))) == {"a": "1", "b": "x|y"}
 
@@ -179,3 +179,66 @@ def test_short_probes_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = q_structure.probe_scores(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): r.score for r in got} == want and {i for _, i in want} == {1, 2, 3, 5, 6}
+
+
+def row_of(spark, *columns):
+    return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+
+
+def test_number_boundaries(spark):
+    parts = lambda x: F.array(*map(F.lit, x))
+    cases = [([2, 1], [2], False, False), ([2, 1], [3], False, True), ([2, 1], [2, 2], False, True), ([2, 1], [3, 1], False, False), ([2, 1], [3, 1], True, True), ([2, 1, 3], [3, 1], True, False), ([2, 1, 3], [2, 2], True, True), ([2], [2, 1], True, False), ([2], [2], True, False), ([2, 1], [], True, False)]
+    row = row_of(spark, *[T.number_boundary(parts(s), parts(c).cast("array<int>"), x) for s, c, x, _ in cases])
+    assert list(row) == [want for *_, want in cases]
+
+
+def test_section_requests(spark):
+    cases = {"1. 測試1.1": ("1", "", "測試1.1"), "1.1.1 - 1.1.3 測試標題": ("1.1.1", "1.1.3", "測試標題"), "1.1.1-1.1.3": ("1.1.1", "1.1.3", ""), "2.1至2.4 x": ("2.1", "2.4", "x"), "see 4.1 there": ("4.1", "", "see 4.1 there"), "Scope": ("", "", ""), "": ("", "", "")}
+    row = row_of(spark, *[T.section_expr(F.lit(x)) for x in cases])
+    assert [tuple(r) for r in row] == list(cases.values())
+
+
+def test_heading_rules(spark):
+    tests = lambda x: tuple(row_of(spark, T.heading_tests(F.lit(x)))[0])
+    assert tests("2.1 Scope") == (True, True, False, False)  # a digit is no capital
+    assert tests("Scope of the work") == (True, False, True, False)
+    assert tests("scope of the work") == (True, False, False, False)
+    assert tests("範圍") == (True, False, True, False)
+    assert tests("Figure 3: a drawing") == (False, False, False, False)
+    assert tests("It is done as the plan says it must be.") == (False, False, False, True)
+    assert tests("Parts, bolts and nuts of it") == (True, False, True, True)
+    assert tests("1 w")[1] is False and tests("1 W")[1] and tests("1 w x")[1]
+    match = lambda x, n, t, r=False: row_of(spark, T.heading_match(F.lit(x), F.lit(n), F.lit(t), r))[0]
+    assert match("2.1 Scope of work", "2.1", "Scope") and match("2．1 Scope", "2.1.", "Scope") and not match("2.11 Scope here", "2.1", "Scope")
+    assert match("Scope", "2.1", "Scope") and not match("Scope", "2.1", "Scope", True) and not match("scope", "2.1", "Scope") and match("The Scope of it", "", "Scope") and not match("The Scope of it", "9", "Scope")
+
+
+def test_names_and_slugs(spark):
+    row = row_of(spark, T.name_tokens(F.lit("Test_Report of the Pump 12-pump"), F.lit("report folder")), T.slug(F.lit("1.1"), "Scope & aim"), T.slug(F.lit(""), "。"), T.slug(F.lit("x" * 70)))
+    assert row[0] == ["pump", "pump"] and row[1:3] == ("sec_1_1_Scope_aim", "section") and row[3][:61] == "x" * 60 + "_" and len(row[3]) == 69
+
+
+def test_mapping_cells(spark):
+    kind = lambda cell, what="": P.item_type(F.lit(cell), F.lit(what))
+    row = row_of(spark, kind("圖", "Figure 2"), kind("圖片", "Add Image"), kind(" Extract All "), kind("羅馬標題"), kind("tables"), P.action(F.lit("1.2 x"), F.lit("")), P.action(F.lit("x"), F.lit("copy_folder")))
+    assert list(row) == ["figure", "add_image", "extract_all", "roman_heading", "", "Extract chapter", "Copy folder"]
+    tail = lambda x: row_of(spark, P.option_tail(F.lit(x)))[0]
+    assert tuple(tail('"a|b"|Title = "x = y"|index=2|other=1')) == ('"a|b"', {"title": "x = y", "index": "2"}, None)
+    assert tuple(tail("core|index=1|odd|title=x")) == ("core", {"index": "1"}, "odd") and tuple(tail("")) == ("", {}, None)
+    assert tuple(row_of(spark, P.include_title(F.lit("不 要")))[0]) == ("no", None) and tuple(row_of(spark, P.insert_mode(F.lit("up")))[0]) == ("insert_after", "up")
+
+
+def test_publishers(spark):
+    numbers = {"BS EN ISO 14971:2019/A11:2021": ("ISO_FAMILY", "BS EN ISO", "14971", 2021), "EN IEC 60601-1:2006": ("ISO_FAMILY", "EN", "IEC 60601-1", 2006), "DIN EN 455-2": ("ISO_FAMILY", "BS EN", "455-2", None), "IEC 60601-1:2005+AMD1:2012": ("IEC_FAMILY", "IEC", "60601-1", 2012), "ASTM F1980-16": ("ASTM", "OTHER", "ASTM F1980", 2016), "ASTM D1-99(2004)": ("ASTM", "OTHER", "ASTM D1", 2004), "ISOX 1": (None, "OTHER", "ISOX 1", None), "iso 9001 : 2015": ("ISO_FAMILY", "ISO", "9001", 2015)}
+    for x, want in numbers.items():
+        r = row_of(spark, S.family(F.lit(x)), S.level(F.lit(x))["name"], S.match_key(F.lit(x)), S.latest_year(F.lit(x)))
+        assert tuple(r) == want, x
+
+
+def test_year_segments(spark):
+    show = lambda a, b: row_of(spark, q_structure.marked(q_structure.year_diff(F.lit(a), F.lit(b))))[0]
+    assert (show("2019", "2021"), show("1998", "2003"), show("1995", "2005"), show("2019", "2019"), show("", "2019")) == ("20[21]", "[2003]", "[200]5", "2019", "[2019]")
+
+
+def test_deep_headings():
+    assert Q.number_headings([11, 12]) == ["1.1.1.1.1.1.1.1.1.1.1", "1.1.1.1.1.1.1.1.1.1.1.1"]
