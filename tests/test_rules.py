@@ -41,8 +41,6 @@ def test_structs(spark):
     got = one(spark, q_structure.affix_diff(F.lit("ISO 1"), F.lit("EN ISO 1")))
     assert [tuple(s) for s in got] == [("EN", True), (" ISO 1", False)]
 
-    assert one(spark, option_tail(F.lit('core|a=1|B="x|y"|odd'))) == {"a": "1", "b": "x|y"}
-
 
 CATALOG = "sheet string, row_no int, standard_no string, title string, relevance string"
 
