@@ -12,12 +12,19 @@ book = Book()
 
 
 def page(rows: DataFrame, order, number: int, size: int, clamp: bool = True) -> DataFrame:
-    """One page with total, page number and has_prev / has_next; ``order`` ends in a unique key.
-    With ``clamp`` a page past the end becomes the last one."""
+    """One page with total, page number and has_prev / has_next. ``order`` names columns,
+    with a minus in front for descending ones, and ends in a unique key. With
+    ``clamp`` a page past the end becomes the last one. A page is taken from the
+    nearer end, so that only the rows up to it meet in one task."""
     total = rows.count()
     last = max(1, -(-total // size))
     at = min(max(1, number), last) if clamp else max(1, number)
-    part = rows.orderBy(*order).offset((at - 1) * size).limit(size)
+    start = (at - 1) * size
+    by = lambda back: [F.desc(c.lstrip("-")) if c.startswith("-") != back else F.asc(c.lstrip("-")) for c in order]
+    if 2 * start <= total:
+        part = rows.orderBy(*by(False)).offset(start).limit(size)
+    else:
+        part = rows.orderBy(*by(True)).limit(max(0, total - start)).orderBy(*by(False)).limit(size)
     return part.withColumns({"page": F.lit(at), "total": F.lit(total).cast("long"), "has_prev": F.lit(at > 1), "has_next": F.lit(at < last)})
 
 
@@ -123,7 +130,7 @@ def flt_payload_action(spark, d):
 @book.add("srt_page", """with t as (select count(*) as n from orders) select o_orderkey, cast(ceil(n / 20.0) as int) as page, n as total, true as has_prev, false as has_next
 from (select *, row_number() over (order by o_orderdate desc, o_orderkey desc) as rn from orders), t where rn > (ceil(n / 20.0) - 1) * 20""")
 def srt_page(spark, d):
-    return page(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 10**6, 20).drop("o_orderdate")
+    return page(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["-o_orderdate", "-o_orderkey"], 10**6, 20).drop("o_orderdate")
 
 
 @book.add("srt_queue_top", "select o_orderkey, o_orderpriority, o_orderdate from orders where o_orderstatus = 'P' and o_custkey % 3 in (0, 1) order by o_orderpriority desc, o_orderdate, o_orderkey limit 20")
@@ -141,7 +148,7 @@ def srt_pinned(spark, d):
     pins = [40, 7, 99]
     rows = table(spark, d, "customer").select("c_custkey")
     at = F.array_position(F.array(*[F.lit(p).cast("long") for p in pins]), F.col("c_custkey"))
-    rows = rows.withColumn("pin", F.when(at > 0, at).otherwise(len(pins) + 1)).withColumn("part", F.floor(F.col("c_custkey") / 1024))
+    rows = rows.withColumn("pin", F.when(at > 0, at).otherwise(len(pins) + 1)).withColumn("part", F.floor(F.col("c_custkey") / 65536))
     counts = rows.groupBy("pin", "part").agg(F.count("*").alias("n"))
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("pin", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("pin", "part").orderBy("c_custkey")
