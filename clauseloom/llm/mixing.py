@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_offsets, salted_join, written
+from .common import WORD, checked_broadcast, prefix_offsets, salted_join, written
 
 #: Words of a block.
 BLOCK = 128
@@ -109,14 +109,16 @@ def permutations(plan: DataFrame) -> DataFrame:
     rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.greatest(_l(1), F.ceil(F.col("_full") / RANKED)))).withColumn("_key", key)
     starts = prefix_offsets(rows.groupBy("_s", "_pass", "_b").agg(F.count("*").alias("_n")), ["_s", "_pass"], "_b", "_n", "_before").drop("_n")
     w = Window.partitionBy("_s", "_pass", "_b").orderBy("_key", "_block")
-    return rows.withColumn("_rn", F.row_number().over(w) - 1).join(starts, ["_s", "_pass", "_b"]).select("_s", "_pass", (F.col("_before") + F.col("_rn")).alias("_i"), "_block")
+    return rows.withColumn("_rn", F.row_number().over(w) - 1).join(starts.hint("merge"), ["_s", "_pass", "_b"]).select("_s", "_pass", (F.col("_before") + F.col("_rn")).alias("_i"), "_block")
 
 
 def slots(plan: DataFrame) -> DataFrame:
     """(_s, _block, _shard, _pass, _limit): the block that each slot takes, and how many of its first words."""
     own = _expand(draws(plan), "_n", "_k").withColumn("_j", F.col("_at") + F.col("_k")).drop("_at", "_k", "_n")
-    rows = own.join(plan, "_s").withColumn("_i", F.col("_j") % F.col("_blocks")).withColumn("_pass", F.floor(F.col("_j") / F.col("_blocks")))
-    rows = rows.join(permutations(plan), ["_s", "_pass", "_i"], "left")  # the last block, if it is not whole, keeps its place
+    rows = own.join(checked_broadcast(plan), "_s").withColumn("_i", F.col("_j") % F.col("_blocks")).withColumn("_pass", F.floor(F.col("_j") / F.col("_blocks")))
+    # what is expanded from a row per source looks small to the planner, so it must not choose a broadcast;
+    # the last block, if it is not whole, keeps its place
+    rows = rows.join(permutations(plan).hint("merge"), ["_s", "_pass", "_i"], "left")
     last = (F.col("_pass") == F.col("_passes")) & (F.col("_i") == F.ceil(F.col("_rest") / BLOCK) - 1)
     return rows.select("_s", "_shard", F.coalesce("_block", "_full").alias("_block"), "_pass", F.when(last, F.col("_rest") - F.col("_i") * BLOCK).otherwise(_l(BLOCK)).alias("_limit"))
 
@@ -135,10 +137,11 @@ def mix(docs: DataFrame) -> DataFrame:
     (null where nothing of it is taken)."""
     rows = written(keyed(docs).select("doc_id", F.col("_size").alias("size"), "_s", "_tie"), "mix-rows")
     goals = written(targets(rows.groupBy("_s").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    uses = slots(_plan(goals))
-    placed = packed(rows, rows.count())
+    # its files are small for what they hold, so their size must not decide on a broadcast
+    uses = written(slots(_plan(goals)), "mix-slots")
+    placed = written(packed(rows, rows.count()), "mix-placed")
     block = F.explode(F.sequence(F.floor(F.col("_start") / BLOCK), F.floor((F.col("_start") + F.col("size") - 1) / BLOCK)))
-    parts = placed.filter("size > 0").withColumn("_block", block).join(uses, ["_s", "_block"], "left")
+    parts = placed.filter("size > 0").withColumn("_block", block).join(uses.hint("merge"), ["_s", "_block"], "left")
     begin, end = F.greatest("_start", F.col("_block") * BLOCK), F.least(F.col("_start") + F.col("size"), F.col("_block") * BLOCK + F.col("_limit"))
     took = F.col("_limit").isNotNull() & (end > begin)
     parts = parts.select("doc_id", "_tie", "_s", "_start", "size", "_shard", "_pass", F.when(took, begin - F.col("_start")).alias("_from"), F.when(took, end - F.col("_start")).alias("_to"))
