@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import give_back, released, written
 
 #: Longest word, in bytes, that the fold merges.
 FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
-TABLE_WORDS, OFTEN = 700_000, 3
+TABLE_WORDS, OFTEN = 300_000, 3
 #: Words of a block (about), and words that a task counts before it passes them on.
 BLOCK_WORDS, HELD = 2_500_000, 300_000
 #: Rows that Python works on at once.
@@ -341,7 +341,7 @@ def _byte_rows():
 
 def word_table(words: DataFrame, path: str) -> pa.Table:
     """(word, ids) of the corpus's most frequent words, at most ``TABLE_WORDS`` of them."""
-    counts = words.mapInArrow(_counts(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    counts = words.mapInArrow(released(_counts(path)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     counts = written(counts, "bpe-words")
     level = F.floor(F.log2("n") * 8)
     steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()  # a few hundred at most
@@ -472,13 +472,14 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     spark = docs.sparkSession
     cut = cut_words(F.col(text), spark_pattern(spark, pattern))
     table = spark.sparkContext.broadcast(_packed(word_table(docs.select(cut.alias("_cut")), path)))
+    give_back()
     kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in (text, out)])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.names]) if len(kept) else F.struct(F.lit(0).alias("_none"))
     inner = kept if len(kept) else T.StructType([T.StructField("_none", T.IntegerType())])
     rows = T.StructType([T.StructField("_kind", T.IntegerType()), T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_row", inner)])
-    blocks = docs.select(cut.alias("_cut"), row.alias("_row")).mapInArrow(_blocks(path, table, block_words), rows)
+    blocks = docs.select(cut.alias("_cut"), row.alias("_row")).mapInArrow(released(_blocks(path, table, block_words)), rows)
     folded = F.when(F.col("_kind") == FOLD, fold_merges(F.col("_ids"), path).cast("array<int>")).otherwise(F.col("_ids"))
-    made = blocks.select("_kind", folded.alias("_ids"), "_row").mapInArrow(_documents(finish), schema if finish else T.StructType([*inner.fields, rows["_ids"]]))
+    made = blocks.select("_kind", folded.alias("_ids"), "_row").mapInArrow(released(_documents(finish)), schema if finish else T.StructType([*inner.fields, rows["_ids"]]))
     return made if finish else made.select(*[F.col(f"`{c}`") for c in kept.names], F.col("_ids").alias(out))
 
 
@@ -515,7 +516,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "bytes") ->
     names = [c for c in coded.columns if c != out]
     rows = coded.select([F.col(f"`{c}`") for c in names])
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in rows.schema.fields], T.StructField("_bytes", T.BinaryType())])
-    return rows.mapInArrow(_decoded(path, names.index(ids)), schema).withColumnRenamed("_bytes", out)
+    return rows.mapInArrow(released(_decoded(path, names.index(ids))), schema).withColumnRenamed("_bytes", out)
 
 
 @lru_cache(maxsize=2)

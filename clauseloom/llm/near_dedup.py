@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, salted_join, written
+from .common import checked_broadcast, released, salted_join, written
 from .graph import components
 
 SIDE = 8
@@ -39,7 +39,7 @@ AGREE = 5
 SMALL = 64
 #: Shingles in more of the compared documents than this are hot.
 RARE = 64
-WORDS_HELD = 500_000
+WORDS_HELD = 150_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"minhash", seed=i) for i in range(2 * SIDE)], dtype=np.uint64)
 _SETS = "doc_id long, n_shingles long, digest string"
@@ -135,7 +135,7 @@ class _Corpus:
         """(rep, shingles) of the given representatives, from their texts."""
         ids = written(ids.select(F.col("rep").alias("doc_id")), "dedup-ids")
         texts = self.docs.join(checked_broadcast(ids), "doc_id", "left_semi")
-        made = texts.mapInArrow(_full_sets, _SETS + ", shingles array<long>")
+        made = texts.mapInArrow(released(_full_sets), _SETS + ", shingles array<long>")
         true = made.join(self.reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
         return written(true.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "dedup-sets")
 
@@ -191,7 +191,7 @@ def _by_prefix(corpus: _Corpus, rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = written(docs.mapInArrow(_signatures, _SETS + ", sig array<long>"), "dedup-signatures")
+    sig = written(docs.mapInArrow(released(_signatures), _SETS + ", sig array<long>"), "dedup-signatures")
     full = sig.filter("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r"), F.count("*").alias("rows"))
     reps = written(reps.select("digest", "rows", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sig"), "dedup-reps")

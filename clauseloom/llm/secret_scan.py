@@ -112,11 +112,11 @@ def redacted(docs: DataFrame, verdicts: tuple[str, ...] = ("live", "shared")) ->
     marks = found.select("doc_id", "text_md5", F.transform(bad, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_marks")).filter(F.size("_marks") > 0)
     marks = marks.dropDuplicates(["doc_id", "text_md5"]).select(F.col("doc_id").alias("_d"), F.col("text_md5").alias("_m"), "_marks")
     marks = checked_broadcast(written(marks, "secret-marks"))
-    text = F.pandas_udf(_redact, "string")(F.col("text"), F.col("_marks"))
-    both = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.md5("text") == F.col("_m")), "left")
-    new = F.when(F.col("_marks").isNotNull(), text).otherwise(F.col("text"))
-    both = both.withColumn("text", new)
-    return both.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.md5("text") == F.col("_m"))
+    text = F.pandas_udf(_redact, "string")(docs["text"], F.col("_marks"))
+    both = docs.join(marks, same).withColumn("_text", text)  # only texts with marks go through Python
+    new = [F.length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col("_text").alias(c) if c == "text" else docs[c] for c in docs.columns]
+    return docs.join(marks, same, "left_anti").unionByName(both.select(new))
 
 
 def _redact(texts: pd.Series, marks: pd.Series) -> pd.Series:

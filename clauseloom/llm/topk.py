@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 #: Rows of a block; components of the queries that are broadcast at once.
 CANDIDATES, QUERY_CELLS = 2048, 2_000_000
@@ -182,7 +182,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     base = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     base = base.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("_v"), F.coalesce(queries, F.lit(False)).alias("_q"))
     base = written(base, "topk-vectors")
-    blocks = written(base.select("vec_id", "_v").mapInArrow(_blocks, _BLOCK), "topk-blocks")
+    blocks = written(base.select("vec_id", "_v").mapInArrow(released(_blocks), _BLOCK), "topk-blocks")
     asked = base.filter("_q")
     n = -(-asked.agg(F.coalesce(F.sum(F.size("_v")), F.lit(0))).first()[0] // QUERY_CELLS) or 1
     w = Window.partitionBy("_row").orderBy(F.desc("score"), "vec_id")
@@ -190,6 +190,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     for part in range(n):
         mine = asked.filter(F.pmod(F.xxhash64("vec_id", F.lit("batch")), F.lit(n)) == part).select("vec_id", "_v")
         shared = spark.sparkContext.broadcast(_batch(mine, blocks, k))
-        found = blocks.mapInArrow(_search(k, shared), _FOUND).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        found = blocks.mapInArrow(released(_search(k, shared)), _FOUND).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         parts.append(written(found.select("query_id", "rank", "vec_id", "score"), "topk-found"))
     return parts[0] if n == 1 else reduce(DataFrame.unionByName, parts)

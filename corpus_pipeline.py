@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, secrets, source mix, tokens.
 
 Each stage works on everything the stage before kept; all but the last return
-the columns of ``documents``.
+the columns of ``documents``, extra ones included. Null, empty and very long
+texts pass through all stages like others; a stage says below what it makes of
+them. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the site-level classifier rejects go."""
+    """Documents that the site-level classifier rejects go. A null text counts as
+    empty; rows that repeat a document are kept or go alike. Without usable labels
+    all stay."""
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest doc_id."""
+    """One document of each near-duplicate group stays: that of the smallest doc_id.
+    Rows with one doc_id are one document, whatever their texts: the first by text
+    stays. Texts without words, and rows without doc_id, are like nothing and stay."""
     gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     rest = docs.join(checked_broadcast(written(gone, "stage-gone")), "doc_id", "left_anti").select(docs.columns)
-    # rows that repeat a doc_id are one node, of which the first row by text stays
     repeated = written(rest.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "stage-repeated")
     if repeated.isEmpty():
         return rest
@@ -35,17 +40,21 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that are not widely copied examples are replaced by ``[SECRET]``."""
+    """Secrets that are not widely copied examples are replaced by ``[SECRET]``; all rows
+    stay, null texts as they are. n_chars follows the text."""
     return secret_scan.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are taken to their targets; a document taken twice gives two rows."""
+    """Sources are taken to their targets: a document may be taken not at all, in part, or
+    twice, which gives two rows. Documents without words stay once. A null source is
+    one of its own. Reruns agree."""
     return mixing.mixed_texts(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes."""
+    """Token counts and digests of the ids and of the decoded bytes, a row for each row;
+    a null text has no tokens."""
     return bpe_digests(docs, RANKS)
 
 
