@@ -5,7 +5,9 @@ frames behind an ID3v2 tag and a Xing variable-bitrate frame. ``read`` parses
 any MPEG 1/2/2.5 layer I-III stream: ID3v2 and ID3v1 tags, frame headers
 (resynchronising over junk), CRC-16 checksums of all layers, Xing, Info and VBRI
 tables (counts and seek points are held against the frames found), the exact
-duration as samples over rate, and the byte offset of every frame.
+duration as samples over rate, and the byte offset of every frame. An ID3v1 tag
+counts as one only where no frame that ends with the stream covers its bytes.
+Frames of free format (bit-rate index 0) are passed over as junk.
 
 Null text counts as empty; the payload is padded with zero bytes to a positive
 multiple of 64. Null media give nulls. Equal texts give equal media. Media of
@@ -246,8 +248,7 @@ def read_bytes(media: bytes) -> tuple:
     """Parses a stream; the fields of ``READ`` in order."""
     tags, at = _tags(media)
     end = len(media)
-    if media[-128:-125] == b"TAG" and len(media) - 128 >= at:
-        end, tags = len(media) - 128, _old_tag(media) | tags
+    old = end - 128 if media[-128:-125] == b"TAG" and end - 128 >= at else end  # a frame's own bytes may spell it
     body, offsets, kbps = [], [], set()
     samples = rate = checked = bad = resyncs = 0
     table, kind, first, lost = None, None, at, False
@@ -257,12 +258,16 @@ def read_bytes(media: bytes) -> tuple:
             after = header(media[at + h[0] : at + h[0] + 4])
             if at + h[0] != end and not (after and after[6] == h[6]) and at + h[0] + 4 <= end and kind is None:
                 h = None
+            elif at <= old < at + h[0] != end:  # cut off by a tag behind it
+                h = None
         else:
             h = None
         if h is None:
-            lost = True
-            found = media.find(b"\xff", at + 1, end)
-            at = end if found < 0 else found
+            found = media.find(b"\xff", at + 1, old if at <= old else end)
+            if found < 0 and at <= old < end:
+                end, tags = old, _old_tag(media) | tags
+                break
+            lost, at = True, end if found < 0 else found
             continue
         resyncs, lost, kind = resyncs + lost, False, h[6]
         start = at + 4
@@ -316,7 +321,7 @@ def read(media: Column) -> Column:
 def feature(parsed: Column) -> Column:
     """One line of the parsed properties: exact duration, rates, checks."""
     return F.format_string(
-        "frames=%d;samples=%d;rate=%d;kbps=%d-%d;crc_bad=%d/%d;resyncs=%d;vbr_ok=%s;seek_ok=%s;last_offset=%d",
+        "frames=%d;samples=%d;rate=%d;kbps=%d-%d;crc_bad=%d/%d;resyncs=%d;vbr_ok=%s;seek_ok=%s;payload_ok=%s;last_offset=%d",
         parsed["frames"], parsed["samples"], parsed["rate"], parsed["min_kbps"], parsed["max_kbps"], parsed["crc_bad"],
-        parsed["crc_checked"], parsed["resyncs"], parsed["vbr_ok"].cast("string"), parsed["seek_ok"].cast("string"), F.try_element_at(parsed["offsets"], F.lit(-1)),
+        parsed["crc_checked"], parsed["resyncs"], parsed["vbr_ok"].cast("string"), parsed["seek_ok"].cast("string"), parsed["payload_crc_ok"].cast("string"), F.try_element_at(parsed["offsets"], F.lit(-1)),
     )

@@ -109,6 +109,24 @@ def test_mpeg_foreign_tags():
         parsed(tag(4, 0x40, texts)[:cut])
 
 
+def test_mpeg_payload_that_spells_an_old_tag():
+    met = 0
+    for n in range(3001):
+        media = mpeg_audio.store_bytes(b"y" * n)
+        at = n - media[-128:].count(b"y")
+        raw = (b"y" * at + b"TAG" + b"y" * n)[:n]
+        media = mpeg_audio.store_bytes(raw)
+        met += media[-128:-125] == b"TAG"
+        got = parsed(media)
+        assert got["payload"][:n] == raw and len(got["payload"]) == max(64, -(-n // 64) * 64) and got["payload_crc_ok"] and got["vbr_ok"], n
+        if n % 100 == 0:
+            tagged = parsed(media + b"TAG" + b"title".ljust(125, b"\0"))
+            assert tagged["tags"]["TIT2"] == "title" and tagged["payload"] == got["payload"] and tagged["vbr_ok"] and tagged["resyncs"] == 0
+    assert met > 1500
+    cut = parsed(mpeg_audio.store_bytes(b"y" * 5000)[:-20] + b"TAG" + b"title".ljust(125, b"\0"))
+    assert cut["tags"]["TIT2"] == "title"
+
+
 def test_mpeg_vbri():
     frames = [mpeg_audio._frame(i, b"") for i in (3, 5, 9, 2, 7)]
     steps = b"".join(len(f).to_bytes(2, "big") for f in frames)
