@@ -15,8 +15,15 @@ large, so a bucket of documents that merely share a passage stays linear.
 A pair at the threshold misses all tables with probability 2 * 0.25 ** 8 or
 3e-5 and the signature test with 4e-5; every link reported is exact.
 
+Sets and shingles are compared as hashes (128 and 64 bits): equal hashes count
+as equal.
+
 Documents without words or without doc_id are linked with nothing. Rows that
-repeat a doc_id belong to one node. Null texts are empty.
+repeat a doc_id belong to one component, whatever their texts: each distinct
+set is a node of its own, linked with the others of its doc_id (such nodes are
+numbered down from 2 ** 63, where no doc_ids are expected). Null texts are
+empty, very long ones are taken whole; an empty table gives none. Other columns
+do not take part.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ AGREE = 5
 SMALL = 64
 #: Shingles in more of the compared documents than this are hot.
 RARE = 64
+#: Nodes from here on stand for further sets of a doc_id that has several.
+FURTHER = (1 << 63) - (1 << 46)
 WORDS_HELD = 150_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"minhash", seed=i) for i in range(2 * SIDE)], dtype=np.uint64)
@@ -118,10 +127,11 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 class _Corpus:
-    """The documents, their representatives (one per distinct set) and the links found so far."""
+    """The documents and their representatives: one for each distinct set, with its smallest doc_id."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame):
         self.docs, self.reps = docs, reps
+        self.further = written(reps.filter(F.col("rep") >= FURTHER).select("rep", "doc_id"), "dedup-further")
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that the sizes allow and the signatures support."""
@@ -133,11 +143,12 @@ class _Corpus:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(rep, shingles) of the given representatives, from their texts."""
-        ids = written(ids.select(F.col("rep").alias("doc_id")), "dedup-ids")
+        ids = ids.select("rep").join(checked_broadcast(self.further), "rep", "left").select(F.coalesce("doc_id", "rep").alias("doc_id"))
+        ids = written(ids, "dedup-ids")
         texts = self.docs.join(checked_broadcast(ids), "doc_id", "left_semi")
         made = texts.mapInArrow(released(_full_sets), _SETS + ", shingles array<long>")
-        true = made.join(self.reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-        return written(true.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "dedup-sets")
+        true = made.join(self.reps.select("rep", "doc_id", "digest"), ["doc_id", "digest"])
+        return written(true.select("rep", "shingles").dropDuplicates(["rep"]), "dedup-sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Edges (u, v) of the pairs whose full sets are similar enough."""
@@ -193,8 +204,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sig = written(docs.mapInArrow(released(_signatures), _SETS + ", sig array<long>"), "dedup-signatures")
     full = sig.filter("n_shingles > 0 and doc_id is not null")
+    repeated = full.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("other")).filter("least <> other").select("doc_id", "least")
+    repeated = written(repeated, "dedup-repeated")
     reps = full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r"), F.count("*").alias("rows"))
-    reps = written(reps.select("digest", "rows", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sig"), "dedup-reps")
+    reps = reps.select("digest", "rows", "r.doc_id", "r.n_shingles", "r.sig").join(checked_broadcast(repeated), "doc_id", "left")
+    own = F.col("least").isNull() | (F.col("least") == F.col("digest"))
+    node = F.when(own, F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.lit(FURTHER))
+    reps = written(reps.select("digest", "rows", "doc_id", node.alias("rep"), "n_shingles", "sig"), "dedup-reps")
     corpus = _Corpus(docs, reps)
 
     tables = F.array(*[F.xxhash64(F.lit(i * SIDE + j), F.get("sig", F.lit(i)), F.get("sig", F.lit(SIDE + j))) for i in range(SIDE) for j in range(SIDE)])
@@ -204,12 +220,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = keys.join(buckets, "key").select("key", "rep", "size", F.col("first").bitwiseXOR(mask).alias("pivot"))
     members = written(members, "dedup-buckets")
 
-    same_id = full.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).filter("digest <> other")
     ids = reps.select("digest", "rep")
-    same_id = (
-        full.join(same_id.select("doc_id", F.col("digest").alias("least")), "doc_id").join(ids.withColumnRenamed("rep", "u"), "digest")
-        .join(ids.select(F.col("digest").alias("least"), F.col("rep").alias("v")), "least").select("u", "v")
-    )
+    several = full.select("doc_id", "digest").join(checked_broadcast(repeated), "doc_id").distinct()
+    same_id = several.join(ids.withColumnRenamed("rep", "u"), "digest").join(ids.select(F.col("digest").alias("least"), F.col("rep").alias("v")), "least").select("u", "v")
     tested = members.select(F.col("pivot").alias("node")).distinct()
     edges = corpus.confirmed(_pairs(members, "rep", "pivot")).unionByName(same_id)
     labels = components(edges)
@@ -242,6 +255,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest
+    doc_id. Here a row counts as a document of its own where its doc_id or its text
+    is another, so unlike texts of one doc_id all stay; among alike ones of the same
+    doc_id the one of the smallest hash stays, among rows equal in both the first by
+    its other columns. Rows without words or without doc_id stay."""
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    several = keyed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("t").alias("least"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "least")
+    several = checked_broadcast(written(several, "dedup-several"))
+    numbers = keyed.select("doc_id", "t").join(several, "doc_id").groupBy("doc_id", "t", "least").agg(F.count("*").alias("n"))
+    own = F.when(F.col("t") == F.col("least"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.lit(FURTHER))
+    numbers = written(numbers.select("doc_id", "t", "n", own.alias("id")), "dedup-numbers")
+    numbered = keyed.join(checked_broadcast(numbers), ["doc_id", "t"], "left").withColumn("id", F.coalesce("id", "doc_id"))
+    gone = near_duplicates(numbered.select(F.col("id").alias("doc_id"), "text")).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    left = numbered.join(checked_broadcast(written(gone, "dedup-gone")), "id", "left_anti")
+    once = left.filter("coalesce(n, 1) = 1").select("row.*")
+    first = left.filter("n > 1").groupBy("id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return once.unionByName(first)
+
+
 def _nodes(edges: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """(node, comp, fresh, links): fresh where it was no pivot yet; links so far.
     A fresh node with many links lies in the middle of its family: it was

@@ -333,6 +333,36 @@ def test_near_dedup_open_rows_go_through_prefixes(spark, monkeypatch):
     test_near_dedup_families_at_the_threshold(spark)
 
 
+def test_near_dedup_ids_with_several_texts(spark):
+    rnd = random.Random(2)
+    words = lambda n: [str(rnd.randrange(10**6)) for _ in range(n)]
+    changed = lambda t, *at: [("x" + w if i in at else w) for i, w in enumerate(t)]
+    a, b, c, d = words(250), words(250), words(80), words(80)
+    rows = [(1, a), (1, b), (2, changed(a, 100)), (3, changed(b, 7)), (7, c), (7, d), (7, a), (8, changed(d, 40)), (9, changed(c, 3)), (9, words(30)), (4, words(9)), (4, words(3))]
+    rows += [(5, words(40)) for _ in range(30)] + [(6, changed(a, 5, 200))]
+    same_components(spark, [(i, " ".join(t)) for i, t in rows])
+
+
+def test_near_dedup_recall_just_above_the_threshold(spark):
+    """Pairs with an index of 0.75 to 0.80, planted from ten seeds: all are found."""
+    rows, planted = [], 0
+    for seed in range(10):
+        rnd = random.Random(seed)
+        for _ in range(40):
+            t = [f"{seed}-{rnd.randrange(10**9)}" for _ in range(rnd.randint(60, 300))]
+            u, n = list(t), len(t) - 4
+            apart = lambda: len({i for i in range(n) for j in range(i, i + 5) if t[j] != u[j]})  # noqa: E731, B023
+            for i in rnd.sample(range(len(t)), len(t)):
+                was, u[i] = u[i], "x"
+                if (n - apart()) / (n + apart()) < 0.75:
+                    u[i] = was
+                    break
+            planted += 0.75 <= (n - apart()) / (n + apart()) <= 0.80
+            rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join(u))]
+    assert planted > 300
+    same_components(spark, rows)
+
+
 def test_near_dedup_repeated_ids(spark):
     text = " ".join(map(str, range(50)))
     rows = [(1, text), (1, text), (2, "p q r s t u v"), (1, "p q r s t u v"), (None, text), (3, None)]

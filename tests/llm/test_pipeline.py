@@ -57,11 +57,12 @@ def test_stages(spark):
     check_bpe(spark, steps[4])
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, ids array<int>"
+INSIDE = "kept _s _d _m _marks _tie _size _text others row t id n h sig rep".split()  # names that stages use themselves
+ODD = "doc_id long, text string, lang string, source string, n_chars long, ids array<int>, facts map<string,int>, " + ", ".join(f"`{c}` string" for c in INSIDE)
 
 
 def tables(spark, path, rows, labels=((1, 1, 0),)):
-    spark.createDataFrame([(*r, "clash", [1]) for r in rows], ODD).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(*r, [1], {"a": 1}, *["clash"] * len(INSIDE)) for r in rows], ODD).write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
     return spark.read.parquet(str(path / "documents.parquet"))
 
@@ -90,8 +91,24 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert Counter(r.doc_id for r in ends.collect()) == Counter(r.doc_id for r in mixed.collect())
 
 
+def test_pipeline_keeps_unlike_texts_of_one_id(spark, tmp_path):
+    six, other = "one two three four five six", " ".join(map(str, range(40)))
+    near = other + " x"
+    rows = [(1, six, "en", "a", 27), (1, six, "en", "b", 27), (1, "seven eight nine", "en", "a", 16), (2, six, "en", "a", 27), (3, other, "en", "a", 9), (1, near, "en", "a", 9)]
+    docs = tables(spark, tmp_path, rows)
+    got = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.minhash_near_dedup(spark, docs, str(tmp_path)).collect())
+    texts = Counter((d, t) for d, t, _ in got.elements())
+    assert texts[(1, six)] == texts[(1, "seven eight nine")] == 1 and texts[(2, six)] == 0
+    assert texts[(1, near)] + texts[(3, other)] == 1 and sum(texts.values()) == 3
+    again = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.minhash_near_dedup(spark, docs.repartition(3), str(tmp_path)).collect())
+    assert again == got
+
+
 def test_pipeline_empty_tables(spark, tmp_path):
     docs = tables(spark, tmp_path, [(1, "a", "en", "a", 1)])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    (tmp_path / "bare").mkdir()
+    bare = tables(spark, tmp_path / "bare", [(1, "a", "en", "a", 1)], labels=[(None, None, None)])
+    assert corpus_pipeline.quality_classifier(spark, bare, str(tmp_path / "bare")).count() == 1  # without labels all stay
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2  # one word, of which the mix takes one and a half, rounded
