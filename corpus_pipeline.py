@@ -8,17 +8,42 @@ them. Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.llm import mixing, near_dedup, quality, secret_scan
-from clauseloom.llm.common import checked_broadcast, table, written
+from clauseloom.llm.common import table, written
 from clauseloom.llm.queries import bpe_digests
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: The columns that stages work with.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _apart(stage):
+    """Keeps all other columns in one struct while a stage works, so that no name of theirs
+    meets one of its own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        held = docs.select(*COLUMNS, F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"))
+        out = stage(spark, held, sf_dir)
+        if "others" not in out.columns:
+            return out
+        return out.select(*[F.col(c) if c in COLUMNS else F.col("others").getField(c).alias(c) for c in docs.columns])
+
+    return run
+
+
+@_apart
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the site-level classifier rejects go. A null text counts as
     empty; rows that repeat a document are kept or go alike. Without usable labels
@@ -26,25 +51,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@_apart
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest doc_id.
-    Rows with one doc_id are one document, whatever their texts: the first by text
-    stays. Texts without words, and rows without doc_id, are like nothing and stay."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    rest = docs.join(checked_broadcast(written(gone, "stage-gone")), "doc_id", "left_anti").select(docs.columns)
-    repeated = written(rest.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "stage-repeated")
-    if repeated.isEmpty():
-        return rest
-    first = rest.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first)
+    Unlike texts of one doc_id are documents of their own and stay; rows that repeat
+    doc_id and text leave one. Texts without words, and rows without doc_id, stay."""
+    return near_dedup.distinct_documents(docs)
 
 
+@_apart
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets that are not widely copied examples are replaced by ``[SECRET]``; all rows
     stay, null texts as they are. n_chars follows the text."""
     return secret_scan.redacted(docs)
 
 
+@_apart
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken to their targets: a document may be taken not at all, in part, or
     twice, which gives two rows. Documents without words stay once. A null source is
@@ -52,6 +74,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_texts(docs)
 
 
+@_apart
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes, a row for each row;
     a null text has no tokens."""
