@@ -116,26 +116,6 @@ def match_in_order(merged: list[str], source: list[str]) -> list[int | None]:
     return out
 
 
-def place_fragments(blocks: list[str], fragments: list[list[str]]) -> list[tuple[int, int] | None]:
-    """Fragments in order: every block of one must match, in order, at or behind the
-    cursor, else the fragment is skipped; the range runs from the first to the last match."""
-    places, cursor, out = _places(blocks), 0, []
-    for fragment in fragments:
-        at, hits = cursor, []
-        for text in fragment:
-            hit = _next(places, text, at)
-            if hit is None:
-                break
-            hits.append(hit)
-            at = hit + 1
-        if fragment and len(hits) == len(fragment):
-            out.append((hits[0], hits[-1]))
-            cursor = hits[-1] + 1
-        else:
-            out.append(None)
-    return out
-
-
 def token_diff(old: str, new: str) -> list[tuple[str, bool]]:
     """Segments of the new text; inserted or replaced tokens (not blanks) are marked."""
     token = re.compile(r"\s+|\w+|[^\w\s]")

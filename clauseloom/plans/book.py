@@ -24,8 +24,3 @@ class Book:
             return f
 
         return keep
-
-    def sql(self, name: str, text: str, *needs: str, duck: str | None = None) -> None:
-        """A query that is one SQL statement; ``duck`` where DuckDB spells it otherwise."""
-        self.queries[name] = lambda spark, sf_dir, text=text: views.sql(spark, sf_dir, text)
-        self.oracles[name] = views.oracle(duck or text, *needs)

@@ -187,8 +187,6 @@ def win_version_current(spark, d):
     return orders.filter("o_orderstatus = 'O'").join(live, "o_custkey").select("o_orderkey", (F.col("o_orderpriority") == F.col("h")).alias("is_current"))
 
 
-@book.add("win_dedup_names", """with n as (select p_partkey, p_brand as name, row_number() over (partition by p_brand order by p_partkey) - 1 as k from part)
-select p_partkey, case when k = 0 then name else name || ' (' || k || ')' end as final from n""")
 def win_dedup_names(spark, d):
     """``name``, ``name (1)``, ``name (2)``; a made name that is taken by a real one takes a further number in a second pass."""
     k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
@@ -258,8 +256,6 @@ def chg_revision_bump(spark, d):
     return table(spark, d, "customer").join(bumps, "c_custkey", "left").select("c_custkey", (F.col("c_custkey") % 5 + F.coalesce("n", F.lit(0))).alias("revision"))
 
 
-@book.add("chg_registry", """with r as (select 'out/' || (page_id % 9) || '/f' || (page_id % 40) as path, max(page_id) as page_id from pages group by 1),
-m as (select case when path = 'out/3' or starts_with(path, 'out/3/') then 'moved/3' || substring(path, 6) else path end as path, page_id from r where not (path = 'out/4' or starts_with(path, 'out/4/'))) select path, page_id from m""")
 def chg_registry(spark, d):
     """Last write per path wins; renames and removals act on a path and everything under it."""
     paths = table(spark, d, "pages").select(F.concat(F.lit("out/"), (F.col("page_id") % 9).cast("string"), F.lit("/f"), (F.col("page_id") % 40).cast("string")).alias("path"), "page_id")

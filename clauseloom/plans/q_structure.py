@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import provenance as P
 from ..operators import sequences as Q
 from ..operators import structure as B
 from ..sources.views import sql, table, view
@@ -125,7 +126,6 @@ def win_merge_separator(spark, d):
     return B.separators(view(spark, d, "toc_view").select("doc_id", F.floor(F.col("pos") / 10).alias("fragment"), "pos", F.col("has_drawing").alias("is_table")))
 
 
-@book.add("win_conflict_suffix")
 def win_conflict_suffix(spark, d):
     """Suffix of a file name two sources share: the last path part in which they differ and that has a meaningful token."""
     paths = table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^https?://|[?#].*$", "").alias("path")).withColumn("k", F.floor(F.col("page_id") / 2))
@@ -142,21 +142,7 @@ _RANGES = "select doc_id, pos as source, pos as first, pos + level * 5 as last f
 
 @book.add("join_block_ranges", f"with r as ({_RANGES}) select b.doc_id, b.pos, arg_min(source, first * 1000 + last) as source from toc_view b join r on r.doc_id = b.doc_id and b.pos between first and last group by 1, 2", "toc_view")
 def join_block_ranges(spark, d):
-    return ranged(view(spark, d, "toc_view"), sql(spark, d, _RANGES))
-
-
-def ranged(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The first range (by start, then end) that covers a block; the document equality keeps it a hash join."""
-    r = ranges.withColumnRenamed("doc_id", "_d")
-    hit = (F.col("doc_id") == F.col("_d")) & F.col("pos").between(F.col("first"), F.col("last"))
-    return blocks.join(r, hit).groupBy("doc_id", "pos").agg(F.min_by("source", F.struct("first", "last")).alias("source"))
-
-
-@book.add("txt_block_trace", f"with r as ({_RANGES}), h as (select b.doc_id, b.pos, arg_min(source, first * 1000 + last) as source from toc_view b join r on r.doc_id = b.doc_id and b.pos between first and last group by 1, 2) select b.doc_id, b.pos, coalesce('s' || source, 'unknown') as source from toc_view b left join h on h.doc_id = b.doc_id and h.pos = b.pos", "toc_view")
-def txt_block_trace(spark, d):
-    blocks = view(spark, d, "toc_view").select("doc_id", "pos")
-    found = ranged(blocks, sql(spark, d, _RANGES))
-    return blocks.join(found, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("unknown")).alias("source"))
+    return P.ranged(view(spark, d, "toc_view"), sql(spark, d, _RANGES))
 
 
 @book.add("agg_page_sources", """with b as (select doc_id, floor(pos / 8) as page, coalesce(level, 0) + pos % 3 as source, pos from toc_view where not has_drawing), g as (select doc_id, page, source, count(*) as n, min(pos) as first from b group by all)
@@ -260,7 +246,6 @@ def join_ordered_text(spark, d):
     return merged.groupBy("k").cogroup(source.groupBy("k")).applyInPandas(f, "doc_id long, pos int, source_pos long")
 
 
-@book.add("join_fragment_place")
 def join_fragment_place(spark, d):
     """Fragments (runs of three lines) placed in order in their own document."""
     blocks = lines(spark, d).filter("line <> ''")

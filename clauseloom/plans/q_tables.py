@@ -163,8 +163,6 @@ def snk_run_log(spark, d):
     return back.select("run_id", F.size("steps").alias("steps"), F.count_if(F.lit(True)).over(Window.partitionBy("run_id")).alias("documents"))
 
 
-@book.add("dq_step_rules", """select run_id, step_no, r as rule from (select *, unnest(list_filter([case when step_type is null then 'type required' end, case when title is null and step_type in ('figure', 'table') then 'title required' end,
-case when last_block < first_block then 'block order' end, case when title is null and message = '' then 'title or message' end], lambda x: x is not null)) as r from step_view)""", "step_view")
 def dq_step_rules(spark, d):
     """One row for each rule that a step breaks: required, conditional, composite and at-least-one-of."""
     missing = lambda c: F.col(c).isNull() | (F.col(c) == "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_functions", "q_matching", "q_search", "q_tables", "q_records", "q_structure", "q_streams"]
+MODULES = ["q_functions", "q_matching", "q_search", "q_tables", "q_records", "q_structure", "q_provenance", "q_streams"]
 
 
 def _books():

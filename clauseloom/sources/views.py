@@ -96,6 +96,29 @@ union all select o_custkey % 20, o_orderkey + 1, 0, case when o_orderkey % 10 =
 union all select o_custkey % 20, o_orderkey + 1, 1, cast(1995 + o_orderkey % 30 as string) from orders where o_orderkey % 10 <> 0
 union all select o_custkey % 20, o_orderkey + 1, 2, case when o_orderkey % 3 = 0 then 'Yes' else 'NO' end from orders where o_orderkey % 10 <> 0
 union all select o_custkey % 20, o_orderkey + 1, 3, o_orderpriority from orders where o_orderkey % 10 <> 0""",
+    "marks_view": """
+select cast(floor(p_partkey / 40) as bigint) as doc_id, p_partkey % 40 as pos, 1 as seq, cast(p_partkey % 40 as string) as id, 's' || cast(p_size % 4 as string) as source, false as is_end from part where p_partkey % 5 = 1
+union all select cast(floor(p_partkey / 40) as bigint), p_partkey % 40, 2, 'b' || cast(p_size % 6 as string), 's' || cast(p_size % 3 as string), false from part where p_partkey % 10 = 1
+union all select cast(floor(p_partkey / 40) as bigint), p_partkey % 40, 3, cast(p_partkey % 40 - p_size % 6 as string), null, true from part where p_partkey % 3 = 1
+union all select cast(floor(p_partkey / 40) as bigint), p_partkey % 40, 4, 'b' || cast(p_size % 6 as string), null, true from part where p_partkey % 4 = 2""",
+    "registry_view": """
+select cast(floor(event_id / 50) as bigint) as root, event_id as seq,
+  case when event_id % 7 = 3 then 'rename' when event_id % 9 = 4 then 'remove' else 'record' end as op,
+  case when event_id % 7 = 3 or event_id % 9 = 4 then case user_id % 4 when 0 then 'd' || cast(user_id % 3 as string) when 1 then 'd' || cast(user_id % 3 as string) || '/e' || cast(event_id % 2 as string) when 2 then 'd0/e1/f' || cast(user_id % 3 as string) else 'm/e' || cast(event_id % 2 as string) end
+    else 'd' || cast(user_id % 3 as string) || '/e' || cast(event_id % 2 as string) || '//f' || cast(event_id % 5 as string) end as path,
+  case user_id % 5 when 0 then 'm' when 1 then 'm/e1' when 2 then 'd1' when 3 then 'd2/e0/' else 'd0/e1/f2' end as new_path, event_id * 3 as value
+from events""",
+    "flow_step_view": """
+select l_orderkey as run_id, l_linenumber as step_no,
+  case l_suppkey % 6 when 0 then 'extract_word_all_content' when 1 then 'extract_word_chapter' when 2 then 'extract_specific_figure_from_word' when 3 then 'extract_specific_table_from_word' when 4 then 'insert_text' else 'template_merge' end as step_type,
+  case when l_partkey % 7 = 0 then ' ' when l_partkey % 7 = 1 then null else 'in' || cast(l_partkey as string) || '.docx' end as input_file, case when l_partkey % 5 = 0 then '' else 'Text' end as text,
+  case when l_partkey % 4 = 0 then null else '1.' || cast(l_partkey % 9 as string) end as target_chapter_section, case l_partkey % 6 when 0 then '' when 1 then null else 'Scope' end as target_chapter_title,
+  case l_partkey % 8 when 0 then '2.1 Scope' when 1 then '2.1' when 2 then 'Annex 4 of it' when 3 then 'Annex' when 4 then '3. Use ' when 5 then '3x Use' else null end as chapter_ref,
+  case when l_discount >= 0.05 then 'true' when l_discount >= 0.03 then 'yes' else '' end as use_chapter_title, case when l_partkey % 3 = 0 then 'Sub' else ' ' end as target_subtitle,
+  case when l_tax >= 0.06 then 'true' when l_tax >= 0.04 then 'false' else null end as continuous_extract, case when l_partkey % 11 < 4 then '4' else null end as explicit_end_number, case when l_partkey % 11 in (1, 5) then 'End' else '' end as explicit_end_title,
+  case when l_partkey % 13 = 1 then '4 End' else null end as continuous_end_ref, case when l_partkey % 10 = 0 then 'Figure 1' else null end as target_caption_label,
+  case when l_partkey % 10 = 1 then 'Pump' else '' end as target_figure_title, case when l_partkey % 10 = 2 then '2' else null end as target_figure_index, case when l_partkey % 10 = 3 then 'Limits' else null end as target_table_title, case when l_partkey % 10 = 4 then '1' else '' end as target_table_index
+from lineitem""",
     "step_view": """
 select l_orderkey as run_id, l_linenumber as step_no, l_partkey % 15 as source_no,
   'dir' || cast(l_partkey % 4 as string) || '/sub' || cast(l_partkey % 3 as string) || '/file' || cast(l_partkey % 15 as string) || '.docx' as source_path,
