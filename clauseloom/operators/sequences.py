@@ -140,12 +140,23 @@ def fold_status(events: list[str], now: str | None = None) -> str | None:
     return now
 
 
-def grant_leases(times: pd.Series, owners: list[int], hold: float) -> list[str]:
-    """Outcome of each request in time order: granted, extended or denied, with a lease of ``hold`` seconds."""
-    owner, until, out = None, None, []
-    for t, who in zip(times, owners, strict=True):
-        free = owner is None or t >= until
-        out.append("granted" if free else "extended" if who == owner else "denied")
-        if out[-1] != "denied":
-            owner, until = who, t + pd.Timedelta(seconds=hold)
+def grant_leases(times: list[float], ops: list[str], actors: list, hold: float) -> list[tuple]:
+    """(outcome, holder, until) after each request in time order; a lease lasts ``hold``.
+
+    acquire: granted where no one else's lease runs, extended where the own one does.
+    refresh: the same for the holder, even of a lease that ran out; others are denied.
+    release: the holder gives the lease up. takeover: always granted.
+    """
+    holder, until, out = None, None, []
+    for t, op, who in zip(times, ops, actors, strict=True):
+        runs, own = holder is not None and until > t, holder is not None and holder == who
+        if op == "release":
+            said = "released" if own else "denied"
+            holder, until = (None, None) if own else (holder, until)
+        elif op == "takeover" or own or (op == "acquire" and not runs):
+            said = "extended" if runs and own and op != "takeover" else "granted"
+            holder, until = who, t + hold
+        else:
+            said = "denied"
+        out.append((said, holder, until))
     return out

@@ -24,6 +24,10 @@ def without_orphans(lines: DataFrame, kind: Column) -> DataFrame:
     return kept.withColumn("number", F.when(F.col("kind").isNotNull(), F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("pos"))))
 
 
+#: Heading levels of the document format; deeper ones count as the last.
+LEVELS = 9
+
+
 def section_ranges(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     """Where the sections asked for (doc_id, number, title, last) start and end.
 
@@ -32,33 +36,50 @@ def section_ranges(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     opens at a plain line ends at the next numbered line that bounds it. With
     ``last``, the number of the section to include, it ends where that one does.
     ``until`` is null where it runs to the document's end.
+
+    Every block learns once, from one window over its document, where the next heading
+    of each level or above stands; requests look that up at the block they open at, so
+    only those that open at a plain line meet the numbered lines behind them.
     """
-    rows = blocks.select("doc_id", "pos", "line", "level", T.number_parts("line").alias("parts"))
+    ahead = in_document().rowsBetween(1, Window.unboundedFollowing)
+    depth = F.least("level", F.lit(LEVELS))
+    following = F.array(*[F.min(F.when(depth <= n, F.col("pos"))).over(ahead) for n in range(1, LEVELS + 1)])
+    rows = blocks.select("doc_id", "pos", "line", "level", T.number_parts("line").alias("parts"), following.alias("following"))
     hits = requests.join(rows, "doc_id").filter(T.heading_match("line", "number", "title"))
     keys = ["doc_id", "number", "title", "last"]
-    start = hits.groupBy(*keys).agg(F.min(F.struct(F.col("level").isNull().alias("plain"), "pos", "level", "parts")).alias("s"))
-    start = start.select(*keys, "s.plain", F.col("s.pos").alias("start"), F.col("s.level").alias("depth"), F.col("s.parts").alias("from_parts"))
-    ends = rows.select("doc_id", F.col("pos").alias("at"), F.col("level").alias("l"), F.col("parts").alias("p"))
-    both = start.join(ends, "doc_id").filter(F.col("at") > F.col("start"))
-    wanted = F.transform(F.split("last", r"\."), lambda x: x.cast("int"))
-    last_at = F.min(F.when((F.col("last") != "") & (F.col("p") == wanted), F.struct("at", "l", "p"))).over(Window.partitionBy(*keys))
-    both = both.withColumn("_last", last_at)
-    opens = F.coalesce(F.col("_last.at"), F.col("start"))
-    depth, parts = F.when(F.col("_last").isNotNull(), F.col("_last.l")).otherwise(F.col("depth")), F.when(F.col("_last").isNotNull(), F.col("_last.p")).otherwise(F.col("from_parts"))
-    structural = depth.isNotNull() & (F.col("l") <= depth)
-    textual = depth.isNull() & T.number_boundary(parts, "p", True)
-    closes = both.filter((F.col("at") > opens) & (structural | textual)).groupBy(*keys).agg(F.min("at").alias("until"))
-    return start.select(*keys, "start").join(closes, keys, "left")
+    start = hits.groupBy(*keys).agg(F.min(F.struct(F.col("level").isNull().alias("plain"), "pos")).alias("s")).select(*keys, F.col("s.pos").alias("start"))
+    wanted = F.when(F.col("last") != "", F.transform(F.split("last", r"\."), lambda x: x.cast("int")))
+    named = rows.filter("parts is not null").select("doc_id", F.col("pos").alias("at"), F.col("parts").alias("wanted"))
+    ends = start.withColumn("wanted", wanted).join(named, ["doc_id", "wanted"]).filter(F.col("at") > F.col("start")).groupBy(*keys).agg(F.min("at").alias("at"))
+    opens = start.join(ends, keys, "left").withColumn("pos", F.coalesce("at", "start"))
+    opens = opens.join(rows.select("doc_id", "pos", "level", "parts", "following"), ["doc_id", "pos"])
+    headed = opens.filter("level is not null").select(*keys, "start", F.get("following", F.least("level", F.lit(LEVELS)).cast("int") - 1).alias("until"))
+    plain = opens.filter("level is null").select(*keys, "start", F.col("pos").alias("_from"), F.col("parts").alias("_parts"))
+    numbered = rows.filter("parts is not null").select("doc_id", F.col("pos").alias("at"), F.col("parts").alias("p"))
+    closes = plain.join(numbered, "doc_id").filter((F.col("at") > F.col("_from")) & T.number_boundary("_parts", "p", True)).groupBy(*keys).agg(F.min("at").alias("until"))
+    return headed.unionByName(plain.select(*keys, "start").join(closes, keys, "left"))
 
 
 def subsections(blocks: DataFrame, kind: str) -> DataFrame:
     """Each subheading (a block with ``kind``) with ``until``: the next one of the same
     kind that body text follows, null at the end. Blocks without text do not count."""
     rows = blocks.filter(T.norm_text("line") != "").withColumn("_body", F.lead(kind).over(in_document()).isNull() & F.lead("pos").over(in_document()).isNotNull())
-    ahead = in_document().rowsBetween(1, Window.unboundedFollowing)
-    kinds = [r[0] for r in rows.select(kind).filter(F.col(kind).isNotNull()).distinct().limit(9).collect()]  # a handful of kinds
-    until = F.coalesce(*[F.when(F.col(kind) == k, F.min(F.when((F.col(kind) == k) & F.col("_body"), F.col("pos"))).over(ahead)) for k in kinds], F.lit(None).cast("long"))
-    return rows.withColumn("until", until).filter(F.col(kind).isNotNull()).select("doc_id", "pos", kind, "until")
+    ahead = Window.partitionBy("doc_id", kind).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    until = F.min(F.when(F.col("_body"), F.col("pos"))).over(ahead)
+    return rows.filter(F.col(kind).isNotNull()).withColumn("until", until).select("doc_id", "pos", kind, "until")
+
+
+def without_hidden(blocks: DataFrame, hide: DataFrame) -> DataFrame:
+    """``blocks`` (doc_id, pos, cell, line and others) without those whose normalised text
+    is one of ``hide`` (line). A table's cell never loses its last block: where all of
+    its blocks go, the last one stays with an empty text. ``cell`` is null outside tables."""
+    key = T.norm_text("line")
+    asked = hide.select(T.norm_text("line").alias("_key")).filter("_key <> ''").distinct().withColumn("_hit", F.lit(True))
+    rows = blocks.withColumn("_key", key).join(asked, "_key", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    cell = Window.partitionBy("doc_id", "cell")
+    whole = F.col("cell").isNotNull() & F.col("_hit") & (F.col("pos") == F.max("pos").over(cell)) & F.min("_hit").over(cell)
+    kept = rows.withColumn("_whole", whole).filter(~F.col("_hit") | F.col("_whole"))
+    return kept.withColumn("line", F.when(F.col("_whole"), "").otherwise(F.col("line"))).select(blocks.columns)
 
 
 #: Blocks looked through for the body text that follows a heading.

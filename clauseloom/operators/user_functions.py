@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import grant_leases
 
 
 def payload_filter(rows: DataFrame, column: str, accept: Callable[[dict], bool]) -> DataFrame:
@@ -51,11 +50,6 @@ def map_chunks(chunks: DataFrame, f: Callable[[str], str]) -> DataFrame:
     return chunks.mapInPandas(run, chunks.schema)
 
 
-def lease_outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "event_id"])
-    return pd.DataFrame({"target": pdf.target, "event_id": pdf.event_id, "outcome": grant_leases(pdf.ts, pdf.user_id.tolist(), 4 * 3600)})
-
-
 def even_total(payload: dict) -> bool:
     return sum(v for v in payload.values() if isinstance(v, int)) % 2 == 0
 

@@ -1,10 +1,13 @@
 """Queries over records: joins, roll-ups, change detection, upserts, retention, states."""
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import records as R
+from ..operators import retention as X
 from ..sources.views import sql, table, view
 from .book import Book
 
@@ -42,9 +45,28 @@ def expired(spark, d) -> DataFrame:
     return table(spark, d, "orders").filter(F.col("o_orderstatus").isin("F", "O") & (F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz"))).select("o_orderkey")
 
 
-@book.add("chg_retention", f"select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey not in (select o_orderkey from orders where {_EXPIRED})")
+_JOBS = "select cast(o_orderkey as bigint) as id, case when o_orderkey % 3 = 1 then null else cast(floor(o_orderkey / 3) as bigint) end as parent, o_orderstatus as status, case when o_custkey % 4 = 0 then null else o_orderdate end as completed_at, o_orderdate as created_at from orders"
+
+
+@book.add("chg_retention", f"""with recursive j as ({_JOBS}), gone as (select id from j where status in ('F', 'O') and coalesce(completed_at, created_at) < timestamp '1993-06-30'
+union select j.id from j join gone on j.parent = gone.id)
+select 'job' as tab, id, null::bigint as line from j where id not in (select id from gone) union all
+select 'item', l_orderkey, cast(l_linenumber as bigint) from lineitem where l_orderkey not in (select id from gone) union all
+select 'matched ' || t, n, null from (select 'jobs' as t, count(*) as n from gone union all select 'items', count(*) from lineitem where l_orderkey in (select id from gone)) union all
+select 'deleted dry ' || t, 0, null from (select unnest(['jobs', 'items']) as t)""")
 def chg_retention(spark, d):
-    return table(spark, d, "lineitem").join(expired(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Ended jobs of more than 550 days go, with the jobs under them and the items of all."""
+    jobs = sql(spark, d, _JOBS)
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("id"), F.col("l_linenumber").cast("long").alias("line"))
+    old = X.expired(jobs, 550, datetime(1995, 1, 1), "completed_at", "created_at", ended=F.col("status").isin("F", "O"))
+    ids = X.with_children(old, jobs.select("id", "parent"))
+    tables = {"jobs": (jobs, "id"), "items": (items, "id")}
+    kept, counts = X.cleaned(tables, ids)
+    _, dry = X.cleaned(tables, ids, dry_run=True)
+    none = F.lit(None).cast("long").alias("line")
+    out = kept["jobs"].select(F.lit("job").alias("tab"), "id", none).unionByName(kept["items"].select(F.lit("item").alias("tab"), "id", "line"))
+    out = out.unionByName(counts.select(F.concat(F.lit("matched "), "tab").alias("tab"), F.col("deleted").alias("id"), none))
+    return out.unionByName(dry.select(F.concat(F.lit("deleted dry "), "tab").alias("tab"), F.col("deleted").alias("id"), none))
 
 
 @book.add("agg_cleanup_counts", f"select 'jobs' as tab, count(*) as n from orders where {_EXPIRED} union all select 'items', count(*) from lineitem where l_orderkey in (select o_orderkey from orders where {_EXPIRED})")
@@ -228,11 +250,21 @@ def source_decision(new: DataFrame, old: DataFrame, force: bool = False) -> Data
     return both.select("source_key", (F.lit(force) | F.col("o").isNull() | (F.size(why) > 0)).alias("download"), reasons.alias("reasons"))
 
 
-@book.add("chg_activate_release", "select o_orderkey, row_number() over (partition by o_custkey order by case when o_orderkey % 11 = 0 then 0 else 1 end, o_orderdate desc, o_orderkey desc) = 1 as is_active from orders")
+_RELEASES = """select o_custkey as owner, cast(o_orderkey as bigint) as id, '/nas/r' || cast(o_orderkey % 6 as string) || '.xlsx' as path, 'old' as file_name, case when o_orderkey % 4 = 0 then null else 'http://a' end as source_url, 'v1' as version_label,
+'c1' as checksum, o_orderkey % 2 = 0 as is_active, 'failed' as status, 'lost' as error, o_orderdate as downloaded_at from orders"""
+_REGISTERED = """select c_custkey as owner, case c_custkey % 3 when 0 then '/nas/r2.xlsx' when 1 then '/nas/new/n.XLS' else '/nas/r1.pdf' end as path, case when c_custkey % 2 = 0 then '' else 'http://b' end as source_url,
+case when c_custkey % 5 = 0 then 'v9' else '' end as version_label, case when c_custkey % 7 = 0 then null else 'c2' end as checksum, timestamp '2024-05-06 07:08:09' as downloaded_at from customer where c_custkey % 4 <> 3"""
+
+
+@book.add("chg_activate_release", f"""with r as ({_RELEASES}), n as (select owner, path, nullif(source_url, '') as source_url, coalesce(nullif(version_label, ''), strftime(downloaded_at, '%Y%m%d-%H%M')) as version_label, nullif(checksum, '') as checksum, downloaded_at from ({_REGISTERED}) where not path like '%.pdf'),
+f as (select r.owner, min(r.id) as id from r join n on r.owner = n.owner and r.path = n.path group by 1),
+m as (select r.*, n.owner is not null as touched, f.id is not null and f.id = r.id as hit, n.source_url as nu, n.version_label as nl, n.checksum as nc, n.downloaded_at as na from r left join n on r.owner = n.owner left join f on f.owner = r.owner)
+select owner, id, path, case when hit then parse_filename(path) else file_name end as file_name, case when hit then coalesce(nu, source_url) else source_url end as source_url, case when hit then nl else version_label end as version_label,
+  case when hit then coalesce(nc, checksum) else checksum end as checksum, case when touched then hit else is_active end as is_active, case when hit then 'available' else status end as status, case when hit then null else error end as error,
+  case when hit then na else downloaded_at end as downloaded_at from m
+union all select n.owner, coalesce((select max(id) from r where r.owner = n.owner), 0) + 1, n.path, parse_filename(n.path), n.source_url, n.version_label, n.checksum, true, 'available', null, n.downloaded_at from n where not exists (select 1 from f where f.owner = n.owner)""")
 def chg_activate_release(spark, d):
-    """Exactly one active release per owner: the registered one, else the newest."""
-    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.when(F.col("o_orderkey") % 11 == 0, 0).otherwise(1), F.desc("o_orderdate"), F.desc("o_orderkey")))
-    return table(spark, d, "orders").select("o_orderkey", (rn == 1).alias("is_active"))
+    return X.activated(sql(spark, d, _RELEASES), sql(spark, d, _REGISTERED).withColumn("downloaded_at", F.col("downloaded_at").cast("timestamp_ntz")))
 
 
 _UP = "select c_custkey + 750 as c_custkey, case when c_custkey % 2 = 0 then 'new ' || c_name end as c_name, case when c_custkey % 3 = 0 then 'SEG' end as c_mktsegment from customer"

@@ -5,29 +5,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import records as R
+from ..operators import structure as B
+from ..operators.retention import page
 from ..sources.views import sql, table, view
 from .book import Book
 
 book = Book()
 
 
-def page(rows: DataFrame, order, number: int, size: int, clamp: bool = True) -> DataFrame:
-    """One page with total, page number and has_prev / has_next. ``order`` names columns,
-    with a minus in front for descending ones, and ends in a unique key. With
-    ``clamp`` a page past the end becomes the last one. A page is taken from the
-    nearer end, so that only the rows up to it meet in one task."""
-    total = rows.count()
-    last = max(1, -(-total // size))
-    at = min(max(1, number), last) if clamp else max(1, number)
-    start = (at - 1) * size
-    by = lambda back: [F.desc(c.lstrip("-")) if c.startswith("-") != back else F.asc(c.lstrip("-")) for c in order]
-    if 2 * start <= total:
-        part = rows.orderBy(*by(False)).offset(start).limit(size)
-    else:
-        part = rows.orderBy(*by(True)).limit(max(0, total - start)).orderBy(*by(False)).limit(size)
-    return part.withColumns({"page": F.lit(at), "total": F.lit(total).cast("long"), "has_prev": F.lit(at > 1), "has_next": F.lit(at < last)})
-
-
 def contains_any(q: str, *columns: str):
     """Case-insensitive search for a text in any column."""
     hit = F.lit(False)
@@ -102,11 +87,19 @@ def lines(spark, d) -> DataFrame:
     return rows.select("doc_id", "pos", T.norm_text("line").alias("line"))
 
 
-@book.add("flt_hide_texts", f"with {D_LINES}, hide as (select line from lines where line <> '' group by line having count(distinct doc_id) >= 5) select doc_id, pos from lines where line <> '' and line not in (select line from hide)")
+_CELL = "case when doc_id % 3 > 0 then cast(floor(pos / 3) as bigint) end"
+
+
+@book.add("flt_hide_texts", f"""with {D_LINES}, hide as (select line from lines where line <> '' group by line having count(distinct doc_id) >= 5),
+b as (select doc_id, pos, {_CELL} as cell, line in (select line from hide) as hit from lines where line <> ''),
+c as (select *, cell is not null and hit and bool_and(hit) over (partition by doc_id, cell) and pos = max(pos) over (partition by doc_id, cell) as last from b)
+select doc_id, pos, cell, last as emptied from c where not hit or last""")
 def flt_hide_texts(spark, d):
+    """Lines of five documents or more go; three lines are a cell in two thirds of the documents."""
     rows = lines(spark, d).filter("line <> ''")
     hide = rows.groupBy("line").agg(F.countDistinct("doc_id").alias("n")).filter("n >= 5")
-    return rows.join(hide, "line", "left_anti").select("doc_id", "pos")
+    kept = B.without_hidden(rows.select("doc_id", "pos", F.expr(_CELL).alias("cell"), "line"), hide)
+    return kept.select("doc_id", "pos", "cell", (F.col("line") == "").alias("emptied"))
 
 
 @book.add("flt_toc", "select doc_id, pos from toc_view where not (level is not null or regexp_matches(line, '[.]{4,}\\s*[0-9]+$'))", "toc_view")
@@ -127,10 +120,15 @@ def flt_payload_action(spark, d):
     return sql(spark, d, _PAY).filter((F.col("status") == "failed") & T.payload_text("payload", "action").isin("check", "check_extract")).select("job_id")
 
 
-@book.add("srt_page", """with t as (select count(*) as n from orders) select o_orderkey, cast(ceil(n / 20.0) as int) as page, n as total, true as has_prev, false as has_next
-from (select *, row_number() over (order by o_orderdate desc, o_orderkey desc) as rn from orders), t where rn > (ceil(n / 20.0) - 1) * 20""")
+@book.add("srt_page", """with t as (select count(*) as n from orders), p as (select unnest([3, n // 40 + 1, cast(ceil(n / 20.0) as bigint)]) as page, n from t)
+select distinct o_orderkey, cast(page as int) as page, n as total, true as has_prev, page < ceil(n / 20.0) as has_next
+from (select *, row_number() over (order by o_orderdate desc, o_orderkey desc) as rn from orders) join p on rn > (page - 1) * 20 and rn <= page * 20""")
 def srt_page(spark, d):
-    return page(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["-o_orderdate", "-o_orderkey"], 10**6, 20).drop("o_orderdate")
+    """A page near the start, the one in the middle and the last one."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    middle = rows.count() // 40 + 1
+    pages = [page(rows, ["-o_orderdate", "-o_orderkey"], n, 20, near=100) for n in (3, middle, 10**6)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).drop("o_orderdate")
 
 
 @book.add("srt_queue_top", "select o_orderkey, o_orderpriority, o_orderdate from orders where o_orderstatus = 'P' and o_custkey % 3 in (0, 1) order by o_orderpriority desc, o_orderdate, o_orderkey limit 20")

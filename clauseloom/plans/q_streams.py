@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import leases
 from ..operators import matching as M
 from ..operators import sequences as Q
 from ..operators import user_functions as U
@@ -98,8 +99,24 @@ def udf_chunk_map(spark, d):
     return joined.select("doc_id", F.md5("text").alias("h"))
 
 
-@book.add("chg_lock_state")
+_REQUESTS = """select cast(floor(event_id / 200) as bigint) as target, event_id as seq, cast(extract(day from ts) * 86400 + extract(hour from ts) * 3600 + extract(minute from ts) * 60 + floor(extract(second from ts)) as double) as sec,
+case event_type when 'signup' then 'takeover' when 'view' then 'acquire' when 'click' then 'acquire' when 'purchase' then 'refresh' else 'release' end as op, user_id % 3 as actor from events where event_id % 11 > 2"""
+HOLD, NOW = 4 * 3600, 15 * 86400
+
+
+@book.add("chg_lock_state", f"""with recursive log as (select *, row_number() over (partition by target order by sec, seq) as k from ({_REQUESTS}) x),
+st as (select distinct target, 0::bigint as k, null::bigint as seq, null::double as sec, null::varchar as outcome, null::bigint as holder, null::double as until from log
+union all select target, k, seq, sec, outcome, case outcome when 'released' then null when 'denied' then was else actor end, case outcome when 'released' then null when 'denied' then until else sec + {HOLD} end from (
+  select l.target, l.k, l.seq, l.sec, l.actor, s.holder as was, s.until, case when l.op = 'release' then case when s.holder = l.actor then 'released' else 'denied' end
+    when l.op = 'takeover' then 'granted' when s.holder = l.actor then case when s.until > l.sec then 'extended' else 'granted' end when l.op = 'acquire' and coalesce(s.until <= l.sec, true) then 'granted' else 'denied' end as outcome
+  from st s join log l on l.target = s.target and l.k = s.k + 1)),
+ends as (select target, arg_max({{'h': holder, 'u': until}}, k) as l from st where k > 0 and sec <= {NOW} group by 1),
+n as (select target, count(*) filter (outcome = 'granted') as granted, count(*) filter (outcome = 'extended') as extended, count(*) filter (outcome = 'released') as released, count(*) filter (outcome = 'denied') as denied from st where k > 0 group by 1)
+select target, granted, extended, released, denied, coalesce(case when l.h is null then 'free' when l.u > {NOW} then 'active' else 'expired' end, 'free') as state, l.h as holder from n left join ends using (target)""")
 def chg_lock_state(spark, d):
-    """Outcome of each lease request in the order of its target's log: every grant depends on the ones before."""
-    rows = table(spark, d, "events").select((F.floor(F.col("event_id") / 200)).alias("target"), "event_id", "ts", "user_id")
-    return rows.groupBy("target").applyInPandas(U.lease_outcomes, "target long, event_id long, outcome string")
+    """Outcomes of each target's requests, and who holds its lease at a time."""
+    log = leases.lease_log(sql(spark, d, _REQUESTS).withColumnRenamed("sec", "at"), HOLD)
+    n = lambda said: F.count(F.when(F.col("outcome") == said, 1)).alias(said)
+    counts = log.groupBy("target").agg(*map(n, ("granted", "extended", "released", "denied")))
+    states = leases.lease_states(log, F.lit(float(NOW)))
+    return counts.join(states, "target", "left").withColumn("state", F.coalesce("state", F.lit("free")))

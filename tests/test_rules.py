@@ -113,11 +113,6 @@ def test_sequences_random():
     assert Q.token_diff("a b", "a new b") == [("a ", False), ("new", True), (" b", False)]
 
 
-def test_leases():
-    t = pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:01", "2024-01-01 00:02", "2024-01-01 05:00"])
-    assert Q.grant_leases(t, [1, 2, 1, 2], 3600) == ["granted", "denied", "extended", "granted"]
-
-
 def test_pages(spark):
     rows = spark.range(45)
     last = q_search.page(rows, ["id"], 99, 20).collect()
