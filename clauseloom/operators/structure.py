@@ -42,7 +42,7 @@ def section_ranges(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     only those that open at a plain line meet the numbered lines behind them.
     """
     ahead = in_document().rowsBetween(1, Window.unboundedFollowing)
-    depth = F.least("level", F.lit(LEVELS))
+    depth = F.when(F.col("level").isNotNull(), F.least("level", F.lit(LEVELS)))
     following = F.array(*[F.min(F.when(depth <= n, F.col("pos"))).over(ahead) for n in range(1, LEVELS + 1)])
     rows = blocks.select("doc_id", "pos", "line", "level", T.number_parts("line").alias("parts"), following.alias("following"))
     hits = requests.join(rows, "doc_id").filter(T.heading_match("line", "number", "title"))
