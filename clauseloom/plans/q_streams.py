@@ -31,12 +31,17 @@ def str_status_fold(spark, d):
     return rows.groupBy("job_id").agg(F.max_by("status", "batch").alias("status"))
 
 
-@book.add("str_dedup_enqueue")
+_LOG = f"select event_id, user_id as job_id, ts, {_STATUS} as status from events"
+
+
+@book.add("str_dedup_enqueue", f"""with e as ({_LOG}), n as (select *, count(*) filter (status in ('completed', 'failed')) over (partition by job_id order by ts, event_id) as ended from e)
+select job_id, arg_min(event_id, (ts, event_id)) as event_id from n where status = 'queued' group by job_id, ended""")
 def str_dedup_enqueue(spark, d):
     return J.drained(J.dedup_enqueue(event_stream(spark, d).drop("event_type")), "dedup-enqueue").drop("batch")
 
 
-@book.add("str_stale_timeout")
+@book.add("str_stale_timeout", f"""with e as (select job_id, epoch_ms(ts) as ms from ({_LOG})), n as (select job_id, ms, lead(ms) over (partition by job_id order by ms) as later from e)
+select distinct job_id, ms as last_ms from n where later - ms > 259200000 or (later is null and ms + 259200000 < (select max(ms) - 3600000 from e))""")
 def str_stale_timeout(spark, d):
     return J.drained(J.stale_timeout(event_stream(spark, d), 3 * 86400), "stale").drop("batch").distinct()
 
@@ -78,13 +83,14 @@ def str_match_rows(spark, d):
     return J.drained(J.read_stream(spark, drop), "match-rows", batch=pick).drop("batch")
 
 
-@book.add("udf_payload_match")
+@book.add("udf_payload_match", """select event_id from (select event_id, list_transform(json_keys(props), lambda k: json_extract(props, '$.' || k)) as v from events)
+where coalesce(list_sum(list_transform(list_filter(v, lambda x: json_type(x) in ('BIGINT', 'UBIGINT')), lambda x: cast(x as bigint))), 0) % 2 = 0""")
 def udf_payload_match(spark, d):
     """Events whose payload a user's predicate accepts; an exception is no match."""
     return U.payload_filter(table(spark, d, "events"), "props", U.even_total).select("event_id")
 
 
-@book.add("udf_boundary_pick")
+@book.add("udf_boundary_pick", "select doc_id, arg_min(pos, (-length(line), pos)) as pos from toc_view where level is not null group by 1", "toc_view")
 def udf_boundary_pick(spark, d):
     """A user's choice among each document's boundary candidates; answers outside the list are ignored."""
     rows = view(spark, d, "toc_view").filter("level is not null").select("doc_id", "pos", "line")

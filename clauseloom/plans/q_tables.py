@@ -140,7 +140,7 @@ def agg_steps_per_output(spark, d):
     return lists.select("output", "template", F.size("steps").cast("long").alias("n"), F.md5(text).alias("h"))
 
 
-@book.add("snk_grouped_outputs")
+@book.add("snk_grouped_outputs", f"with g as (select *, {D_ERR} as error from mapping_view), f as (select *, first_value(template) over (partition by output order by row_no, template) as first from g where error is null) select output, count(*) as rows from f where template = first group by 1", "mapping_view")
 def snk_grouped_outputs(spark, d):
     """Writes one folder per output (dynamic partition overwrite) and reads the row counts back."""
     from ..sources.shared import shared_path
@@ -151,7 +151,7 @@ def snk_grouped_outputs(spark, d):
     return spark.read.parquet(path).groupBy("output").agg(F.count("*").alias("rows"))
 
 
-@book.add("snk_run_log")
+@book.add("snk_run_log", "select run_id, count(*) as steps, 1 as documents from step_view group by 1", "step_view")
 def snk_run_log(spark, d):
     """One JSON document per run with its ordered step log, written and read back."""
     from ..sources.shared import shared_path
