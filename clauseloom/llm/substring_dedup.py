@@ -94,7 +94,8 @@ def _anchors(batches):
             once = many & (new | np.concatenate([[True], row[1:] != row[:-1]])) if len(h) else new  # a document once
             more = _lists(group[once], len(first), pa.StructArray.from_arrays([pa.array(o[row[once]]), pa.array(t[row[once]])], fields=list(_PLACE)))
             lead = row[first]
-            yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(o[lead]), pa.array(t[lead]), more], ["h", "o", "t", "more"])
+            out = pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(o[lead]), pa.array(t[lead]), more], ["h", "o", "t", "more"])
+            yield out.take(pa.array(np.argsort(lead, kind="stable")))  # a document's rows together pack better
 
 
 def _candidates(batches):
@@ -124,10 +125,11 @@ def _candidates(batches):
             place = [pa.array(o[row[later]]), pa.array(t[row[later]]), pa.array(start[later].astype(np.int32))]
             owner = (np.cumsum(asked) - 1)[later]
             more = _lists(owner, int(asked.sum()), pa.StructArray.from_arrays(place, fields=list(_START)))
-            yield pa.record_batch(
+            out = pa.record_batch(
                 [pa.array(h[asked].view(np.int64)), pa.array(o[row[asked]]), pa.array(t[row[asked]]), pa.array(start[asked].astype(np.int32)), more],
                 ["h", "o", "t", "start", "more"],
             )
+            yield out.take(pa.array(np.lexsort((start[asked], row[asked]))))
 
 
 def kept_words(words: list[bytes], starts) -> list[bytes]:
