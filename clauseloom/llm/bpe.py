@@ -42,6 +42,7 @@ FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
 TABLE_WORDS, OFTEN = 300_000, 3
 #: Words of a block (about), and words that a task counts before it passes them on.
+PLAN_CHARS = 200_000
 BLOCK_WORDS, HELD = 2_500_000, 300_000
 #: Rows that Python works on at once.
 ROWS = 500
@@ -468,8 +469,13 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     With ``finish``, a function of a record batch (the other columns and ``_ids``)
     whose results have the given ``schema``, those come back instead: it runs
     where the ids are put together, which saves sending them on.
+
+    The session's plan strings are cut at ``PLAN_CHARS``, unless it cuts them itself:
+    each would hold the rank map, and the driver keeps them for its listeners.
     """
     spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > 1 << 30:
+        spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
     cut = cut_words(F.col(text), spark_pattern(spark, pattern))
     table = spark.sparkContext.broadcast(_packed(word_table(docs.select(cut.alias("_cut")), path)))
     give_back()

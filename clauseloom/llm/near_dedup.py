@@ -263,7 +263,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     its other columns. Rows without words or without doc_id stay."""
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     several = keyed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("t").alias("least"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "least")
-    several = checked_broadcast(written(several, "dedup-several"))
+    several = written(several, "dedup-several")
+    if several.isEmpty():  # the usual case: each row is a document as it is
+        gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
+        return docs.join(checked_broadcast(written(gone, "dedup-gone")), "doc_id", "left_anti").select(docs.columns)
+    several = checked_broadcast(several)
     numbers = keyed.select("doc_id", "t").join(several, "doc_id").groupBy("doc_id", "t", "least").agg(F.count("*").alias("n"))
     own = F.when(F.col("t") == F.col("least"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.lit(FURTHER))
     numbers = written(numbers.select("doc_id", "t", "n", own.alias("id")), "dedup-numbers")
