@@ -40,9 +40,10 @@ from .common import give_back, released, written
 #: Longest word, in bytes, that the fold merges.
 FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
-TABLE_WORDS, OFTEN = 300_000, 3
-#: Words of a block (about), and words that a task counts before it passes them on.
+TABLE_WORDS, OFTEN = 100_000, 3
+#: Longest plan string that the driver keeps.
 PLAN_CHARS = 200_000
+#: Words of a block (about), and words that a task counts before it passes them on.
 BLOCK_WORDS, HELD = 2_500_000, 300_000
 #: Rows that Python works on at once.
 ROWS = 500
@@ -474,7 +475,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     each would hold the rank map, and the driver keeps them for its listeners.
     """
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > 1 << 30:
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > 1 << 30:
         spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
     cut = cut_words(F.col(text), spark_pattern(spark, pattern))
     table = spark.sparkContext.broadcast(_packed(word_table(docs.select(cut.alias("_cut")), path)))
