@@ -40,7 +40,7 @@ def str_dedup_enqueue(spark, d):
     return J.drained(J.dedup_enqueue(event_stream(spark, d).drop("event_type")), "dedup-enqueue").drop("batch")
 
 
-@book.add("str_stale_timeout", f"""with e as (select job_id, epoch_ms(ts) as ms from ({_LOG})), n as (select job_id, ms, lead(ms) over (partition by job_id order by ms) as later from e)
+@book.add("str_stale_timeout", f"""with e as (select job_id, epoch_us(ts) // 1000 as ms from ({_LOG})), n as (select job_id, ms, lead(ms) over (partition by job_id order by ms) as later from e)
 select distinct job_id, ms as last_ms from n where later - ms > 259200000 or (later is null and ms + 259200000 < (select max(ms) - 3600000 from e))""")
 def str_stale_timeout(spark, d):
     return J.drained(J.stale_timeout(event_stream(spark, d), 3 * 86400), "stale").drop("batch").distinct()
