@@ -197,7 +197,7 @@ def join_label_fill(spark, d):
 
 @book.add("join_probe_contains", f"""with pr as (select item_id, unnest(list_distinct(list_filter([trim(substring({norm('text')}, 1, 180)), trim(substring({norm('text')}, 1, 120)), trim(substring({norm('text')}, 1, 80)), trim(substring({norm('text')}, 1, 48))], lambda x: length(x) >= 12))) as probe from benchmark),
 t as (select doc_id, {norm('text')} as t from documents)
-select doc_id, item_id, cast(sum(least(length(probe), 120)) as bigint) as score from t join pr on contains(t, probe) where len(string_split(probe, ' ')) >= 5 group by 1, 2""")
+select doc_id, item_id, cast(sum(least(length(probe), 120)) as bigint) as score from t join pr on contains(t, probe) group by 1, 2""")
 def join_probe_contains(spark, d):
     return probe_scores(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
