@@ -161,6 +161,35 @@ def _settled(asked: DataFrame, taken: DataFrame, used: DataFrame | None, form: s
     return every.select(*columns, final.alias("final"))
 
 
+# --- names of inputs ---
+
+
+def resolved_names(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What the names of inputs stand for: (base, name, state, path, n) for each wanted
+    (base, name) over files (base, path), in any case.
+
+    A file name with folders is a path, one without may stand in any folder, where
+    several are ambiguous; a name without a dot is a folder and stands for its first
+    Word document. ``n`` counts the matches; the path is null unless found. Keys are
+    matched by equi joins and counted, so no list of files is held anywhere."""
+    parts = lambda p: F.split(F.lower(p), "/")
+    leaf = lambda p: F.element_at(parts(p), -1)
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    rows = files.select("base", T.path_norm("path").alias("path")).distinct()
+    above = F.array_join(F.slice(parts("path"), F.lit(1), F.size(parts("path")) - 1), "/")
+    word = F.when(leaf("path").rlike(r"\.docx?$"), key("folder", above))
+    keys = rows.select("base", "path", F.explode(F.array_compact(F.array(key("path", F.lower("path")), key("name", leaf("path")), word))).alias("k")).select("base", "path", "k.*")
+    name = F.translate(F.trim(F.coalesce("name", F.lit(""))), "\\", "/")
+    asked = wanted.select("base", "name", name.alias("given"), F.lower(T.path_norm(name)).alias("key")).distinct()
+    kind = F.when(F.col("key") == "", "unnamed").when(~leaf("key").contains("."), "folder").when(F.col("given").contains("/"), "path").otherwise("name")
+    asked = asked.select("base", "name", "key", kind.alias("kind"))
+    on = ["base", "kind", "key"]
+    hits = keys.join(asked.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    many = (F.col("kind") == "name") & (F.col("n") > 1)
+    state = F.when(F.col("kind") == "unnamed", "unnamed").when(F.col("n").isNull(), "not found").when(many, "ambiguous").otherwise("found")
+    return asked.join(hits, on, "left").select("base", "name", state.alias("state"), F.when(~many, F.col("path")).alias("path"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # --- suffixes ---
 
 

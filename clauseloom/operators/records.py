@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def first_per(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an order that has no ties."""
@@ -142,3 +144,66 @@ def active_union(runs: DataFrame, schemes: DataFrame, key: str, state: str) -> D
     """Operation runs followed by scheme jobs, in one shape: key, kind, state."""
     shape = lambda rows, kind: rows.select(key, F.lit(kind).alias("kind"), F.col(state).alias("state"))
     return shape(runs, "run").unionByName(shape(schemes, "scheme"))
+
+
+def missing_records(folders: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
+    """Records for folders (key, name, created, creator, editor, edited, changed) that the
+    table lacks, with their gaps filled: the name by the key, the creation by the time
+    the folder was changed, to the minute; editor and edit by creator and creation."""
+    rows = folders.join(records.select(key), key, "left_anti")
+    gap = lambda c, other: F.coalesce(F.when(F.trim(c) != "", F.col(c)), other)
+    rows = rows.withColumn("created", F.coalesce("created", F.date_trunc("minute", "changed").cast("timestamp_ntz")))
+    return rows.select(key, gap("name", F.col(key).cast("string")).alias("name"), "created", "creator", gap("editor", F.coalesce("creator", F.lit(""))).alias("editor"), F.coalesce("edited", "created").alias("edited"))
+
+
+#: How messages of errors begin.
+ERROR_MARKS = ("ERROR:", "錯誤：", "WF_ERROR:", "工作流程錯誤：")
+
+
+def log_errors(messages: DataFrame, runs: DataFrame, steps: DataFrame) -> DataFrame:
+    """(log_id, has_error, first_error) of logs: messages (log_id, pos, message), runs
+    (log_id, run_no, status, error) and their steps (log_id, run_no, step_no, status,
+    error, action, detail).
+
+    Any message that begins like an error, and any run or step with the status or a text
+    of an error, makes it one. The first error is the first such message; else, in the
+    order of runs, the run's own text, else that of its first step in error, behind its
+    action and detail. Nulls are empty; without a text it is empty."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    failed = F.lower(text("status")) == "error"
+    said = F.lit(False)
+    for mark in ERROR_MARKS:
+        said = said | text("message").startswith(mark)
+    place = lambda kind, run, step: F.struct(F.lit(kind).alias("kind"), run.cast("long").alias("run"), step.cast("long").alias("step"))
+    labelled = F.when((text("action") != "") & (text("detail") != ""), F.concat_ws(" :: ", text("action"), text("detail"), text("error"))).when(text("action") != "", F.concat_ws(": ", text("action"), text("error"))).otherwise(text("error"))
+    parts = [
+        messages.select("log_id", said.alias("bad"), place(0, F.col("pos"), F.lit(0)).alias("at"), F.when(said, text("message")).alias("text")),
+        runs.select("log_id", (failed | (text("error") != "")).alias("bad"), place(1, F.col("run_no"), F.lit(-1)).alias("at"), F.nullif(text("error"), F.lit("")).alias("text")),
+        steps.select("log_id", (failed | (text("error") != "")).alias("bad"), place(1, F.col("run_no"), F.col("step_no")).alias("at"), F.when(failed & (text("error") != ""), labelled).alias("text")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    first = F.min(F.when(F.col("text").isNotNull(), F.struct("at", "text")))["text"]
+    return rows.groupBy("log_id").agg(F.bool_or("bad").alias("has_error"), F.coalesce(first, F.lit("")).alias("first_error"))
+
+
+#: The kinds of batch items.
+ITEM_KINDS = ("task", "mapping_scheme")
+
+
+def batch_items(tokens, ids) -> Column:
+    """Array of structs (kind, task, scheme) from comma-separated base64url JSON tokens and
+    plain task ids. A missing kind is a task; unknown kinds, tokens that are no JSON
+    object and empty tasks drop out; of equal items the first stays, ids behind tokens."""
+    listed = lambda x: F.filter(F.transform(F.split(F.coalesce(T.col(x), F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
+
+    def item(token):
+        plain = F.translate(token, "-_=", "+/")
+        padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
+        json = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+        return F.from_json(F.when(F.ltrim(json).startswith("{"), json), "kind string, task_id string, scheme_id string")
+
+    text = lambda r, c: F.trim(F.coalesce(r[c], F.lit("")))
+    made = lambda kind, task, scheme: F.struct(kind.alias("kind"), task.alias("task"), scheme.alias("scheme"))
+    named = F.transform(F.transform(listed(tokens), item), lambda r: made(F.coalesce(F.nullif(F.lower(text(r, "kind")), F.lit("")), F.lit("task")), text(r, "task_id"), text(r, "scheme_id")))
+    good = F.filter(named, lambda r: (r["task"] != "") & r["kind"].isin(*ITEM_KINDS))
+    return F.array_distinct(F.concat(good, F.transform(listed(ids), lambda x: made(F.lit("task"), x, F.lit("")))))

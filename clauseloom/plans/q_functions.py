@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import mapping as P
 from ..functions import standards as S
 from ..functions import text as T
+from ..operators import contents as C
 from ..sources.views import view
 from .book import Book
 
@@ -137,6 +138,11 @@ _pre = f"list_filter([case when length({norm('text')}) <= 180 then {norm('text')
 q("fn_probe_prefixes", "documents", ["doc_id"], lambda: {"n": F.size(T.probe_prefixes("text")).cast("long"), "longest": F.array_max(F.transform(T.probe_prefixes("text"), F.length)).cast("long")}, {"n": f"len(list_distinct({_pre}))", "longest": f"list_max(list_transform({_pre}, lambda x: length(x)))"}, base=True)
 _cap = "'(?i)^(figure|fig|table)[.]?\\s*([0-9]+([-.][0-9]+)*)\\s*[.:]?\\s*(.*)$'"
 q("fn_caption_label", "caption_view", ["doc_id", "pos"], lambda: {k: T.caption_label("line")[k] for k in ("kind", "number", "rest")}, {"kind": f"case when lower(regexp_extract({_t}, {_cap}, 1)) in ('figure','fig') then 'figure' when lower(regexp_extract({_t}, {_cap}, 1)) = 'table' then 'table' end", "number": f"nullif(regexp_extract({_t}, {_cap}, 2), '')", "rest": f"case when regexp_matches({_t}, {_cap}) then regexp_extract({_t}, {_cap}, 4) end"})
+_long = "repeat(line || ' ', cast(pos % 9 as int))"
+_style = "case pos % 7 when 0 then ' Caption ' when 1 then 'Heading 2' when 2 then 'FigCaption' else null end"
+_why = f"""case when {_long} = '' then 'empty_text' when pos % 7 < 3 then 'style_match' when regexp_matches({_long}, '(?i)^(figure|fig[.]?) +[0-9]+( *[-.:])? *[^ ]+') then 'figure_number_prefix'
+  when length(trim({_long})) > 180 then 'too_long' when length(trim({_long})) <= 120 and len(string_split(trim({_long}), ' ')) <= 20 then 'short_standalone_line' else 'no_caption_signal' end"""
+q("fn_caption_accepted", "caption_view", ["doc_id", "pos"], lambda: {k: C.caption_accepted(F.expr(_long), F.expr(_style))[k] for k in ("accepted", "reason")}, {"accepted": f"{_why} in ('style_match', 'figure_number_prefix', 'short_standalone_line')", "reason": _why})
 q("fn_path_norm", "pages", ["page_id"], lambda: {"p": T.path_norm("url"), "safe": T.safe_name("url")}, {"p": "array_to_string(list_filter(list_transform(string_split(replace(url, '\\', '/'), '/'), lambda x: trim(x)), lambda x: x not in ('', '.')), '/')", "safe": "regexp_replace(trim(url), '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g')"}, base=True)
 _slug = "regexp_replace(regexp_replace(replace(regexp_replace('7 ' || trim(url), '[^0-9A-Za-z_ ]+', '_', 'g'), ' ', '_'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
 _generic = ", ".join(f"'{w}'" for w in T.GENERIC_WORDS)

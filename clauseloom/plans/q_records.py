@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import records as R
 from ..operators import retention as X
+from ..operators.paths import resolved_names
 from ..sources.views import sql, table, view
 from .book import Book
 
@@ -115,21 +116,29 @@ def join_record_merge(spark, d):
     return a.join(b, "id", "full_outer").select("id", F.coalesce(F.nullif("name", F.lit("")), "other").alias("name"), "lock")
 
 
-@book.add("join_missing_records", "select c_custkey, timestamp '2024-01-01' as created, 'editor' as editor from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 9 = 0)")
+_FOLDERS = """select c_custkey as id, case c_custkey % 3 when 0 then ' ' when 1 then null else c_name end as name, case when c_custkey % 4 > 0 then timestamp '2023-05-01 10:20:30' end as created, case when c_custkey % 5 > 0 then c_mktsegment end as creator,
+  case when c_custkey % 7 = 0 then 'editor' when c_custkey % 7 = 1 then '' end as editor, case when c_custkey % 11 = 0 then timestamp '2023-06-02 03:04:05' end as edited, o.changed from customer left join (select o_custkey, max(o_orderdate) as changed from orders group by 1) o on o.o_custkey = c_custkey"""
+
+
+@book.add("join_missing_records", f"""with f as ({_FOLDERS}), g as (select *, coalesce(created, date_trunc('minute', changed)::timestamp) as made from f where id not in (select o_custkey from orders where o_orderkey % 9 = 0))
+select id, coalesce(case when trim(name) <> '' then name end, cast(id as varchar)) as name, made as created, creator, coalesce(nullif(editor, ''), creator, '') as editor, coalesce(edited, made) as edited from g""")
 def join_missing_records(spark, d):
-    ids = table(spark, d, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(ids, "c_custkey", "left_anti").select("c_custkey", F.lit("2024-01-01").cast("timestamp_ntz").alias("created"), F.lit("editor").alias("editor"))
+    records = table(spark, d, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("id"))
+    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return R.missing_records(sql(spark, d, _FOLDERS).select("id", "name", stamp("created"), "creator", "editor", stamp("edited"), stamp("changed")), records)
+
+
+_FILES = "select p_size % 5 as base, p_type || '/' || p_brand || '/' || substring(p_name, 1, 6) || case when p_partkey % 7 = 0 then '.pdf' else '.docx' end as path from part"
+_WANTED = """select distinct p_size % 5 as base, case p_partkey % 6 when 0 then upper(p_type) || chr(92) || p_brand || '/' || substring(p_name, 1, 6) || '.DOCX' when 1 then upper(substring(p_name, 1, 6)) || '.docx' when 2 then p_type || '/' || lower(p_brand)
+  when 3 then ' ' when 4 then p_type || '/' || p_name || '.docx' else substring(p_name, 1, 6) || '.odt' end as name from part"""
 
 
-@book.add("join_name_resolve", """with w as (select distinct lower(p_brand) as want from part union select 'nowhere'), n as (select lower(p_brand) as k, p_name from part)
-select want, case count(p_name) when 0 then 'not found' when 1 then 'found' else 'ambiguous' end as state, coalesce(md5(string_agg(p_name, '|' order by p_name)), '') as h from w left join n on k = want group by want""")
+@book.add("join_name_resolve", f"""with f as (select distinct base, path, lower(path) as low from ({_FILES})), w as (select base, name, lower(trim(replace(name, chr(92), '/'))) as k from ({_WANTED})),
+j as (select *, case when k = '' then 'unnamed' when not contains(list_extract(string_split(k, '/'), -1), '.') then 'folder' when contains(k, '/') then 'path' else 'name' end as kind from w),
+h as (select j.base, j.name, kind, f.path from j left join f on f.base = j.base and case kind when 'path' then f.low = k when 'name' then list_extract(string_split(f.low, '/'), -1) = k when 'folder' then regexp_replace(f.low, '/[^/]*$', '') = k and regexp_matches(f.low, '[.]docx?$') else false end)
+select base, name, count(path) as n, case when kind = 'unnamed' then 'unnamed' when count(path) = 0 then 'not found' when kind = 'name' and count(path) > 1 then 'ambiguous' else 'found' end as state, case when kind <> 'name' or count(path) = 1 then min(path) end as path from h group by base, name, kind""")
 def join_name_resolve(spark, d):
-    part = table(spark, d, "part")
-    names = part.groupBy(F.lower("p_brand").alias("want")).agg(F.sort_array(F.collect_list("p_name")).alias("names"))
-    wanted = part.select(F.lower("p_brand").alias("want")).union(spark.range(1).select(F.lit("nowhere"))).distinct()
-    n = F.coalesce(F.size("names"), F.lit(0))
-    found = wanted.join(names, "want", "left")
-    return found.select("want", F.when(F.col("names").isNull(), "not found").when(n == 1, "found").otherwise("ambiguous").alias("state"), F.coalesce(F.md5(F.array_join("names", "|")), F.lit("")).alias("h"))
+    return resolved_names(sql(spark, d, _FILES), sql(spark, d, _WANTED))
 
 
 @book.add("join_scheme_revision", """with c as (select o_custkey as task, count(*) as revision from orders group by 1)

@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import contents as C
 from ..operators import records as R
 from ..operators import structure as B
+from ..operators.blocks import typed_blocks
 from ..operators.retention import page
 from ..sources.views import sql, table, view
 from .book import Book
@@ -102,9 +104,18 @@ def flt_hide_texts(spark, d):
     return kept.select("doc_id", "pos", "cell", (F.col("line") == "").alias("emptied"))
 
 
-@book.add("flt_toc", "select doc_id, pos from toc_view where not (level is not null or regexp_matches(line, '[.]{4,}\\s*[0-9]+$'))", "toc_view")
+D_TOC = """(contains(upper(coalesce(style_id, '') || ' ' || coalesce(style_name, '')), 'TOC') or contains(coalesce(style_name, ''), '目錄') or contains(upper(coalesce(field, '')), 'TOC')
+  or regexp_matches(coalesce(anchor_list, ''), '(^| )_Toc') or regexp_matches(coalesce(leader_list, ''), '(^| )(dot|middleDot)($| )'))"""
+
+
+def contents(spark, d) -> DataFrame:
+    listed = lambda c: F.split(c, " ")
+    return view(spark, d, "contents_view").withColumns({"anchors": listed("anchor_list"), "leaders": listed("leader_list")})
+
+
+@book.add("flt_toc", f"select doc_id, pos from contents_view where not {D_TOC}", "contents_view")
 def flt_toc(spark, d):
-    return view(spark, d, "toc_view").filter(~(F.col("level").isNotNull() | F.col("line").rlike(r"\.{4,}\s*\d+$"))).select("doc_id", "pos")
+    return contents(spark, d).filter(~C.is_contents_line()).select("doc_id", "pos")
 
 
 @book.add("flt_active_roots", "select s_suppkey, s_name from supplier where s_nationkey % 2 = 0 and s_suppkey % 3 <> 2")
@@ -190,8 +201,23 @@ def set_output_union(spark, d):
 
 
 # --- sources ---
-@book.add("src_blocks", f"with {D_LINES} select doc_id, pos, line as norm, length(line) as n from lines where line <> ''")
+@book.add("src_blocks", """with b as (select doc_id, pos, kind, trim(regexp_replace(line, '\\s+', ' ', 'g')) as norm, has_drawing, probes from block_view),
+h as (select doc_id, list(norm) as hidden from b where doc_id % 2 = 0 and pos % 7 < 3 group by 1), x as (select b.*, coalesce(hidden, []) as hidden from b left join h on h.doc_id = b.doc_id),
+c as (select *, list_filter([norm, array_to_string(probes, ' ')], lambda v: v <> '' and not list_contains(hidden, v)) as r1, list_filter(probes, lambda v: v <> '' and not list_contains(hidden, v)) as r2 from x),
+t as (select *, list_distinct(list_filter(r1, lambda v: length(v) >= 20) || list_filter(r2, lambda v: length(v) >= 20) || list_filter([array_to_string(r1, ' '), array_to_string(r2, ' ')], lambda v: length(v) >= 24)) as cells from c),
+k as (select *, case when kind = 'table' then 'table' when norm <> '' and not list_contains(hidden, norm) then 'paragraph' when has_drawing then 'figure' end as type from t),
+p as (select *, case type when 'table' then cells when 'paragraph' then [norm] else ['a figure'] end as found from k where type is not null and (type <> 'table' or len(cells) > 0))
+select doc_id, pos, type, case when type = 'paragraph' then norm else '' end as norm, len(found) as n, md5(array_to_string(list_sort(found), '|')) as h, has_drawing and type <> 'table' as has_drawing from p""", "block_view")
 def src_blocks(spark, d):
+    """Paragraphs, figures and tables with the texts they are found by."""
+    rows = view(spark, d, "block_view").select("doc_id", "pos", "kind", F.col("line").alias("text"), "has_drawing", F.array(F.array("line", F.array_join("probes", " ")), "probes").alias("cells"))
+    hide = rows.filter("doc_id % 2 = 0 and pos % 7 < 3").groupBy("doc_id").agg(F.collect_list(T.norm_text("text")).alias("texts"))
+    out = typed_blocks(rows, hide, "figure", F.array(F.lit("a figure")))
+    return out.select("doc_id", "pos", "type", "norm", F.size("probes").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("probes"), "|")).alias("h"), "has_drawing")
+
+
+@book.add("src_text_lines", f"with {D_LINES} select doc_id, pos, line as norm, length(line) as n from lines where line <> ''")
+def src_text_lines(spark, d):
     return lines(spark, d).filter("line <> ''").select("doc_id", "pos", F.col("line").alias("norm"), F.length("line").cast("long").alias("n"))
 
 
@@ -213,12 +239,14 @@ def src_chunks(spark, d):
     return chunks(table(spark, d, "documents")).select("doc_id", "chunk", F.md5("text").alias("h"))
 
 
-@book.add("src_toc_rows", """select doc_id, pos, regexp_extract(line, '^([0-9]+([.][0-9]+)*)', 1) as number, trim(regexp_replace(line, '^[0-9]+([.][0-9]+)*\\s*', '')) as title,
-coalesce(level, case when regexp_matches(line, '^[0-9]') then len(string_split(regexp_extract(line, '^([0-9]+([.][0-9]+)*)', 1), '.')) end) as level from toc_view where level is not null""", "toc_view")
+@book.add("src_toc_rows", f"""with r as (select *, list_filter(list_transform(string_split(replace(replace(text, chr(13), ''), chr(10), ' '), chr(9)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') as c from contents_view where {D_TOC}),
+m as (select *, array_to_string(c, ' ') as merged, len(c) >= 2 and regexp_full_match(coalesce(list_extract(c, -1), ''), '[0-9]+') as tabbed from r), e as (select *, regexp_extract(merged, '^(.*?)([0-9]{{1,5}})$', 1) as head, regexp_extract(merged, '^(.*?)([0-9]{{1,5}})$', 2) as tail from m),
+g as (select *, tail <> '' and not regexp_matches(list_extract(string_split(head, ' '), -1), '[0-9]') as ended from e),
+t as (select *, case when tabbed then array_to_string(list_slice(c, 1, len(c) - 1), ' ') when ended then trim(head) else merged end as line, case when tabbed then list_extract(c, -1) when ended then tail else '' end as page from g),
+n as (select *, replace(regexp_extract(line, '^([0-9]+([.．][0-9]+)*)', 1), '．', '.') as number, trim(regexp_replace(line, '^[0-9]+([.．][0-9]+)*', '')) as title from t)
+select doc_id, pos, number, title, page, coalesce(try_cast(nullif(regexp_extract(style_name, '(?i)TOC\\s*([0-9]+)', 1), '') as int), try_cast(nullif(regexp_extract(style_id, '(?i)TOC\\s*([0-9]+)', 1), '') as int), case when number <> '' then len(string_split(number, '.')) end) as level from n where number <> '' or title <> ''""", "contents_view")
 def src_toc_rows(spark, d):
-    rows = view(spark, d, "toc_view").filter("level is not null")
-    number = F.regexp_extract("line", r"^(\d+(?:\.\d+)*)", 1)
-    return rows.select("doc_id", "pos", number.alias("number"), F.trim(F.regexp_replace("line", r"^\d+(?:\.\d+)*\s*", "")).alias("title"), F.coalesce("level", F.size(T.number_parts("line"))).alias("level"))
+    return C.contents_rows(contents(spark, d))
 
 
 @book.add("src_json_payload", f"with j as ({_DPAY}) select job_id, case when json_valid(payload) then payload->>'$.action' end as action, json_valid(payload) as good from j")

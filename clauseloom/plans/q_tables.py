@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import standards as S
 from ..functions import text as T
-from ..sources.views import table, view
+from ..operators import records as R
+from ..sources.views import sql, table, view
 from .book import Book
 from .q_functions import norm
 
@@ -176,10 +177,20 @@ def dq_step_rules(spark, d):
     return view(spark, d, "step_view").select("run_id", "step_no", F.explode(broken).alias("rule"))
 
 
-@book.add("agg_run_error", "select run_id, bool_or(status = 'error') as has_error, arg_min(message || ' in ' || step_type, lpad(cast(step_no as varchar), 9, '0') || message || step_type) filter (where status = 'error') as first_error from step_view group by 1", "step_view")
+_MESSAGES = "select cast(floor(o_orderkey / 64) as bigint) as log_id, o_orderkey as pos, case o_custkey % 7 when 0 then ' ERROR: ' || o_orderpriority when 1 then 'WF_ERROR: ' || o_orderstatus when 2 then '錯誤：x' when 3 then null else 'WARN: y' end as message from orders where o_custkey % 19 = 0"
+_RUNS = "select cast(floor(o_orderkey / 64) as bigint) as log_id, o_orderkey as run_no, case when o_custkey % 13 = 0 then ' Error' else 'ok' end as status, case when o_custkey % 17 = 0 then ' run ' || o_orderpriority || ' ' when o_custkey % 17 = 1 then ' ' end as error from orders"
+_STEPS = """select cast(floor(l_orderkey / 64) as bigint) as log_id, l_orderkey as run_no, l_linenumber as step_no, case when l_suppkey % 5 = 0 then 'ERROR' else 'ok' end as status,
+  case when l_partkey % 9 = 0 then 'step ' || cast(l_partkey as string) when l_partkey % 9 = 1 then '' end as error, case when l_suppkey % 2 = 0 then 'Extract' end as action, case when l_partkey % 2 = 0 then 'chapter' else ' ' end as detail from lineitem"""
+
+
+@book.add("agg_run_error", f"""with m as (select log_id, trim(coalesce(message, '')) as t, pos from ({_MESSAGES})), mb as (select *, regexp_matches(t, '^(ERROR:|錯誤：|WF_ERROR:|工作流程錯誤：)') as bad from m),
+r as (select log_id, run_no, lower(trim(status)) = 'error' as failed, trim(coalesce(error, '')) as t from ({_RUNS})),
+s as (select *, lower(trim(status)) = 'error' as failed, trim(coalesce(error, '')) as t from ({_STEPS})),
+e as (select log_id, bad, 0 as k, pos as a, 0 as b, case when bad then t end as t from mb union all select log_id, failed or t <> '', 1, run_no, -1, nullif(t, '') from r
+  union all select log_id, failed or t <> '', 1, run_no, step_no, case when failed and t <> '' then case when action is not null and trim(detail) <> '' then action || ' :: ' || trim(detail) || ' :: ' || t when action is not null then action || ': ' || t else t end end from s)
+select log_id, bool_or(bad) as has_error, coalesce(arg_min(t, (k, a, b, t)) filter (where t is not null), '') as first_error from e group by 1""")
 def agg_run_error(spark, d):
-    bad = F.col("status") == "error"
-    return view(spark, d, "step_view").groupBy("run_id").agg(F.bool_or(bad).alias("has_error"), F.min(F.when(bad, F.struct("step_no", "message", "step_type", F.concat("message", F.lit(" in "), "step_type").alias("text"))))["text"].alias("first_error"))
+    return R.log_errors(sql(spark, d, _MESSAGES), sql(spark, d, _RUNS), sql(spark, d, _STEPS))
 
 
 @book.add("agg_ordered_titles", f"with t as (select run_id, step_no, title, lower({norm('title')}) as k from step_view where title is not null) select run_id, title, row_number() over (partition by run_id order by step_no, title) as place from (select *, row_number() over (partition by run_id, k order by step_no, title) as rn from t) where rn = 1", "step_view")
@@ -215,12 +226,15 @@ def win_template_order(spark, d):
     return rows.withColumn("k", k).select("row_no", F.row_number().over(w).alias("place"))
 
 
-@book.add("agg_batch_items", "select distinct case o_orderkey % 3 when 0 then 'flow' else 'mapping' end as kind, 'T' || (o_custkey % 50) as task, 's' || (o_orderkey % 7) as scheme from orders where o_orderkey % 3 <> 2 and o_custkey % 50 <> 0")
+@book.add("agg_batch_items", """with x as (select o_custkey as batch, 1 as part, o_orderkey as at, case o_orderkey % 4 when 1 then 'mapping_scheme' when 3 then 'odd' else 'task' end as kind, case when o_custkey % 50 = 0 then '' else 'T' || (o_orderkey % 5) end as task, 's' || (o_orderkey % 2) as scheme from orders where o_orderkey % 13 <> 0
+union all select o_custkey, 2, o_orderkey, 'task', 'T' || (o_orderkey % 7), '' from orders where o_orderkey % 3 = 0), f as (select batch, kind, task, scheme, min((part, at)) as first from x where kind <> 'odd' and task <> '' group by 1, 2, 3, 4)
+select batch, kind, task, scheme, cast(row_number() over (partition by batch order by first) - 1 as int) as place from f""")
 def agg_batch_items(spark, d):
-    """Distinct (kind, task, scheme) from base64url JSON tokens; unknown kinds, bad tokens and empty tasks drop out."""
-    orders = table(spark, d, "orders")
-    record = F.struct(F.expr("case o_orderkey % 3 when 0 then 'flow' when 1 then 'mapping' else 'odd' end").alias("kind"), F.when(F.col("o_custkey") % 50 == 0, "").otherwise(F.concat(F.lit("T"), (F.col("o_custkey") % 50).cast("string"))).alias("task"), F.concat(F.lit("s"), (F.col("o_orderkey") % 7).cast("string")).alias("scheme"))
-    tokens = orders.select(F.translate(F.base64(F.to_json(record).cast("binary")), "+/=\r\n", "-_").alias("token"))
-    padded = F.rpad(F.translate("token", "-_", "+/"), F.ceil(F.length("token") / 4).cast("int") * 4, F.lit("="))
-    items = tokens.select(F.from_json(F.unbase64(padded).cast("string"), "kind string, task string, scheme string").alias("r")).select("r.*")
-    return items.filter(F.col("kind").isin("flow", "mapping") & (F.col("task") != "")).distinct()
+    """The items of each customer's batch, from tokens (some of them broken) and plain ids."""
+    kind = F.expr("case o_orderkey % 4 when 0 then 'task' when 1 then ' Mapping_Scheme ' when 3 then 'odd' end")
+    record = F.struct(kind.alias("kind"), F.when(F.col("o_custkey") % 50 == 0, "").otherwise(F.concat(F.lit("T"), (F.col("o_orderkey") % 5).cast("string"))).alias("task_id"), F.concat(F.lit("s"), (F.col("o_orderkey") % 2).cast("string")).alias("scheme_id"))
+    token = F.when(F.col("o_orderkey") % 13 == 0, F.when(F.col("o_orderkey") % 2 == 0, "!!").otherwise("WzFd")).otherwise(F.translate(F.base64(F.to_json(record).cast("binary")), "+/=\r\n", "-_"))
+    plain = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("T"), (F.col("o_orderkey") % 7).cast("string")))
+    listed = lambda c, glue: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", c.alias("x")))), lambda r: r["x"]), glue)
+    batches = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("batch")).agg(listed(token, ",").alias("tokens"), listed(plain, " , ").alias("ids"))
+    return batches.select("batch", F.posexplode(R.batch_items("tokens", "ids")).alias("place", "i")).select("batch", "i.*", "place")

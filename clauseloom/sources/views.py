@@ -49,6 +49,17 @@ select cast(floor(p_partkey / 40) as bigint) as doc_id, p_partkey % 40 as pos,
        else p_name || ', as delivered, is described here in full.' end as line,
   case when p_partkey % 8 = 0 then 1 when p_partkey % 8 = 4 then 2 else null end as level,
   p_size % 6 = 0 as has_drawing
+from part""",
+    "contents_view": """
+select cast(floor(p_partkey / 40) as bigint) as doc_id, p_partkey % 40 as pos,
+  case p_partkey % 9 when 0 then '1.2' || chr(9) || p_name || chr(9) || cast(p_size as string) when 1 then '3．4 ' || p_name || ' ' || cast(p_size as string)
+    when 2 then p_name || ' v' || cast(p_size as string) when 3 then 'Annex A1' || cast(p_size as string) when 4 then '2.1.' || chr(9) || ' ' || p_name || chr(13) || chr(10) || 'end  7 '
+    when 5 then ' ' || chr(9) || ' ' when 6 then cast(p_size as string) when 7 then p_name || ' 1234' || cast(10 + p_size as string) else '4 5' || chr(9) || cast(p_size as string) end as text,
+  case p_partkey % 7 when 0 then 'toc 2' when 1 then 'TOC Heading' when 2 then '目錄 1' when 3 then 'Heading 1' else null end as style_name,
+  case p_partkey % 5 when 0 then 'TOC3' when 1 then 'Body' else null end as style_id,
+  case when p_size % 6 = 0 then 'HYPERLINK x' when p_size % 6 = 1 then ' toc o ' else null end as field,
+  case when p_size % 4 = 0 then 'mark _Toc12' when p_size % 4 = 1 then 'x_Toc' else null end as anchor_list,
+  case when p_size % 8 = 3 then 'none dot' when p_size % 8 = 5 then 'middleDot' when p_size % 8 = 6 then 'dots' else null end as leader_list
 from part""",
     "heading_view": """
 select cast(floor(p_partkey / 40) as bigint) as doc_id, p_partkey % 40 as pos,
