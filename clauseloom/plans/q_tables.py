@@ -226,8 +226,8 @@ def win_template_order(spark, d):
     return rows.withColumn("k", k).select("row_no", F.row_number().over(w).alias("place"))
 
 
-@book.add("agg_batch_items", """with x as (select o_custkey as batch, 1 as part, o_orderkey as at, case o_orderkey % 4 when 1 then 'mapping_scheme' when 3 then 'odd' else 'task' end as kind, case when o_custkey % 50 = 0 then '' else 'T' || (o_orderkey % 5) end as task, 's' || (o_orderkey % 2) as scheme from orders where o_orderkey % 13 <> 0
-union all select o_custkey, 2, o_orderkey, 'task', 'T' || (o_orderkey % 7), '' from orders where o_orderkey % 3 = 0), f as (select batch, kind, task, scheme, min((part, at)) as first from x where kind <> 'odd' and task <> '' group by 1, 2, 3, 4)
+@book.add("agg_batch_items", """with x as (select o_custkey as batch, 1 as part, o_orderkey as pos, case o_orderkey % 4 when 1 then 'mapping_scheme' when 3 then 'odd' else 'task' end as kind, case when o_custkey % 50 = 0 then '' else 'T' || (o_orderkey % 5) end as task, 's' || (o_orderkey % 2) as scheme from orders where o_orderkey % 13 <> 0
+union all select o_custkey, 2, o_orderkey, 'task', 'T' || (o_orderkey % 7), '' from orders where o_orderkey % 3 = 0), f as (select batch, kind, task, scheme, min((part, pos)) as first from x where kind <> 'odd' and task <> '' group by 1, 2, 3, 4)
 select batch, kind, task, scheme, cast(row_number() over (partition by batch order by first) - 1 as int) as place from f""")
 def agg_batch_items(spark, d):
     """The items of each customer's batch, from tokens (some of them broken) and plain ids."""
