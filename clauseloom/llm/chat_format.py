@@ -2,13 +2,16 @@
 
 A record is one JSON object in any known layout. Those of its nested field paths
 that any layout knows are hashed; the hash selects a declarative mapping, which
-yields canonical turns (role, text). Other fields (ids, names, scores) do not
-count. A content may be a text or a list of parts, whose texts are joined; a
-part without a text stays as JSON. Turns are written in a bracketed instruction
+yields canonical turns (role, text). Other fields do not count for the choice. A
+content may be a text or a list of parts, whose texts are joined; a part without a
+text stays as JSON. Turns are written in a bracketed instruction
 template, with control characters inside texts escaped so that no text can hold
 a marker, and read back from the formatted text alone.
 
-Nothing is dropped: malformed JSON and layouts without a mapping give one turn of
+Nothing is dropped: what the chosen mapping does not name (ids and scores, but also
+tool calls, a context, a rejected answer) is the record's ``rest``, as JSON of the
+same shape with null for list items that are used up, and ``unmapped`` lists its
+field paths; both are null where all is mapped. Malformed JSON and layouts without a mapping give one turn of
 the role ``raw`` with the record's text, and name the problem. A null record
 gives no turns; a null role or text counts as empty. An empty table gives an
 empty result, and equal records give equal values.
@@ -50,7 +53,7 @@ SYSTEM, USER, ASSISTANT, OTHER = ("<<SYS>>\n", "\n<</SYS>>\n"), ("<s>[INST] ", "
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lb;"), ("]", "&rb;"))
 TURN = re.compile(r"<<SYS>>\n([^<\[]*)\n<</SYS>>\n|<s>\[INST\] ([^<\[]*) \[/INST\]|\[ROLE ([^<\[\]]*)\] ([^<\[]*) \[/ROLE\]| ([^<\[]*) </s>")
 
-FORMATTED = "fingerprint string, turns array<struct<role:string,text:string>>, formatted string, loss_spans array<struct<start:int,end:int>>, problem string"
+FORMATTED = "fingerprint string, turns array<struct<role:string,text:string>>, formatted string, loss_spans array<struct<start:int,end:int>>, problem string, rest string, unmapped array<string>"
 PARSED = "turns array<struct<role:string,text:string>>, loss_text string, whole boolean"
 
 
@@ -99,6 +102,24 @@ def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
     return turns + [(role, _said(_at(record, path))) for role, path in mapping.get("then", ())]
 
 
+_USED = object()
+
+
+def rest_of(value, mapped, at: str = ""):
+    """What a record holds beside the ``mapped`` field paths, or ``_USED`` if nothing."""
+    if at in mapped:
+        return _USED
+    if isinstance(value, dict) and value:
+        left = {k: r for k, v in value.items() if (r := rest_of(v, mapped, f"{at}.{k}" if at else k)) is not _USED}
+        return left or _USED
+    if isinstance(value, list):
+        if not value:
+            return _USED if any(p.startswith(f"{at}[]") for p in mapped) else value
+        left = [rest_of(v, mapped, f"{at}[]") for v in value]
+        return _USED if all(x is _USED for x in left) else [None if x is _USED else x for x in left]
+    return value
+
+
 def escape(text: str) -> str:
     for plain, safe in ESCAPES:
         text = text.replace(plain, safe)
@@ -139,7 +160,7 @@ def parse_turns(formatted: str) -> tuple[list[tuple[str, str]], bool]:
 def _one(payload):
     def raw(key, problem):
         turns = [("raw", payload)] if payload is not None else []
-        return key, turns, *format_turns(turns), problem
+        return key, turns, *format_turns(turns), problem, None, None
 
     try:
         record = json.loads(payload)
@@ -151,14 +172,17 @@ def _one(payload):
     if key not in MAPPINGS:
         return raw(key, "unknown layout")
     turns = canonical_turns(record, MAPPINGS[key])
-    return key, turns, *format_turns(turns), None
+    rest = rest_of(record, MAPPINGS[key]["paths"])
+    if rest is _USED:
+        return key, turns, *format_turns(turns), None, None, None
+    return key, turns, *format_turns(turns), None, json.dumps(rest, ensure_ascii=False), sorted(field_paths(rest))
 
 
 def _format(payloads: pd.Series) -> pd.DataFrame:
     rows = []
-    for key, turns, formatted, spans, problem in map(_one, payloads):
-        rows.append((key, [{"role": r, "text": t} for r, t in turns], formatted, [{"start": a, "end": b} for a, b in spans], problem))
-    return pd.DataFrame(rows, columns=["fingerprint", "turns", "formatted", "loss_spans", "problem"])
+    for key, turns, formatted, spans, *others in map(_one, payloads):
+        rows.append((key, [{"role": r, "text": t} for r, t in turns], formatted, [{"start": a, "end": b} for a, b in spans], *others))
+    return pd.DataFrame(rows, columns=["fingerprint", "turns", "formatted", "loss_spans", "problem", "rest", "unmapped"])
 
 
 def _parse(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -171,7 +195,7 @@ def _parse(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def format_records(payload: Column) -> Column:
-    """Struct of fingerprint, canonical turns, formatted text, loss spans and problem."""
+    """Struct of fingerprint, canonical turns, formatted text, loss spans, problem, rest and unmapped paths."""
     return F.pandas_udf(_format, FORMATTED)(payload)
 
 

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .quality import bounded, fit_logistic
 
-#: Most labelled rows that are learned from, and most terms of the lexicon.
-TRAIN, TERMS = 30_000, 2000
+#: Most labelled rows that are learned from; they bound the lexicon and the fit.
+TRAIN = 30_000
 #: Least likelihood ratio (chi-square, one degree) between toxic and other documents of a term.
 LEAST = 24.0
 #: Lengths of the word beginnings that may be terms.
@@ -40,8 +40,9 @@ HEADS = (4, 5, 6)
 #: Words on either side that make a hit's context.
 WINDOW = 5
 #: Words that report what others said.
-REPORTING = frozenset("said says say wrote writes quote quoted quotes called calls word words term slur dit sagte dijo".split())
-HELD = 500_000
+REPORTING = frozenset("said says say wrote writes quote quoted quotes called calls dit sagte dijo".split())
+#: Words whose match a worker keeps, and states after which its automaton starts anew.
+HELD, STATES = 500_000, 100_000
 FEATURES = ("exact", "exact_quoted", "near", "near_quoted", "head", "head_quoted", "weight", "share")
 
 _WORD = re.compile(r"\w+")
@@ -84,11 +85,14 @@ class Automaton:
                 at = self.children[at][c]
                 self.reach[at] = max(self.reach[at], allowed(term))
             self.ends[at] = term
-        #: States by number; the moves of each, filled in as they are met.
+        self.seen: dict[str, tuple | None] = {}
+        self._anew()
+
+    def _anew(self) -> None:
+        """States by number; the moves of each, filled in as they are met."""
         self.states: list[tuple] = [(), self._close({0: 0})]
         self.numbers = {state: i for i, state in enumerate(self.states)}
         self.moves: list[dict[str, int]] = [{}, {}]
-        self.seen: dict[str, tuple | None] = {}
 
     def _close(self, nodes: dict[int, int]) -> tuple:
         """Adds what leaving out letters of the term reaches."""
@@ -138,6 +142,8 @@ class Automaton:
         heads = [h for n in HEADS if (h := word[:n]) in self.heads and len(word) > n]
         if heads:
             return "head", 0, max(self.heads[h] for h in heads)
+        if len(self.states) > STATES:
+            self._anew()
         at = 1
         for c in word:
             to = self.moves[at].get(c)
@@ -201,7 +207,8 @@ def _terms(batches):
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """(words, heads) with their log-odds, from rows (text, y); at most ``TERMS`` terms."""
+    """(words, heads) with their log-odds, from rows (text, y). The likelihood ratio alone decides, so
+    their number is bounded by the rows learned from, each term standing in three of them."""
     totals = train.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     if not totals[0] or not totals[1]:
         return {}, {}
@@ -212,7 +219,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]
     pos, neg, n, m = F.col("pos").cast("double"), F.col("neg").cast("double"), F.lit(float(totals[0])), F.lit(float(totals[1]))
     cells = xlogx(pos) + xlogx(neg) + xlogx(n - pos) + xlogx(m - neg) + xlogx(n + m)
     ratio = 2 * (cells - xlogx(pos + neg) - xlogx(n + m - pos - neg) - xlogx(n) - xlogx(m))
-    best = counts.filter("pos >= 3").select("term", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("ratio") >= LEAST) & (F.col("odds") > 0)).orderBy(F.desc("ratio"), "term").limit(TERMS)
+    best = counts.filter("pos >= 3").select("term", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("ratio") >= LEAST) & (F.col("odds") > 0)).orderBy("term")
     rows = best.collect()
     heads = {r["term"][:-1]: r["odds"] for r in rows if r["term"].endswith("*")}
     return {r["term"]: r["odds"] for r in rows if not r["term"].endswith("*")}, heads
@@ -235,7 +242,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = F.broadcast(bounded(marks, "doc_id", TRAIN))
     train = written(docs.select("doc_id", "text").join(marks, "doc_id").select("text", "y"), "toxic-train")
     words, heads = learn_lexicon(train)
-    model, name = docs.sparkSession.sparkContext.broadcast((words, heads)), uuid.uuid4().hex  # at most TERMS terms
+    model, name = docs.sparkSession.sparkContext.broadcast((words, heads)), uuid.uuid4().hex  # bounded by the TRAIN rows
 
     def vectors(texts: pd.Series) -> pd.Series:
         automaton = _automaton(name, model)

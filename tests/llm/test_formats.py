@@ -239,7 +239,7 @@ def test_chat_layouts():
     layouts = ['{"prompt":"a","response":"b"}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', '{"completion":"b","prompt":"a"}', '{"output":"b","instruction":"a"}']
     assert all(chat_format._one(x)[1] == [("user", "a"), ("assistant", "b")] for x in layouts)
     unknown = '{"x":{"y":["a [b] <c>"]}}'
-    key, turns, text, spans, problem = chat_format._one(unknown)
+    key, turns, text, spans, problem, *_ = chat_format._one(unknown)
     assert (turns, spans, problem) == ([("raw", unknown)], [], "unknown layout") and chat_format.parse_turns(text) == (turns, True)
     assert chat_format._one(None)[4] == "not JSON" and chat_format._one("[1]")[4] == "not an object"
     assert chat_format.field_paths({"a": [{"b": 1}, {"c": None}], "d": []}) == {"a[].b", "a[].c", "d[]"}
@@ -370,3 +370,23 @@ def test_near_dedup_repeated_ids(spark):
     got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
     assert got == {(1, 1, True): 3, (2, 1, False): 1, (None, None, True): 1, (3, 3, True): 1}
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_chat_rest_keeps_what_no_mapping_names():
+    import json
+
+    calls = [{"id": "c1", "function": {"name": "f", "arguments": "{}"}}]
+    cases = [
+        ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None, "tool_calls": calls}]}, {"messages": [None, {"tool_calls": calls}]}),
+        ({"instruction": "a", "input": "b", "output": "c", "context": "long text"}, {"context": "long text"}),
+        ({"prompt": "a", "chosen": "b", "rejected": "c", "score": 3}, {"rejected": "c", "score": 3}),
+        ({"prompt": "a", "response": "b"}, None),
+        ({"messages": []}, None),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "x"}, {"type": "image", "url": "u"}]}], "meta": {}, "tags": []}, {"meta": {}, "tags": []}),
+        ({"prompt": {"text": "a", "lang": "en"}, "response": {"text": "b"}}, {"prompt": {"lang": "en"}}),
+    ]
+    for record, want in cases:
+        *_, problem, rest, unmapped = chat_format._one(json.dumps(record))
+        assert problem is None and (None if rest is None else json.loads(rest)) == want
+        assert (unmapped is None) == (want is None) and (want is None or set(unmapped) == chat_format.field_paths(want))
+    assert chat_format._one("no JSON")[-2:] == (None, None)

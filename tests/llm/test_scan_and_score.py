@@ -198,3 +198,35 @@ def test_quality_odd_rows(spark):
     assert quality.classify(docs_of(spark, []), labels).count() == 0
     kept = quality.kept_documents(docs_of(spark, rows), labels)
     assert kept.columns == docs_of(spark, []).columns and kept.filter("doc_id = 0").count() == 2
+
+
+def test_automaton_is_bounded_and_starts_anew(monkeypatch):
+    """States are given up at a size; what is matched stays the same."""
+    import random
+
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("abcdef") for _ in range(rng.randint(5, 10))): 1.0 for _ in range(60)}
+    words = ["".join(rng.choice("abcdef") for _ in range(9)) for _ in range(3000)] + [t[:2] + t[3:] for t in terms]
+    free = toxicity.Automaton(terms, {})
+    want = [free.match(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 200)
+    small = toxicity.Automaton(terms, {})
+    for word, got in zip(words, want, strict=True):
+        assert small.match(word) == got and len(small.states) <= 200 + len(word)
+    assert len(free.states) > 300
+
+
+def test_lexicon_takes_every_term_over_the_ratio(spark):
+    """3,000 words that only toxic texts hold are all learned: no cap on terms."""
+    toxic = " ".join(f"bad{i}x" for i in range(3000))
+    rows = [(toxic, 1)] * 30 + [("plain words only", 0)] * 60
+    words, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert len([w for w in words if w.startswith("bad")]) == 3000
+
+
+def test_mark_my_words_is_no_quotation():
+    machine = toxicity.Automaton({"rotten": 2.0}, {})
+    names = dict(zip(toxicity.FEATURES, toxicity.features("mark my words you rotten one", machine), strict=True))
+    assert names["exact"] > 0 and names["exact_quoted"] == 0
+    names = dict(zip(toxicity.FEATURES, toxicity.features("they said rotten", machine), strict=True))
+    assert names["exact"] == 0 and names["exact_quoted"] > 0
