@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from clauseloom.functions import mapping as P
 from clauseloom.functions import standards as S
 from clauseloom.functions import text as T
@@ -234,3 +235,16 @@ def test_year_segments(spark):
 
 def test_deep_headings():
     assert Q.number_headings([11, 12]) == ["1.1.1.1.1.1.1.1.1.1.1", "1.1.1.1.1.1.1.1.1.1.1.1"]
+
+
+def test_block_pairs_meet_across_stretches_and_are_not_broadcast(spark):
+    """Gaps, repeated places and negative ones; the rows within reach must not go to the driver."""
+    places = [(d, p) for d in (1, 2) for p in (-3, 0, 1, 1, 60, 61, 63, 64, 66, 68, 127, 131, 132, 400)]
+    rows = [(d, p, "paragraph", f"line {p}", False, ["x"]) for d, p in places] + [(None, 1, "paragraph", "a", False, ["x"]), (3, None, "paragraph", "a", False, ["x"])]
+    frame = spark.createDataFrame(rows, "doc_id long, pos long, kind string, line string, has_drawing boolean, probes array<string>")
+    found = q_structure.scored_pairs(frame, 3, 5)
+    got = sorted((r.doc_id, r.pos, r.other, r.score) for r in found.collect())
+    want = sorted((a, p, o, 200 + len(f"line {p}") if p == o else 0) for a, p in places for b, o in places if a == b and p - 3 <= o <= p + 5)
+    assert got == want
+    plan = __spark_entry__.queries()["txt_block_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan
