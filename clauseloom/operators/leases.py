@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from math import nan
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import grant_leases
+from .sequences import grant_leases, walk_groups
 
 
 def lease_log(requests: DataFrame, hold: float) -> DataFrame:
@@ -17,19 +18,21 @@ def lease_log(requests: DataFrame, hold: float) -> DataFrame:
     before it, since no lease can still run. A running count of such requests cuts a log
     into pieces that are walked independently.
     """
-    log = Window.partitionBy("target").orderBy("at", "seq")
+    order = [F.col("at").asc_nulls_last(), F.col("seq")]
+    log = Window.partitionBy("target").orderBy(*order)
     gap = F.col("at") - F.lag("at").over(log)
     fresh = (F.col("op") == "takeover") | ((F.col("op") == "acquire") & (gap >= hold))
     pieces = requests.withColumn("piece", F.sum(F.when(fresh, 1).otherwise(0)).over(log))
 
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["at", "seq"])
-        out = grant_leases(p["at"].tolist(), p["op"].tolist(), p["actor"].tolist(), hold)
-        return p.drop(columns="piece").assign(outcome=[x[0] for x in out], holder=pd.array([x[1] for x in out], p["actor"].convert_dtypes().dtype), until=[x[2] for x in out])
+    def walk(rows: list[tuple]) -> list[tuple]:
+        _, _, at, op, actor, _ = zip(*rows, strict=True)
+        said = grant_leases([nan if t is None else t for t in at], op, actor, hold)
+        return [(*r[:5], outcome, holder, None if until != until else until) for r, (outcome, holder, until) in zip(rows, said, strict=True)]
 
-    kind = lambda c: requests.schema[c].dataType.simpleString()
-    schema = ", ".join(f"{c} {kind(c)}" for c in ("target", "seq", "at", "op", "actor")) + f", outcome string, holder {kind('actor')}, until double"
-    return pieces.select("target", "seq", "at", "op", "actor", "piece").groupBy("target", "piece").applyInPandas(walk, schema)
+    columns = ["target", "seq", "at", "op", "actor"]
+    schema = {c: requests.schema[c].dataType.simpleString() for c in columns}
+    schema |= {"outcome": "string", "holder": schema["actor"], "until": "double"}
+    return walk_groups(pieces.select(*columns, "piece"), ["target", "piece"], order, walk, schema)
 
 
 def lease_states(log: DataFrame, now: float | Column) -> DataFrame:
