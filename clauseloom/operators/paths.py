@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import shared_path
+from .sequences import walk_groups
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -119,8 +120,6 @@ def free_names(requests: DataFrame, existing: DataFrame, form: str = "file") ->
 def _settled(asked: DataFrame, taken: DataFrame, used: DataFrame | None, form: str, least: int) -> DataFrame:
     """(folder, seq, name, final, k) for requests whose own names are settled: ``used`` (folder, name,
     seq) were made by other families."""
-    import pandas as pd
-
     base = taken.filter("old").select("folder", "name", F.lit(-(1 << 62)).alias("since"))
     if used is not None:
         base = base.unionByName(used.select("folder", "name", F.col("seq").alias("since")))
@@ -137,19 +136,21 @@ def _settled(asked: DataFrame, taken: DataFrame, used: DataFrame | None, form: s
     walked = rows.filter("most is not null")
     near = walked.filter("i > 0 and i <= most")
 
-    def walk(a, b):
-        a, b = a.sort_values("seq"), b.sort_values("number")
-        since = dict(zip(b["number"], b["since"], strict=True))
-        made, k = [], least - 1
-        for seq in a["seq"]:
+    def walk(rows):  # (folder, name, 0, number, since) of taken numbers, then (folder, name, 1, seq, null) of requests
+        since, k = {}, least - 1
+        for folder, name, asks, at, first in rows:
+            if not asks:
+                since[at] = first
+                continue
             k += 1
-            while since.get(k, seq + 1) <= seq:
+            while since.get(k, at + 1) <= at:
                 k += 1
-            made.append(k)
-        return pd.DataFrame({"folder": a["folder"], "name": a["name"], "seq": a["seq"], "k": made})
+            yield folder, name, at, k
 
-    passed = near.select("folder", "name", "seq").groupBy("folder", "name").cogroup(others.join(most.select("folder", "name"), ["folder", "name"]).groupBy("folder", "name"))
-    k = passed.applyInPandas(walk, "folder {0}, name string, seq long, k long".format(asked.schema["folder"].dataType.simpleString()))
+    passed = others.select("folder", "name", F.lit(0).alias("asks"), F.col("number").alias("at"), "since")
+    passed = passed.unionByName(near.select("folder", "name", F.lit(1).alias("asks"), F.col("seq").cast("long").alias("at"), F.lit(None).cast("long").alias("since")))
+    schema = {"folder": asked.schema["folder"].dataType.simpleString(), "name": "string", "seq": "long", "k": "long"}
+    k = walk_groups(passed, ["folder", "name"], ["asks", "at"], walk, schema)
     k = _written(k, "names-walked")
     skipped = k.groupBy("folder", "name").agg(F.max("k").alias("last"), F.count("*").alias("n"))
     late = walked.filter("i > most").join(skipped, ["folder", "name"], "left")

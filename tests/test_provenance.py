@@ -200,3 +200,14 @@ def test_step_rules(spark):
     for r in step_rules.broken_rules(df, step_rules.rule_table(spark, rules)).collect():
         got.setdefault(r.step_no, set()).add(f"{r.kind} {r.field}")
     assert got == {i: w for i, (_, _, w) in enumerate(steps) if w}
+
+
+def test_free_names_need_no_python_call_a_family(spark, monkeypatch):
+    """The families of taken numbers are walked in sorted partitions."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", None)
+    asked = spark.createDataFrame([(f, s, "a") for f in range(300) for s in range(4)], "folder long, seq long, name string")
+    there = spark.createDataFrame([(f, n) for f in range(300) for n in ("a", "a (2)")], "folder long, name string")
+    got = {(r.folder, r.seq): r.final for r in paths.free_names(asked, there).collect()}
+    assert got == {(f, s): f"a ({n})" for f in range(300) for s, n in enumerate((1, 3, 4, 5))}
