@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from clauseloom.operators import paths, provenance, step_rules
 
 
@@ -211,3 +212,23 @@ def test_free_names_need_no_python_call_a_family(spark, monkeypatch):
     there = spark.createDataFrame([(f, n) for f in range(300) for n in ("a", "a (2)")], "folder long, name string")
     got = {(r.folder, r.seq): r.final for r in paths.free_names(asked, there).collect()}
     assert got == {(f, s): f"a ({n})" for f in range(300) for s, n in enumerate((1, 3, 4, 5))}
+
+
+def test_drawings_among_many_are_placed_as_by_scoring_all_pairs(monkeypatch):
+    """Probes in parts of words, with blanks and long ones; drawings looked at one by one or found by word."""
+    rnd = random.Random(9)
+    words = ["pump", "valve", "of", "x", "pressure", "limit", "a", "electromagnetic-compatibility", "pum", "val ve"]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 3, 6, 9])))
+    block = lambda: (rnd.choice(["paragraph"] * 3 + ["table"]), text(), rnd.random() < 0.6, [rnd.choice([*words, text()]) for _ in range(rnd.randint(0, 12))])
+    for near in [0, 2, 32] * 50:
+        monkeypatch.setattr(provenance, "NEAR", near)
+        targets = [block() for _ in range(rnd.randint(0, 100))]
+        part = lambda x: (x[0], rnd.choice([x[1], x[1], x[1][: rnd.randint(5, 30)], x[1][3:], "so " + x[1] + " end"]), x[2], x[3])
+        fragments = [[part(x) for x in rnd.sample(targets, min(len(targets), rnd.randint(1, 2)))] for _ in range(rnd.randint(1, 5))]
+        assert provenance.placed(targets, fragments) == loop_placed(targets, fragments)
+
+
+def test_documents_are_walked_in_sorted_partitions(spark):
+    """No Python call a document for placed fragments."""
+    found = __spark_entry__.queries()["join_fragment_place"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
