@@ -248,3 +248,17 @@ def test_block_pairs_meet_across_stretches_and_are_not_broadcast(spark):
     assert got == want
     plan = __spark_entry__.queries()["txt_block_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Broadcast" not in plan
+
+
+def test_neighbours_are_matched_in_order_without_a_call_each(spark):
+    found = __spark_entry__.queries()["join_ordered_text"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    own = {}
+    for r in q_search.lines(spark, "/root/testdata/sf0.001").filter("line <> ''").orderBy("doc_id", "pos").collect():
+        own.setdefault(r.doc_id, []).append((r.pos, r.line))
+    want = []
+    for d in (d for d in own if d % 2 == 0):
+        source = own.get(d - 1, []) + [x for x in own[d] if x[0] % 2 == 0]
+        hits = Q.match_in_order([t for _, t in own[d]], [t for _, t in source])
+        want += [(d, pos, None if h is None else source[h][0]) for (pos, _), h in zip(own[d], hits, strict=True)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
