@@ -66,14 +66,19 @@ def option_tail(x) -> Column:
     split; only known keys are kept; the first tail part without ``=`` is the error,
     and what stands behind it is not read."""
     parts = F.transform(F.regexp_extract_all(F.concat(F.lit("|"), _cell(x)), F.lit(r"""(?s)\|((?:[^|"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)"""), F.lit(1)), lambda p: F.trim(p))
-    tail = F.filter(F.slice(parts, F.lit(2), F.lit(1 << 30)), lambda p: p != "")
-    wrong = F.array_position(F.transform(tail, lambda p: ~p.contains("=")), F.lit(True)).cast("int")
-    read = F.when(wrong > 0, F.slice(tail, F.lit(1), wrong - 1)).otherwise(tail)
     unquoted = lambda v: F.when(v.rlike(r"""(?s)^(?:"[^"]*"|'[^']*')$"""), F.trim(F.substr(v, F.lit(2), F.length(v) - 2))).otherwise(v)
-    pairs = F.transform(read, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), unquoted(F.trim(F.substr(p, F.instr(p, "=") + 1))).alias("v")))
-    known = F.filter(pairs, lambda p: p["k"].isin(*OPTIONS))
-    last = F.aggregate(known, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
-    return F.struct(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("core"), last.alias("options"), F.when(wrong > 0, F.get(tail, wrong - 1)).alias("error"))
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  # the array binds the value once
+
+    def told(parts: Column, tail: Column, wrong: Column) -> Column:
+        read = F.when(wrong > 0, F.slice(tail, F.lit(1), wrong - 1)).otherwise(tail)
+        pairs = F.transform(read, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), unquoted(F.trim(F.substr(p, F.instr(p, "=") + 1))).alias("v")))
+        known = F.filter(pairs, lambda p: p["k"].isin(*OPTIONS))
+        last = F.aggregate(known, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
+        return F.struct(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("core"), last.alias("options"), F.when(wrong > 0, F.get(tail, wrong - 1)).alias("error"))
+
+    tail = lambda p: F.filter(F.slice(p, F.lit(2), F.lit(1 << 30)), lambda p: p != "")
+    wrong = lambda t: F.array_position(F.transform(t, lambda p: ~p.contains("=")), F.lit(True)).cast("int")
+    return bound(parts, lambda p: bound(tail(p), lambda t: bound(wrong(t), lambda w: told(p, t, w))))
 
 
 def _flag(x, groups: dict[str, tuple[str, ...]], default: str) -> Column:

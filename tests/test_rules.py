@@ -278,3 +278,9 @@ def test_all_pairs_of_a_search_come_from_blocks(spark, monkeypatch):
     found = M.keyed(frame).select("skey").distinct().crossJoin(spark.range(20).select(F.col("id").cast("string").alias("candidate_id"), (F.col("id") * 2).alias("year")))
     got, want = (sorted(map(tuple, f(frame, found).select("table_id", "row_no", "candidate_id", "year").collect())) for f in (M.pairs_for_rows, M.for_rows))
     assert got == want and len(got) == 60 * 20
+
+
+def test_option_tails_are_split_once(spark):
+    """The optimized plan splits a cell at its bars once, whatever is asked of it."""
+    found = __spark_entry__.queries()["fn_option_tail"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
