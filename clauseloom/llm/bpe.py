@@ -2,9 +2,11 @@
 
 Texts are cut into words by the public pattern, as Spark's own regular
 expressions. Each distinct word becomes an array of byte ids, and a fold merges
-its lowest-ranked pair again and again, looking pairs up in a literal rank map
-(a hash table of longs, built from the rank file). Python numbers words and
-puts their ids in their places; it merges nothing but words beyond
+its lowest-ranked pair again and again, looking pairs up in a rank map (a hash
+table of longs, built from the rank file). The words come in bundles, and each
+bundle brings the map in its own row: in the plan it would stand as a literal,
+which the driver copies, prints and sends with every stage. Python numbers
+words and puts their ids in their places; it merges nothing but words beyond
 ``FOLD_BYTES`` bytes, where a heap takes the place of the fold's squared cost.
 Decoding concatenates the tokens' binary pieces.
 
@@ -41,12 +43,10 @@ from .common import give_back, released, written
 FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
 TABLE_WORDS, OFTEN = 100_000, 3
-#: Longest plan string that the driver keeps.
-PLAN_CHARS = 200_000
 #: Words of a block (about), and words that a task counts before it passes them on.
 BLOCK_WORDS, HELD = 2_500_000, 300_000
-#: Rows that Python works on at once.
-ROWS = 500
+#: Rows that Python works on at once, and words that share a row of the fold (about).
+ROWS, BUNDLE = 500, 10_000
 
 
 @lru_cache(maxsize=4)
@@ -72,23 +72,31 @@ SHIFT = 1 << 17
 NONE = SHIFT - 1
 
 
-@lru_cache(maxsize=2)
-def _rank_map_json(path: str) -> str:
+def _rank_map(path: str) -> list[list[int]]:
     """The rank map: pair (a, b) lies in bucket (1021 a + b) mod 2^17 as b * 2^17 + rank.
     1021 is odd, so no two pairs with one b share a bucket."""
     buckets: list[list[int]] = [[] for _ in range(SHIFT)]
     for (a, b), rank in pair_ranks(path).items():
         buckets[1021 * a + b & NONE].append(b * SHIFT + rank)
-    return json.dumps(buckets, separators=(",", ":"))
+    return buckets
 
 
-@lru_cache(maxsize=2)
-def _byte_map_json(path: str) -> str:
+def _byte_map(path: str) -> list[int]:
     """The parts that words start with: at 512 a + b, for byte a before byte b (256: before
     nothing), the pair's rank (NONE if it has none) * 2^17 + the id of a."""
     ranks, pairs = ranks_of(path), pair_ranks(path)
     single = [ranks[bytes([i])] for i in range(256)]
-    return json.dumps([pairs.get((single[a], single[b]) if b < 256 else None, NONE) * SHIFT + single[a] if b <= 256 else 0 for a in range(256) for b in range(512)], separators=(",", ":"))
+    return [pairs.get((single[a], single[b]) if b < 256 else None, NONE) * SHIFT + single[a] if b <= 256 else 0 for a in range(256) for b in range(512)]
+
+
+@lru_cache(maxsize=1)
+def _maps(path: str) -> tuple[pa.Array, pa.Array]:
+    """Both maps, each as a column of one row."""
+    return pa.array([_rank_map(path)], pa.list_(pa.list_(pa.int64()))), pa.array([_byte_map(path)], pa.list_(pa.int64()))
+
+
+#: The maps as columns of the rows that hold words to fold.
+MAPS = "_ranks array<array<bigint>>, _starts array<bigint>"
 
 
 #: Classes of the pattern whose members hang on the Unicode version.
@@ -213,7 +221,21 @@ def _bound(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, path: str) -> Column:
-    """Token ids (array of bigint) of a word given as an array of its bytes.
+    """Token ids (array of bigint) of a word given as an array of its bytes. The plan holds
+    the rank map; ``fold_bundle`` takes it from the rows."""
+    text = lambda x: F.lit(json.dumps(x, separators=(",", ":")))
+    ranks = F.from_json(text(_rank_map(path)), T.ArrayType(T.ArrayType(T.LongType())))
+    starts = F.from_json(text(_byte_map(path)), T.ArrayType(T.LongType()))
+    return _bound(ranks, lambda r: _bound(starts, lambda s: _bound(word.cast("array<int>"), lambda w: _folded(w, r, s))))
+
+
+def fold_bundle(words: Column) -> Column:
+    """The ids of each word of a bundle, by the maps that its row holds (``MAPS``)."""
+    return F.transform(words, lambda w: _folded(w, F.col("_ranks"), F.col("_starts"))).cast("array<array<int>>")
+
+
+def _folded(word: Column, ranks: Column, starts: Column) -> Column:
+    """The fold over a word's bytes.
 
     Parts are packed as rank * 2^17 + id, where rank is that of the pair the part
     forms with the next one (NONE if it forms none). The least part is the
@@ -221,35 +243,30 @@ def fold_merges(word: Column, path: str) -> Column:
     part takes the pair's rank as its id, the part before it is packed anew and
     the part behind it goes.
     """
-    ranks = F.from_json(F.lit(_rank_map_json(path)), T.ArrayType(T.ArrayType(T.LongType())))
-    starts = F.from_json(F.lit(_byte_map_json(path)), T.ArrayType(T.LongType()))
     none = mask = _long(NONE)
     gone, rest = _long(-1), F.lit(1 << 30)  # to the end
     ident = lambda x: x.bitwiseAND(mask)
 
-    def folded(ranks, starts, word):
-        def packed(a, b):
-            bucket = F.get(ranks, (1021 * a + b).bitwiseAND(mask).cast("int"))
-            # b * 2^17 taken from the pair's entry leaves its rank, from others more than a rank
-            rank = F.aggregate(bucket, none, lambda least, x: F.least(least, x.bitwiseXOR(F.shiftleft(b, 17))))
-            return F.shiftleft(F.least(rank, none), 17).bitwiseOR(a)
+    def packed(a, b):
+        bucket = F.get(ranks, (1021 * a + b).bitwiseAND(mask).cast("int"))
+        # b * 2^17 taken from the pair's entry leaves its rank, from others more than a rank
+        rank = F.aggregate(bucket, none, lambda least, x: F.least(least, x.bitwiseXOR(F.shiftleft(b, 17))))
+        return F.shiftleft(F.least(rank, none), 17).bitwiseOR(a)
 
-        def step(parts, _):
-            def merged(p):  # the place of the least part, from 1
-                def part(x, i):
-                    first = packed(F.shiftright(x, 17), ident(F.get(parts, p + 1)))
-                    before = packed(ident(x), F.shiftright(F.get(parts, p - 1), 17))
-                    return F.when((i < p - 2) | (i > p), x).when(i == p - 1, first).when(i == p, gone).otherwise(before)
+    def step(parts, _):
+        def merged(p):  # the place of the least part, from 1
+            def part(x, i):
+                first = packed(F.shiftright(x, 17), ident(F.get(parts, p + 1)))
+                before = packed(ident(x), F.shiftright(F.get(parts, p - 1), 17))
+                return F.when((i < p - 2) | (i > p), x).when(i == p - 1, first).when(i == p, gone).otherwise(before)
 
-                return F.array_remove(F.transform(parts, part), gone)
+            return F.array_remove(F.transform(parts, part), gone)
 
-            place = F.array_position(parts, F.array_min(parts)).cast("int")
-            return F.when(F.array_min(parts) < _long(NONE * SHIFT), _bound(place, merged)).otherwise(parts)
+        place = F.array_position(parts, F.array_min(parts)).cast("int")
+        return F.when(F.array_min(parts) < _long(NONE * SHIFT), _bound(place, merged)).otherwise(parts)
 
-        parts = F.transform(word, lambda a, i: F.get(starts, F.shiftleft(a, 9).bitwiseOR(F.coalesce(F.get(word, i + 1), F.lit(256)))))
-        return F.transform(F.aggregate(F.slice(word, F.lit(2), rest), parts, step), ident)
-
-    return _bound(ranks, lambda r: _bound(starts, lambda s: _bound(word.cast("array<int>"), lambda w: folded(r, s, w))))
+    parts = F.transform(word, lambda a, i: F.get(starts, F.shiftleft(a, 9).bitwiseOR(F.coalesce(F.get(word, i + 1), F.lit(256)))))
+    return F.transform(F.aggregate(F.slice(word, F.lit(2), rest), parts, step), ident)
 
 
 def heap_merges(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -332,11 +349,18 @@ def _counts(path: str):
     return run
 
 
-def _byte_rows():
+def _bundle(values: pa.Array, at: int) -> pa.ListArray:
+    """A column of one row that holds the values from ``at`` on, at most ``BUNDLE`` of them."""
+    part = values.slice(at, BUNDLE)
+    return pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+
+
+def _byte_rows(path: str):
     def run(batches):
         for batch in batches:
             words = batch.column(0)
-            yield pa.record_batch([words, _Vocabulary.bytes_of(words)], ["word", "ids"])
+            for at in range(0, len(words), BUNDLE):
+                yield pa.record_batch([_bundle(words, at), _bundle(_Vocabulary.bytes_of(words), at), *_maps(path)], ["words", "bytes", "_ranks", "_starts"])
 
     return run
 
@@ -353,8 +377,11 @@ def word_table(words: DataFrame, path: str) -> pa.Table:
         if room < 0:
             break
         least = row["level"]
-    often = counts.filter(level >= least).select("word").mapInArrow(_byte_rows(), "word string, ids array<int>")
-    return often.repartition("word").select("word", fold_merges(F.col("ids"), path).cast("array<int>").alias("ids")).toArrow()
+    often = counts.filter(level >= least).select("word").repartition(words.sparkSession.sparkContext.defaultParallelism, "word")
+    bundles = often.mapInArrow(released(_byte_rows(path)), f"words array<string>, bytes array<array<int>>, {MAPS}")
+    folded = bundles.select("words", fold_bundle(F.col("bytes")).alias("ids")).toArrow()
+    flat = lambda c: pc.list_flatten(folded[c])
+    return pa.table({"word": flat("words").cast(pa.string()), "ids": flat("ids").cast(pa.list_(pa.int32()))})
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -364,22 +391,29 @@ def _packed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-#: Kinds of rows that a block is made of: words to fold, words with ids, documents.
+#: Kinds of rows that a block is made of: words to fold, words with ids (both in bundles), documents.
 FOLD, DONE, DOCUMENT = 0, 1, 2
+_INTS = pa.list_(pa.int32())
 
 
 def _blocks(path: str, table, block_words: int):
-    """Blocks: a row for each distinct word that is no token, then the documents,
+    """Blocks: the distinct words that are no tokens, in bundles, then the documents,
     where -i stands for the block's word i - 1."""
 
     def run(batches):
         vocabulary, known, pairs = _Vocabulary(path), pa.ipc.open_stream(table.value).read_all().combine_chunks(), None
         rows, texts, sizes, held = [], [], [], 0
 
+        def batch_of(kind: int, words: pa.Array, maps, ids: pa.Array, row: pa.Array) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(row), kind, np.int32)), words, *maps, ids, row], ["_kind", "_words", "_ranks", "_starts", "_ids", "_row"])
+
         def word_rows(kind: int, ids: pa.Array):
-            for at in range(0, len(ids), 20_000):
-                part = ids.slice(at, 20_000)
-                yield pa.record_batch([pa.array(np.full(len(part), kind, np.int32)), part, pa.nulls(len(part), rows[0].type)], ["_kind", "_ids", "_row"])
+            maps = _maps(path) if kind == FOLD else no_maps(1)
+            for at in range(0, len(ids), BUNDLE):
+                yield batch_of(kind, _bundle(ids, at), maps, pa.nulls(1, _INTS), pa.nulls(1, rows[0].type))
+
+        def no_maps(n: int) -> list[pa.Array]:
+            return [pa.nulls(n, pa.list_(pa.list_(pa.int64()))), pa.nulls(n, pa.list_(pa.int64()))]
 
         def block():
             nonlocal pairs
@@ -398,11 +432,11 @@ def _blocks(path: str, table, block_words: int):
                 yield from word_rows(DONE, known["ids"].combine_chunks().take(found.take(pa.array(done))))
             if len(heap):
                 pairs, ranks = pairs or pair_ranks(path), ranks_of(path)
-                yield from word_rows(DONE, pa.array([heap_merges([ranks[bytes([b])] for b in x.encode()], pairs) for x in rare.take(pa.array(heap)).to_pylist()], pa.list_(pa.int32())))
+                yield from word_rows(DONE, pa.array([heap_merges([ranks[bytes([b])] for b in x.encode()], pairs) for x in rare.take(pa.array(heap)).to_pylist()], _INTS))
             refs[others[np.concatenate([fold, done, heap])]] = -1 - np.arange(len(others), dtype=np.int32)
             for part, own, ends in zip(one.chunks, rows, sizes, strict=True):
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(refs[part.indices.to_numpy()]))
-                yield pa.record_batch([pa.array(np.full(len(own), DOCUMENT, np.int32)), ids, own], ["_kind", "_ids", "_row"])
+                yield batch_of(DOCUMENT, pa.nulls(len(own), pa.list_(_INTS)), no_maps(len(own)), ids, own)
             for x in (rows, texts, sizes):
                 x.clear()
 
@@ -435,15 +469,15 @@ def _documents(finish):
                 if a == b:
                     continue
                 if not kinds[a]:
-                    values, ends = _lists(batch.column(1).slice(a, b - a))
+                    values, ends = _lists(_lists(batch.column(1).slice(a, b - a))[0])
                     words.append((values.to_numpy(), np.diff(ends)))
                     continue
                 if words:
                     pool, starts = np.concatenate([x for x, _ in words]), np.cumsum([0, *np.concatenate([n for _, n in words])])
                     words = []
                 for at in range(a, b, ROWS):
-                    values, ends = _lists(batch.column(1).slice(at, min(ROWS, b - at)))
-                    made = _placed(values.to_numpy(), ends, pool, starts, batch.column(2).slice(at, min(ROWS, b - at)))
+                    values, ends = _lists(batch.column(2).slice(at, min(ROWS, b - at)))
+                    made = _placed(values.to_numpy(), ends, pool, starts, batch.column(3).slice(at, min(ROWS, b - at)))
                     yield finish(made) if finish else made
 
     return run
@@ -470,23 +504,20 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     With ``finish``, a function of a record batch (the other columns and ``_ids``)
     whose results have the given ``schema``, those come back instead: it runs
     where the ids are put together, which saves sending them on.
-
-    The session's plan strings are cut at ``PLAN_CHARS``, unless it cuts them itself:
-    each would hold the rank map, and the driver keeps them for its listeners.
     """
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > 1 << 30:
-        spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
     cut = cut_words(F.col(text), spark_pattern(spark, pattern))
     table = spark.sparkContext.broadcast(_packed(word_table(docs.select(cut.alias("_cut")), path)))
     give_back()
     kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in (text, out)])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.names]) if len(kept) else F.struct(F.lit(0).alias("_none"))
     inner = kept if len(kept) else T.StructType([T.StructField("_none", T.IntegerType())])
-    rows = T.StructType([T.StructField("_kind", T.IntegerType()), T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_row", inner)])
+    ints = T.ArrayType(T.IntegerType())
+    fields = [("_kind", T.IntegerType()), ("_words", T.ArrayType(ints)), *[(f.name, f.dataType) for f in T.StructType.fromDDL(MAPS)], ("_ids", ints), ("_row", inner)]
+    rows = T.StructType([T.StructField(name, kind) for name, kind in fields])
     blocks = docs.select(cut.alias("_cut"), row.alias("_row")).mapInArrow(released(_blocks(path, table, block_words)), rows)
-    folded = F.when(F.col("_kind") == FOLD, fold_merges(F.col("_ids"), path).cast("array<int>")).otherwise(F.col("_ids"))
-    made = blocks.select("_kind", folded.alias("_ids"), "_row").mapInArrow(released(_documents(finish)), schema if finish else T.StructType([*inner.fields, rows["_ids"]]))
+    words = F.when(F.col("_kind") == FOLD, fold_bundle(F.col("_words"))).otherwise(F.col("_words"))
+    made = blocks.select("_kind", words.alias("_words"), "_ids", "_row").mapInArrow(released(_documents(finish)), schema if finish else T.StructType([*inner.fields, rows["_ids"]]))
     return made if finish else made.select(*[F.col(f"`{c}`") for c in kept.names], F.col("_ids").alias(out))
 
 

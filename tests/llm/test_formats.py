@@ -211,6 +211,12 @@ def test_bpe_small_blocks_and_clashes(spark):
     assert only.columns == ["ids"] and only.count() == len(rows)
 
 
+def test_bpe_plan_without_rank_map(spark):
+    """The rank map travels with the words; as a literal, every plan of the driver held it (over a million characters)."""
+    plan = bpe.encode(spark.createDataFrame([(1, "unwordlike")], "doc_id long, text string"), RANKS)._jdf.queryExecution()
+    assert len(plan.optimizedPlan().toString()) < 100_000
+
+
 def test_bpe_documents(spark):
     check_bpe(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
