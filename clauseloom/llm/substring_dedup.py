@@ -29,6 +29,8 @@ task's memory. An empty table gives none. Other columns do not take part.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -41,6 +43,8 @@ LENGTH = 20
 #: A perfect difference cover: each remainder is the difference of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = LENGTH - PERIOD + 1
+#: Rows that Python works on at once for the results.
+ROWS = 500
 _LAST = "9223372036854775807"
 _KEYS = ["o", "t"]
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -52,22 +56,23 @@ class _Windows:
     """Hashes of a block's stretches of words and where they may stand."""
 
     def __init__(self, block: Block):
-        self.row = block.row()
-        self.at = np.arange(len(self.row)) - block.ends[self.row]
-        self.left = block.ends[self.row + 1] - np.arange(len(self.row))  # words from here to the text's end
-        two = doubled(block.hashes(), 1)
-        self.four = doubled(two, 2)
-        self.anchors = doubled(self.four, 4)
-        self.long = np.diff(block.ends)[self.row] >= LENGTH if len(self.row) else np.zeros(0, bool)
+        n = np.diff(block.ends)
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.at = (np.arange(len(self.row)) - np.repeat(block.ends[:-1], n)).astype(np.int32)
+        self.left = np.repeat(n.astype(np.int32), n) - self.at  # words from here to the text's end
+        self.four = doubled(doubled(block.hashes(), 1), 2)
 
     def places(self) -> np.ndarray:
         """The cover positions, in the block, of texts that have a window."""
-        return np.flatnonzero(self.long & _IN_COVER[self.at % PERIOD] & (self.left >= ANCHOR))
+        return np.flatnonzero((self.left + self.at >= LENGTH) & _IN_COVER[self.at % PERIOD] & (self.left >= ANCHOR))
+
+    def anchors(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the 8 words at ``starts``; only there, as most places need none."""
+        return joined(self.four[starts], self.four[starts + 4])
 
     def whole(self, starts: np.ndarray) -> np.ndarray:
         """Hashes of the windows at ``starts``."""
-        sixteen = doubled(self.anchors, 8)
-        return joined(sixteen[starts], self.four[starts + 16])
+        return joined(joined(self.anchors(starts), self.anchors(starts + 8)), self.four[starts + 16])
 
 
 def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
@@ -77,59 +82,72 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(counts == 0))
 
 
+def _by_block(batch: pa.RecordBatch, made):
+    """``made`` of each block of a batch's texts and the batch's keys. Nothing of a block but
+    its rows is left when the next one is cut."""
+    o, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in _KEYS)
+    yield from map(lambda block: made(block, o, t), blocks(batch.column("text")))
+
+
 def _anchors(batches):
     """A row for each different anchor of a block: hash, a document that has it, and, where
     the block itself repeats it, all documents of the block that do."""
+
+    def made(block: Block, o: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        w = _Windows(block)
+        at = w.places()
+        h, row = w.anchors(at), w.row[at] + block.lo
+        del w, at
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        many = np.bincount(group, minlength=len(first))[group] > 1 if len(h) else new
+        once = many & (new | np.concatenate([[True], row[1:] != row[:-1]])) if len(h) else new  # a document once
+        more = _lists(group[once], len(first), pa.StructArray.from_arrays([pa.array(o[row[once]]), pa.array(t[row[once]])], fields=list(_PLACE)))
+        lead = row[first]
+        out = pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(o[lead]), pa.array(t[lead]), more], ["h", "o", "t", "more"])
+        return out.take(pa.array(np.argsort(lead, kind="stable")))  # a document's rows together pack better
+
     for batch in batches:
-        o, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in _KEYS)
-        for block in blocks(batch.column("text").to_pylist()):
-            w = _Windows(block)
-            at = w.places()
-            order = np.argsort(w.anchors[at], kind="stable")
-            h, row = w.anchors[at][order], w.row[at][order] + block.lo
-            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-            group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            many = np.bincount(group, minlength=len(first))[group] > 1 if len(h) else new
-            once = many & (new | np.concatenate([[True], row[1:] != row[:-1]])) if len(h) else new  # a document once
-            more = _lists(group[once], len(first), pa.StructArray.from_arrays([pa.array(o[row[once]]), pa.array(t[row[once]])], fields=list(_PLACE)))
-            lead = row[first]
-            out = pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(o[lead]), pa.array(t[lead]), more], ["h", "o", "t", "more"])
-            yield out.take(pa.array(np.argsort(lead, kind="stable")))  # a document's rows together pack better
+        yield from _by_block(batch, made)
 
 
 def _candidates(batches):
     """A row for each different window of a block that holds a repeated anchor: its hash and
     first place, and the places in the block that come after that."""
+
+    def made(block: Block, o: np.ndarray, t: np.ndarray, ends: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        w = _Windows(block)
+        at = w.places()
+        ids = np.arange(block.hi - block.lo, dtype=np.uint64)
+        known = joined(values[ends[block.lo] : ends[block.hi]], np.repeat(ids, np.diff(ends[block.lo : block.hi + 1])))
+        at = at[np.isin(joined(w.anchors(at), ids[w.row[at]]), known)]
+        covered = np.zeros(len(w.row) + 1, np.int64)
+        np.add.at(covered, at - np.minimum(w.at[at], PERIOD - 1), 1)
+        np.add.at(covered, at + 1, -1)
+        starts = np.flatnonzero((np.cumsum(covered)[:-1] > 0) & (w.left >= LENGTH)) if len(w.row) else at
+        h, row, start = w.whole(starts), w.row[starts] + block.lo, w.at[starts]
+        order = np.lexsort((start, o[row], h))
+        h, row, start = h[order], row[order], start[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (o[row] > o[row][lead]) | (start > start[lead])
+        asked = ~later  # the first place, and others that are it by doc_id and start
+        place = [pa.array(o[row[later]]), pa.array(t[row[later]]), pa.array(start[later].astype(np.int32))]
+        owner = (np.cumsum(asked) - 1)[later]
+        more = _lists(owner, int(asked.sum()), pa.StructArray.from_arrays(place, fields=list(_START)))
+        out = pa.record_batch(
+            [pa.array(h[asked].view(np.int64)), pa.array(o[row[asked]]), pa.array(t[row[asked]]), pa.array(start[asked].astype(np.int32)), more],
+            ["h", "o", "t", "start", "more"],
+        )
+        return out.take(pa.array(np.lexsort((start[asked], row[asked]))))
+
     for batch in batches:
-        o, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in _KEYS)
         repeated = batch.column("hs")
         ends, values = repeated.offsets.to_numpy(), repeated.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        for block in blocks(batch.column("text").to_pylist()):
-            w = _Windows(block)
-            at = w.places()
-            ids = np.arange(block.hi - block.lo, dtype=np.uint64)
-            known = joined(values[ends[block.lo] : ends[block.hi]], np.repeat(ids, np.diff(ends[block.lo : block.hi + 1])))
-            at = at[np.isin(joined(w.anchors[at], ids[w.row[at]]), known)]
-            covered = np.zeros(len(w.row) + 1, np.int64)
-            np.add.at(covered, at - np.minimum(w.at[at], PERIOD - 1), 1)
-            np.add.at(covered, at + 1, -1)
-            starts = np.flatnonzero((np.cumsum(covered)[:-1] > 0) & (w.left >= LENGTH)) if len(w.row) else at
-            h, row, start = w.whole(starts), w.row[starts] + block.lo, w.at[starts]
-            order = np.lexsort((start, o[row], h))
-            h, row, start = h[order], row[order], start[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (o[row] > o[row][lead]) | (start > start[lead])
-            asked = ~later  # the first place, and others that are it by doc_id and start
-            place = [pa.array(o[row[later]]), pa.array(t[row[later]]), pa.array(start[later].astype(np.int32))]
-            owner = (np.cumsum(asked) - 1)[later]
-            more = _lists(owner, int(asked.sum()), pa.StructArray.from_arrays(place, fields=list(_START)))
-            out = pa.record_batch(
-                [pa.array(h[asked].view(np.int64)), pa.array(o[row[asked]]), pa.array(t[row[asked]]), pa.array(start[asked].astype(np.int32)), more],
-                ["h", "o", "t", "start", "more"],
-            )
-            yield out.take(pa.array(np.lexsort((start[asked], row[asked]))))
+        yield from _by_block(batch, partial(made, ends=ends, values=values))
 
 
 def kept_words(words: list[bytes], starts) -> list[bytes]:
@@ -144,13 +162,13 @@ def kept_words(words: list[bytes], starts) -> list[bytes]:
 
 
 def _results(batches):
-    for batch in batches:
+    for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
         out = []
-        for doc_id, text, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True):
+        for doc_id, text, starts in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True):
             words = split(text)
             kept = kept_words(words, starts)
             out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        columns = list(zip(*out, strict=True)) or [()] * 4
+        columns = list(zip(*out, strict=True))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.record_batch([pa.array(c, x) for c, x in zip(columns, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_text"])
 

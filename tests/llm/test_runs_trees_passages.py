@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from clauseloom.llm import common, merkle, periodic_runs, queries, substring_dedup
+from clauseloom.llm import common, merkle, periodic_runs, queries, substring_dedup, words
 from clauseloom.llm.words import Block
 
 SF = "/root/testdata/sf0.01"
@@ -225,3 +227,25 @@ def test_op13_on_the_tables(spark):
     assert sorted(map(tuple, queries.op13_substring_dedup(spark, SF).collect())) == sorted(brute_op13(docs))
     assert substring_dedup.without_repeats(docs_of(spark, [])).count() == 0
     assert substring_dedup.without_repeats(docs_of(spark, [(1, None, None, None, None)])).collect()[0][1:] == (0, 0, "")
+
+
+def test_blocks_cut_words_as_bytes_do():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab é\t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000\0") for _ in range(rnd.randrange(40))) for _ in range(400)] + [None, "", " ", "x"]
+    for given in (texts, pa.array(texts), pa.array(["y z", *texts]).slice(1)):
+        got = list(words.blocks(given))
+        assert [b.words[i:j] for b in got for i, j in zip(b.ends[:-1], b.ends[1:], strict=True)] == [words.split(t) for t in texts]
+    assert list(words.blocks([])) == []
+
+
+def test_op13_blocks_take_no_object_per_word():
+    """A worker's memory for a block of 300,000 words; Python's own words alone took 15 MB of it and were held twice."""
+    rnd = random.Random(4)
+    text = [" ".join(f"{rnd.randrange(9000)}" for _ in range(3000)) for _ in range(100)]
+    batch = pa.record_batch([pa.array(range(100)), pa.array(range(100)), pa.array(text)], ["o", "t", "text"])
+    next(substring_dedup._anchors([batch.slice(0, 1)]))
+    tracemalloc.start()
+    list(substring_dedup._anchors([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * 300_000
