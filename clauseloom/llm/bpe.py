@@ -12,7 +12,8 @@ Decoding concatenates the tokens' binary pieces.
 
 Frequent words (at most ``TABLE_WORDS`` of them, which bounds what is
 broadcast; counted over all texts) are folded once; the other words once for
-each block of documents they occur in, so texts are never shuffled.
+each stretch of blocks they occur in, so texts are never shuffled. A stretch
+lasts until its words would exceed ``STRETCH_WORDS`` or ``STRETCH_BYTES``.
 
 Null text is empty and gives no ids. Special tokens are ordinary text. Rows
 that repeat are encoded alike; a row is one document whatever its doc_id. An
@@ -42,9 +43,11 @@ from .common import give_back, released, written
 #: Longest word, in bytes, that the fold merges.
 FOLD_BYTES = 512
 #: Most words that are broadcast, and the fewest occurrences that earn a place.
-TABLE_WORDS, OFTEN = 100_000, 3
+TABLE_WORDS, OFTEN = 300_000, 3
 #: Words of a block (about), and words that a task counts before it passes them on.
-BLOCK_WORDS, HELD = 2_500_000, 300_000
+BLOCK_WORDS, HELD = 1_500_000, 300_000
+#: Most different words that blocks share, and their bytes; one block may have more.
+STRETCH_WORDS, STRETCH_BYTES = 600_000, 16 << 20
 #: Rows that Python works on at once, and words that share a row of the fold (about).
 ROWS, BUNDLE = 500, 10_000
 
@@ -391,18 +394,24 @@ def _packed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-#: Kinds of rows that a block is made of: words to fold, words with ids (both in bundles), documents.
-FOLD, DONE, DOCUMENT = 0, 1, 2
+#: Kinds of rows: words to fold, words with ids (both in bundles), documents, and what begins a stretch.
+FOLD, DONE, DOCUMENT, STRETCH = 0, 1, 2, 3
 _INTS = pa.list_(pa.int32())
 
 
+def _found(words: pa.Array, among: pa.Array) -> pa.Array:
+    """Where each word stands among others, null where it does not."""
+    return pc.index_in(words, value_set=among) if len(among) else pa.nulls(len(words), pa.int32())
+
+
 def _blocks(path: str, table, block_words: int):
-    """Blocks: the distinct words that are no tokens, in bundles, then the documents,
-    where -i stands for the block's word i - 1."""
+    """Blocks: the distinct words that are no tokens and new in the stretch, in bundles,
+    then the documents, where -i stands for the stretch's word i - 1."""
 
     def run(batches):
         vocabulary, known, pairs = _Vocabulary(path), pa.ipc.open_stream(table.value).read_all().combine_chunks(), None
         rows, texts, sizes, held = [], [], [], 0
+        numbered = pa.array([], pa.string())  # the stretch's words, in order
 
         def batch_of(kind: int, words: pa.Array, maps, ids: pa.Array, row: pa.Array) -> pa.RecordBatch:
             return pa.record_batch([pa.array(np.full(len(row), kind, np.int32)), words, *maps, ids, row], ["_kind", "_words", "_ranks", "_starts", "_ids", "_row"])
@@ -416,24 +425,34 @@ def _blocks(path: str, table, block_words: int):
             return [pa.nulls(n, pa.list_(pa.list_(pa.int64()))), pa.nulls(n, pa.list_(pa.int64()))]
 
         def block():
-            nonlocal pairs
+            nonlocal pairs, numbered
             one = pa.chunked_array(texts).unify_dictionaries()
             words = one.chunk(0).dictionary
             refs = vocabulary.tokens(words)
             others = np.flatnonzero(refs < 0)
             rare = words.take(pa.array(others))
-            found = pc.index_in(rare, value_set=known["word"].combine_chunks()) if known.num_rows else pa.nulls(len(rare), pa.int32())
-            long = pc.greater(pc.binary_length(rare), FOLD_BYTES)
+            before = _found(rare, numbered)
+            if not len(numbered) or len(numbered) + before.null_count > STRETCH_WORDS or numbered.nbytes + rare.nbytes > STRETCH_BYTES:
+                numbered, before = numbered[:0], pa.nulls(len(rare), pa.int32())
+                yield batch_of(STRETCH, pa.nulls(1, pa.list_(_INTS)), no_maps(1), pa.nulls(1, _INTS), pa.nulls(1, rows[0].type))
+            new = np.flatnonzero(before.is_null().to_numpy(zero_copy_only=False))
+            fresh = rare.take(pa.array(new))
+            found = _found(fresh, known["word"].combine_chunks())
+            long = pc.greater(pc.binary_length(fresh), FOLD_BYTES)
             fold = np.flatnonzero(pc.and_(found.is_null(), pc.invert(long)).to_numpy(zero_copy_only=False))
             heap = np.flatnonzero(pc.and_(found.is_null(), long).to_numpy(zero_copy_only=False))
             done = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            yield from word_rows(FOLD, vocabulary.bytes_of(rare.take(pa.array(fold))))
+            yield from word_rows(FOLD, vocabulary.bytes_of(fresh.take(pa.array(fold))))
             if len(done):
                 yield from word_rows(DONE, known["ids"].combine_chunks().take(found.take(pa.array(done))))
             if len(heap):
                 pairs, ranks = pairs or pair_ranks(path), ranks_of(path)
-                yield from word_rows(DONE, pa.array([heap_merges([ranks[bytes([b])] for b in x.encode()], pairs) for x in rare.take(pa.array(heap)).to_pylist()], _INTS))
-            refs[others[np.concatenate([fold, done, heap])]] = -1 - np.arange(len(others), dtype=np.int32)
+                yield from word_rows(DONE, pa.array([heap_merges([ranks[bytes([b])] for b in x.encode()], pairs) for x in fresh.take(pa.array(heap)).to_pylist()], _INTS))
+            order = np.concatenate([fold, done, heap])
+            numbers = before.fill_null(0).to_numpy(zero_copy_only=False).copy()
+            numbers[new[order]] = len(numbered) + np.arange(len(order))
+            refs[others] = -1 - numbers
+            numbered = pa.concat_arrays([numbered, fresh.take(pa.array(order))])
             for part, own, ends in zip(one.chunks, rows, sizes, strict=True):
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(refs[part.indices.to_numpy()]))
                 yield batch_of(DOCUMENT, pa.nulls(len(own), pa.list_(_INTS)), no_maps(len(own)), ids, own)
@@ -458,22 +477,27 @@ def _blocks(path: str, table, block_words: int):
 
 
 def _documents(finish):
-    """Rows with their ids: the block's words put in place of their references."""
+    """Rows with their ids: the stretch's words put in place of their references."""
 
     def run(batches):
         pool, starts, words = np.empty(0, np.int32), np.zeros(1, np.int64), []
         for batch in batches:
-            kinds = batch.column(0).to_numpy() == DOCUMENT
+            kinds = batch.column(0).to_numpy()
+            kinds = np.where(kinds == FOLD, DONE, kinds)
             cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if not kinds[a]:
+                if kinds[a] == STRETCH:
+                    pool, starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+                    continue
+                if kinds[a] == DONE:
                     values, ends = _lists(_lists(batch.column(1).slice(a, b - a))[0])
                     words.append((values.to_numpy(), np.diff(ends)))
                     continue
                 if words:
-                    pool, starts = np.concatenate([x for x, _ in words]), np.cumsum([0, *np.concatenate([n for _, n in words])])
+                    pool = np.concatenate([pool, *[x for x, _ in words]])
+                    starts = np.concatenate([starts, starts[-1] + np.cumsum(np.concatenate([n for _, n in words]))])
                     words = []
                 for at in range(a, b, ROWS):
                     values, ends = _lists(batch.column(2).slice(at, min(ROWS, b - at)))

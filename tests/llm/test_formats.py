@@ -5,9 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import types
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -217,6 +220,32 @@ def test_bpe_plan_without_rank_map(spark):
     assert len(plan.optimizedPlan().toString()) < 100_000
 
 
+@pytest.mark.parametrize("most", [10, 600_000])
+def test_bpe_stretches(monkeypatch, most):
+    """Blocks of one stretch have a word folded once; a stretch of few words ends early. Both place the same ids."""
+    monkeypatch.setattr(bpe, "STRETCH_WORDS", most)
+    texts = [" ".join(f"qz{chr(97 + i * j % 23)}xvwk" for j in range(30)) for i in range(40)]
+    cut = pa.StructArray.from_arrays([pa.array(["".join(w + bpe.MARK for w in re.findall(" ?[a-z]+", t)) for t in texts]), pa.nulls(40, pa.list_(pa.string()))], ["marked", "listed"])
+    rows = pa.record_batch([cut, pa.StructArray.from_arrays([pa.array(range(40))], ["doc_id"])], ["_cut", "_row"])
+    monkeypatch.setattr(bpe, "ROWS", 4)
+    none = bpe._packed(pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], bpe._INTS)}))
+    made = list(bpe._blocks(RANKS, types.SimpleNamespace(value=none), 100)([rows]))
+    ranks, pairs = bpe.ranks_of(RANKS), bpe.pair_ranks(RANKS)
+    folds, out = [], []
+    for b in made:
+        kind = b.column(0)[0].as_py()
+        if kind == bpe.FOLD:
+            folds += [bytes(w) for w in b.column(1)[0].as_py()]
+            ids = pa.array([[bpe.heap_merges([ranks[bytes([x])] for x in w], pairs) for w in b.column(1)[0].as_py()]], pa.list_(bpe._INTS))
+            b = b.set_column(1, "_words", ids)
+        out.append(b.select(["_kind", "_words", "_ids", "_row"]))
+    assert (len(folds) == len(set(folds))) == (most > 10)
+    enc, got = library(), {}
+    for b in bpe._documents(None)(out):
+        got |= dict(zip(b.column("doc_id").to_pylist(), b.column("_ids").to_pylist(), strict=True))
+    assert [got[i] for i in range(40)] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_documents(spark):
     check_bpe(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
