@@ -27,7 +27,7 @@ class Block:
 
     @cached_property
     def words(self) -> list[bytes]:
-        """The words as Python has them, which takes ten times their room."""
+        """The words as Python has them, which takes far more room."""
         return self.values.cast(pa.large_binary()).to_pylist()
 
     def ids(self) -> tuple[np.ndarray, list[bytes]]:

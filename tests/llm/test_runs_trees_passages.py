@@ -239,7 +239,7 @@ def test_blocks_cut_words_as_bytes_do():
 
 
 def test_op13_blocks_take_no_object_per_word():
-    """A worker's memory for a block of 300,000 words; Python's own words alone took 15 MB of it and were held twice."""
+    """A worker's memory for a block of 300,000 words; with an object for each word it took 128 bytes a word."""
     rnd = random.Random(4)
     text = [" ".join(f"{rnd.randrange(9000)}" for _ in range(3000)) for _ in range(100)]
     batch = pa.record_batch([pa.array(range(100)), pa.array(range(100)), pa.array(text)], ["o", "t", "text"])
