@@ -280,6 +280,22 @@ def test_all_pairs_of_a_search_come_from_blocks(spark, monkeypatch):
     assert got == want and len(got) == 60 * 20
 
 
+def test_pairs_are_dealt_by_block_and_laid_out_in_two_steps(spark, monkeypatch):
+    """All pairs belong to one search: blocks meet by their numbers, not by the search, and
+    generated code ends between candidates and rows, so it keeps one candidate's pairs."""
+    monkeypatch.setattr(M, "BLOCK", 5)
+    frame = spark.createDataFrame([(n % 4, n, "ISO 1") for n in range(40)], "table_id int, row_no int, standards string")
+    found = M.keyed(frame).select("skey").distinct().crossJoin(spark.range(30).select(F.col("id").cast("string").alias("candidate_id")))
+    pairs = M.pairs_for_rows(frame, found)
+    assert pairs.columns == ["table_id", "row_no", "candidate_id"]
+    assert sorted(map(tuple, pairs.collect())) == sorted((n % 4, n, str(c)) for n in range(40) for c in range(30))
+    last, first = (pairs._jdf.queryExecution().optimizedPlan().toString().split("Repartition ", 1) + [""])[:2]
+    assert "inline(_rows" in last and "explode(_found" in first and first.split(", ", 1)[1].startswith("false")
+    assert all(f"({x}#" in first.split("Join Inner, ", 1)[1].split("\n")[0] for x in ("skey", "_b", "_f"))
+    most = max(r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect())
+    assert most < 40 * 30  # one search does not land in one task
+
+
 def test_option_tails_are_split_once(spark):
     """The optimized plan splits a cell at its bars once, whatever is asked of it."""
     found = __spark_entry__.queries()["fn_option_tail"](spark, "/root/testdata/sf0.001")
