@@ -296,6 +296,16 @@ def test_pairs_are_dealt_by_block_and_laid_out_in_two_steps(spark, monkeypatch):
     assert most < 40 * 30  # one search does not land in one task
 
 
+def test_shown_candidates_are_worked_out_once(spark):
+    """Places in a list go by the levels present, which are read from the same rows; unknown levels come last."""
+    rows = [("a", "BS", 2010, False, 0, 1), ("a", "EN", 1999, True, 1, 2), ("a", "EN", 2001, True, 1, 3), ("a", "x", 2020, False, 0, 4), ("b", "x", 2020, False, 0, 5), ("b", "ISO", 1990, False, 0, 6), ("b", "BS", 2015, False, 0, 7)]
+    frame = spark.createDataFrame(rows, "skey string, level string, year int, by_year boolean, sheet_order int, cat_row int").withColumn("want_family", F.lit("ISO_FAMILY"))
+    found = M.shown(frame)
+    assert [r.cat_row for r in found.orderBy("skey", "shown").collect()] == [3, 2, 1, 4, 6, 7, 5]
+    assert found.columns == [*frame.columns, "shown"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_option_tails_are_split_once(spark):
     """The optimized plan splits a cell at its bars once, whatever is asked of it."""
     found = __spark_entry__.queries()["fn_option_tail"](spark, "/root/testdata/sf0.001")
